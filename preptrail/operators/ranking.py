@@ -28,7 +28,7 @@ def top_n(
 
 
 def first_per_key(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
-    """Row that comes first in ``order`` within each key, as an aggregate with map-side combine."""
+    """Row with the smallest ``order`` values within each key, as an aggregate with map-side combine."""
     rest = [c for c in df.columns if c not in keys]
     position = F.struct(*[o.alias(f"_o{i}") for i, o in enumerate(order)])
     best = df.groupBy(*keys).agg(F.min_by(F.struct(*rest), position).alias("_row"))

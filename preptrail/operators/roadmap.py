@@ -67,7 +67,8 @@ def recommend(
     difficulties and is then filled up to its total with the most frequent other problems of its
     company and peers. A list is never cut to the total.
     """
-    counts = cut_lineage(counts, "counts")
+    asked = counts.select("interview_id", "company", *S.DEFAULT_COUNTS)
+    counts = cut_lineage(asked, "counts")
     parts = difficulty_requests(counts)
     pair = ["company", "difficulty"]
     requests = parts.groupBy(*pair).agg(F.max("n").alias("n")).withColumn("query_id", F.concat_ws("|", *pair))

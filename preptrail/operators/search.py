@@ -262,7 +262,7 @@ def search(
 
     order = [F.col("score").desc(), F.col(spec.id_col)]
     if spec.distinct:
-        partial = first_per_key(partial, ["query_id", spec.distinct], order)
+        partial = first_per_key(partial, ["query_id", spec.distinct], [-F.col("score"), F.col(spec.id_col)])
     ranked = top_n(partial, ["query_id"], order, k_max)
     if isinstance(k, int):
         return ranked
