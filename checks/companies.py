@@ -8,6 +8,7 @@ from preptrail import schemas as S
 from preptrail.functions import clean
 from preptrail.operators import clustering, curves, distributions, features, peers, registry
 from preptrail.plans import predictor, reports
+from preptrail.session import cut_lineage
 
 # --- Shared SQL -------------------------------------------------------------
 DIST = """dist AS (
@@ -136,24 +137,31 @@ def shares(spark, sf):
     return distributions.normalized_shares(dist(spark, sf))
 
 
-def split(spark, sf):
-    pivot = distributions.volume_pivot(shares(spark, sf))
-    dense, sparse, _ = features.split_clusterable(pivot)
-    labels = D.supplier_region(spark, sf).join(dense.select("company"), "company", "left_semi")
-    return labels, sparse
+def stored_shares(spark, sf):
+    """Shares as the small table that later steps start from, so the problems are read once."""
+    return cut_lineage(shares(spark, sf), "shares")
+
+
+def split(spark, sf, base):
+    """Labels of the companies clustered directly, and the sparse companies."""
+    dense, sparse, _ = features.split_clusterable(distributions.volume_pivot(base))
+    return D.supplier_region(spark, sf).join(dense.select("company"), "company", "left_semi"), sparse
 
 
 def fitted(spark, sf):
     """Shares, curves and labels of all companies, from fixed labels of the clusterable ones."""
-    base = shares(spark, sf)
-    labels, sparse = split(spark, sf)
-    fits = curves.fit_curves(base, labels)
+    base = stored_shares(spark, sf)
+    labels, sparse = split(spark, sf, base)
+    fits = cut_lineage(curves.fit_curves(base, labels), "curves")
     everyone = curves.merge_labels(labels, curves.assign_sparse(sparse, base, fits))
-    return base, fits, everyone
+    return base, fits, cut_lineage(everyone, "labels")
 
 
 def counts(spark, sf, requests):
-    base, fits, labels = fitted(spark, sf)
+    return predict(requests, *fitted(spark, sf))
+
+
+def predict(requests, base, fits, labels):
     return curves.predict_counts(requests, labels, fits, distributions.max_totals(base))
 
 
@@ -292,8 +300,8 @@ MEAN_SQL = f"{sql_r6('prop')} AS proportion, {sql_r6('easy')} AS easy_pct, {sql_
 
 @query(with_ctes(*BASE, CURVES) + f" SELECT cluster, days_until, {MEAN_SQL} FROM daymeans")
 def cluster_day_means(spark, sf):
-    labels, _ = split(spark, sf)
-    return rounded(curves.cluster_day_means(shares(spark, sf), labels), *SHARE_COLUMNS)
+    base = stored_shares(spark, sf)
+    return rounded(curves.cluster_day_means(base, split(spark, sf, base)[0]), *SHARE_COLUMNS)
 
 
 KNOT_SQL = ", ".join(f"{sql_r6(f'{v}{k}')} AS {v}{k}" for v in "yd" for k in range(5))
@@ -301,8 +309,8 @@ KNOT_SQL = ", ".join(f"{sql_r6(f'{v}{k}')} AS {v}{k}" for v in "yd" for k in ran
 
 @query(with_ctes(*BASE, CURVES) + f" SELECT cluster, s AS series, n_companies, {KNOT_SQL} FROM curve JOIN sizes USING (cluster)")
 def cluster_curves(spark, sf):
-    labels, _ = split(spark, sf)
-    fits = curves.fit_curves(shares(spark, sf), labels)
+    base = stored_shares(spark, sf)
+    fits = curves.fit_curves(base, split(spark, sf, base)[0])
     series = F.explode(
         F.array(*[F.struct(F.lit(s).alias("s"), F.col(f"{s}_y").alias("y"), F.col(f"{s}_d").alias("d")) for s in curves.SERIES])
     )
@@ -326,8 +334,9 @@ GRID_DAY = "least(1 + i * (359.0::DOUBLE / 299), 360::DOUBLE)"
     WHERE p.s = 'prop' AND e.s = 'easy' AND m.s = 'medium' AND h.s = 'hard'"""
 )
 def curve_grid(spark, sf):
-    labels, _ = split(spark, sf)
-    return rounded(curves.curve_grid(curves.fit_curves(shares(spark, sf), labels)), "day", *SHARE_COLUMNS)
+    base = stored_shares(spark, sf)
+    fits = curves.fit_curves(base, split(spark, sf, base)[0])
+    return rounded(curves.curve_grid(fits), "day", *SHARE_COLUMNS)
 
 
 @query(with_ctes(*BASE, CURVES, ALL_LABELS) + " SELECT company, cluster FROM clusters")
@@ -383,10 +392,10 @@ def _customer_peers(spark, sf):
 
 @query(
     with_ctes(D.CUSTOMER_META, _feature_sql("cmeta"), SCALED, CUSTOMER_MEMBERS, PEERS)
-    + f" SELECT company, peer, {sql_r6('dist')} AS distance, rank::INT AS rank FROM peers"
+    + " SELECT company, peer, dist AS distance, rank::INT AS rank FROM peers"
 )
 def nearest_peers(spark, sf):
-    return rounded(_customer_peers(spark, sf)[0], "distance")
+    return _customer_peers(spark, sf)[0]
 
 
 @query(

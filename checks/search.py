@@ -9,6 +9,8 @@ from preptrail.functions import vectors
 from preptrail.operators import encode, retrieval, roadmap
 from preptrail.operators.search import SearchSpec, search
 from preptrail.plans import reports
+from preptrail.session import scratch_path
+from preptrail.sources import readers, writers
 
 DIM = 64
 ENCODE = encode.text_encoder(encode.HashingEncoder(DIM))
@@ -98,14 +100,14 @@ def _label_queries(spark, sf):
 
 
 def _topk_sql(pairs: str, k: int, extra: str = "") -> str:
-    return f""" SELECT query_id, id, {sql_r6('score')} AS score, rank::INT AS rank {extra} FROM (
+    return f""" SELECT query_id, id, score, rank::INT AS rank {extra} FROM (
       SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM (
         SELECT *, round(list_inner_product(q, v), 9) AS score FROM {pairs})) WHERE rank <= {k}"""
 
 
 @query(with_ctes(QUERY_VECTORS) + _topk_sql("qvec, item", 5))
 def vector_topk(spark, sf):
-    return rounded(search(_items(spark, sf), _label_queries(spark, sf), 5, SearchSpec()), "score")
+    return search(_items(spark, sf), _label_queries(spark, sf), 5, SearchSpec())
 
 
 PAIR_QUERIES = """pairq AS (
@@ -123,7 +125,7 @@ def _pair_queries(spark, sf):
 @query(with_ctes(QUERY_VECTORS, PAIR_QUERIES) + _topk_sql("pairq JOIN item USING (company, difficulty)", 5))
 def filtered_topk(spark, sf):
     asked = _pair_queries(spark, sf).withColumn("n", F.lit(5))
-    return rounded(retrieval.own_top(_items(spark, sf), asked), "score")
+    return retrieval.own_top(_items(spark, sf), asked)
 
 
 PEER_PAIRS = """(SELECT p.query_id, p.q, i.* FROM pairq p JOIN item i ON p.difficulty = i.difficulty AND p.company <> i.company AND p.company // 4 = i.company // 4)"""
@@ -133,7 +135,7 @@ PEER_PAIRS = """(SELECT p.query_id, p.q, i.* FROM pairq p JOIN item i ON p.diffi
 def peer_topk(spark, sf):
     items, asked = _items(spark, sf), _pair_queries(spark, sf)
     labels = items.select("company").distinct().withColumn("cluster", F.floor(F.col("company") / 4))
-    return rounded(retrieval.peer_top(items, asked, F.lit(7), labels=labels), "score")
+    return retrieval.peer_top(items, asked, F.lit(7), labels=labels)
 
 
 @query(with_ctes(QUERY_VECTORS, PAIR_QUERIES) + _topk_sql(PEER_PAIRS, 7))
@@ -142,17 +144,24 @@ def capped_peer_topk(spark, sf):
     names = items.select("company").distinct()
     peers = names.withColumn("peer", F.explode(F.sequence(F.floor(F.col("company") / 4) * 4, F.floor(F.col("company") / 4) * 4 + 3)))
     peers = peers.filter("peer <> company")
-    return rounded(retrieval.peer_top(items, asked, F.lit(7), peers=peers), "score")
+    return retrieval.peer_top(items, asked, F.lit(7), peers=peers)
 
 
 @query(
     with_ctes(vectors_sql("sv", "documents", "doc_id", "text"), vectors_sql("qv", "benchmark", "item_id", "text"))
-    + f""" SELECT item_id AS query_id, 'sol_' || doc_id AS id, {sql_r6('score')} AS score, rank::INT AS rank FROM (
+    + f""" SELECT item_id AS query_id, 'sol_' || doc_id AS id, score, rank::INT AS rank FROM (
       SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, 'sol_' || doc_id) AS rank FROM (
         SELECT item_id, doc_id, round(sum(s.w * q.w), 9) AS score FROM sv s JOIN qv q USING (d) GROUP BY 1, 2)) WHERE rank <= 2"""
 )
 def similar_solutions(spark, sf):
-    return rounded(_found_solutions(spark, sf), "score")
+    return _found_solutions(spark, sf)
+
+
+def _stored(index):
+    """Vector table as it is served: written once, then searched."""
+    path = scratch_path(index.sparkSession, "vectors")
+    writers.rebuild_vectors(index, path)
+    return readers.read_table(index.sparkSession, path)
 
 
 def _solution_index(spark, sf):
@@ -208,7 +217,7 @@ WATERFALL = (D.DOC_PROBLEMS, D.NATION_REGION, DOC_REQUESTS, waterfall_sql("dprob
 
 def _waterfall(spark, sf):
     problems = D.doc_problems(spark, sf)
-    index = encode.problem_index(problems, ENCODE)
+    index = _stored(encode.problem_index(problems, ENCODE))
     levels = F.explode(F.array(*[F.lit(d) for d in ("EASY", "MEDIUM", "HARD")]))
     requests = D.nation_region(spark, sf).select("company", levels.alias("difficulty"), F.lit(N_RESULTS).alias("n"))
     requests = requests.withColumn("query_id", F.concat_ws("|", "company", "difficulty"))
@@ -218,17 +227,17 @@ def _waterfall(spark, sf):
 @query(
     with_ctes(*WATERFALL)
     + f""" SELECT qid AS query_id, company, difficulty, position::INT AS position, id, found_company, url, frequency, tier::INT AS tier, rank::INT AS rank,
-      {sql_r6('score')} AS score FROM ranked"""
+      score FROM ranked"""
 )
 def waterfall(spark, sf):
-    return rounded(_waterfall(spark, sf), "score")
+    return _waterfall(spark, sf)
 
 
 @query(
     with_ctes(D.DOC_PROBLEMS, D.NATION_REGION, "dreq AS (SELECT DISTINCT company, difficulty FROM dproblems)",
               "seed AS (SELECT company || '|' || difficulty AS qid, company || ' | ' || difficulty || ' | ' || string_agg(substring(description, 1, 1000), ' | ' ORDER BY id) AS t FROM dproblems GROUP BY company, difficulty)",
               vectors_sql("xv", "seed", "qid", "t"), vectors_sql("pv", "dproblems", "id", DOC_TEXT))
-    + f""" SELECT qid AS query_id, id, {sql_r6('score')} AS score, rank::INT AS rank FROM (
+    + f""" SELECT qid AS query_id, id, score, rank::INT AS rank FROM (
       SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM (
         SELECT qid, b.id, round(sum(q.w * p.w), 9) AS score FROM dproblems b JOIN dreq r USING (difficulty) JOIN xv q ON q.qid = r.company || '|' || r.difficulty
         JOIN pv p ON p.id = b.id AND p.d = q.d GROUP BY 1, 2)) WHERE rank <= 5"""
@@ -240,7 +249,7 @@ def expanded_query_topk(spark, sf):
     requests = requests.withColumn("text", retrieval.query_text(F.col("company"), F.col("difficulty")))
     found = index.select(F.concat_ws("|", "company", "difficulty").alias("query_id"), "id", F.lit(1).alias("tier"), F.col("id").alias("rank"))
     expanded = retrieval.expanded_requests(requests, found, index, ENCODE)
-    return rounded(retrieval.global_top(index, expanded, F.lit(5)), "score")
+    return retrieval.global_top(index, expanded, F.lit(5))
 
 
 # --- Roadmaps over line items -----------------------------------------------
@@ -269,10 +278,10 @@ ROADMAP = (
 
 
 def _roadmap(spark, sf):
-    _, _, labels = C.fitted(spark, sf)
-    counts = C.counts(spark, sf, D.interviews(spark, sf))
+    base, fits, labels = C.fitted(spark, sf)
+    counts = C.predict(D.interviews(spark, sf), base, fits, labels)
     problems = D.problems(spark, sf)
-    index = encode.problem_index(problems.withColumn("description", F.lit(None).cast("string")), ENCODE)
+    index = _stored(encode.problem_index(problems.withColumn("description", F.lit(None).cast("string")), ENCODE))
     return counts, problems, roadmap.recommend(counts, index, problems, labels, ENCODE)
 
 

@@ -21,6 +21,9 @@ MAX_BROADCAST_VALUES = 4_000_000
 BLOCK_ROWS = 50_000
 QUERY_CHUNK = 5_000
 SCORES_PER_STEP = 2_000_000
+MATRIX_SCORES = 20_000
+PAIR_STEP = 20_000
+PENDING_ROWS = 200_000
 
 
 @dataclass(frozen=True)
@@ -65,6 +68,7 @@ def _arrow_matrix(column: pa.ListArray, dim: int) -> np.ndarray:
 
 
 def _scores(q: np.ndarray, c: np.ndarray, spec: SearchSpec) -> np.ndarray:
+    """Scores of all queries against all candidates of one block."""
     if spec.metric == "dot":
         raw = q @ c.T
     else:
@@ -75,6 +79,12 @@ def _scores(q: np.ndarray, c: np.ndarray, spec: SearchSpec) -> np.ndarray:
     return np.round(raw, spec.precision)
 
 
+def _pair_scores(q: np.ndarray, c: np.ndarray, spec: SearchSpec) -> np.ndarray:
+    """Scores of aligned rows."""
+    raw = np.einsum("ij,ij->i", q, c) if spec.metric == "dot" else -np.sqrt(((q - c) ** 2).sum(axis=1))
+    return np.round(raw, spec.precision)
+
+
 def _best(found: pd.DataFrame, limits: np.ndarray, spec: SearchSpec) -> pd.DataFrame:
     found = found.sort_values(["q", "score", "id"], ascending=[True, False, True], kind="stable")
     if spec.distinct:
@@ -82,8 +92,15 @@ def _best(found: pd.DataFrame, limits: np.ndarray, spec: SearchSpec) -> pd.DataF
     return found[found.groupby("q").cumcount().to_numpy() < limits[found["q"].to_numpy()]]
 
 
-def _score_group(q_pos, queries, cands, c_pos, limits, spec: SearchSpec) -> list[pd.DataFrame]:
-    """Best candidates of one matching group for each of its queries."""
+def _found(q_pos, c_pos, score, cands, spec: SearchSpec) -> pd.DataFrame:
+    columns = {"q": q_pos, "score": score, "id": cands["id"][c_pos]}
+    if spec.distinct:
+        columns["distinct"] = cands["distinct"][c_pos]
+    return pd.DataFrame(columns)
+
+
+def _block_best(q_pos, queries, cands, c_pos, limits, spec: SearchSpec) -> list[pd.DataFrame]:
+    """Best candidates of one large matching group for each of its queries, by matrix products."""
     out, vectors = [], cands["matrix"][c_pos]
     step = max(1, SCORES_PER_STEP // max(1, len(c_pos)))
     for start in range(0, len(q_pos), step):
@@ -101,10 +118,7 @@ def _score_group(q_pos, queries, cands, c_pos, limits, spec: SearchSpec) -> list
             take = min(take, len(c_pos))
             cut = -np.partition(-score, take - 1, axis=1)[:, take - 1]
             qi, ci = np.nonzero((score >= cut[:, None]) & ~dropped)
-            found = pd.DataFrame({"q": rows[qi], "score": score[qi, ci], "id": cands["id"][c_pos[ci]]})
-            if spec.distinct:
-                found["distinct"] = cands["distinct"][c_pos[ci]]
-            best = _best(found, limits, spec)
+            best = _best(_found(rows[qi], c_pos[ci], score[qi, ci], cands, spec), limits, spec)
             counts = np.bincount(best["q"], minlength=len(limits))[rows]
             if not spec.distinct or take == len(c_pos) or (counts >= limits[rows]).all():
                 break
@@ -113,30 +127,60 @@ def _score_group(q_pos, queries, cands, c_pos, limits, spec: SearchSpec) -> list
     return out
 
 
-def _group_positions(keys: list[np.ndarray], n: int) -> dict:
-    if not keys:
-        return {(): np.arange(n)}
-    frame = pd.DataFrame({i: k for i, k in enumerate(keys)})
-    groups = frame.groupby(list(frame.columns), sort=False).indices
-    return {k if isinstance(k, tuple) else (k,): v for k, v in groups.items()}
+def _pairs_found(c_pos, groups, queries, cands, spec: SearchSpec) -> list[pd.DataFrame]:
+    """Scores for candidates of many small groups at once, pair by pair."""
+    out, per_candidate = [], queries["count"][groups]
+    for first in range(0, len(c_pos), PAIR_STEP):
+        part = slice(first, first + PAIR_STEP)
+        n = per_candidate[part]
+        within = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        q_pos = queries["order"][np.repeat(queries["start"][groups[part]], n) + within]
+        pos = np.repeat(c_pos[part], n)
+        score = _pair_scores(queries["matrix"][q_pos], cands["matrix"][pos], spec)
+        missing = np.isnan(score)
+        score[missing] = -np.inf
+        kept = np.ones(len(pos), dtype=bool) if spec.keep_missing else ~missing
+        if spec.differ:
+            kept &= queries["differ"][q_pos] != cands["differ"][pos]
+        out.append(_found(q_pos[kept], pos[kept], score[kept], cands, spec))
+    return out
 
 
 def _search_block(queries: dict, cands: dict, limits: np.ndarray, spec: SearchSpec) -> list[pd.DataFrame]:
-    out = []
-    for key, c_pos in _group_positions(cands["on"], len(cands["id"])).items():
-        q_pos = queries["groups"].get(key)
-        if q_pos is not None and len(c_pos):
-            out += _score_group(q_pos, queries, cands, c_pos, limits, spec)
+    """Candidates worth keeping from one block: large groups by matrix, small groups by pair."""
+    n = len(cands["id"])
+    if not spec.on:
+        return _block_best(np.arange(len(limits)), queries, cands, np.arange(n), limits, spec)
+    keys = pd.DataFrame({str(i): k for i, k in enumerate(cands["on"])})
+    groups = keys.merge(queries["keys"], how="left", on=list(keys.columns))["group"].to_numpy()
+    c_pos = np.flatnonzero(~np.isnan(groups))
+    groups = groups[c_pos].astype(int)
+    work = np.bincount(groups, minlength=len(queries["count"])) * queries["count"]
+    large = work[groups] >= MATRIX_SCORES
+    out = _pairs_found(c_pos[~large], groups[~large], queries, cands, spec)
+    for group in np.unique(groups[large]):
+        start = queries["start"][group]
+        q_pos = queries["order"][start : start + queries["count"][group]]
+        out += _block_best(q_pos, queries, cands, c_pos[groups == group], limits, spec)
     return out
 
 
 def _query_side(frame: pd.DataFrame, spec: SearchSpec, dim: int) -> dict:
-    return {
+    """Queries as arrays, with their positions listed group by group."""
+    side = {
         "query_id": frame["query_id"].to_numpy(),
         "matrix": _matrix(frame[spec.vector].tolist(), dim),
         "differ": frame[spec.differ].to_numpy() if spec.differ else None,
-        "groups": _group_positions([frame[c].to_numpy() for c in spec.on], len(frame)),
     }
+    if spec.on:
+        keys = pd.DataFrame({str(i): frame[c].to_numpy() for i, c in enumerate(spec.on)})
+        group = keys.groupby(list(keys.columns), sort=False).ngroup().to_numpy()
+        valid = np.flatnonzero(group >= 0)
+        side["order"] = valid[np.argsort(group[valid], kind="stable")]
+        side["count"] = np.bincount(group[valid])
+        side["start"] = np.cumsum(side["count"]) - side["count"]
+        side["keys"] = keys.assign(group=group).iloc[valid].drop_duplicates("group")
+    return side
 
 
 def _result(best: pd.DataFrame, queries: dict, spec: SearchSpec) -> pd.DataFrame:
@@ -168,7 +212,11 @@ def _broadcast_search(index: DataFrame, rows: pd.DataFrame, dim: int, spec: Sear
 
     def scan(batches):
         queries, limits = shared.value
-        best = None
+        best, pending, n_pending = [], [], 0
+
+        def compact() -> list[pd.DataFrame]:
+            return [_best(pd.concat([*best, *pending], ignore_index=True), limits, spec)]
+
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -182,11 +230,14 @@ def _broadcast_search(index: DataFrame, rows: pd.DataFrame, dim: int, spec: Sear
                 if name:
                     cands[role] = column[name].to_pandas().to_numpy()
             found = _search_block(queries, cands, limits, spec)
-            if found:
-                parts = found if best is None else [best, *found]
-                best = _best(pd.concat(parts, ignore_index=True), limits, spec)
-        if best is not None and len(best):
-            frame = _result(best, queries, spec)
+            pending += found
+            n_pending += sum(map(len, found))
+            if n_pending > max(PENDING_ROWS, 2 * sum(map(len, best))):
+                best, pending, n_pending = compact(), [], 0
+        if n_pending:
+            best = compact()
+        if best and len(best[0]):
+            frame = _result(best[0], queries, spec)
             yield pa.RecordBatch.from_pandas(frame, schema=arrow_schema, preserve_index=False)
 
     return index.mapInArrow(scan, schema)
@@ -225,7 +276,7 @@ def _grid_search(index: DataFrame, queries: DataFrame, dim: int, spec: SearchSpe
             "differ": block[spec.differ].to_numpy() if spec.differ else None,
             "distinct": block[spec.distinct].to_numpy() if spec.distinct else None,
         }
-        found = _search_block(side, cands, limits, spec)
+        found = [f for f in _search_block(side, cands, limits, spec) if len(f)]
         if not found:
             return pd.DataFrame(columns=schema.names)
         return _result(_best(pd.concat(found, ignore_index=True), limits, spec), side, spec)

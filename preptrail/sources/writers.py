@@ -39,13 +39,15 @@ def load_table(df: DataFrame, path: str, force: bool = False) -> bool:
     spark = df.sparkSession
     if not force and path_exists(spark, path) and not spark.read.parquet(path).isEmpty():
         return False
-    cut_lineage(df, "load").write.mode("overwrite").parquet(path)
+    staged = cut_lineage(df, "load") if path_exists(spark, path) else df
+    staged.write.mode("overwrite").parquet(path)
     return True
 
 
 def rebuild_vectors(vectors: DataFrame, path: str) -> None:
-    """Replace a whole vector table."""
-    cut_lineage(vectors, "vectors").write.mode("overwrite").parquet(path)
+    """Replace a whole vector table; rows that may come from it are staged before it goes."""
+    staged = cut_lineage(vectors, "vectors") if path_exists(vectors.sparkSession, path) else vectors
+    staged.write.mode("overwrite").parquet(path)
 
 
 def upsert_vectors(vectors: DataFrame, path: str, order: Column | None = None) -> None:
