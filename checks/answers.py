@@ -147,9 +147,8 @@ SYSTEM = """systems AS (
 
 @query(
     with_ctes(SYSTEM)
-    + """, turns AS (SELECT conv_id, 0 AS pos, 'system' AS role, system AS content FROM systems
-      UNION ALL SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn), role, text FROM conversations)
-    SELECT conv_id, pos::INT AS pos, role, content FROM turns"""
+    + """ SELECT conv_id, -1::BIGINT AS turn, 'system' AS role, system AS content FROM systems
+      UNION ALL SELECT conv_id, turn, role, text FROM conversations"""
 )
 def prompt_assembly(spark, sf):
     turns = D.table(spark, sf, "conversations")
@@ -157,8 +156,7 @@ def prompt_assembly(spark, sf):
     asked = turns.select("conv_id").distinct().join(docs, "conv_id", "left")
     solution = F.when(F.col("conv_id") % 3 == 0, F.concat(F.lit("return "), F.col("conv_id")))
     system = curation.system_message(F.lit("You are a tutor."), F.col("text"), solution)
-    messages = curation.conversation_messages(turns, asked.select("conv_id", system.alias("system")))
-    return messages.select("conv_id", F.posexplode("messages").alias("pos", "m")).select("conv_id", "pos", "m.*")
+    return curation.prompt_messages(turns, asked.select("conv_id", system.alias("system")))
 
 
 @query(

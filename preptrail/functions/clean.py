@@ -19,6 +19,8 @@ SUFFIX_PATTERN = (
 SUFFIX_PASSES = 3
 # A body whose exponents were lost ("10 5") has to be fetched again.
 LOST_EXPONENT_PATTERN = r"10\s+[459]"
+# Stands for removed markup until runs of it become one line break.
+TAG_MARK = "\u0001"
 # ---------------------------------------------------------------------------
 
 
@@ -85,7 +87,7 @@ def html_to_text(markup: Column) -> Column:
     c = F.regexp_replace(c, unseen, "<x>")
     c = _mark_elements(c, "sup", "^")
     c = _mark_elements(c, "sub", "_")
-    c = F.regexp_replace(c, r"(?:<[a-zA-Z/][^>]*>)+", "\n")
+    c = F.regexp_replace(F.regexp_replace(c, r"<[a-zA-Z/][^>]*>", TAG_MARK), TAG_MARK + "+", "\n")
     with_entity = F.when(F.contains(c, F.lit("&")), c)
     c = F.coalesce(_unescape(with_entity), c)
     c = F.regexp_replace(c, r"\n+([\^_])", "$1")

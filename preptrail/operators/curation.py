@@ -12,6 +12,7 @@ FAILURE_SCORE = 0.4
 MAX_ATTEMPTS = 3
 JUDGE_ERROR_SCORE = 1.0
 LEAK_LINE_CHARS = 15
+SYSTEM_TURN = -1
 NO_MESSAGE = "Start of conversation"
 FEW_SHOT_PREAMBLE = "\n\nHere are similar solved problems from our knowledge base for reference:\n"
 REFERENCE_HEADER = "--- Reference Solution %d ---\n%s"
@@ -113,19 +114,15 @@ def system_message(system: Column, problem: Column, solution: Column) -> Column:
     return F.concat(system, F.coalesce(section(PROBLEM_CONTEXT, problem), F.lit("")), F.coalesce(section(GROUND_TRUTH, solution), F.lit("")))
 
 
-def conversation_messages(turns: DataFrame, systems: DataFrame) -> DataFrame:
-    """Message list per conversation: the system message, then the turns in order.
+def prompt_messages(turns: DataFrame, systems: DataFrame) -> DataFrame:
+    """Messages to send per conversation, one row each: the system message, then the turns.
 
-    ``turns`` is (conv_id, turn, role, text), ``systems`` is (conv_id, system).
+    ``turns`` is (conv_id, turn, role, text), ``systems`` is (conv_id, system). The system message
+    gets turn -1. Rows stay rows, so a conversation may be of any length.
     """
-    ordered = F.array_sort(F.collect_list(F.struct("turn", "role", F.col("text").alias("content"))))
-    spoken = turns.groupBy("conv_id").agg(
-        F.transform(ordered, lambda m: F.struct(m["role"].alias("role"), m["content"].alias("content"))).alias("spoken")
-    )
-    first = F.array(F.struct(F.lit("system").alias("role"), F.col("system").alias("content")))
-    return systems.join(spoken, "conv_id", "left").select(
-        "conv_id", F.when(F.col("spoken").isNull(), first).otherwise(F.concat(first, "spoken")).alias("messages")
-    )
+    first = systems.select("conv_id", F.lit(SYSTEM_TURN).alias("turn"), F.lit("system").alias("role"), F.col("system").alias("content"))
+    known = turns.join(systems.select("conv_id"), "conv_id", "left_semi")
+    return first.unionByName(known.select("conv_id", F.col("turn").cast("bigint").alias("turn"), "role", F.col("text").alias("content")))
 
 
 def last_message(conversations: DataFrame, turns: DataFrame) -> DataFrame:

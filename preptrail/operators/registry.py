@@ -18,7 +18,7 @@ MIN_CONTAINED = 4
 EXACT, PREFIX, CONTAINED = 1, 2, 3
 # ---------------------------------------------------------------------------
 
-BROADCAST_NAMES = 100_000
+BROADCAST_BYTES = 8 << 20
 
 
 def normalized_registry(registry: DataFrame) -> DataFrame:
@@ -52,7 +52,8 @@ def _only_asked(keys: DataFrame, names: DataFrame) -> DataFrame:
     With more names than that the substrings are combined per key first and meet the names after.
     """
     wanted = names.select("key").distinct()
-    if wanted.limit(BROADCAST_NAMES + 1).count() <= BROADCAST_NAMES:
+    size = wanted.agg(F.coalesce(F.sum(F.octet_length("key") + 16), F.lit(0))).first()[0]
+    if size <= BROADCAST_BYTES:
         return keys.join(F.broadcast(wanted), "key", "left_semi")
     return keys
 

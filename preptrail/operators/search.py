@@ -244,26 +244,31 @@ def _broadcast_search(index: DataFrame, rows: pd.DataFrame, dim: int, spec: Sear
 
 
 def _grid_search(index: DataFrame, queries: DataFrame, dim: int, spec: SearchSpec, schema) -> DataFrame:
-    """Shuffle both sides into cells of bounded size; only groups above the bound are split."""
+    """Shuffle both sides into cells of bounded size that hold all matching pairs.
+
+    Small key groups share a cell, picked by a hash of their keys. A group with more rows or
+    queries than a cell should hold is split: its rows into blocks, its queries into chunks, with
+    one cell for every block and chunk.
+    """
     index, queries = index.withColumn("_all", F.lit(0)), queries.withColumn("_all", F.lit(0))
     keys = list(spec.on) or ["_all"]
+    n_cells = max(1, -(-index.count() // BLOCK_ROWS))
 
     def pieces(df: DataFrame, rows: int, name: str) -> DataFrame:
         sized = df.groupBy(*keys).agg(F.ceil(F.count("*") / rows).cast("int").alias(name))
         return sized.filter(F.col(name) > 1)
 
-    blocks = pieces(index, BLOCK_ROWS, "_blocks")
-    chunks = pieces(queries, QUERY_CHUNK, "_chunks")
-    hot = blocks.join(chunks, keys, "full_outer").fillna(1)
+    hot = pieces(index, BLOCK_ROWS, "_blocks").join(pieces(queries, QUERY_CHUNK, "_chunks"), keys, "full_outer").fillna(1)
+    own_cell = F.pmod(F.xxhash64(*keys), F.lit(n_cells)).cast("int")
 
-    def dealt(df: DataFrame, id_col: str, own: str, own_count: str, other: str, other_count: str) -> DataFrame:
+    def dealt(df: DataFrame, id_col: str, own: str, own_count: str, other: str, other_count: str):
         placed = df.join(hot, keys, "left").fillna(1, ["_blocks", "_chunks"])
-        everywhere = F.explode(F.sequence(F.lit(0), F.col(other_count) - 1))
         placed = placed.withColumn(own, F.pmod(F.xxhash64(id_col), F.col(own_count)).cast("int"))
-        return placed.withColumn(other, everywhere)
+        placed = placed.withColumn(other, F.explode(F.sequence(F.lit(0), F.col(other_count) - 1)))
+        return placed.withColumn("_cell", own_cell).groupBy("_cell", "_b", "_c")
 
-    left = dealt(index, spec.id_col, "_b", "_blocks", "_c", "_chunks").groupBy(*keys, "_b", "_c")
-    right = dealt(queries, "query_id", "_c", "_chunks", "_b", "_blocks").groupBy(*keys, "_b", "_c")
+    left = dealt(index, spec.id_col, "_b", "_blocks", "_c", "_chunks")
+    right = dealt(queries, "query_id", "_c", "_chunks", "_b", "_blocks")
 
     def cell(block: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
         if not len(block) or not len(asked):
