@@ -31,7 +31,7 @@ ANSWERS = f"""answers AS (
 
 
 def answers(spark, sf):
-    docs = D.table(spark, sf, "documents").withColumn("candidate", F.explode(F.array(F.lit(1), F.lit(2), F.lit(3))))
+    docs = D.spread_table(spark, sf, "documents").withColumn("candidate", F.explode(F.array(F.lit(1), F.lit(2), F.lit(3))))
     docs = docs.withColumn("kind", F.expr("CAST((doc_id * (candidate + 1) + n_chars * candidate) % 7 AS INT)"))
     docs = docs.withColumn("key", F.concat_ws("_", "doc_id", "candidate")).withColumn("comment", F.expr(COMMENT))
     return docs.select("doc_id", "candidate", "kind", "key", "text", F.expr(ANSWER).alias("answer"))

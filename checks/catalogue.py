@@ -21,7 +21,7 @@ FEED = """feed AS (
 
 
 def feed(spark, sf):
-    return D.problems(spark, sf).selectExpr(
+    return D.problems(spark, sf, D.spread_table).selectExpr(
         "id",
         "concat(' ', company, chr(9)) AS company",
         "concat(title, chr(10)) AS title",
@@ -149,7 +149,7 @@ MARKED = "concat(html, '<p>1 &lt; n <= 10<sup class=\"e\"> 5 </sup> and a<sub>i<
 @query(f"SELECT page_id, regexp_replace({_text_sql(MARKED)}, '&lt;', '<', 'g') AS body FROM pages")
 def html_to_text(spark, sf):
     marked = F.concat("html", F.lit('<p>1 &lt; n <= 10<sup class="e"> 5 </sup> and a<sub>i</sub><br> ok</p>'))
-    return D.table(spark, sf, "pages").select("page_id", clean.html_to_text(marked).alias("body"))
+    return D.spread_table(spark, sf, "pages").select("page_id", clean.html_to_text(marked).alias("body"))
 
 
 PART_LINK = D.LINK.replace("l_partkey", "p_partkey")

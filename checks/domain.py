@@ -7,11 +7,18 @@ filter.
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from preptrail.session import spread
+
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def spread_table(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    """Table ahead of costly per-row work."""
+    return spread(table(spark, sf, name))
+
+
 # --- Problems: one per line item, company = supplier -------------------------
 PROBLEM_ID = "concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(l_quantity AS INT))"
 PREPARATION_DAYS = """CASE WHEN l_suppkey % 5 = 0 THEN 360 WHEN l_linenumber <= 1 THEN 30
@@ -26,8 +33,8 @@ PROBLEMS = f"""problems AS (
   FROM lineitem JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey)"""
 
 
-def problems(spark: SparkSession, sf: str) -> DataFrame:
-    items = table(spark, sf, "lineitem").join(table(spark, sf, "part"), F.col("l_partkey") == F.col("p_partkey"))
+def problems(spark: SparkSession, sf: str, read=table) -> DataFrame:
+    items = read(spark, sf, "lineitem").join(table(spark, sf, "part"), F.col("l_partkey") == F.col("p_partkey"))
     items = items.join(table(spark, sf, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
     return items.select(
         F.expr(PROBLEM_ID).alias("id"),
@@ -128,7 +135,7 @@ NATION_REGION = "dregions AS (SELECT n_name AS company, n_regionkey AS cluster F
 
 
 def doc_problems(spark: SparkSession, sf: str) -> DataFrame:
-    docs = table(spark, sf, "documents").withColumn("n_nationkey", (F.col("doc_id") % 25).cast("int"))
+    docs = spread_table(spark, sf, "documents").withColumn("n_nationkey", (F.col("doc_id") % 25).cast("int"))
     docs = docs.join(table(spark, sf, "nation"), "n_nationkey").join(table(spark, sf, "labels"), "doc_id", "left")
     return docs.select(
         F.col("doc_id").alias("id"),
@@ -161,7 +168,7 @@ REGISTRY_QUERIES = """wanted AS (
 
 
 def registry(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "part").select(
+    return spread_table(spark, sf, "part").select(
         F.col("p_partkey").alias("row_no"),
         F.expr(REGISTRY_NAME).alias("name"),
         F.col("p_type").alias("industry"),

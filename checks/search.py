@@ -55,7 +55,7 @@ def mean_pool(spark, sf):
     FROM (SELECT doc_id, unnest(range({DIM})) AS i FROM documents) g LEFT JOIN v ON v.doc_id = g.doc_id AND v.d = g.i"""
 )
 def text_vectorize(spark, sf):
-    docs = D.table(spark, sf, "documents").select("doc_id", F.posexplode(ENCODE(F.col("text"))).alias("dim", "x"))
+    docs = D.spread_table(spark, sf, "documents").select("doc_id", F.posexplode(ENCODE(F.col("text"))).alias("dim", "x"))
     return docs.select("doc_id", "dim", r6(F.col("x").cast("double")).alias("w"))
 
 
@@ -165,7 +165,7 @@ def _stored(index):
 
 
 def _solution_index(spark, sf):
-    docs = D.table(spark, sf, "documents").select(F.col("doc_id").alias("row_no"), F.col("text").alias("prompt"), F.col("text").alias("completion"))
+    docs = D.spread_table(spark, sf, "documents").select(F.col("doc_id").alias("row_no"), F.col("text").alias("prompt"), F.col("text").alias("completion"))
     return encode.solution_index(docs, ENCODE)
 
 
@@ -281,7 +281,8 @@ def _roadmap(spark, sf):
     base, fits, labels = C.fitted(spark, sf)
     counts = C.predict(D.interviews(spark, sf), base, fits, labels)
     problems = D.problems(spark, sf)
-    index = _stored(encode.problem_index(problems.withColumn("description", F.lit(None).cast("string")), ENCODE))
+    described = D.problems(spark, sf, D.spread_table).withColumn("description", F.lit(None).cast("string"))
+    index = _stored(encode.problem_index(described, ENCODE))
     return counts, problems, roadmap.recommend(counts, index, problems, labels, ENCODE)
 
 

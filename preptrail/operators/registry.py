@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from preptrail import schemas as S
 from preptrail.functions import clean
-from preptrail.operators.ranking import first_per_key, top_n
+from preptrail.operators.ranking import top_n
+from preptrail.session import cut_lineage
 
 # --- Fixed values -----------------------------------------------------------
 MIN_PREFIX = 3
@@ -22,9 +23,9 @@ BROADCAST_BYTES = 8 << 20
 
 
 def normalized_registry(registry: DataFrame) -> DataFrame:
-    """First row per normalised name, in registry order; names that normalise to nothing drop out."""
-    named = registry.filter(F.col("name").isNotNull()).withColumn("norm", clean.normalize_company(F.col("name")))
-    return first_per_key(named.filter(F.col("norm") != ""), ["norm"], [F.col("row_no")])
+    """First row number per normalised name, in registry order; names that normalise to nothing drop out."""
+    named = registry.filter(F.col("name").isNotNull()).select(clean.normalize_company(F.col("name")).alias("norm"), "row_no")
+    return named.filter(F.col("norm") != "").groupBy("norm").agg(F.min("row_no").alias("row_no"))
 
 
 def asked_lengths(names: DataFrame, key: str) -> Column:
@@ -64,7 +65,8 @@ def match_names(names: DataFrame, registry: DataFrame) -> DataFrame:
     ``registry`` has row_no and name; the result adds the tier and registry columns, and names
     without a match are kept with nulls.
     """
-    asked = names.select("company").distinct().withColumn("key", clean.normalize_company(F.col("company")))
+    keyed_names = names.select("company").distinct().withColumn("key", clean.normalize_company(F.col("company")))
+    asked = cut_lineage(keyed_names, "names")
     rows = normalized_registry(registry)
     exact = asked.join(rows.select(F.col("norm").alias("key"), "row_no"), "key")
     exact = exact.select("company", "row_no", F.lit(EXACT).alias("tier"))
@@ -105,7 +107,7 @@ def lookup_names(queries: DataFrame, registry: DataFrame, first_n: int | None =
     so that an equal name further down is missed.
     """
     asked = queries.select("company").distinct().withColumn("key", F.lower(clean.strip_space(F.col("company"))))
-    asked = asked.filter(F.col("key") != "")
+    asked = cut_lineage(asked.filter(F.col("key") != ""), "names")
     named = registry.filter(F.col("name").isNotNull())
     keyed = named.withColumn("_lengths", asked_lengths(asked, "key")).select(
         "row_no",
