@@ -205,6 +205,19 @@ def _result_schema(index: DataFrame, queries: DataFrame, spec: SearchSpec) -> T.
     return T.StructType(fields)
 
 
+def _with_asked_keys(index: DataFrame, rows: pd.DataFrame, spec: SearchSpec) -> DataFrame:
+    """Rows some query can match, kept before they leave the JVM; the keys are as few as the queries."""
+    fields = [index.schema[c] for c in spec.on]
+    distinct = rows[list(spec.on)].dropna().drop_duplicates()
+
+    def plain(value, kind):
+        return int(value) if isinstance(kind, T.IntegralType) else value
+
+    keys = [tuple(plain(v, f.dataType) for v, f in zip(row, fields)) for row in distinct.itertuples(index=False)]
+    asked = index.sparkSession.createDataFrame(keys, T.StructType(fields))
+    return index.join(F.broadcast(asked), list(spec.on), "left_semi")
+
+
 def _broadcast_search(index: DataFrame, rows: pd.DataFrame, dim: int, spec: SearchSpec, schema) -> DataFrame:
     """Scan the vectors once, in place; every task holds the few queries and its running best."""
     shared = index.sparkSession.sparkContext.broadcast((_query_side(rows, spec, dim), rows["k"].to_numpy()))
@@ -240,7 +253,7 @@ def _broadcast_search(index: DataFrame, rows: pd.DataFrame, dim: int, spec: Sear
             frame = _result(best[0], queries, spec)
             yield pa.RecordBatch.from_pandas(frame, schema=arrow_schema, preserve_index=False)
 
-    return index.mapInArrow(scan, schema)
+    return (_with_asked_keys(index, rows, spec) if spec.on else index).mapInArrow(scan, schema)
 
 
 def _grid_search(index: DataFrame, queries: DataFrame, dim: int, spec: SearchSpec, schema) -> DataFrame:
