@@ -97,6 +97,13 @@ def best_attempt(spark, sf):
     return best.withColumn("solution_hash", F.md5("solution")).drop("solution")
 
 
+@query("SELECT doc_id, n_chars, md5(text) AS description_hash FROM documents WHERE text <> '' ORDER BY n_chars DESC, doc_id LIMIT 10")
+def preference_prompts(spark, sf):
+    docs = D.table(spark, sf, "documents").withColumnRenamed("text", "description")
+    picked = curation.pick_prompts(docs, [F.col("n_chars").desc(), F.col("doc_id")], 10)
+    return picked.select("doc_id", "n_chars", F.md5("description").alias("description_hash"))
+
+
 PAIRS = """pairs AS (
   SELECT a.doc_id AS prompt_id, a.text AS prompt, CASE WHEN first THEN a.answer ELSE b.answer END AS chosen, CASE WHEN first THEN b.answer ELSE a.answer END AS rejected
   FROM answers a JOIN answers b ON a.doc_id = b.doc_id AND a.candidate = 1 AND b.candidate = 2,

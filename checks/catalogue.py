@@ -113,6 +113,11 @@ def problems_per_company(spark, sf):
     return keyed.groupBy("company_id").agg(F.count("*").alias("n_problems"))
 
 
+@query(with_ctes(D.PROBLEMS) + " SELECT DISTINCT company FROM problems")
+def company_names(spark, sf):
+    return catalogue.company_names(D.problems(spark, sf))
+
+
 @query("SELECT s_suppkey AS id, s_name AS name FROM supplier WHERE s_suppkey IN (SELECT l_suppkey FROM lineitem)")
 def companies_with_problems(spark, sf):
     return catalogue.companies_with_problems(D.track_companies(spark, sf), D.problems(spark, sf).select("company_id"))

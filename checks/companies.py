@@ -142,6 +142,10 @@ def stored_shares(spark, sf):
     return cut_lineage(shares(spark, sf), "shares")
 
 
+def stored_features(meta):
+    return cut_lineage(features.company_features(meta), "features")
+
+
 def split(spark, sf, base):
     """Labels of the companies clustered directly, and the sparse companies."""
     dense, sparse, _ = features.split_clusterable(distributions.volume_pivot(base))
@@ -219,7 +223,7 @@ def company_features(spark, sf):
       coalesce(size_rank, (SELECT quantile_cont(size_rank, 0.5) FROM gaps)) AS size_rank FROM gaps"""
 )
 def imputed_features(spark, sf):
-    feats = features.company_features(D.customer_meta(spark, sf))
+    feats = stored_features(D.customer_meta(spark, sf))
     gaps = feats.select(
         "company", F.nullif("industry_enc", F.lit(3.0)).alias("industry_enc"), F.nullif("size_rank", F.lit(4.0)).alias("size_rank")
     )
@@ -228,7 +232,7 @@ def imputed_features(spark, sf):
 
 @query(with_ctes(D.CUSTOMER_META, _feature_sql("cmeta"), SCALED) + f" SELECT company, {FEATURE_SQL} FROM scaled")
 def standardized_features(spark, sf):
-    feats = features.company_features(D.customer_meta(spark, sf))
+    feats = stored_features(D.customer_meta(spark, sf))
     return rounded(features.standardize(feats, S.FEATURE_COLUMNS), *S.FEATURE_COLUMNS)
 
 
@@ -253,7 +257,7 @@ def _supplier_fit(spark, sf):
 
 @query()
 def kmeans_select_k(spark, sf):
-    feats = features.company_features(D.supplier_meta(spark, sf))
+    feats = stored_features(D.supplier_meta(spark, sf))
     scaler = features.fit_scaler(feats, S.FEATURE_COLUMNS)
     chosen = clustering.select_k(feats.select("company", scaler.vector().alias("vector")), "company")
     rows = [(k, s, i, k == chosen.best_k) for k, s, i in chosen.scores]
@@ -283,7 +287,7 @@ def pca_projection(spark, sf):
       ON industry_enc, size_rank, log_employees, year_founded INTO NAME feature VALUE spread)"""
 )
 def centroid_spread(spark, sf):
-    scaled = features.standardize(features.company_features(D.customer_meta(spark, sf)), S.FEATURE_COLUMNS)
+    scaled = features.standardize(stored_features(D.customer_meta(spark, sf)), S.FEATURE_COLUMNS)
     centers = scaled.join(_customer_region(spark, sf), "company").groupBy("cluster")
     centers = centers.agg(*[F.avg(c).alias(c) for c in S.FEATURE_COLUMNS])
     return rounded(clustering.centroid_spread(centers, S.FEATURE_COLUMNS), "spread")
@@ -365,7 +369,7 @@ COLD = """cold AS (
     SELECT company, min_by(cluster, ((zi - ci) ** 2 + (zs - cs) ** 2 + (zl - cl) ** 2 + (zy - cy) ** 2, cluster)) AS cluster FROM z, centers GROUP BY 1"""
 )
 def cold_start_cluster(spark, sf):
-    feats = features.company_features(D.supplier_meta(spark, sf))
+    feats = stored_features(D.supplier_meta(spark, sf))
     scaler = features.fit_scaler(feats, S.FEATURE_COLUMNS)
     scaled = feats.select("company", *[scaler.scaled(c).alias(c) for c in S.FEATURE_COLUMNS])
     centers = scaled.join(D.supplier_region(spark, sf), "company").groupBy("cluster")
@@ -384,7 +388,7 @@ PEERS = """peers AS (
 
 
 def _customer_peers(spark, sf):
-    feats = features.company_features(D.customer_meta(spark, sf))
+    feats = stored_features(D.customer_meta(spark, sf))
     vectors = feats.select("company", features.fit_scaler(feats, S.FEATURE_COLUMNS).vector().alias("vector"))
     labels = _customer_region(spark, sf)
     return peers.nearest_peers(vectors.join(labels, "company")), labels

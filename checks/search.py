@@ -174,6 +174,17 @@ def _found_solutions(spark, sf):
     return search(_solution_index(spark, sf), asked, 2, SearchSpec())
 
 
+@query(
+    with_ctes(D.DOC_PROBLEMS, vectors_sql("pv", "dproblems", "id", "concat(company, ' | ', title, ' | ', topics, ' | ', difficulty)"), vectors_sql("qv", "benchmark", "item_id", "text"))
+    + """ SELECT item_id AS query_id, id, score, rank::INT AS rank FROM (
+      SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, id) AS rank FROM (
+        SELECT item_id, id, round(sum(p.w * q.w), 9) AS score FROM pv p JOIN qv q USING (d) GROUP BY 1, 2)) WHERE rank <= 3"""
+)
+def similar_problems(spark, sf):
+    asked = D.table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), ENCODE(F.col("text")).alias("vector"))
+    return search(encode.problem_index(D.doc_problems(spark, sf), ENCODE), asked, 3, SearchSpec())
+
+
 # --- Waterfall over documents: every nation and difficulty ------------------
 DEDUP = "CASE WHEN coalesce(url, '') <> '' THEN 'u:' || lower(url) ELSE 'i:' || id END"
 
@@ -243,7 +254,7 @@ def waterfall(spark, sf):
         JOIN pv p ON p.id = b.id AND p.d = q.d GROUP BY 1, 2)) WHERE rank <= 5"""
 )
 def expanded_query_topk(spark, sf):
-    index = encode.problem_index(D.doc_problems(spark, sf), ENCODE)
+    index = _stored(encode.problem_index(D.doc_problems(spark, sf), ENCODE))
     requests = index.select("company", "difficulty").distinct()
     requests = requests.withColumn("query_id", F.concat_ws("|", "company", "difficulty"))
     requests = requests.withColumn("text", retrieval.query_text(F.col("company"), F.col("difficulty")))

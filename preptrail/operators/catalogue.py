@@ -34,6 +34,10 @@ def company_keys(problems: DataFrame, order: Column, existing: DataFrame | None
     return existing.select("id", "name").unionByName(added.select("id", "name"))
 
 
+def company_names(problems: DataFrame) -> DataFrame:
+    return problems.select("company").distinct().orderBy("company")
+
+
 def with_company_key(problems: DataFrame, companies: DataFrame) -> DataFrame:
     keys = companies.select(F.col("name").alias("company"), F.col("id").alias("company_id"))
     return problems.join(keys, "company", "left")

@@ -71,6 +71,12 @@ def best_attempt(attempts: DataFrame) -> DataFrame:
     )
 
 
+def pick_prompts(problems: DataFrame, order: list[Column], n: int | None = None) -> DataFrame:
+    """Descriptions to generate candidates for: the first ``n`` in an explicit order, or all."""
+    described = problems.filter(F.col("description") != "").orderBy(*order)
+    return described if n is None else described.limit(n)
+
+
 def preference_pairs(answers: DataFrame) -> DataFrame:
     """Chosen and rejected answer per prompt, from its first two candidates.
 

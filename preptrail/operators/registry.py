@@ -67,9 +67,9 @@ def match_names(names: DataFrame, registry: DataFrame) -> DataFrame:
     """
     keyed_names = names.select("company").distinct().withColumn("key", clean.normalize_company(F.col("company")))
     asked = cut_lineage(keyed_names, "names")
-    rows = normalized_registry(registry)
-    exact = asked.join(rows.select(F.col("norm").alias("key"), "row_no"), "key")
-    exact = exact.select("company", "row_no", F.lit(EXACT).alias("tier"))
+    rows = cut_lineage(normalized_registry(registry), "registry")
+    exact = asked.join(rows.withColumnRenamed("norm", "key"), "key")
+    exact = cut_lineage(exact.select("company", "row_no", F.lit(EXACT).alias("tier")), "exact")
 
     left = asked.join(exact, "company", "left_anti").filter(F.length("key") >= MIN_PREFIX)
     norm, lengths = F.col("norm"), F.col("_lengths")
