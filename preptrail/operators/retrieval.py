@@ -12,15 +12,16 @@ from preptrail.operators.search import SearchSpec, search
 from preptrail.session import cut_lineage
 
 OWN, PEER, GLOBAL = 1, 2, 3
+DETAILS = ("dedup", "found_company", "url", "frequency")
 
 
 def query_text(company: Column, difficulty: Column) -> Column:
     return F.concat_ws(" | ", company, difficulty)
 
 
-def own_top(index: DataFrame, requests: DataFrame) -> DataFrame:
+def own_top(index: DataFrame, requests: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     """Best rows of the requested company and difficulty, filtered before ranking."""
-    return search(index, requests, F.col("n"), SearchSpec(on=("company", "difficulty")))
+    return search(index, requests, F.col("n"), SearchSpec(on=("company", "difficulty"), carry=carry))
 
 
 def peer_top(
@@ -30,6 +31,7 @@ def peer_top(
     labels: DataFrame | None = None,
     peers: DataFrame | None = None,
     distinct: str | None = None,
+    carry: tuple[str, ...] = (),
 ) -> DataFrame:
     """Best rows of the peers of the requested company.
 
@@ -39,13 +41,13 @@ def peer_top(
     if peers is not None:
         named = requests.join(peers.select("company", "peer"), "company")
         named = named.drop("company").withColumnRenamed("peer", "company")
-        return search(index, named, k, SearchSpec(on=("company", "difficulty"), distinct=distinct))
+        return search(index, named, k, SearchSpec(on=("company", "difficulty"), distinct=distinct, carry=carry))
     in_cluster = labels.select("company", "cluster")
     return search(
         index.join(in_cluster, "company"),
         requests.join(in_cluster, "company"),
         k,
-        SearchSpec(on=("cluster", "difficulty"), differ="company", distinct=distinct),
+        SearchSpec(on=("cluster", "difficulty"), differ="company", distinct=distinct, carry=carry),
     )
 
 
@@ -68,8 +70,10 @@ def expanded_requests(requests: DataFrame, found: DataFrame, index: DataFrame, e
     )
 
 
-def global_top(index: DataFrame, requests: DataFrame, k: Column, distinct: str | None = None) -> DataFrame:
-    return search(index, requests, k, SearchSpec(on=("difficulty",), distinct=distinct))
+def global_top(
+    index: DataFrame, requests: DataFrame, k: Column, distinct: str | None = None, carry: tuple[str, ...] = ()
+) -> DataFrame:
+    return search(index, requests, k, SearchSpec(on=("difficulty",), distinct=distinct, carry=carry))
 
 
 def _short(requests: DataFrame, found: DataFrame) -> DataFrame:
@@ -86,7 +90,8 @@ def _fill(short: DataFrame, found: DataFrame, candidates: DataFrame, tier: int,
     return (
         ranked.join(short.select("query_id", (F.col("n") - F.col("have")).alias("open")), "query_id")
         .filter(F.col("rank") <= F.col("open"))
-        .select("query_id", "id", "dedup", "score", F.lit(tier).alias("tier"), "rank")
+        .drop("open")
+        .withColumn("tier", F.lit(tier))
     )
 
 
@@ -107,26 +112,24 @@ def retrieve(
     """
     text = query_text(F.col("company"), F.col("difficulty"))
     asked = cut_lineage(requests.withColumn("text", text).withColumn("vector", encode(text)), "requests")
-    base = index.withColumn("dedup", clean.dedup_key(F.col("url"), F.col("id")))
-    links = base.select("id", "dedup")
+    base = index.withColumns(
+        {"dedup": clean.dedup_key(F.col("url"), F.col("id")), "found_company": F.col("company")}
+    )
     n_max = asked.agg(F.coalesce(F.max("n"), F.lit(0))).first()[0]
 
-    own = own_top(base, asked).join(links, "id")
-    found = cut_lineage(own.select("query_id", "id", "dedup", "score", F.lit(OWN).alias("tier"), "rank"), "own")
+    found = cut_lineage(own_top(base, asked, DETAILS).withColumn("tier", F.lit(OWN)), "own")
     if labels is not None or peers is not None:
         short = _short(asked, found)
-        candidates = peer_top(base, short, F.col("n"), labels, peers, distinct="dedup")
+        candidates = peer_top(base, short, F.col("n"), labels, peers, "dedup", DETAILS)
         found = cut_lineage(found.unionByName(_fill(short, found, candidates, PEER, n_max)), "peer")
     short = _short(asked, found)
     expanded = cut_lineage(expanded_requests(short, found, index, encode), "expanded")
-    candidates = global_top(base, expanded, F.col("n"), distinct="dedup")
+    candidates = global_top(base, expanded, F.col("n"), "dedup", DETAILS)
     found = found.unionByName(_fill(short, found, candidates, GLOBAL, n_max))
 
-    details = index.select("id", F.col("company").alias("found_company"), "url", "frequency")
     per_request = W.partitionBy("query_id").orderBy(F.coalesce("frequency", F.lit(0.0)).desc(), "tier", "rank")
     return (
         found.join(requests.select("query_id", "company", "difficulty"), "query_id")
-        .join(details, "id")
         .withColumn("position", F.row_number().over(per_request))
         .select("query_id", "company", "difficulty", "position", "id", "found_company", "url", "frequency", "tier", "rank", "score")
     )

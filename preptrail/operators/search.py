@@ -31,8 +31,8 @@ class SearchSpec:
     """What is matched, how it is scored and how ties and duplicates are settled.
 
     ``on`` are columns equal on both sides; ``differ`` is a column that must differ (such as the
-    own company); of rows sharing ``distinct`` only the best one per query counts. Scores that
-    agree to ``precision`` digits tie and fall back to the id, so the result does not depend on
+    own company); of rows sharing ``distinct`` only the best one per query counts; ``carry`` are
+    further columns of the found rows, returned without another join. Scores that agree to ``precision`` digits tie and fall back to the id, so the result does not depend on
     the order of floating point sums.
     """
 
@@ -44,11 +44,16 @@ class SearchSpec:
     metric: str = "dot"
     precision: int = 9
     keep_missing: bool = False
+    carry: tuple[str, ...] = ()
 
     def columns(self) -> list[str]:
-        names = [self.id_col, self.vector, *self.on, self.differ, self.distinct]
+        names = [self.id_col, self.vector, *self.on, self.differ, *self.returned()]
         return list(dict.fromkeys(n for n in names if n))
 
+    def returned(self) -> list[str]:
+        """Candidate columns of the result besides id and score."""
+        return list(dict.fromkeys(n for n in (self.distinct, *self.carry) if n))
+
 
 def _matrix(vectors, dim: int) -> np.ndarray:
     out = np.full((len(vectors), dim), np.nan)
@@ -88,14 +93,13 @@ def _pair_scores(q: np.ndarray, c: np.ndarray, spec: SearchSpec) -> np.ndarray:
 def _best(found: pd.DataFrame, limits: np.ndarray, spec: SearchSpec) -> pd.DataFrame:
     found = found.sort_values(["q", "score", "id"], ascending=[True, False, True], kind="stable")
     if spec.distinct:
-        found = found.drop_duplicates(["q", "distinct"])
+        found = found.drop_duplicates(["q", f"c:{spec.distinct}"])
     return found[found.groupby("q").cumcount().to_numpy() < limits[found["q"].to_numpy()]]
 
 
 def _found(q_pos, c_pos, score, cands, spec: SearchSpec) -> pd.DataFrame:
     columns = {"q": q_pos, "score": score, "id": cands["id"][c_pos]}
-    if spec.distinct:
-        columns["distinct"] = cands["distinct"][c_pos]
+    columns.update({f"c:{name}": cands["returned"][name][c_pos] for name in spec.returned()})
     return pd.DataFrame(columns)
 
 
@@ -189,8 +193,7 @@ def _result(best: pd.DataFrame, queries: dict, spec: SearchSpec) -> pd.DataFrame
         spec.id_col: best["id"].to_numpy(),
         "score": best["score"].to_numpy(),
     }
-    if spec.distinct:
-        columns[spec.distinct] = best["distinct"].to_numpy()
+    columns.update({name: best[f"c:{name}"].to_numpy() for name in spec.returned()})
     return pd.DataFrame(columns)
 
 
@@ -200,8 +203,7 @@ def _result_schema(index: DataFrame, queries: DataFrame, spec: SearchSpec) -> T.
         T.StructField(spec.id_col, index.schema[spec.id_col].dataType),
         T.StructField("score", T.DoubleType()),
     ]
-    if spec.distinct:
-        fields.append(T.StructField(spec.distinct, index.schema[spec.distinct].dataType))
+    fields += [T.StructField(name, index.schema[name].dataType) for name in spec.returned()]
     return T.StructType(fields)
 
 
@@ -239,9 +241,9 @@ def _broadcast_search(index: DataFrame, rows: pd.DataFrame, dim: int, spec: Sear
                 "matrix": _arrow_matrix(column[spec.vector], dim),
                 "on": [column[c].to_pandas().to_numpy() for c in spec.on],
             }
-            for role, name in (("differ", spec.differ), ("distinct", spec.distinct)):
-                if name:
-                    cands[role] = column[name].to_pandas().to_numpy()
+            if spec.differ:
+                cands["differ"] = column[spec.differ].to_pandas().to_numpy()
+            cands["returned"] = {name: column[name].to_pandas().to_numpy() for name in spec.returned()}
             found = _search_block(queries, cands, limits, spec)
             pending += found
             n_pending += sum(map(len, found))
@@ -292,7 +294,7 @@ def _grid_search(index: DataFrame, queries: DataFrame, dim: int, spec: SearchSpe
             "matrix": _matrix(block[spec.vector].tolist(), dim),
             "on": [block[c].to_numpy() for c in spec.on],
             "differ": block[spec.differ].to_numpy() if spec.differ else None,
-            "distinct": block[spec.distinct].to_numpy() if spec.distinct else None,
+            "returned": {name: block[name].to_numpy() for name in spec.returned()},
         }
         found = [f for f in _search_block(side, cands, limits, spec) if len(f)]
         if not found:
@@ -305,7 +307,7 @@ def _grid_search(index: DataFrame, queries: DataFrame, dim: int, spec: SearchSpe
 def search(
     index: DataFrame, queries: DataFrame, k: int | Column, spec: SearchSpec, max_broadcast: int = MAX_BROADCAST_QUERIES
 ) -> DataFrame:
-    """Best ``k`` rows of ``index`` for each query: query_id, id, score, rank.
+    """Best ``k`` rows of ``index`` for each query: query_id, id, score, carried columns, rank.
 
     ``queries`` has ``query_id``, the vector and the columns of ``spec.on`` and ``spec.differ``;
     several rows may share a ``query_id`` (one per peer, say). ``k`` may differ per query.
