@@ -13,7 +13,7 @@ from preptrail.session import scratch_path
 from preptrail.sources import readers, writers
 
 DIM = 64
-ENCODE = encode.text_encoder(encode.HashingEncoder(DIM))
+ENCODE = encode.TextEncoder(encode.HashingEncoder(DIM))
 N_RESULTS = 20
 
 # --- Shared SQL: hashed token vectors, kept sparse --------------------------

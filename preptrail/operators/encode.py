@@ -19,9 +19,10 @@ Encoder = Callable[[list[str]], np.ndarray]
 
 
 class HashingEncoder:
-    """Mean of one-hot token buckets; the bucket of a token comes from its MD5 digest.
+    """Sum of one-hot token buckets; the bucket of a token comes from its MD5 digest.
 
-    A stand-in for a trained model: any callable from texts to a matrix can take its place.
+    A stand-in for a trained model: any callable from texts to a matrix of token sums can take its
+    place. Sum and mean give the same unit vector.
     """
 
     def __init__(self, dim: int = 64):
@@ -46,19 +47,42 @@ def normalize_rows(matrix: np.ndarray) -> np.ndarray:
     return (matrix / np.maximum(norms, vectors.MIN_NORM)).astype(np.float32)
 
 
-def text_encoder(encoder: Encoder | None = None, batch: int = ENCODE_BATCH) -> Callable[[Column], Column]:
-    """Column function from whole texts to unit vectors; the encoder is set up once per task."""
-    model = encoder or HashingEncoder()
+class TextEncoder:
+    """Column functions around an encoder, which is set up once per task and gets whole texts.
+
+    Calling it gives unit vectors. ``sums`` gives the encoder's own rows, which add up over the
+    parts of a text, so that a text spread over many rows never has to be put together.
+    """
+
+    def __init__(self, encoder: Encoder | None = None, batch: int = ENCODE_BATCH):
+        self.encoder = encoder or HashingEncoder()
+        self.batch = batch
+
+    def _column(self, finish: Callable[[np.ndarray], np.ndarray], element: T.DataType):
+        model, batch = self.encoder, self.batch
+
+        def encode(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            for texts in parts:
+                rows: list[np.ndarray] = []
+                for start in range(0, len(texts), batch):
+                    rows.extend(finish(model(texts.iloc[start : start + batch].tolist())))
+                yield pd.Series(rows, index=texts.index, dtype=object)
+
+        encode.__annotations__ = {"parts": Iterator[pd.Series], "return": Iterator[pd.Series]}
+        return F.pandas_udf(encode, T.ArrayType(element))
+
+    def __call__(self, text: Column) -> Column:
+        return self._column(normalize_rows, T.FloatType())(text)
+
+    def sums(self, text: Column) -> Column:
+        return self._column(lambda rows: np.asarray(rows, dtype=float), T.DoubleType())(text)
 
-    def encode(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for texts in parts:
-            rows: list[np.ndarray] = []
-            for start in range(0, len(texts), batch):
-                rows.extend(normalize_rows(model(texts.iloc[start : start + batch].tolist())))
-            yield pd.Series(rows, index=texts.index, dtype=object)
 
-    encode.__annotations__ = {"parts": Iterator[pd.Series], "return": Iterator[pd.Series]}
-    return F.pandas_udf(encode, T.ArrayType(T.FloatType()))
+def add_vectors(df: DataFrame, key: str, vector: str) -> DataFrame:
+    """Sum of the vectors per key, added up by dimension on the map side."""
+    by_dim = df.select(key, F.posexplode(vector).alias("_dim", "_x")).groupBy(key, "_dim").agg(F.sum("_x").alias("_x"))
+    in_order = F.array_sort(F.collect_list(F.struct("_dim", "_x")))
+    return by_dim.groupBy(key).agg(F.transform(in_order, lambda c: c["_x"]).alias(vector))
 
 
 def mean_pool(tokens: Column, mask: Column) -> Column:
@@ -81,7 +105,7 @@ def mean_pool_rows(df: DataFrame, keys: list[str], vector: str, mask: Column) ->
     return pooled.select(*keys, mean.alias(vector))
 
 
-def problem_index(problems: DataFrame, encode: Callable[[Column], Column]) -> DataFrame:
+def problem_index(problems: DataFrame, encode: TextEncoder) -> DataFrame:
     """Vector table of problems: id, vector, search metadata and a snippet of the description.
 
     ``problems`` has id, company, title, topics, difficulty, url, frequency and description.
@@ -99,7 +123,7 @@ def problem_index(problems: DataFrame, encode: Callable[[Column], Column]) -> Da
     )
 
 
-def solution_index(solutions: DataFrame, encode: Callable[[Column], Column]) -> DataFrame:
+def solution_index(solutions: DataFrame, encode: TextEncoder) -> DataFrame:
     """Vector table of worked solutions, found by their prompt and returning the completion."""
     return solutions.select(
         F.concat(F.lit("sol_"), F.col("row_no").cast("string")).alias("id"),

@@ -5,7 +5,34 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from preptrail.session import cut_lineage
+
 SALTS = 64
+TASK_ROWS = 200_000
+
+
+def _ranked_by_range(df: DataFrame, keys: list[str], order: list[Column], rank_col: str) -> DataFrame:
+    """Rank within groups of any size: a range sort over keys and order splits a hot group over
+    many tasks, and the rows of earlier ranges are added to the rank inside a range.
+
+    The sorted rows are stored, so the ranges stay the same when a task is run again.
+    """
+    sort = [*[F.col(k) for k in keys], *order]
+    ranges = df.repartitionByRange(*sort).sortWithinPartitions(*sort).withColumn("_range", F.spark_partition_id())
+    ranges = cut_lineage(ranges, "ranked")
+    sizes = ranges.groupBy(*keys, "_range").agg(F.count("*").alias("_size"))
+    earlier = W.partitionBy(*keys).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
+    offsets = sizes.select(*keys, "_range", F.coalesce(F.sum("_size").over(earlier), F.lit(0)).alias("_before"))
+    inside = F.row_number().over(W.partitionBy(*keys, "_range").orderBy(*order))
+    ranked_rows = ranges.join(offsets, [*keys, "_range"]).withColumn(rank_col, (F.col("_before") + inside).cast("int"))
+    return ranked_rows.select(*df.columns, rank_col)
+
+
+def ranked(df: DataFrame, keys: list[str], order: list[Column], rank_col: str, at_most: int) -> DataFrame:
+    """Rank of every row within its keys (not null), for groups of ``at_most`` rows."""
+    if at_most > TASK_ROWS:
+        return _ranked_by_range(df, keys, order, rank_col)
+    return df.withColumn(rank_col, F.row_number().over(W.partitionBy(*keys).orderBy(*order)))
 
 
 def top_n(
@@ -15,8 +42,10 @@ def top_n(
 
     Each group is first cut to ``n`` rows in every one of ``salts`` slices (Spark already drops
     rows beyond ``n`` before either shuffle), so the task that ranks a group sees at most
-    ``n * salts`` of its rows.
+    ``n * salts`` of its rows. Where that is still too much, groups are ranked by ranges.
     """
+    if n * salts > TASK_ROWS:
+        return _ranked_by_range(df, keys, order, rank_col).filter(F.col(rank_col) <= n)
     kept = df
     if salts > 1:
         kept = df.withColumn("_salt", F.pmod(F.xxhash64(*df.columns), F.lit(salts)))

@@ -1,13 +1,11 @@
 """Waterfall retrieval: own problems, then those of peers, then any of the same difficulty."""
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from preptrail.functions import clean
-from preptrail.operators.ranking import top_n
+from preptrail.functions import clean, vectors
+from preptrail.operators.encode import TextEncoder, add_vectors
+from preptrail.operators.ranking import ranked, top_n
 from preptrail.operators.search import SearchSpec, search
 from preptrail.session import cut_lineage
 
@@ -51,23 +49,20 @@ def peer_top(
     )
 
 
-def expanded_requests(requests: DataFrame, found: DataFrame, index: DataFrame, encode: Callable) -> DataFrame:
-    """Requests whose vector also covers the documents found so far, in the order they were found.
+def expanded_requests(requests: DataFrame, found: DataFrame, index: DataFrame, encode: TextEncoder) -> DataFrame:
+    """Requests whose vector also covers the documents found so far.
 
-    At most ``n`` documents of bounded length are joined per request.
+    The vector is that of the request text followed by the documents. Token sums are added per
+    request, so the long text itself is never put together.
     """
-    documents = found.join(index.select("id", "document"), "id").groupBy("query_id").agg(
-        F.transform(
-            F.array_sort(F.collect_list(F.struct("tier", "rank", "document"))), lambda d: d["document"]
-        ).alias("documents")
-    )
-    text = F.array_join(F.concat(F.array("text"), F.coalesce("documents", F.array().cast("array<string>"))), " | ")
-    return (
-        requests.join(documents, "query_id", "left")
-        .withColumn("text", text)
-        .drop("documents")
-        .withColumn("vector", encode(F.col("text")))
+    parts = requests.select("query_id", "text").unionByName(
+        found.join(requests.select("query_id"), "query_id", "left_semi")
+        .join(index.select("id", F.col("document").alias("text")), "id")
+        .select("query_id", "text")
     )
+    total = add_vectors(parts.select("query_id", encode.sums(F.col("text")).alias("vector")), "query_id", "vector")
+    unit = total.select("query_id", vectors.l2_normalize(F.col("vector")).alias("vector"))
+    return requests.drop("vector").join(unit, "query_id")
 
 
 def global_top(
@@ -98,7 +93,7 @@ def _fill(short: DataFrame, found: DataFrame, candidates: DataFrame, tier: int,
 def retrieve(
     index: DataFrame,
     requests: DataFrame,
-    encode: Callable[[Column], Column],
+    encode: TextEncoder,
     labels: DataFrame | None = None,
     peers: DataFrame | None = None,
 ) -> DataFrame:
@@ -127,9 +122,9 @@ def retrieve(
     candidates = global_top(base, expanded, F.col("n"), "dedup", DETAILS)
     found = found.unionByName(_fill(short, found, candidates, GLOBAL, n_max))
 
-    per_request = W.partitionBy("query_id").orderBy(F.coalesce("frequency", F.lit(0.0)).desc(), "tier", "rank")
+    order = [F.coalesce("frequency", F.lit(0.0)).desc(), F.col("tier"), F.col("rank")]
     return (
-        found.join(requests.select("query_id", "company", "difficulty"), "query_id")
-        .withColumn("position", F.row_number().over(per_request))
+        ranked(found, ["query_id"], order, "position", n_max)
+        .join(requests.select("query_id", "company", "difficulty"), "query_id")
         .select("query_id", "company", "difficulty", "position", "id", "found_company", "url", "frequency", "tier", "rank", "score")
     )

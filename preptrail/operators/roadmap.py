@@ -1,14 +1,12 @@
 """Problem roadmaps for many interviews in one job."""
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from preptrail import schemas as S
 from preptrail.functions import clean
-from preptrail.operators.ranking import first_per_key, top_n
+from preptrail.operators.encode import TextEncoder
+from preptrail.operators.ranking import first_per_key, ranked, top_n
 from preptrail.operators.retrieval import retrieve
 from preptrail.session import cut_lineage
 
@@ -57,7 +55,7 @@ def recommend(
     index: DataFrame,
     problems: DataFrame,
     labels: DataFrame,
-    encode: Callable[[Column], Column],
+    encode: TextEncoder,
 ) -> DataFrame:
     """Roadmap of every interview: interview_id, position, problem_id, filled.
 
@@ -73,9 +71,9 @@ def recommend(
     pair = ["company", "difficulty"]
     requests = parts.groupBy(*pair).agg(F.max("n").alias("n")).withColumn("query_id", F.concat_ws("|", *pair))
     found = retrieve(index, requests, encode, labels=labels)
-    in_tiers = W.partitionBy("query_id").orderBy("tier", "rank")
+    longest = counts.agg(F.coalesce(F.max(F.greatest("total", F.col("easy") + F.col("medium") + F.col("hard"))), F.lit(0))).first()[0]
     found = cut_lineage(
-        found.withColumn("pick", F.row_number().over(in_tiers))
+        ranked(found, ["query_id"], [F.col("tier"), F.col("rank")], "pick", longest)
         .withColumn("dedup", clean.dedup_key(F.col("url"), F.col("id")))
         .select(*pair, "pick", "id", "dedup", "frequency"),
         "found",
@@ -86,8 +84,8 @@ def recommend(
         first_links(picked.select("interview_id", "part", "frequency", "pick", "id", "dedup"), ["interview_id"], order),
         "chosen",
     )
-    positions = W.partitionBy("interview_id").orderBy(*order)
-    selected = chosen.select("interview_id", F.row_number().over(positions).alias("position"), "id", F.lit(False).alias("filled"))
+    selected = ranked(chosen, ["interview_id"], order, "position", longest)
+    selected = selected.select("interview_id", "position", "id", F.lit(False).alias("filled"))
 
     have = chosen.groupBy("interview_id").agg(F.count("*").alias("have"))
     short = counts.join(have, "interview_id", "left").withColumn("have", F.coalesce("have", F.lit(0)))
@@ -99,9 +97,8 @@ def recommend(
     lists = cut_lineage(_fill_lists(problems, labels, size), "fill")
     candidates = short.join(lists, "group").filter(F.col("fill_rank") <= F.col("total"))
     fresh = candidates.join(chosen.select("interview_id", "dedup"), ["interview_id", "dedup"], "left_anti")
-    in_list = W.partitionBy("interview_id").orderBy("fill_rank")
     filled = (
-        fresh.withColumn("pos", F.row_number().over(in_list))
+        ranked(fresh, ["interview_id"], [F.col("fill_rank")], "pos", longest)
         .filter(F.col("pos") <= F.col("total") - F.col("have"))
         .select("interview_id", (F.col("have") + F.col("pos")).cast("int").alias("position"), "id", F.lit(True).alias("filled"))
     )

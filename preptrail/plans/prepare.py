@@ -1,12 +1,11 @@
 """Offline build: typed catalogue, distributions, metadata and vector table as stored tables."""
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from preptrail import schemas as S
 from preptrail.operators import catalogue, distributions, encode, registry
+from preptrail.operators.encode import TextEncoder
 from preptrail.sources import readers, writers
 
 
@@ -33,9 +32,9 @@ def append_company_meta(spark: SparkSession, found: DataFrame, path: str) -> Non
     writers.append_csv(registry.new_company_meta(found, known), path)
 
 
-def store_problem_vectors(problems: DataFrame, encoder: Callable[[Column], Column], path: str) -> None:
+def store_problem_vectors(problems: DataFrame, encoder: TextEncoder, path: str) -> None:
     writers.upsert_vectors(encode.problem_index(problems, encoder), path, F.col("title"))
 
 
-def store_solution_vectors(solutions: DataFrame, encoder: Callable[[Column], Column], path: str) -> None:
+def store_solution_vectors(solutions: DataFrame, encoder: TextEncoder, path: str) -> None:
     writers.rebuild_vectors(encode.solution_index(solutions, encoder), path)

@@ -1,9 +1,8 @@
 """From requested interviews to stored roadmaps."""
 
-from collections.abc import Callable
-
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 
+from preptrail.operators.encode import TextEncoder
 from preptrail.operators.roadmap import recommend
 from preptrail.plans.predictor import Predictor
 
@@ -13,7 +12,7 @@ def interview_roadmaps(
     predictor: Predictor,
     index: DataFrame,
     problems: DataFrame,
-    encode: Callable[[Column], Column],
+    encode: TextEncoder,
 ) -> DataFrame:
     """Roadmaps of many interviews (interview_id, company, days_until) in one plan."""
     counts = predictor.predict(interviews.select("interview_id", "company", "days_until"))

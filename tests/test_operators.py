@@ -5,8 +5,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from preptrail import schemas as S
-from preptrail.operators import catalogue, clustering, curation, curves, distributions, encode, features, peers, registry, retrieval, roadmap, search, tracks
-from preptrail.operators.ranking import first_per_key, numbered, top_n
+from preptrail.operators import catalogue, clustering, curation, curves, distributions, encode, features, peers, ranking, registry, retrieval, roadmap, search, tracks
+from preptrail.operators.ranking import first_per_key, numbered, ranked, top_n
 
 
 def rows(df, *order):
@@ -22,6 +22,16 @@ def test_ranking_helpers(spark):
     assert rows(numbered(df.select("k").distinct(), [F.col("k")], "n", start=5)) == [("cold", 5), ("hot", 6)]
 
 
+def test_large_groups_are_ranked_by_ranges(spark, monkeypatch):
+    data = [("hot", (i * 37) % 1000, i) for i in range(1000)] + [("cold", 5, 5000)]
+    df = spark.createDataFrame(data, "k string, v int, i int").repartition(5)
+    order = [F.col("v").desc(), F.col("i")]
+    few = rows(top_n(df, ["k"], order, 40)), rows(ranked(df, ["k"], order, "r", 1000))
+    monkeypatch.setattr(ranking, "TASK_ROWS", 10)
+    many = rows(top_n(df, ["k"], order, 40)), rows(ranked(df, ["k"], order, "r", 1000))
+    assert many == few and len(many[0]) == 41 and len(many[1]) == 1001
+
+
 def test_difficulty_distribution_skips_null_keys(spark):
     data = [
         ("A", 30, "EASY", "x"), ("A", 30, "EASY", None), ("A", 30, "HARD", "y"), ("A", None, "EASY", "x"), (None, 30, "EASY", "x"),
@@ -308,10 +318,10 @@ def test_mean_pool_by_hand(spark):
 
 def test_encoder_shapes_and_replacement(spark):
     df = spark.createDataFrame([("a b b",), ("",), (None,)], "t string")
-    unit = [r[0] for r in df.select(encode.text_encoder(encode.HashingEncoder(16))(F.col("t"))).collect()]
+    unit = [r[0] for r in df.select(encode.TextEncoder(encode.HashingEncoder(16))(F.col("t"))).collect()]
     assert [len(v) for v in unit] == [16, 16, 16]
     assert np.linalg.norm(unit[0]) == pytest.approx(1.0, abs=1e-6) and sum(unit[1]) == 0
-    fixed = encode.text_encoder(lambda texts: np.array([[3.0, 4.0]] * len(texts)))
+    fixed = encode.TextEncoder(lambda texts: np.array([[3.0, 4.0]] * len(texts)))
     assert df.select(fixed(F.col("t"))).first()[0] == pytest.approx([0.6, 0.8])
 
 
@@ -321,7 +331,7 @@ def _index(spark, data):
     return spark.createDataFrame([(*d, [float(100 - d[0]), 0.0]) for d in data], schema)
 
 
-ONES = staticmethod(lambda c: F.array(F.lit(1.0), F.lit(0.0)).cast("array<float>")).__func__
+ONES = encode.TextEncoder(lambda texts: np.array([[1.0, 0.0]] * len(texts)))
 
 
 def test_waterfall_tiers_and_link_rules(spark):
@@ -342,12 +352,14 @@ def test_waterfall_tiers_and_link_rules(spark):
     assert {(r.id, r.tier) for r in alone.collect()} == {(1, 1), (2, 1), (4, 3), (8, 3), (9, 3)}
 
 
-def test_expanded_text_lists_documents_in_found_order(spark):
-    index = _index(spark, [(1, "A", "EASY", "u1", 1.0, "d1"), (2, "B", "EASY", "u2", 5.0, "d2")])
-    asked = spark.createDataFrame([("q", "A | EASY"), ("r", "B | EASY")], "query_id string, text string")
-    found = spark.createDataFrame([("q", 2, 1, 1), ("q", 1, 2, 1)], "query_id string, id int, tier int, rank int")
-    out = retrieval.expanded_requests(asked, found, index, ONES)
-    assert sorted(r.text for r in out.collect()) == ["A | EASY | d2 | d1", "B | EASY"]
+def test_expanded_vector_covers_request_and_documents(spark):
+    encoder = encode.TextEncoder(encode.HashingEncoder(32))
+    index = spark.createDataFrame([(1, "red red blue"), (2, "green")], "id int, document string")
+    asked = spark.createDataFrame([("q", "A | EASY"), ("r", "B | EASY")], "query_id string, text string").withColumn("vector", encoder(F.col("text")))
+    found = spark.createDataFrame([("q", 2, 1, 1), ("q", 1, 2, 1), ("other", 1, 1, 1)], "query_id string, id int, tier int, rank int")
+    got = {r.query_id: r.vector for r in retrieval.expanded_requests(asked, found, index, encoder).collect()}
+    whole = spark.createDataFrame([("A | EASY | green | red red blue",), ("B | EASY",)], "t string").select(encoder(F.col("t"))).collect()
+    assert got == {"q": whole[0][0], "r": whole[1][0]}
 
 
 def test_recommend_dedups_links_and_fills_by_frequency(spark):

@@ -74,7 +74,7 @@ def test_roadmaps_end_to_end(spark, fitted):
         [(i, f"c{i % 24:02}", levels[i % 3], f"title {i}", "t", f"u{i % 90}", float(i % 17), "d") for i in range(240)],
         "id long, company string, difficulty string, title string, topics string, url string, frequency double, description string",
     )
-    encoder = encode.text_encoder(encode.HashingEncoder(16))
+    encoder = encode.TextEncoder(encode.HashingEncoder(16))
     index = encode.problem_index(problems, encoder)
     asked = spark.createDataFrame([(1, "c00", 90), (2, "c05", 360), (3, "new", 30)], "interview_id long, company string, days_until int")
     roads = roadmaps.interview_roadmaps(asked, fitted, index, problems, encoder)

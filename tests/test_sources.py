@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from preptrail import schemas as S
 from preptrail.plans import prepare
-from preptrail.operators.encode import HashingEncoder, text_encoder
+from preptrail.operators.encode import HashingEncoder, TextEncoder
 from preptrail.session import cut_lineage, scratch_dir
 from preptrail.sources import readers, writers
 from preptrail.streaming.toggles import latest_progress, progress_stream
@@ -89,7 +89,7 @@ def test_offline_build(spark, tmp_path):
     assert {(r.company, r.company_id) for r in problems.collect()} == {("A", 1), ("B", 2)}
     prepare.store_distributions(feed, str(tmp_path / "dist"))
     assert readers.read_distributions(spark, str(tmp_path / "dist")).count() == 2
-    encoder = text_encoder(HashingEncoder(8))
+    encoder = TextEncoder(HashingEncoder(8))
     prepare.store_problem_vectors(problems.withColumn("id", F.xxhash64("title")), encoder, str(tmp_path / "vectors"))
     assert readers.read_table(spark, str(tmp_path / "vectors")).count() == 2
     (tmp_path / "train.jsonl").write_text('{"prompt": "p", "completion": "c"}\n')
