@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from checks import domain as D
 from checks.base import query, rounded, sql_r6, with_ctes
-from checks.search import DIM, _found_solutions, vectors_sql
+from checks.search import _found_solutions, vectors_sql
 from preptrail.functions import code
 from preptrail.operators import curation
 from preptrail.plans import reports

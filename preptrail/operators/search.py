@@ -32,8 +32,9 @@ class SearchSpec:
 
     ``on`` are columns equal on both sides; ``differ`` is a column that must differ (such as the
     own company); of rows sharing ``distinct`` only the best one per query counts; ``carry`` are
-    further columns of the found rows, returned without another join. Scores that agree to ``precision`` digits tie and fall back to the id, so the result does not depend on
-    the order of floating point sums.
+    further columns of the found rows, returned without another join. Scores that agree to
+    ``precision`` digits tie and fall back to the id, so the result does not depend on the order
+    of floating point sums.
     """
 
     id_col: str = "id"
