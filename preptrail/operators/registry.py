@@ -33,18 +33,15 @@ def asked_lengths(names: DataFrame, key: str) -> Column:
     return names.agg(F.array_sort(F.collect_set(F.length(key)))).scalar()
 
 
-def prefixes(text: Column, lengths: Column) -> Column:
-    fitting = F.filter(lengths, lambda n: n <= F.length(text))
-    return F.transform(fitting, lambda n: F.substr(text, F.lit(1), n))
+def with_substrings(rows: DataFrame, text: str, lengths: Column) -> DataFrame:
+    """One row per substring of the asked lengths, as ``key`` with its ``start`` (from 1).
 
-
-def substrings(text: Column, lengths: Column) -> Column:
-    fitting = F.filter(lengths, lambda n: n <= F.length(text))
-    slices = F.transform(
-        fitting,
-        lambda n: F.transform(F.sequence(F.lit(1), F.length(text) - n + 1), lambda i: F.substr(text, i, n)),
-    )
-    return F.array_distinct(F.flatten(slices))
+    Two generators and a substring stay inside generated code, up to the join that drops the
+    substrings nobody asked for.
+    """
+    sized = rows.withColumn("_n", F.explode(lengths)).filter(F.col("_n") <= F.length(text))
+    placed = sized.withColumn("start", F.explode(F.sequence(F.lit(1), F.length(text) - F.col("_n") + 1)))
+    return placed.withColumn("key", F.substr(F.col(text), F.col("start"), F.col("_n"))).drop("_n")
 
 
 def _only_asked(keys: DataFrame, names: DataFrame) -> DataFrame:
@@ -72,14 +69,10 @@ def match_names(names: DataFrame, registry: DataFrame) -> DataFrame:
     exact = cut_lineage(exact.select("company", "row_no", F.lit(EXACT).alias("tier")), "exact")
 
     left = asked.join(exact, "company", "left_anti").filter(F.length("key") >= MIN_PREFIX)
-    norm, lengths = F.col("norm"), F.col("_lengths")
-    starts = F.transform(prefixes(norm, lengths), lambda s: F.struct(s.alias("key"), F.lit(PREFIX).alias("tier")))
-    parts = F.transform(
-        substrings(norm, F.filter(lengths, lambda n: n >= MIN_CONTAINED)),
-        lambda s: F.struct(s.alias("key"), F.lit(CONTAINED).alias("tier")),
-    )
-    sized = rows.select("row_no", "norm").withColumn("_lengths", asked_lengths(left, "key"))
-    keyed = sized.select("row_no", F.explode(F.concat(starts, parts)).alias("k")).select("k.*", "row_no")
+    parts = with_substrings(rows, "norm", asked_lengths(left, "key"))
+    parts = parts.filter((F.col("start") == 1) | (F.length("key") >= MIN_CONTAINED))
+    tier = F.when(F.col("start") == 1, PREFIX).otherwise(CONTAINED)
+    keyed = parts.select("key", tier.alias("tier"), "row_no")
     first = _only_asked(keyed, left).groupBy("key").agg(F.min(F.struct("tier", "row_no")).alias("best"))
     loose = left.join(first, "key").select("company", "best.row_no", "best.tier")
 
@@ -109,15 +102,16 @@ def lookup_names(queries: DataFrame, registry: DataFrame, first_n: int | None =
     asked = queries.select("company").distinct().withColumn("key", F.lower(clean.strip_space(F.col("company"))))
     asked = cut_lineage(asked.filter(F.col("key") != ""), "names")
     named = registry.filter(F.col("name").isNotNull())
-    keyed = named.withColumn("_lengths", asked_lengths(asked, "key")).select(
+    rows = named.select(
         "row_no",
         F.length("name").alias("size"),
         F.lower(clean.strip_space(F.col("name"))).alias("whole"),
-        F.explode(substrings(F.lower("name"), F.col("_lengths"))).alias("key"),
+        F.lower("name").alias("lowered"),
     )
+    keyed = with_substrings(rows, "lowered", asked_lengths(asked, "key")).select("key", "row_no", "size", "whole")
     keyed = _only_asked(keyed, asked)
     if first_n is not None:
-        keyed = top_n(keyed, ["key"], [F.col("row_no")], first_n)
+        keyed = top_n(keyed.distinct(), ["key"], [F.col("row_no")], first_n)
     inexact = F.when(F.col("whole") == F.col("key"), 0).otherwise(1)
     size = F.when(inexact == 1, F.col("size")).otherwise(0)
     best = keyed.groupBy("key").agg(F.min(F.struct(inexact.alias("inexact"), size.alias("size"), "row_no")).alias("best"))
