@@ -207,10 +207,9 @@ def description_join(spark, sf):
     FROM lineitem JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey"""
 )
 def search_text(spark, sf):
-    named = D.table(spark, sf, "supplier").filter("s_name <> 'Supplier#000000003'")
     items = D.table(spark, sf, "lineitem").join(D.table(spark, sf, "part"), F.col("l_partkey") == F.col("p_partkey"))
-    items = items.join(named, F.col("l_suppkey") == F.col("s_suppkey"), "left")
-    text = clean.search_text(F.col("s_name"), F.col("p_name"), F.expr("nullif(p_type, 'PROMO')"), F.expr(D.DIFFICULTY))
+    items = items.join(D.table(spark, sf, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
+    text = clean.search_text(F.expr("nullif(s_name, 'Supplier#000000003')"), F.col("p_name"), F.expr("nullif(p_type, 'PROMO')"), F.expr(D.DIFFICULTY))
     return items.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", text.alias("text"))
 
 

@@ -41,10 +41,10 @@ def l2_normalize(spark, sf):
 
 @query(
     f"""SELECT label, i::INT AS dim, {sql_r6('sum(x * m) / greatest(sum(m), 1e-9)')} AS w
-    FROM (SELECT label, unnest(range(len(embedding))) AS i, unnest(embedding)::DOUBLE AS x, (vec_id % 3 > 0)::INT AS m FROM embeddings) GROUP BY 1, 2"""
+    FROM (SELECT label, unnest(range(len(embedding))) AS i, unnest(embedding)::DOUBLE AS x, (embedding[1] > 0)::INT AS m FROM embeddings) GROUP BY 1, 2"""
 )
 def mean_pool(spark, sf):
-    mask = (F.col("vec_id") % 3 > 0).cast("int")
+    mask = (F.col("embedding")[0] > 0).cast("int")
     pooled = encode.mean_pool_rows(D.table(spark, sf, "embeddings"), ["label"], "embedding", mask)
     return pooled.select("label", F.posexplode("embedding").alias("dim", "x")).select("label", "dim", r6("x").alias("w"))
 

@@ -320,12 +320,13 @@ def search(
     vectors = index.filter(present).select(*spec.columns())
     schema = _result_schema(index, queries, spec)
 
-    rows = asked.limit(max_broadcast + 1).toPandas()
-    if not len(rows):
+    first = asked.filter(F.col(spec.vector).isNotNull()).select(F.size(spec.vector)).first()
+    if first is None and asked.isEmpty():
         return index.sparkSession.createDataFrame([], schema).withColumn("rank", F.lit(0))
-    dims = [len(v) for v in rows[spec.vector] if v is not None]
-    dim = dims[0] if dims else index.select(F.max(F.size(spec.vector))).first()[0]
-    if len(rows) <= max_broadcast and len(rows) * dim <= MAX_BROADCAST_VALUES:
+    dim = first[0] if first else index.select(F.max(F.size(spec.vector))).first()[0]
+    fitting = min(max_broadcast, MAX_BROADCAST_VALUES // dim)
+    rows = asked.limit(fitting + 1).toPandas()
+    if len(rows) <= fitting:
         partial = _broadcast_search(vectors, rows, dim, spec, schema)
         k_max = int(rows["k"].max())
     else:
