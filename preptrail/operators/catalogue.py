@@ -44,7 +44,7 @@ def with_company_key(problems: DataFrame, companies: DataFrame) -> DataFrame:
 
 
 def companies_with_problems(companies: DataFrame, problems: DataFrame) -> DataFrame:
-    return companies.join(problems.select(F.col("company_id").alias("id")), "id", "left_semi")
+    return companies.join(problems.select(F.col("company_id").alias("id")).distinct(), "id", "left_semi")
 
 
 def fetched_bodies(enriched: DataFrame) -> DataFrame:

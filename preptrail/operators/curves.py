@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from preptrail import schemas as S
 from preptrail.functions import clean, pchip, vectors
 from preptrail.functions.clean import clamp
+from preptrail.operators.features import medians
 
 SERIES = {"prop": "proportion", "easy": "easy_pct", "medium": "medium_pct", "hard": "hard_pct"}
 GRID_POINTS = 300
@@ -156,7 +157,7 @@ def encode_cold_start(meta: DataFrame, columns: list[str], features: DataFrame |
     )
     median = F.lit(0.0)
     if features is not None:
-        median = features.agg(F.percentile("industry_enc", F.lit(0.5))).scalar()
+        median = F.lit(medians(features, ["industry_enc"])["industry_enc"])
     out = meta
     if industries is not None:
         key = F.lower(clean.strip_space(F.coalesce("industry", F.lit("unknown"))))

@@ -20,10 +20,11 @@ def progress_from_toggles(toggles: DataFrame) -> DataFrame:
 
 def toggle(roadmaps: DataFrame, interviews: DataFrame, toggles: DataFrame) -> DataFrame:
     """Roadmap rows after a log of (user_id, roadmap_id) toggles; only the owner's toggles count."""
-    owned = toggles.join(roadmaps.select(F.col("id").alias("roadmap_id"), "interview_id"), "roadmap_id").join(
+    counted = toggles.groupBy("user_id", "roadmap_id").agg(F.count("*").alias("_n"))
+    owned = counted.join(roadmaps.select(F.col("id").alias("roadmap_id"), "interview_id"), "roadmap_id").join(
         interviews.select(F.col("id").alias("interview_id"), "user_id"), ["interview_id", "user_id"], "left_semi"
     )
-    flips = owned.groupBy(F.col("roadmap_id").alias("id")).agg((F.count("*") % 2 == 1).alias("_flip"))
+    flips = owned.groupBy(F.col("roadmap_id").alias("id")).agg((F.sum("_n") % 2 == 1).alias("_flip"))
     flipped = F.col("is_completed") != F.coalesce("_flip", F.lit(False))
     return roadmaps.join(flips, "id", "left").withColumn("is_completed", flipped).drop("_flip").select(*roadmaps.columns)
 

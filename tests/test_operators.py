@@ -63,6 +63,15 @@ def test_company_features(spark):
     assert codes["B"] == pytest.approx(2 * 1 / np.std([0, 1, 2]))
 
 
+@pytest.mark.parametrize("data", [[1.0], [3.0, 1.0], [5.0, 1.0, None, 2.0], list(range(40)), [2.0] * 31 + [9.0] * 30])
+def test_exact_medians_without_a_single_task(spark, monkeypatch, data):
+    df = spark.createDataFrame([(None if v is None else float(v), 1.0) for v in data], "a double, b double")
+    want = float(np.median([v for v in data if v is not None]))
+    assert features.medians(df, ["a", "b"]) == {"a": want, "b": 1.0}
+    monkeypatch.setattr(ranking, "TASK_ROWS", 0)
+    assert features.medians(df, ["a", "b"]) == {"a": want, "b": 1.0}
+
+
 def _silhouette(points, labels):
     out = []
     for i, p in enumerate(points):
