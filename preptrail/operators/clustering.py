@@ -17,19 +17,26 @@ from preptrail.functions.clean import clamp
 from preptrail.operators.ranking import top_n
 from preptrail.session import cut_lineage
 
-FITS_IN_FLIGHT = 8
+FITS_IN_FLIGHT = 16
 MAX_ITERATIONS = 300
 TOLERANCE = 1e-4
 SILHOUETTE_BLOCK_ROWS = 2048
+POINTS_PER_TASK = 100_000
 
 
-def _best_fit(points: DataFrame, k: int, restarts: int, pool: ThreadPoolExecutor) -> KMeansModel:
-    def fit(seed: int) -> KMeansModel:
+def _best_fits(points: DataFrame, ks: range, restarts: int) -> dict[int, KMeansModel]:
+    """Lowest-cost model per k; all fits are independent jobs that share the cluster."""
+
+    def fit(setting: tuple[int, int]) -> KMeansModel:
+        k, seed = setting
         kmeans = KMeans(k=k, seed=seed, maxIter=MAX_ITERATIONS, tol=TOLERANCE, featuresCol="features")
         return kmeans.fit(points)
 
-    seeds = [S.KMEANS_SEED + i for i in range(restarts)]
-    return min(pool.map(fit, seeds), key=lambda model: model.summary.trainingCost)
+    settings = [(k, S.KMEANS_SEED + i) for k in ks for i in range(restarts)]
+    with ThreadPoolExecutor(FITS_IN_FLIGHT) as pool:
+        models = list(pool.map(fit, settings))
+    by_k = {k: [m for (fitted_k, _), m in zip(settings, models) if fitted_k == k] for k in ks}
+    return {k: min(fits, key=lambda m: m.summary.trainingCost) for k, fits in by_k.items()}
 
 
 @dataclass
@@ -47,12 +54,12 @@ def select_k(vectors: DataFrame, id_col: str, restarts: int = S.KMEANS_RESTARTS)
     table, so several run at once.
     """
     points = cut_lineage(vectors.select(id_col, "vector"), "points")
-    points = points.withColumn("features", array_to_vector(F.col("vector").cast("array<double>"))).persist()
     n = points.count()
+    points = points.coalesce(-(-n // POINTS_PER_TASK) or 1)
+    points = points.withColumn("features", array_to_vector(F.col("vector").cast("array<double>"))).persist()
     ks = range(S.K_MIN, S.K_MAX + 1) if n >= S.K_MAX else range(S.K_MIN, max(3, n))
     try:
-        with ThreadPoolExecutor(FITS_IN_FLIGHT) as pool:
-            models = {k: _best_fit(points, k, restarts, pool) for k in ks}
+        models = _best_fits(points, ks, restarts)
         labelled = points
         for k, model in models.items():
             labelled = model.setPredictionCol(f"k{k}").transform(labelled)
