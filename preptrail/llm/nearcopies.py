@@ -21,9 +21,9 @@ PERCENT = 80
 PERMUTATIONS = 64
 BAND_BYTES = 16
 BANDS = PERMUTATIONS * 8 // BAND_BYTES
-#: A pair at 0.8 agrees in fewer than 0.6 of the 128 values less than once in 10**7 cases.
-LIKELY = 0.6
-BLOCK = 1024
+#: A pair at 0.8 agrees in fewer than 0.64 of the 128 values in about 4 of 10**6 cases.
+LIKELY = 0.64
+BLOCK = 512
 #: Ids that are sent to every task; more of them are joined by a shuffle.
 BROADCAST_IDS = 1 << 20
 SIGNED = pa.schema(
@@ -126,26 +126,26 @@ def bands(signed: DataFrame) -> DataFrame:
     return signed.select("node", F.explode(parts).alias("key"))
 
 
-def confirmed(pairs: DataFrame, documents: DataFrame, width: int, percent: int) -> DataFrame:
+def reaches(one: np.ndarray, two: np.ndarray, percent: int) -> bool:
+    """Whether two ascending sets share at least ``percent`` of their union."""
+    if 100 * min(len(one), len(two)) < percent * max(len(one), len(two)):
+        return False
+    both = np.concatenate((one, two))
+    both.sort()
+    common = int((both[1:] == both[:-1]).sum())
+    return 100 * common >= percent * (len(both) - common)
+
+
+def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs ``a, b`` whose full sets reach the similarity."""
-    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    sets = cut_lineage(full_sets(documents, nodes, width), "sets")
     left = sets.select(F.col("node").alias("a"), F.col("members").alias("x"))
     right = sets.select(F.col("node").alias("b"), F.col("members").alias("y"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             a, b, x, y = batch.columns
-            keep = np.zeros(len(a), dtype=bool)
-            for i in range(len(a)):
-                one, two = np.frombuffer(x[i].as_buffer(), "<u8"), np.frombuffer(y[i].as_buffer(), "<u8")
-                if 100 * min(len(one), len(two)) < percent * max(len(one), len(two)):
-                    continue
-                both = np.concatenate((one, two))
-                both.sort()
-                common = int((both[1:] == both[:-1]).sum())
-                keep[i] = 100 * common >= percent * (len(both) - common)
-            mask = pa.array(keep)
+            ones, twos = ([np.frombuffer(v.as_buffer(), "<u8") for v in column] for column in (x, y))
+            mask = pa.array([reaches(one, two, percent) for one, two in zip(ones, twos, strict=True)], pa.bool_())
             yield pa.RecordBatch.from_arrays([a.filter(mask), b.filter(mask)], names=["a", "b"])
 
     return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
@@ -157,43 +157,45 @@ def star_pairs(banded: DataFrame) -> DataFrame:
     return banded.join(stars.select("key", "b"), "key").filter("node <> b").select(F.col("node").alias("a"), "b").distinct()
 
 
-def rest_pairs(signed: DataFrame, found: DataFrame, percent: int) -> DataFrame:
-    """Likely pairs that share a bucket and are not yet in one component.
+def rest_links(heads: DataFrame, sets: DataFrame, pairs: DataFrame, found: DataFrame, percent: int) -> DataFrame:
+    """Links between nodes that buckets connect and that ``found`` has in different components.
 
-    A bucket is cut in blocks of about ``BLOCK`` nodes; two blocks at a time meet in a task, which
-    compares signatures and gives only pairs that are likely to reach the similarity.
+    Nodes that buckets connect, directly or over others, are a heap. A heap with several components is
+    cut in blocks of about ``BLOCK`` nodes; two blocks at a time meet in a task, which compares
+    signatures and then full sets, and gives the links alone.
     """
-    named = signed.select("node", "n_shingles", "signature").join(found, "node", "left")
-    named = named.withColumn("component", F.coalesce("component", "node"))
-    banded = bands(named.select("node", "signature")).join(named.select("node", "component"), "node")
-    open_keys = (
-        banded.groupBy("key")
+    heaps = components(pairs).select("node", F.col("component").alias("heap"))
+    named = cut_lineage(heaps.join(found, "node", "left").withColumn("component", F.coalesce("component", "node")), "heaps")
+    open_heaps = (
+        named.groupBy("heap")
         .agg(F.min("component").alias("_low"), F.max("component").alias("_high"), F.count("*").alias("n"))
         .filter("_low < _high")
-        .select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+        .select("heap", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
     )
-    members = banded.select("key", "node").join(open_keys, "key").withColumn("own", F.pmod(F.xxhash64("node"), "blocks"))
+    members = named.join(open_heaps, "heap").withColumn("own", F.pmod(F.xxhash64("node"), "blocks"))
+    members = members.join(heads, "node").join(sets, "node")
     met = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    met = met.select("node", "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own")
-    rows = met.join(named, "node").select("key", "i", "j", "own", "node", "component", "n_shingles", "signature")
+    met = met.select(
+        "heap", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"),
+        "own", "node", "component", "signature", "members",
+    )
 
     def run(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        node, component, size = (group[c].to_numpy() for c in ("node", "component", "n_shingles"))
+        node, component, own = (group[c].to_numpy() for c in ("node", "component", "own"))
         values = np.frombuffer(b"".join(group["signature"]), "<u4").reshape(len(group), -1)
-        own = group["own"].to_numpy()
-        pairs = []
+        full = [np.frombuffer(m, "<u8") for m in group["members"]]
+        links = []
         for r in range(len(group)):
             # In two different blocks only the pairs between them; within one block each pair once.
             ok = (node > node[r]) & (component != component[r])
             if key[1] != key[2]:
                 ok &= own != own[r]
-            ok &= 100 * np.minimum(size, size[r]) >= percent * np.maximum(size, size[r])
             at = np.flatnonzero(ok)
             at = at[(values[at] == values[r]).mean(axis=1) >= LIKELY]
-            pairs.append(np.column_stack((node[at], np.full(len(at), node[r]))))
-        return pd.DataFrame(np.concatenate(pairs), columns=["a", "b"])
+            links += [(node[i], node[r]) for i in at.tolist() if reaches(full[i], full[r], percent)]
+        return pd.DataFrame(links, columns=["a", "b"], dtype="int64")
 
-    return rows.groupBy("key", "i", "j").applyInPandas(run, "a long, b long").distinct()
+    return met.groupBy("heap", "i", "j").applyInPandas(run, "a long, b long")
 
 
 def near_copies(documents: DataFrame, width: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -204,8 +206,8 @@ def near_copies(documents: DataFrame, width: int = SHINGLE, percent: int = PERCE
 
     Equal sets are one class, known by its smallest doc_id. A signature keeps the minimum and the
     maximum under each permutation. In every band bucket all members are first checked against the
-    smallest one; only buckets that then still hold several components are compared block by block, and
-    only the pairs with like signatures are checked. Every link is confirmed on full sets.
+    smallest one; what buckets connect and these links do not is then compared block by block, where
+    signatures are alike. Every link is confirmed on full sets; pairs that are none are never rows.
 
     A null or empty text has no shingles and no link. Rows with a null doc_id are not compared: their
     component is null. A repeated doc_id is one node, linked by any of its texts. An empty table gives
@@ -217,12 +219,12 @@ def near_copies(documents: DataFrame, width: int = SHINGLE, percent: int = PERCE
     classes = known.groupBy("digest").agg(F.min("doc_id").alias("node"))
     heads = known.join(classes, (known["doc_id"] == classes["node"]) & (known["digest"] == classes["digest"]), "left_semi")
     heads = cut_lineage(heads.select(F.col("doc_id").alias("node"), "n_shingles", "signature").distinct(), "heads")
-    links = confirmed(star_pairs(bands(heads)), texts, width, percent)
-    links = cut_lineage(links, "links")
-    found = components(links)
-    rest = cut_lineage(rest_pairs(heads, found, percent), "rest")
-    if not rest.isEmpty():
-        links = links.union(confirmed(rest, texts, width, percent))
+    pairs = cut_lineage(star_pairs(bands(heads)), "pairs")
+    nodes = cut_lineage(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "nodes")
+    sets = cut_lineage(full_sets(texts, nodes, width), "sets")
+    links = cut_lineage(confirmed(pairs, sets, percent), "links")
+    rest = cut_lineage(rest_links(heads, sets, pairs, components(links), percent), "rest")
+    links = links.union(rest)
     # A doc_id with several texts links their classes.
     members = known.join(classes, "digest").select(F.col("doc_id").alias("a"), F.col("node").alias("b")).filter("a <> b")
     found = components(links.union(members))
