@@ -105,11 +105,12 @@ def preference_prompts(spark, sf):
 
 
 PAIRS = """pairs AS (
-  SELECT a.doc_id AS prompt_id, a.text AS prompt, CASE WHEN first THEN a.answer ELSE b.answer END AS chosen, CASE WHEN first THEN b.answer ELSE a.answer END AS rejected
-  FROM answers a JOIN answers b ON a.doc_id = b.doc_id AND a.candidate = 1 AND b.candidate = 2,
-    LATERAL (SELECT (a.compiled AND NOT b.compiled) OR (a.compiled AND b.compiled AND length(a.code) < length(b.code)) AS first,
-      (b.compiled AND NOT a.compiled) OR (a.compiled AND b.compiled AND length(b.code) < length(a.code)) AS second) x
-  WHERE (first OR second) AND a.text <> '')"""
+  SELECT doc_id AS prompt_id, text AS prompt, shortest AS chosen, CASE WHEN n_failed > 0 THEN failed ELSE longest END AS rejected
+  FROM (SELECT doc_id, text, first(answer ORDER BY length(code), candidate) FILTER (compiled) AS shortest, min(length(code)) FILTER (compiled) AS least,
+      first(answer ORDER BY length(code) DESC, candidate) FILTER (compiled) AS longest, max(length(code)) FILTER (compiled) AS most,
+      first(answer ORDER BY candidate) FILTER (NOT compiled) AS failed, count(*) FILTER (NOT compiled) AS n_failed, count(*) FILTER (compiled) AS n_compiled
+    FROM answers WHERE text <> '' GROUP BY 1, 2)
+  WHERE n_compiled > 0 AND (n_failed > 0 OR most > least))"""
 
 
 def _pairs(spark, sf):

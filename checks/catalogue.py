@@ -13,7 +13,7 @@ from preptrail.sources import readers, writers
 FEED = """feed AS (
   SELECT id, concat(' ', company, chr(9)) AS company, concat(title, chr(10)) AS title, difficulty, concat(url, ' ') AS link,
     CASE WHEN preparation_days = 30 THEN '  ' ELSE topics END AS topics,
-    CASE WHEN frequency > 45 THEN '' WHEN frequency > 40 THEN 'often' WHEN frequency > 35 THEN '0' ELSE CAST(CAST(frequency AS INT) AS VARCHAR(8)) END AS frequency,
+    CASE WHEN frequency > 45 THEN '' WHEN frequency > 40 THEN 'often' WHEN frequency > 35 THEN '0' WHEN frequency > 34 THEN '1d' WHEN frequency > 33 THEN '0x1p3' WHEN frequency > 32 THEN 'inf' ELSE CAST(CAST(frequency AS INT) AS VARCHAR(8)) END AS frequency,
     CASE WHEN acceptance_rate = 0 THEN NULL ELSE '0.5' END AS acceptance_rate,
     CASE WHEN difficulty = 'EASY' THEN ' ' ELSE CAST(preparation_days AS VARCHAR(8)) END AS preparation_days,
     CASE WHEN difficulty = 'HARD' THEN concat(chr(10), title, ' ') WHEN difficulty = 'EASY' THEN '' END AS body
@@ -28,7 +28,7 @@ def feed(spark, sf):
         "difficulty",
         "concat(url, ' ') AS link",
         "CASE WHEN preparation_days = 30 THEN '  ' ELSE topics END AS topics",
-        "CASE WHEN frequency > 45 THEN '' WHEN frequency > 40 THEN 'often' WHEN frequency > 35 THEN '0' "
+        "CASE WHEN frequency > 45 THEN '' WHEN frequency > 40 THEN 'often' WHEN frequency > 35 THEN '0' WHEN frequency > 34 THEN '1d' WHEN frequency > 33 THEN '0x1p3' WHEN frequency > 32 THEN 'inf' "
         "ELSE CAST(CAST(frequency AS INT) AS STRING) END AS frequency",
         "CASE WHEN acceptance_rate = 0 THEN NULL ELSE '0.5' END AS acceptance_rate",
         "CASE WHEN difficulty = 'EASY' THEN ' ' ELSE CAST(preparation_days AS STRING) END AS preparation_days",
@@ -39,7 +39,7 @@ def feed(spark, sf):
 TYPED = r"""typed AS (
   SELECT id, regexp_replace(company, '^\s+|\s+$', '', 'g') AS company, regexp_replace(title, '^\s+|\s+$', '', 'g') AS title, difficulty,
     nullif(regexp_replace(body, '^\s+|\s+$', '', 'g'), '') AS description, trim(link) AS url, nullif(trim(topics), '') AS topics,
-    try_cast(acceptance_rate AS DOUBLE) AS acceptance_rate, try_cast(nullif(trim(frequency), '') AS DOUBLE) AS frequency,
+    try_cast(acceptance_rate AS DOUBLE) AS acceptance_rate, CASE WHEN regexp_full_match(trim(frequency), '[0-9.]+') THEN try_cast(trim(frequency) AS DOUBLE) END AS frequency,
     try_cast(nullif(trim(preparation_days), '') AS INT) AS preparation_days
   FROM feed)"""
 
@@ -64,7 +64,7 @@ NO_ID = "company, title, difficulty, description, url, topics, acceptance_rate,
 def csv_feed_roundtrip(spark, sf):
     path = scratch_path(spark, "feed-csv")
     writers.write_csv(feed(spark, sf).drop("id"), path)
-    stored = readers.read_problem_csv(spark, path, multiline=True)
+    stored = readers.read_problem_feed(spark, f"{path}-enriched", path)
     typed = catalogue.typed_problems(stored)
     return typed.groupBy(*NO_ID.split(", ")).agg(F.count("*").alias("n"))
 

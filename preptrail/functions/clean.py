@@ -136,10 +136,14 @@ def size_rank(size_range: Column) -> Column:
     return F.coalesce(F.try_element_at(ranks, size_range), F.lit(S.UNKNOWN_SIZE_RANK)).cast("double")
 
 
+PLAIN_NUMBER = r"^\s*[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?\s*$"
+
+
 def number(c: Column) -> Column:
-    """Number or null, never an error, whatever the text holds."""
-    value = c.try_cast("double")
-    return F.when(~F.isnan(value), value)
+    """Plain decimal number or null, never an error, whatever the text holds. Suffixes and hexadecimal
+    forms are no numbers; neither is an infinity, which would spoil means."""
+    text = c.cast("string")
+    return F.when(text.rlike(PLAIN_NUMBER), text.try_cast("double"))
 
 
 def log_employees(count: Column) -> Column:

@@ -9,7 +9,6 @@ from preptrail.functions.clean import strip_space
 # --- Fixed values -----------------------------------------------------------
 SOLVED_SCORE = 0.8
 FAILURE_SCORE = 0.4
-MAX_ATTEMPTS = 3
 JUDGE_ERROR_SCORE = 1.0
 LEAK_LINE_CHARS = 15
 SYSTEM_TURN = -1
@@ -45,13 +44,14 @@ def compile_rate(checked: DataFrame) -> DataFrame:
     )
 
 
-def best_attempt(attempts: DataFrame) -> DataFrame:
+def best_attempt(attempts: DataFrame, at_most: int | None = None) -> DataFrame:
     """Solution used per problem: the first good attempt, else the best one, earliest on a tie.
 
-    ``attempts`` is (problem_id, attempt, solution, score). One aggregate with a few fixed-size
-    states per problem, however many attempts were logged.
+    ``attempts`` is (problem_id, attempt, solution, score). All attempts count, or the first ``at_most``
+    of each problem. One aggregate with a few fixed-size states per problem, however many attempts
+    were logged.
     """
-    tried = attempts.filter(F.col("attempt") <= MAX_ATTEMPTS)
+    tried = attempts if at_most is None else attempts.filter(F.col("attempt") <= at_most)
     good = F.col("score") >= SOLVED_SCORE
     scored_above_floor = F.col("score") > -1
     best = tried.groupBy("problem_id").agg(
@@ -78,27 +78,29 @@ def pick_prompts(problems: DataFrame, order: list[Column], n: int | None = None)
 
 
 def preference_pairs(answers: DataFrame) -> DataFrame:
-    """Chosen and rejected answer per prompt, from its first two candidates.
+    """Chosen and rejected answer per prompt, from all its candidates.
 
-    ``answers`` is (prompt_id, candidate, prompt, answer). The answer that compiles wins; if both
-    do, the shorter code wins; otherwise there is no pair.
+    ``answers`` is (prompt_id, candidate, prompt, answer). Chosen is the shortest code that compiles.
+    Rejected is the first answer that does not compile; if all do, the longest one, if it is longer
+    than the chosen one. Ties go to the earlier candidate; otherwise there is no pair. One aggregate
+    with fixed-size states per prompt, however many candidates it has.
     """
-    asked = answers.filter((F.col("prompt") != "") & F.col("candidate").isin(1, 2))
+    asked = answers.filter(F.col("prompt") != "")
     checked = scored(asked).withColumn("size", F.length(code.extract_code(F.col("answer"))))
-
-    def nth(i: int) -> Column:
-        return F.max(F.when(F.col("candidate") == i, F.struct("compiled", "size", "answer")))
-
-    pairs = checked.groupBy("prompt_id").agg(F.max("prompt").alias("prompt"), nth(1).alias("a"), nth(2).alias("b"))
-    a, b = F.col("a"), F.col("b")
-    both = a["compiled"] & b["compiled"]
-    first = (a["compiled"] & ~b["compiled"]) | (both & (a["size"] < b["size"]))
-    second = (b["compiled"] & ~a["compiled"]) | (both & (b["size"] < a["size"]))
-    return pairs.filter(first | second).select(
+    row = F.struct("size", "answer")
+    best = checked.groupBy("prompt_id").agg(
+        F.max("prompt").alias("prompt"),
+        F.min_by(row, F.when(F.col("compiled"), F.struct("size", "candidate"))).alias("shortest"),
+        F.max_by(row, F.when(F.col("compiled"), F.struct(F.col("size"), -F.col("candidate")))).alias("longest"),
+        F.min_by(row, F.when(~F.col("compiled"), F.col("candidate"))).alias("failed"),
+    )
+    shortest, longest, failed = F.col("shortest"), F.col("longest"), F.col("failed")
+    paired = best.filter(shortest.isNotNull() & (failed.isNotNull() | (longest["size"] > shortest["size"])))
+    return paired.select(
         "prompt_id",
         "prompt",
-        F.when(first, a["answer"]).otherwise(b["answer"]).alias("chosen"),
-        F.when(first, b["answer"]).otherwise(a["answer"]).alias("rejected"),
+        shortest["answer"].alias("chosen"),
+        F.when(failed.isNotNull(), failed["answer"]).otherwise(longest["answer"]).alias("rejected"),
     )
 
 

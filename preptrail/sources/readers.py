@@ -36,11 +36,11 @@ def _as_feed(df: DataFrame) -> DataFrame:
 
 
 def read_problem_feed(spark: SparkSession, enriched: str, plain: str) -> DataFrame | None:
-    """Enriched JSON lines if they exist, else the CSV feed, else nothing."""
+    """Enriched JSON lines if they exist, else the CSV feed (bodies may hold line breaks), else nothing."""
     if path_exists(spark, enriched):
         return read_problem_jsonl(spark, enriched)
     if path_exists(spark, plain):
-        return read_problem_csv(spark, plain)
+        return read_problem_csv(spark, plain, multiline=True)
     log.warning("neither %s nor %s exists", enriched, plain)
     return None
 

@@ -408,7 +408,10 @@ def test_gate_pairs_and_attempts(spark):
         "problem_id int, attempt int, solution string, score double",
     )
     best = [(r.problem_id, r.solution, r.score, r.reached_target) for r in curation.best_attempt(attempts).orderBy("problem_id").collect()]
-    assert best == [(1, "b", 0.9, True), (2, "b", 0.5, False), (3, "", -1.0, False), (4, "a", 0.1, False)]
+    assert best == [(1, "b", 0.9, True), (2, "b", 0.5, False), (3, "", -1.0, False), (4, "late", 0.9, True)]
+    assert curation.best_attempt(attempts, at_most=3).filter("problem_id = 4").first()["solution"] == "a"
+    many = spark.createDataFrame([(9, 3, "p", "def ("), (9, 4, "p", "x = 1")], "prompt_id int, candidate int, prompt string, answer string")
+    assert [(r.chosen, r.rejected) for r in curation.preference_pairs(many).collect()] == [("x = 1", "def (")]
     gate = spark.createDataFrame([(True, 0.7), (True, None), (False, 0.9)], "c boolean, j double")
     assert [r[0] for r in gate.select(curation.gated_score(F.col("c"), F.col("j"))).collect()] == [0.7, 1.0, 0.0]
 
