@@ -4,6 +4,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from preptrail.llm import twins
 from preptrail.llm.ann import nearest_neighbours
 from preptrail.llm.base import query, table
 from preptrail.llm.bpe import encode_and_decode
@@ -75,7 +76,7 @@ def op3_quartile_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints(table(spark, sf_dir, "documents"))
 
 
-@query()
+@query(twins.REMOVED)
 def op4_count_min_prefilter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), carry=["doc_id"], with_text=False)
 
@@ -90,27 +91,13 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_and_decode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
 
 
-@query()
+@query(twins.NEAR_COPIES)
 def op7_min_max_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_copies(table(spark, sf_dir, "documents"), width=4)
     return found.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
-@query("""
-WITH sized AS (
-  SELECT doc_id, coalesce(strlen(text), 0) + 8 AS size, text
-  FROM documents
-), placed AS (
-  SELECT *, sum(size) OVER (ORDER BY doc_id ROWS UNBOUNDED PRECEDING) - size AS before, sum(size) OVER () AS total
-  FROM sized
-), sharded AS (
-  SELECT doc_id, size, text, least(23, ((2 * before + size) * 24) // (2 * total)) AS shard
-  FROM placed
-)
-SELECT doc_id, size::BIGINT AS size, shard::INTEGER AS shard, 'bytes' AS law,
-       row_number() OVER (PARTITION BY shard ORDER BY doc_id) - 1 AS slot, NULL::INTEGER AS grown_shard
-FROM sharded
-""")
+@query(twins.SHARDS)
 def op8_byte_prefix_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents").select(
         "doc_id",

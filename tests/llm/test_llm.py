@@ -12,7 +12,7 @@ import tiktoken
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from preptrail.llm import ann, bpe, digest, extract, fixity, nearcopies, packing, quality, queries, repeats, shards, tokens
+from preptrail.llm import ann, base, bpe, digest, extract, fixity, nearcopies, packing, quality, queries, repeats, shards, tokens
 from preptrail.llm.components import components
 from preptrail.llm.words import spans
 
@@ -329,3 +329,15 @@ def test_pipeline_stages(spark, tmp_path):
     pieces = corpus_pipeline.run(spark, str(tmp_path)).collect()
     pieces_hold(pieces, [(d, r.text) for d, r in cleaned.items()], 1024)
     assert {p.doc_id for p in pieces} == set(cleaned)
+
+
+@pytest.mark.parametrize("name", ["op4_count_min_prefilter", "op7_min_max_hashing", "op8_byte_prefix_shards"])
+def test_sql_twins(docs, spark, tmp_path, name):
+    import duckdb
+
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    got = base.QUERIES[name](spark, str(tmp_path))
+    database = duckdb.connect()
+    database.execute(f"CREATE VIEW documents AS FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    wanted = database.execute(f"SELECT {', '.join(got.columns)} FROM ({base.ORACLES[name]}) ORDER BY doc_id").fetchall()
+    assert [tuple(r) for r in got.orderBy("doc_id").collect()] == wanted
