@@ -6,6 +6,7 @@ from checks import domain as D
 from checks.base import query, with_ctes
 from preptrail.functions import clean
 from preptrail.operators import catalogue
+from preptrail.plans.prepare import append_company_meta
 from preptrail.session import scratch_path
 from preptrail.sources import readers, writers
 
@@ -69,6 +70,56 @@ def csv_feed_roundtrip(spark, sf):
     return typed.groupBy(*NO_ID.split(", ")).agg(F.count("*").alias("n"))
 
 
+@query(with_ctes(D.PROBLEMS, FEED, TYPED) + f" SELECT {NO_ID}, count(*) AS n FROM typed GROUP BY ALL")
+def enriched_feed_preferred(spark, sf):
+    """Both feeds are there; the enriched one is read."""
+    enriched, plain = scratch_path(spark, "feed-enriched"), scratch_path(spark, "feed-plain")
+    writers.write_jsonl(feed(spark, sf).drop("id"), enriched)
+    writers.write_csv(feed(spark, sf).drop("id").withColumn("title", F.lit("plain")), plain)
+    typed = catalogue.typed_problems(readers.read_problem_feed(spark, enriched, plain))
+    return typed.groupBy(*NO_ID.split(", ")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT s_suppkey AS id, s_name AS name, true AS loaded, false AS loaded_again FROM supplier")
+def table_loaded_once(spark, sf):
+    """A second load of another table leaves the first one as it is."""
+    path = scratch_path(spark, "companies")
+    loaded = writers.load_table(D.track_companies(spark, sf), path)
+    others = D.table(spark, sf, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"))
+    again = writers.load_table(others, path)
+    return readers.read_table(spark, path).withColumns({"loaded": F.lit(loaded), "loaded_again": F.lit(again)})
+
+
+@query(
+    with_ctes(D.SUPPLIER_META, D.CUSTOMER_META)
+    + " SELECT *, 1 AS n FROM meta UNION ALL SELECT *, 1 FROM cmeta WHERE company NOT IN (SELECT company FROM meta)"
+)
+def company_meta_appended(spark, sf):
+    """Suppliers first (no table is there yet), then customers and the suppliers once more."""
+    path = scratch_path(spark, "company-meta")
+    suppliers = D.supplier_meta(spark, sf)
+    append_company_meta(spark, suppliers, path)
+    append_company_meta(spark, D.customer_meta(spark, sf).unionByName(suppliers), path)
+    stored = readers.read_company_meta(spark, path)
+    return stored.groupBy(*stored.columns).agg(F.count("*").cast("int").alias("n"))
+
+
+@query(
+    """SELECT vec_id AS id, CASE WHEN vec_id % 3 = 0 THEN 'new' ELSE 'old' END AS title, CASE WHEN vec_id % 3 = 0 THEN 2 ELSE 1 END * embedding[1]::DOUBLE AS first
+    FROM embeddings UNION ALL SELECT -1 - vec_id, 'new', 2 * embedding[1]::DOUBLE FROM embeddings WHERE vec_id % 3 <> 0"""
+)
+def vectors_upserted(spark, sf):
+    """New rows for a third of the stored ids and under ids that were not there, each new row twice."""
+    path = scratch_path(spark, "vectors")
+    stored = D.table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.lit("old").alias("title"), F.col("embedding").alias("vector"))
+    writers.rebuild_vectors(stored, path)
+    target = F.when(F.col("id") % 3 == 0, F.col("id")).otherwise(-1 - F.col("id"))
+    doubled = F.transform("vector", lambda x: (x * 2).cast("float"))
+    new = stored.select(target.alias("id"), F.lit("new").alias("title"), doubled.alias("vector"))
+    writers.upsert_vectors(new.unionByName(new.withColumn("title", F.lit("newer"))), path, F.col("title"))
+    return readers.read_table(spark, path).select("id", "title", F.col("vector")[0].cast("double").alias("first"))
+
+
 @query(
     with_ctes(D.PROBLEMS, "dist AS (SELECT company, preparation_days AS days_until, count(*) FILTER (difficulty = 'EASY') AS easycount, "
               "count(*) FILTER (difficulty = 'HARD') AS hardcount, count(*) FILTER (difficulty = 'MEDIUM') AS mediumcount FROM problems GROUP BY 1, 2)")
@@ -139,7 +190,8 @@ def _text_sql(html: str) -> str:
     out = rf"regexp_replace({html}, '(?is)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>|<[!?][^>]*>', '<x>', 'g')"
     out = rf"regexp_replace({out}, '(?is)<sup\b[^>]*>\s*([^<]*?)\s*</sup>', '<x>^\1<x>', 'g')"
     out = rf"regexp_replace({out}, '(?is)<sub\b[^>]*>\s*([^<]*?)\s*</sub>', '<x>_\1<x>', 'g')"
-    out = rf"regexp_replace({out}, '(<[a-zA-Z/][^>]*>)+', chr(10), 'g')"
+    tag = r"""<[a-zA-Z/][^>=]*(=\s*("[^"]*"|''[^'']*'')?[^>=]*)*>"""
+    out = rf"regexp_replace({out}, '({tag})+', chr(10), 'g')"
     for entity, char in (("&copy;?", "©"), ("&middot;?", "·"), ("&quot;?", '"'), ("&amp;?", "&")):
         out = f"regexp_replace({out}, '{entity}', '{char}', 'g')"
     out = rf"regexp_replace({out}, '\n+([\^_])', '\1', 'g')"
@@ -148,12 +200,13 @@ def _text_sql(html: str) -> str:
     return rf"regexp_replace({out}, '^\s+|\s+$', '', 'g')"
 
 
-MARKED = "concat(html, '<p>1 &lt; n <= 10<sup class=\"e\"> 5 </sup> and a<sub>i</sub><br> ok</p>')"
+TAIL = '<p>1 &lt; n <= 10<sup class="e"> 5 </sup> and a<sub>i</sub><br> ok</p><p title="2>1" id = x>end</p>'
+MARKED = f"concat(html, '{TAIL}')"
 
 
 @query(f"SELECT page_id, regexp_replace({_text_sql(MARKED)}, '&lt;', '<', 'g') AS body FROM pages")
 def html_to_text(spark, sf):
-    marked = F.concat("html", F.lit('<p>1 &lt; n <= 10<sup class="e"> 5 </sup> and a<sub>i</sub><br> ok</p>'))
+    marked = F.concat("html", F.lit(TAIL))
     return D.spread_table(spark, sf, "pages").select("page_id", clean.html_to_text(marked).alias("body"))
 
 

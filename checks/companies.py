@@ -269,11 +269,41 @@ def fit_predictor(spark, sf):
     return _supplier_fit(spark, sf).labels
 
 
-@query()
+def _axis_sql(n: int, matrix: str) -> str:
+    """CTEs for the leading axis of a covariance: squaring the matrix again and again leaves only that axis."""
+    return f"""power{n} AS (
+  SELECT 0 AS step, i, j, v / (SELECT sum(v) FROM {matrix} WHERE i = j) AS v FROM {matrix}
+  UNION ALL
+  SELECT step + 1, i, j, v / sum(CASE WHEN i = j THEN v END) OVER () FROM (
+    SELECT a.step, a.i, b.j, sum(a.v * b.v) AS v FROM power{n} a JOIN power{n} b ON a.j = b.i WHERE a.step < 36 GROUP BY 1, 2, 3)),
+column{n} AS (SELECT i, v FROM power{n} WHERE step = 36 AND j = (SELECT arg_max(i, v) FROM power{n} WHERE step = 36 AND i = j)),
+axis{n} AS (SELECT i, v / sqrt((SELECT sum(v * v) FROM column{n})) * sign((SELECT arg_max(v, abs(v)) FROM column{n})) AS v FROM column{n}),
+size{n} AS (SELECT sum(a.v * m.v * b.v) AS s FROM axis{n} a JOIN {matrix} m USING (i) JOIN axis{n} b ON b.i = m.j)"""
+
+
+PCA_SQL = f"""WITH RECURSIVE cells AS (
+  SELECT vec_id, label, unnest(range(len(embedding))) AS i, unnest(embedding)::DOUBLE AS x FROM embeddings),
+means AS (SELECT i, avg(x) AS m FROM cells GROUP BY 1),
+centred AS (SELECT vec_id, i, x - m AS x FROM cells JOIN means USING (i)),
+cov AS (SELECT a.i, b.i AS j, avg(a.x * b.x) AS v FROM centred a JOIN centred b USING (vec_id) GROUP BY 1, 2),
+{_axis_sql(1, 'cov')},
+rest AS (SELECT c.i, c.j, c.v - (SELECT s FROM size1) * a.v * b.v AS v FROM cov c JOIN axis1 a ON a.i = c.i JOIN axis1 b ON b.i = c.j),
+{_axis_sql(2, 'rest')},
+shown AS (
+  SELECT 'point' AS kind, vec_id::VARCHAR AS name, i, x FROM centred UNION ALL
+  SELECT 'centroid', (dense_rank() OVER (ORDER BY label) - 1)::VARCHAR, i, x - m FROM (SELECT label, i, avg(x) AS x FROM cells GROUP BY 1, 2) JOIN means USING (i)),
+total AS (SELECT sum(v) AS t FROM cov WHERE i = j)
+SELECT kind, name, {sql_r6('sum(x * p.v)')} AS pc1, {sql_r6('sum(x * q.v)')} AS pc2,
+  {sql_r6('any_value(size1.s / t)')} AS explained1, {sql_r6('any_value(size2.s / t)')} AS explained2
+FROM shown JOIN axis1 p USING (i) JOIN axis2 q USING (i), size1, size2, total GROUP BY 1, 2"""
+
+
+@query(PCA_SQL)
 def pca_projection(spark, sf):
     points = D.table(spark, sf, "embeddings").withColumnRenamed("embedding", "vector")
     centers = points.groupBy("label").agg(F.array(*[F.avg(F.col("vector")[i]) for i in range(64)]).alias("c"))
-    return clustering.pca_projection(points, "vec_id", [r["c"] for r in centers.orderBy("label").collect()])
+    found = clustering.pca_projection(points, "vec_id", [r["c"] for r in centers.orderBy("label").collect()])
+    return rounded(found, "pc1", "pc2", "explained1", "explained2")
 
 
 @query(
@@ -391,7 +421,7 @@ def _customer_peers(spark, sf):
     feats = stored_features(D.customer_meta(spark, sf))
     vectors = feats.select("company", features.fit_scaler(feats, S.FEATURE_COLUMNS).vector().alias("vector"))
     labels = _customer_region(spark, sf)
-    return peers.nearest_peers(vectors.join(labels, "company")), labels
+    return peers.nearest_peers(vectors.join(labels, "company"), k=S.PEER_CAP), labels
 
 
 @query(
@@ -402,6 +432,19 @@ def nearest_peers(spark, sf):
     return _customer_peers(spark, sf)[0]
 
 
+@query(
+    with_ctes(D.CUSTOMER_META, _feature_sql("cmeta"), SCALED, CUSTOMER_MEMBERS, PEERS.replace("JOIN members y", "JOIN customer ON x.company = c_name AND c_custkey % 50 = 0 JOIN members y").replace(" WHERE rank <= 50", ""))
+    + " SELECT company, peer, dist AS distance, rank::INT AS rank FROM peers"
+)
+def all_peers(spark, sf):
+    """Every peer of every fiftieth customer, closest first."""
+    feats = stored_features(D.customer_meta(spark, sf))
+    vectors = feats.select("company", features.fit_scaler(feats, S.FEATURE_COLUMNS).vector().alias("vector"))
+    members = cut_lineage(vectors.join(_customer_region(spark, sf), "company"), "members")
+    asked = D.table(spark, sf, "customer").filter("c_custkey % 50 = 0").select(F.col("c_name").alias("company"))
+    return peers.nearest_peers(members, members.join(asked, "company", "left_semi"))
+
+
 @query(
     with_ctes(D.CUSTOMER_META, _feature_sql("cmeta"), SCALED, CUSTOMER_MEMBERS, PEERS)
     + " SELECT company, c_custkey AS peer_id, rank::INT AS rank FROM peers JOIN customer ON peer = c_name"
@@ -536,6 +579,52 @@ def report_cold_start(spark, sf):
     return reports.valid_predictions(curves.predict_counts(unknown, labels, fits, distributions.max_totals(base)))
 
 
+# --- Companies known to the registry only: looked up, placed, predicted -------
+FOUND_META = f"cmeta AS ({_lookup_sql('')})"
+PLACED = """centers AS (
+  SELECT cluster, avg(industry_enc) AS ci, avg(size_rank) AS cs, avg(log_employees) AS cl, avg(year_founded) AS cy FROM scaled JOIN regions USING (company) GROUP BY 1),
+z AS (SELECT company, (industry_enc - mi) / si * 2 AS zi, (size_rank - ms) / ss AS zs, (log_employees - ml) / sl AS zl, (year_founded - my) / sy AS zy FROM cold, stats),
+clusters AS (
+  SELECT company, cluster FROM known UNION ALL
+  SELECT company, min_by(cluster, ((zi - ci) ** 2 + (zs - cs) ** 2 + (zl - cl) ** 2 + (zy - cy) ** 2, cluster)) FROM z, centers GROUP BY 1)"""
+COLD_START = (
+    *BASE, CURVES, ALL_LABELS.replace("clusters AS", "known AS"), D.SUPPLIER_META, D.REGISTRY, D.REGISTRY_QUERIES, FOUND_META,
+    _feature_sql("meta"), SCALED, COLD, PLACED, "requests AS (SELECT company, unnest([30, 90, 180, 360]) AS days_until FROM wanted)", predicted("requests"),
+)
+
+
+def _cold_start(spark, sf):
+    """Counts for names that only the registry knows, by the predictor's own way, from fixed centres."""
+    base, fits, labels = fitted(spark, sf)
+    feats = stored_features(D.supplier_meta(spark, sf))
+    scaler = features.fit_scaler(feats, S.FEATURE_COLUMNS)
+    regions = D.supplier_region(spark, sf)
+    scaled = feats.select("company", *[scaler.scaled(c).alias(c) for c in S.FEATURE_COLUMNS]).join(regions, "company")
+    centers = scaled.groupBy("cluster").agg(F.array(*[F.avg(c) for c in S.FEATURE_COLUMNS]).alias("center"))
+    centers = [r["center"] for r in centers.orderBy("cluster").collect()]  # one per region
+    vectors = feats.select("company", scaler.vector().alias("vector"))
+    model = predictor.Predictor(
+        base, feats, scaler, clustering.KSelection(len(centers), regions, centers, []), fits, labels,
+        labels.join(vectors, "company", "left"), distributions.max_totals(base),
+    )
+    requests = reports.horizon_requests(D.registry_queries(spark, sf), S.HORIZONS)
+    return predictor.resolve_unknown(model, requests, D.registry(spark, sf)).predict(requests)
+
+
+@query(with_ctes(*COLD_START) + " SELECT company, days_until, cluster, easy, medium, hard FROM counts")
+def cold_start_counts(spark, sf):
+    return _cold_start(spark, sf).select("company", "days_until", "cluster", "easy", "medium", "hard")
+
+
+@query(
+    with_ctes(*COLD_START)
+    + """ SELECT company, days_until, easy, medium, hard, total, least(easy, medium, hard) >= 0 AND total > 0 AS positive,
+      least(easy, medium, hard) >= 0 AND total > 0 AND easy + medium + hard = total AS passed FROM counts"""
+)
+def report_cold_start_found(spark, sf):
+    return reports.valid_predictions(_cold_start(spark, sf))
+
+
 @query(
     with_ctes(D.CUSTOMER_META, _feature_sql("cmeta"), SCALED, CUSTOMER_MEMBERS, PEERS)
     + """ SELECT p.company, a.cluster, count(*) AS n_peers, count(*) FILTER (a.cluster <> b.cluster) AS n_mismatched, bool_and(a.cluster = b.cluster) AS passed

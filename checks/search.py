@@ -9,7 +9,7 @@ from preptrail.functions import vectors
 from preptrail.operators import encode, retrieval, roadmap
 from preptrail.operators.search import SearchSpec, search
 from preptrail.plans import reports
-from preptrail.session import scratch_path
+from preptrail.session import cut_lineage, scratch_path
 from preptrail.sources import readers, writers
 
 DIM = 64
@@ -64,7 +64,7 @@ DOC_TEXT = "concat(company, ' | ', title, ' | ', topics, ' | ', difficulty)"
 
 @query(
     with_ctes(D.DOC_PROBLEMS, vectors_sql("v", "dproblems", "id", DOC_TEXT))
-    + f""" SELECT p.id, company, difficulty, coalesce(frequency, 0) AS frequency, url, substring(description, 1, 1000) AS document,
+    + f""" SELECT p.id, company, difficulty, coalesce(frequency, 0) AS frequency, url, description AS document,
       {sql_r6('sum(w)')} AS vector_sum, {sql_r6('sum(w * (d + 1))')} AS vector_moment
     FROM dproblems p JOIN v USING (id) GROUP BY ALL"""
 )
@@ -169,9 +169,13 @@ def _solution_index(spark, sf):
     return encode.solution_index(docs, ENCODE)
 
 
-def _found_solutions(spark, sf):
+def _asked_items(spark, sf):
     asked = D.table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), ENCODE(F.col("text")).alias("vector"))
-    return search(_solution_index(spark, sf), asked, 2, SearchSpec())
+    return cut_lineage(asked, "queries")
+
+
+def _found_solutions(spark, sf):
+    return search(_solution_index(spark, sf), _asked_items(spark, sf), 2, SearchSpec())
 
 
 @query(
@@ -181,8 +185,7 @@ def _found_solutions(spark, sf):
         SELECT item_id, id, round(sum(p.w * q.w), 9) AS score FROM pv p JOIN qv q USING (d) GROUP BY 1, 2)) WHERE rank <= 3"""
 )
 def similar_problems(spark, sf):
-    asked = D.table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), ENCODE(F.col("text")).alias("vector"))
-    return search(encode.problem_index(D.doc_problems(spark, sf), ENCODE), asked, 3, SearchSpec())
+    return search(encode.problem_index(D.doc_problems(spark, sf), ENCODE), _asked_items(spark, sf), 3, SearchSpec())
 
 
 # --- Waterfall over documents: every nation and difficulty ------------------
@@ -223,7 +226,7 @@ ranked AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY frequency DESC
 
 
 DOC_REQUESTS = f"dreq AS (SELECT DISTINCT company, difficulty, {N_RESULTS} AS n FROM (SELECT company FROM dregions) a, (SELECT difficulty FROM dproblems) b)"
-WATERFALL = (D.DOC_PROBLEMS, D.NATION_REGION, DOC_REQUESTS, waterfall_sql("dproblems", "dregions", "dreq", DOC_TEXT, "substring(description, 1, 1000)"))
+WATERFALL = (D.DOC_PROBLEMS, D.NATION_REGION, DOC_REQUESTS, waterfall_sql("dproblems", "dregions", "dreq", DOC_TEXT, "description"))
 
 
 def _waterfall(spark, sf):
@@ -246,7 +249,7 @@ def waterfall(spark, sf):
 
 @query(
     with_ctes(D.DOC_PROBLEMS, D.NATION_REGION, "dreq AS (SELECT DISTINCT company, difficulty FROM dproblems)",
-              "seed AS (SELECT company || '|' || difficulty AS qid, company || ' | ' || difficulty || ' | ' || string_agg(substring(description, 1, 1000), ' | ' ORDER BY id) AS t FROM dproblems GROUP BY company, difficulty)",
+              "seed AS (SELECT company || '|' || difficulty AS qid, company || ' | ' || difficulty || ' | ' || string_agg(description, ' | ' ORDER BY id) AS t FROM dproblems GROUP BY company, difficulty)",
               vectors_sql("xv", "seed", "qid", "t"), vectors_sql("pv", "dproblems", "id", DOC_TEXT))
     + f""" SELECT qid AS query_id, id, score, rank::INT AS rank FROM (
       SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM (
@@ -345,11 +348,41 @@ def report_hit_rate(spark, sf):
     return rounded(reports.source_shares(_waterfall(spark, sf), D.nation_region(spark, sf)), "cluster_percent")
 
 
-@query(with_ctes(*WATERFALL) + " SELECT count(*) AS total, count(*) AS correct, 100::DOUBLE AS accuracy, true AS passed FROM ranked JOIN dproblems p USING (id) WHERE p.difficulty = ranked.difficulty")
+def _accuracy_sql(difficulty: str) -> str:
+    right = f"count(*) FILTER (upper({difficulty}) = ranked.difficulty)"
+    share = sql_r6(f"100.0::DOUBLE * {right} / count(*)")
+    return f" SELECT count(*) AS total, {right} AS correct, {share} AS accuracy, {right} = count(*) AS passed FROM ranked JOIN dproblems p USING (id)"
+
+
+RELABELLED = "CASE WHEN id % 7 = 0 THEN 'Hard' ELSE lower(difficulty) END"
+
+
+@query(with_ctes(*WATERFALL) + _accuracy_sql("p.difficulty"))
 def report_difficulty_accuracy(spark, sf):
-    return reports.difficulty_accuracy(_waterfall(spark, sf), D.doc_problems(spark, sf).select("id", "difficulty"))
+    return rounded(reports.difficulty_accuracy(_waterfall(spark, sf), D.doc_problems(spark, sf).select("id", "difficulty")), "accuracy")
+
+
+@query(with_ctes(*WATERFALL) + _accuracy_sql(RELABELLED.replace("difficulty", "p.difficulty")))
+def report_difficulty_accuracy_relabelled(spark, sf):
+    """A seventh of the catalogue has another difficulty than the one it was found by."""
+    relabelled = D.doc_problems(spark, sf).select("id", F.expr(RELABELLED).alias("difficulty"))
+    return rounded(reports.difficulty_accuracy(_waterfall(spark, sf), relabelled), "accuracy")
+
 
+def _order_sql(position: str) -> str:
+    return f""", steps AS (SELECT qid, coalesce(frequency <= lag(frequency) OVER (PARTITION BY qid ORDER BY {position}), true) AS falls FROM ranked),
+    sorted AS (SELECT qid, bool_and(falls) AS ok FROM steps GROUP BY 1)
+    SELECT count(*) AS total, count(*) FILTER (ok) AS n_sorted, {sql_r6('100.0::DOUBLE * count(*) FILTER (ok) / count(*)')} AS sorted_percent,
+      bool_and(ok) AS passed FROM sorted"""
 
-@query(with_ctes(*WATERFALL) + " SELECT count(DISTINCT qid) AS total, count(DISTINCT qid) AS n_sorted, 100::DOUBLE AS sorted_percent, true AS passed FROM ranked")
+
+@query(with_ctes(*WATERFALL) + _order_sql("position"))
 def report_frequency_order(spark, sf):
-    return reports.frequency_order(_waterfall(spark, sf))
+    return rounded(reports.frequency_order(_waterfall(spark, sf)), "sorted_percent")
+
+
+@query(with_ctes(*WATERFALL) + _order_sql("tier, rank"))
+def report_frequency_order_by_tier(spark, sf):
+    """The rows in the order in which they were found, which is rarely that of their frequency."""
+    by_tier = F.col("tier") * 1000 + F.col("rank")  # ranks are at most N_RESULTS
+    return rounded(reports.frequency_order(_waterfall(spark, sf).withColumn("position", by_tier)), "sorted_percent")

@@ -59,14 +59,19 @@ def _unescape(text: pd.Series) -> pd.Series:
     return text.map(html.unescape, na_action="ignore")
 
 
+#: Rest of a tag after its name; a quoted attribute value may hold ``>``.
+TAG_REST = r"""[^>=]*+(?:=\s*+(?:"[^"]*+"|'[^']*+'|)[^>=]*+)*+>"""
+ANY_TAG = "<[a-zA-Z/]" + TAG_REST
+
+
 def _mark_elements(markup: Column, tag: str, mark: str) -> Column:
     """Turn every ``<tag>text</tag>`` into a text node of its own that starts with ``mark``."""
-    pieces = F.split(markup, rf"(?i)<{tag}\b[^>]*>")
+    pieces = F.split(markup, rf"(?i)<{tag}\b" + TAG_REST)
     closing = rf"(?i)</{tag}\s*>"
 
     def rewrite(piece: Column) -> Column:
         halves = F.split(piece, closing, 2)
-        inner = strip_space(F.regexp_replace(halves[0], r"<[a-zA-Z/][^>]*>", ""))
+        inner = strip_space(F.regexp_replace(halves[0], ANY_TAG, ""))
         rest = F.coalesce(F.get(halves, 1), F.lit(""))
         return F.concat(F.lit("<x>" + mark), inner, F.lit("<x>"), rest)
 
@@ -87,7 +92,7 @@ def html_to_text(markup: Column) -> Column:
     c = F.regexp_replace(c, unseen, "<x>")
     c = _mark_elements(c, "sup", "^")
     c = _mark_elements(c, "sub", "_")
-    c = F.regexp_replace(F.regexp_replace(c, r"<[a-zA-Z/][^>]*>", TAG_MARK), TAG_MARK + "+", "\n")
+    c = F.regexp_replace(F.regexp_replace(c, ANY_TAG, TAG_MARK), TAG_MARK + "+", "\n")
     with_entity = F.when(F.contains(c, F.lit("&")), c)
     c = F.coalesce(_unescape(with_entity), c)
     c = F.regexp_replace(c, r"\n+([\^_])", "$1")

@@ -50,6 +50,8 @@ def normalize_rows(matrix: np.ndarray) -> np.ndarray:
 class TextEncoder:
     """Column functions around an encoder, which is set up once per task and gets whole texts.
 
+    They are marked nondeterministic, so that a filter on the vector reads it instead of encoding again.
+
     Calling it gives unit vectors. ``sums`` gives the encoder's own rows, which add up over the
     parts of a text, so that a text spread over many rows never has to be put together.
     """
@@ -69,7 +71,7 @@ class TextEncoder:
                 yield pd.Series(rows, index=texts.index, dtype=object)
 
         encode.__annotations__ = {"parts": Iterator[pd.Series], "return": Iterator[pd.Series]}
-        return F.pandas_udf(encode, T.ArrayType(element))
+        return F.pandas_udf(encode, T.ArrayType(element)).asNondeterministic()
 
     def __call__(self, text: Column) -> Column:
         return self._column(normalize_rows, T.FloatType())(text)
@@ -106,7 +108,8 @@ def mean_pool_rows(df: DataFrame, keys: list[str], vector: str, mask: Column) ->
 
 
 def problem_index(problems: DataFrame, encode: TextEncoder) -> DataFrame:
-    """Vector table of problems: id, vector, search metadata and a snippet of the description.
+    """Vector table of problems: id, vector, search metadata and the description, whole (``document``)
+    and as the snippet that is shown.
 
     ``problems`` has id, company, title, topics, difficulty, url, frequency and description.
     """
@@ -118,7 +121,8 @@ def problem_index(problems: DataFrame, encode: TextEncoder) -> DataFrame:
         F.coalesce("frequency", F.lit(0.0)).alias("frequency"),
         "title",
         "url",
-        clean.snippet(F.col("description")).alias("document"),
+        F.coalesce("description", F.lit("")).alias("document"),
+        clean.snippet(F.col("description")).alias("snippet"),
         encode(text).alias("vector"),
     )
 

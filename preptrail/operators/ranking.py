@@ -1,9 +1,8 @@
 """Ranking, numbering and first-wins helpers that hold for hot groups."""
 
-from pyspark.sql import Column, DataFrame, Row
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from preptrail.session import cut_lineage
 
@@ -65,8 +64,13 @@ def first_per_key(df: DataFrame, keys: list[str], order: list[Column]) -> DataFr
 
 
 def numbered(df: DataFrame, order: list[Column], index_col: str, start: int = 0) -> DataFrame:
-    """Consecutive numbers in a global order, from a range sort instead of a single-task window."""
-    ordered = df.orderBy(*order)
-    schema = T.StructType([*df.schema.fields, T.StructField(index_col, T.LongType(), False)])
-    pairs = ordered.rdd.zipWithIndex().map(lambda p: Row(*p[0], p[1] + start))
-    return df.sparkSession.createDataFrame(pairs, schema)
+    """Consecutive numbers in a global order: numbers inside the ranges of a stored range sort, after the
+    rows of earlier ranges."""
+    ranges = df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id())
+    ranges = cut_lineage(ranges, "numbered")
+    sizes = ranges.groupBy("_range").agg(F.count("*").alias("_size"))
+    earlier = W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)  # one row per range
+    offsets = sizes.select("_range", F.coalesce(F.sum("_size").over(earlier), F.lit(0)).alias("_before"))
+    inside = F.row_number().over(W.partitionBy("_range").orderBy(*order))
+    joined = ranges.join(F.broadcast(offsets), "_range")
+    return joined.select(*df.columns, (F.col("_before") + inside + (start - 1)).alias(index_col))

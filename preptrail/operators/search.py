@@ -311,7 +311,8 @@ def search(
     """Best ``k`` rows of ``index`` for each query: query_id, id, score, carried columns, rank.
 
     ``queries`` has ``query_id``, the vector and the columns of ``spec.on`` and ``spec.differ``;
-    several rows may share a ``query_id`` (one per peer, say). ``k`` may differ per query.
+    several rows may share a ``query_id`` (one per peer, say). ``k`` may differ per query. Queries are read
+    by several jobs that run at once when this is called; store them first where they are costly to make.
     """
     present = F.lit(True) if spec.keep_missing else F.col(spec.vector).isNotNull()
     wanted = list(dict.fromkeys(c for c in (spec.vector, *spec.on, spec.differ) if c))
