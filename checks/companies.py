@@ -205,6 +205,23 @@ def clusterable_split(spark, sf):
     )
 
 
+@query(
+    with_ctes(D.PROBLEMS, DIST, SHARES, PIVOT, D.SUPPLIER_META, _feature_sql("(SELECT * FROM meta WHERE industry IS NOT NULL)"))
+    + """ SELECT p.company, f.company IS NOT NULL AS clusterable, """
+    + ", ".join(f"{sql_r6(c)} AS {c}" for c in S.FEATURE_COLUMNS)
+    + " FROM pivoted p LEFT JOIN feat f USING (company)"
+)
+def clusterable_split_by_metadata(spark, sf):
+    """Companies with metadata are clustered on it alone, the others count as sparse."""
+    meta = D.supplier_meta(spark, sf).filter("industry IS NOT NULL")
+    usable, sparse, names = features.split_clusterable(distributions.volume_pivot(shares(spark, sf)), features.company_features(meta))
+    none = [F.lit(None).cast("double").alias(c) for c in names]
+    both = usable.select("company", F.lit(True).alias("clusterable"), *names).unionByName(
+        sparse.select("company", F.lit(False).alias("clusterable"), *none)
+    )
+    return rounded(both, *names)
+
+
 FEATURE_SQL = ", ".join(f"{sql_r6(c)} AS {c}" for c in S.FEATURE_COLUMNS)
 
 

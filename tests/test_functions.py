@@ -33,6 +33,9 @@ def test_slug(values):
         ("a<sub>i</sub> and <b>b</b>", "a_i\n and \nb"),
         ("x<sup> <i>n</i>+<b>1</b> </sup>y", "x^n+1\ny"),
         ("<SUP class='z'>2</SUP>", "^2"),
+        ("<p title='a>b' id=c lang = \"d>\">t</p>", "t"),
+        ('n<sup title="x>y">2</sup><br/>don\'t', "n^2\ndon't"),
+        ('<a href="open>shut</a>', "shut"),
         ("<style>p{}</style><script>var t='</p>';</script>seen<!-- not <b> -->", "seen"),
         ("<p>a</p>\n\n\n\n<p>b</p>", "a\n\nb"),
         ("&nbsp;caf&eacute; &#8721; &amp;lt; &unknown;", "café ∑ &lt; &unknown;"),

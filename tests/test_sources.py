@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from preptrail import schemas as S
 from preptrail.plans import prepare
 from preptrail.operators.encode import HashingEncoder, TextEncoder
+from preptrail import session
 from preptrail.session import cut_lineage, scratch_dir
 from preptrail.sources import readers, writers
 from preptrail.streaming.toggles import latest_progress, progress_stream
@@ -118,3 +119,11 @@ def test_progress_stream_equals_batch(spark, tmp_path):
     for key in [*log, (0, 0), (9, 9)]:
         want[key] = want.get(key, 0) + 1
     assert got == {k: (n, n % 2 == 1) for k, n in want.items()}
+
+
+def test_release_scratch(spark):
+    session._written.clear()  # other tests still read theirs
+    stored = cut_lineage(spark.range(3), "kept")
+    path = stored.inputFiles()[0].rsplit("/", 1)[0]
+    assert stored.count() == 3 and readers.path_exists(spark, path)
+    assert session.release_scratch(spark) == 1 and not readers.path_exists(spark, path) and session.release_scratch(spark) == 0
