@@ -7,6 +7,7 @@ from checks import domain as D
 from checks.base import query, r6, rounded, sql_r6, with_ctes
 from preptrail.functions import vectors
 from preptrail.operators import encode, retrieval, roadmap
+from preptrail.operators.ranking import top_n
 from preptrail.operators.search import SearchSpec, search
 from preptrail.plans import reports
 from preptrail.session import cut_lineage, scratch_path
@@ -138,12 +139,20 @@ def peer_topk(spark, sf):
     return retrieval.peer_top(items, asked, F.lit(7), labels=labels)
 
 
-@query(with_ctes(QUERY_VECTORS, PAIR_QUERIES) + _topk_sql(PEER_PAIRS, 7))
+TWO_PEERS = """two AS (
+  SELECT company, peer FROM (
+    SELECT a.company, b.company AS peer, row_number() OVER (PARTITION BY a.company ORDER BY b.company) AS nth
+    FROM (SELECT DISTINCT company FROM item) a JOIN (SELECT DISTINCT company FROM item) b ON a.company <> b.company AND a.company // 4 = b.company // 4)
+  WHERE nth <= 2)"""
+CAPPED_PAIRS = "(SELECT p.query_id, p.q, i.* FROM pairq p JOIN two USING (company) JOIN item i ON i.company = peer AND i.difficulty = p.difficulty)"
+
+
+@query(with_ctes(QUERY_VECTORS, PAIR_QUERIES, TWO_PEERS) + _topk_sql(CAPPED_PAIRS, 7))
 def capped_peer_topk(spark, sf):
     items, asked = _items(spark, sf), _pair_queries(spark, sf)
     names = items.select("company").distinct()
     peers = names.withColumn("peer", F.explode(F.sequence(F.floor(F.col("company") / 4) * 4, F.floor(F.col("company") / 4) * 4 + 3)))
-    peers = peers.filter("peer <> company")
+    peers = top_n(peers.filter("peer <> company"), ["company"], [F.col("peer")], 2).drop("rank")
     return retrieval.peer_top(items, asked, F.lit(7), peers=peers)
 
 
@@ -329,8 +338,6 @@ def report_roadmap_counts(spark, sf):
 
 @query(with_ctes(D.PROBLEMS) + " SELECT company, difficulty, frequency, id, position::INT AS position FROM (SELECT *, row_number() OVER (PARTITION BY company ORDER BY frequency DESC NULLS LAST, id) AS position FROM problems) WHERE position <= 10")
 def frequent_problems(spark, sf):
-    from preptrail.operators.ranking import top_n
-
     ranked = top_n(D.problems(spark, sf).select("company", "difficulty", "frequency", "id"), ["company"], [F.col("frequency").desc_nulls_last(), F.col("id")], 10)
     return roadmap.ordered_fetch(D.problems(spark, sf).select("id", "company", "difficulty", "frequency"), ranked.select("id", F.col("rank").alias("position")))
 
