@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from preptrail.llm.columns import chunks, records, text_buffers
 from preptrail.llm.components import components
+from preptrail.llm.ordering import with_positions
 from preptrail.llm.words import LANES, LOWER, Windows, mix, spans
 from preptrail.session import cut_lineage
 
@@ -23,7 +24,9 @@ BAND_BYTES = 16
 BANDS = PERMUTATIONS * 8 // BAND_BYTES
 #: A pair at 0.8 agrees in fewer than 0.64 of the 128 values in about 4 of 10**6 cases.
 LIKELY = 0.64
-BLOCK = 512
+#: A block of the residual comparison: at most as many nodes and about as many bytes of sets.
+BLOCK_NODES = 512
+BLOCK_BYTES = 16 << 20
 #: Ids that are sent to every task; more of them are joined by a shuffle.
 BROADCAST_IDS = 1 << 20
 SIGNED = pa.schema(
@@ -151,43 +154,72 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def star_pairs(banded: DataFrame) -> DataFrame:
-    """In every band bucket, each node with the smallest one."""
-    stars = banded.groupBy("key").agg(F.min("node").alias("b"), F.max("node").alias("_most")).filter("b < _most")
-    return banded.join(stars.select("key", "b"), "key").filter("node <> b").select(F.col("node").alias("a"), "b").distinct()
+def shared_buckets(banded: DataFrame) -> DataFrame:
+    """``key, node, b, n`` of each node that shares a band bucket with a smaller one: the bucket's smallest
+    node and the number of its rows."""
+    stars = banded.groupBy("key").agg(F.min("node").alias("b"), F.max("node").alias("_most"), F.count("*").alias("n"))
+    return banded.join(stars.filter("b < _most").drop("_most"), "key").filter("node <> b")
 
 
-def rest_links(heads: DataFrame, sets: DataFrame, pairs: DataFrame, found: DataFrame, percent: int) -> DataFrame:
-    """Links between nodes that buckets connect and that ``found`` has in different components.
+def heap_blocks(heads: DataFrame, shared: DataFrame, found: DataFrame) -> DataFrame:
+    """``heap, block, node, component, n_shingles`` of the nodes that are still to be compared.
 
-    Nodes that buckets connect, directly or over others, are a heap. A heap with several components is
-    cut in blocks of about ``BLOCK`` nodes; two blocks at a time meet in a task, which compares
-    signatures and then full sets, and gives the links alone.
+    A bucket is open if the nodes beside its smallest one lie in several components of ``found``; nodes
+    that open buckets connect are a heap. Its nodes are ordered by component, where that fills a block,
+    and by the size of their sets, and cut by prefix sums in blocks of bounded nodes and bytes.
     """
-    heaps = components(pairs).select("node", F.col("component").alias("heap"))
-    named = cut_lineage(heaps.join(found, "node", "left").withColumn("component", F.coalesce("component", "node")), "heaps")
-    open_heaps = (
-        named.groupBy("heap")
-        .agg(F.min("component").alias("_low"), F.max("component").alias("_high"), F.count("*").alias("n"))
-        .filter("_low < _high")
-        .select("heap", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+    crowded = shared.filter("n > 2").select("key", "node")
+    named = crowded.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    opened = named.groupBy("key").agg(
+        F.min("component").alias("_low"), F.max("component").alias("_high"), F.min("node").alias("b")
     )
-    members = named.join(open_heaps, "heap").withColumn("own", F.pmod(F.xxhash64("node"), "blocks"))
-    members = members.join(heads, "node").join(sets, "node")
-    met = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    met = met.select(
-        "heap", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"),
-        "own", "node", "component", "signature", "members",
-    )
+    edges = crowded.join(opened.filter("_low < _high").select("key", "b"), "key")
+    heaps = components(edges.select(F.col("node").alias("a"), "b"))
+    heaps = heaps.select("node", F.col("component").alias("heap")).join(found, "node", "left")
+    heaps = heaps.withColumn("component", F.coalesce("component", "node"))
+    weight = F.greatest(8 * F.col("n_shingles"), F.lit(BLOCK_BYTES // BLOCK_NODES)).alias("_weight")
+    members = heaps.join(heads, "node").select("heap", "node", "component", "n_shingles", weight)
+    members = cut_lineage(members, "heaps")
+    wide = members.groupBy("heap", "component").agg(F.sum("_weight").alias("_all")).filter(F.col("_all") >= BLOCK_BYTES)
+    members = members.join(wide.select("heap", "component", F.col("component").alias("_run")), ["heap", "component"], "left")
+    order = [F.col(c) for c in ("heap", "_run", "n_shingles", "node")]
+    placed = with_positions(members, order, F.col("_weight"))
+    block = F.floor(F.col("_before") / BLOCK_BYTES).cast("long").alias("block")
+    return placed.select("heap", block, "node", "component", "n_shingles")
+
+
+def rest_links(heads: DataFrame, sets: DataFrame, shared: DataFrame, found: DataFrame, percent: int) -> DataFrame:
+    """Links between nodes that open buckets connect and that ``found`` has in different components.
+
+    Two blocks of a heap meet in a task if sizes in them allow the similarity and they are not of one
+    component; the task compares signatures and then full sets, and gives the links alone.
+    """
+    placed = cut_lineage(heap_blocks(heads, shared, found), "blocks")
+    blocks = placed.groupBy("heap", "block").agg(
+        F.min("n_shingles").alias("low"),
+        F.max("n_shingles").alias("high"),
+        F.min("component").alias("first"),
+        F.max("component").alias("last"),
+    )
+    one, two = (blocks.select("heap", F.struct("block", "low", "high", "first", "last").alias(name)) for name in "ij")
+    near = F.expr(f"100 * i.high >= {percent} * j.low and 100 * j.high >= {percent} * i.low")
+    several = F.expr("least(i.first, j.first) < greatest(i.last, j.last)")
+    meets = one.join(two, "heap").filter("i.block <= j.block").filter(near & several)
+    meets = meets.select("heap", F.col("i.block").alias("i"), F.col("j.block").alias("j"))
+    sides = meets.withColumn("block", F.explode(F.array_distinct(F.array("i", "j"))))
+    held = placed.join(heads, ["node", "n_shingles"]).join(sets, "node").drop("n_shingles")
+    met = sides.join(held, ["heap", "block"])
 
     def run(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        node, component, own = (group[c].to_numpy() for c in ("node", "component", "own"))
+        node, component, own = (group[c].to_numpy() for c in ("node", "component", "block"))
         values = np.frombuffer(b"".join(group["signature"]), "<u4").reshape(len(group), -1)
         full = [np.frombuffer(m, "<u8") for m in group["members"]]
+        sizes = np.array([len(f) for f in full])
         links = []
         for r in range(len(group)):
             # In two different blocks only the pairs between them; within one block each pair once.
             ok = (node > node[r]) & (component != component[r])
+            ok &= 100 * np.minimum(sizes, sizes[r]) >= percent * np.maximum(sizes, sizes[r])
             if key[1] != key[2]:
                 ok &= own != own[r]
             at = np.flatnonzero(ok)
@@ -195,7 +227,8 @@ def rest_links(heads: DataFrame, sets: DataFrame, pairs: DataFrame, found: DataF
             links += [(node[i], node[r]) for i in at.tolist() if reaches(full[i], full[r], percent)]
         return pd.DataFrame(links, columns=["a", "b"], dtype="int64")
 
-    return met.groupBy("heap", "i", "j").applyInPandas(run, "a long, b long")
+    columns = ["heap", "i", "j", "block", "node", "component", "signature", "members"]
+    return met.select(*columns).groupBy("heap", "i", "j").applyInPandas(run, "a long, b long")
 
 
 def near_copies(documents: DataFrame, width: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -206,8 +239,8 @@ def near_copies(documents: DataFrame, width: int = SHINGLE, percent: int = PERCE
 
     Equal sets are one class, known by its smallest doc_id. A signature keeps the minimum and the
     maximum under each permutation. In every band bucket all members are first checked against the
-    smallest one; what buckets connect and these links do not is then compared block by block, where
-    signatures are alike. Every link is confirmed on full sets; pairs that are none are never rows.
+    smallest one; buckets whose other members these links leave in several components are then compared
+    block by block, where sizes and signatures allow a link. Every link is confirmed on full sets; pairs that are none are never rows.
 
     A null or empty text has no shingles and no link. Rows with a null doc_id are not compared: their
     component is null. A repeated doc_id is one node, linked by any of its texts. An empty table gives
@@ -219,11 +252,12 @@ def near_copies(documents: DataFrame, width: int = SHINGLE, percent: int = PERCE
     classes = known.groupBy("digest").agg(F.min("doc_id").alias("node"))
     heads = known.join(classes, (known["doc_id"] == classes["node"]) & (known["digest"] == classes["digest"]), "left_semi")
     heads = cut_lineage(heads.select(F.col("doc_id").alias("node"), "n_shingles", "signature").distinct(), "heads")
-    pairs = cut_lineage(star_pairs(bands(heads)), "pairs")
+    shared = cut_lineage(shared_buckets(bands(heads)), "buckets")
+    pairs = cut_lineage(shared.select(F.col("node").alias("a"), "b").distinct(), "pairs")
     nodes = cut_lineage(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "nodes")
     sets = cut_lineage(full_sets(texts, nodes, width), "sets")
     links = cut_lineage(confirmed(pairs, sets, percent), "links")
-    rest = cut_lineage(rest_links(heads, sets, pairs, components(links), percent), "rest")
+    rest = cut_lineage(rest_links(heads, sets, shared, components(links), percent), "rest")
     links = links.union(rest)
     # A doc_id with several texts links their classes.
     members = known.join(classes, "digest").select(F.col("doc_id").alias("a"), F.col("node").alias("b")).filter("a <> b")

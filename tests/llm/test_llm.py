@@ -97,8 +97,11 @@ def test_near_copies(docs, empty, width):
     assert nearcopies.near_copies(empty).count() == 0
 
 
-def test_near_copies_of_a_family(spark):
+@pytest.mark.parametrize("block", [None, 2000, 8000])
+def test_near_copies_of_a_family(spark, monkeypatch, block):
     """Copies of one text with own edits, so that links need the comparison beyond the smallest node."""
+    if block:  # a few nodes each, so that many blocks meet
+        monkeypatch.setattr(nearcopies, "BLOCK_BYTES", block)
     base, rows = sentences(8, 200).split(), []
     for i in range(60):
         draw, words = random.Random(i), list(base)
