@@ -64,8 +64,32 @@ TAG_REST = r"""[^>=]*+(?:=\s*+(?:"[^"]*+"|'[^']*+'|)[^>=]*+)*+>"""
 ANY_TAG = "<[a-zA-Z/]" + TAG_REST
 
 
+def _outermost(markup: Column, tag: str) -> Column:
+    """Markup without the ``<tag>`` and ``</tag>`` that stand inside another such element."""
+    own = rf"<{tag}\b{TAG_REST}|</{tag}\s*>"
+    # Each piece is a tag (or nothing) and what follows it.
+    pieces = F.split(markup, rf"(?i)(?={own})")
+    opens = rf"(?i)^<{tag}\b"
+    state = F.struct(F.lit(0).alias("depth"), F.array().cast("array<string>").alias("out"))
+
+    def step(state: Column, piece: Column) -> Column:
+        opening, closing = piece.rlike(opens), piece.rlike(rf"(?i)^</{tag}\s*>")
+        depth = F.when(opening, state["depth"] + 1).when(closing, F.greatest(state["depth"] - 1, F.lit(0))).otherwise(state["depth"])
+        inner = (opening & (state["depth"] > 0)) | (closing & (state["depth"] > 1))
+        text = F.when(inner, F.regexp_replace(piece, rf"(?i)^(?:{own})", "")).otherwise(piece)
+        return F.struct(depth.alias("depth"), F.concat(state["out"], F.array(text)).alias("out"))
+
+    return F.aggregate(pieces, state, step, lambda state: F.array_join(state["out"], ""))
+
+
 def _mark_elements(markup: Column, tag: str, mark: str) -> Column:
-    """Turn every ``<tag>text</tag>`` into a text node of its own that starts with ``mark``."""
+    """Turn every ``<tag>text</tag>`` into a text node of its own that starts with ``mark``.
+
+    An element inside another one of its kind is part of the outer one's text.
+    """
+    # Two opening tags without a closing one between them; other texts need no fold.
+    nested = rf"(?i)<{tag}\b{TAG_REST}(?:[^<]++|<(?!/?{tag}\b))*+<{tag}\b"
+    markup = F.when(markup.rlike(nested), _outermost(markup, tag)).otherwise(markup)
     pieces = F.split(markup, rf"(?i)<{tag}\b" + TAG_REST)
     closing = rf"(?i)</{tag}\s*>"
 

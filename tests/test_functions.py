@@ -36,6 +36,11 @@ def test_slug(values):
         ("<p title='a>b' id=c lang = \"d>\">t</p>", "t"),
         ('n<sup title="x>y">2</sup><br/>don\'t', "n^2\ndon't"),
         ('<a href="open>shut</a>', "shut"),
+        ("2<sup>a<sup>b</sup></sup>", "2^ab"),
+        ("2<sup>a<SUP title='>'>b</sup>c</sup>d<sup>e</sup></sup>f", "2^abc\nd^e\nf"),
+        ("x<sub>i<sub>j</sub></sub><sup>2</sup>", "x_ij^2"),
+        ("x<sup>a<sup>b", "x^ab"),
+        ("<sup>" + "<b>y</b>" * 20000 + "<sup>z</sup></sup>", "^" + "y" * 20000 + "z"),
         ("<style>p{}</style><script>var t='</p>';</script>seen<!-- not <b> -->", "seen"),
         ("<p>a</p>\n\n\n\n<p>b</p>", "a\n\nb"),
         ("&nbsp;caf&eacute; &#8721; &amp;lt; &unknown;", "café ∑ &lt; &unknown;"),
