@@ -73,9 +73,9 @@ def _prior(tag: str, words: set[str], roles: set[str], parent: "Node | None") ->
         return 0.0
     if tag not in NEVER_BY_WORD and not (tag == "header" and in_main) and (words & NOISE_WORDS or roles & NOISE_ROLES):
         return 0.0
-    if tag in MAIN and not (in_main and tag == "article"):
-        return 1.0
-    return 0.0 if tag == "article" else None  # an article inside an article is a comment
+    if tag == "article" and _inside(parent, {"article"}):
+        return 0.0  # an article inside an article is a comment
+    return 1.0 if tag in MAIN else None
 
 
 def _inside(node: "Node | None", tags: set[str]) -> bool:
@@ -219,22 +219,27 @@ def importance(pages: DataFrame) -> DataFrame:
 def main_text(url: str | None, page: str | None, low: set[int]) -> str:
     """Text of the page's blocks without noise and without the branches in ``low``.
 
-    Elements that are noise by name always go; an article or main element, where the page has one, holds
-    the text, and it is never a low branch. Where all of a page is low, as on a host of copies, no low
-    branch is removed.
+    Elements that are noise by name go, but for the main texts in them, see ``_spared``; an article or
+    main element, where the page has one, holds the text, and it is never a low branch. Where all of a
+    page is low, as on a host of copies, no low branch is removed. Where a main element holds no other
+    text, the articles in it are main texts, too.
     """
     blocks, nodes = parse(page or "")
     site = host(url)
-    has_main = any(n.prior == 1.0 for n in nodes)
+    mains = [n for n in nodes if n.prior == 1.0 and not _inside(n, UNSEEN)]
+    has_main = bool(mains)
+    outermost = _spared([n for n in mains if not _inside(n.parent, MAIN)])
 
-    def kept(low: set[int]) -> str:
+    def kept(low: set[int], spared: set[int]) -> str:
         verdict: dict[int, tuple[bool, bool]] = {}  # keep, inside main
 
         def judge(node: Node) -> tuple[bool, bool]:
             if id(node) not in verdict:
                 keep, inside = judge(node.parent) if node.parent is not None else (True, not has_main)
                 inside = inside or node.prior == 1.0
-                if node.prior == 0.0:
+                if id(node) in spared:
+                    keep = True
+                elif node.prior == 0.0:
                     keep = False
                 elif keep and low and node.prior is None and _is_branch(node) and _key(site, node.path) in low:
                     keep = has_main and _leads_to_main(node, nodes)
@@ -243,7 +248,23 @@ def main_text(url: str | None, page: str | None, low: set[int]) -> str:
 
         return " ".join(text for node, text in blocks if all(judge(node)))
 
-    return kept(low) or kept(set())
+    text = kept(low, outermost) or kept(set(), outermost)
+    return text or kept(set(), _spared([n for n in mains if n.tag == "article" and _inside(n, {"main"})]))
+
+
+def _spared(mains: list[Node]) -> set[int]:
+    """The main texts that stay whatever the elements around them are called: a main element, and the
+    articles with the fewest elements around them that are noise by name. An article with more of them
+    is a comment or a teaser beside the text."""
+
+    counts = {}
+    for node in mains:
+        counts[id(node)], above = 0, node.parent
+        while above is not None and node.tag != "main":
+            counts[id(node)] += above.prior == 0.0
+            above = above.parent
+    least = min(counts.values(), default=0)
+    return {i for i, n in counts.items() if n == least}
 
 
 def _leads_to_main(node: Node, nodes: list[Node]) -> bool:

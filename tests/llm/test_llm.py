@@ -261,6 +261,32 @@ def test_extract(spark):
     assert extract.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+@pytest.mark.parametrize(
+    "html, text",
+    [
+        ("<main><article><p>text</p></article></main>", "text"),
+        ("<main><h1>A</h1><article><p>text</p><article>Comment</article></article></main>", "A text"),
+        ("<main><article>one</article><aside><article>Teaser</article></aside><article>two</article></main>", "one two"),
+        ("<form id=f><div>Bar</div><article><p>text</p></article></form>", "text"),
+        ("<div class='page no-sidebar'>Top<main><p>text</p><nav>Menu</nav></main></div><article>Teaser</article>", "text Teaser"),
+        ("<div class=has-header id=search-results><article>one</article><article>two</article></div>", "one two"),
+        ("<div class=has-header><article>text</article><section id=comments><article>Comment</article></section></div>", "text"),
+        ("<article>text</article><section id=comments><article>Comment</article></section>", "text"),
+        ("<main><div class=search-results><article>one</article><article>two</article></div></main>", "one two"),
+        ("<main>text</main><aside><article>Teaser</article></aside>", "text"),
+        ("<template><article>unseen</article></template><p>text</p>", "text"),
+    ],
+)
+def test_main_texts_stay(html, text):
+    assert extract.main_text("http://a.org", html, set()) == text
+
+
+def test_a_low_branch_around_an_article_in_main_stays(spark):
+    rows = [(i, "http://a.org", f"<main><div><div><article><p>text {i}</p></article></div></div><div><p>Same</p></div></main>") for i in range(60)]
+    got = extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert all(f"text {r.page_id}" in r.text for r in got) and len(got) == 60
+
+
 def test_a_host_of_copies_keeps_its_text(spark):
     rows = [(i, "http://a.org", "<div><p>One text</p></div><div><p>of two</p></div>") for i in range(40)]
     got = extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
