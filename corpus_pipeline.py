@@ -7,7 +7,7 @@ from preptrail.llm.base import table
 from preptrail.llm.nearcopies import near_copies
 from preptrail.llm.quality import keep_good
 from preptrail.llm.queries import pack_documents
-from preptrail.llm.repeats import remove_repeats
+from preptrail.llm.repeats import RESULT_ARROW, remove_repeats
 from preptrail.session import cut_lineage
 
 #: Models and groups are no SQL; tests compare each stage with a plain version.
@@ -20,22 +20,42 @@ def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest id, of each group of near copies (five words, 0.8).
+    """One row, that of the smallest id, of each group of near copies (five words, 0.8).
 
-    Rows without an id stay.
+    Rows are compared by numbers of their own, which are stored, so that rows with equal ids or without
+    one are copies like any others; of a group a row without an id stays only if none has one. Texts
+    without words are no copies.
     """
-    found = near_copies(docs)
-    copies = found.filter("component_id <> doc_id").select("doc_id").distinct()
-    return docs.join(copies, "doc_id", "left_anti")
+    row = "_row"
+    while row in map(str.lower, docs.columns):
+        row += "_"
+    numbered = cut_lineage(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    found = near_copies(numbered.select(F.col(row).alias("doc_id"), "text"))
+    linked = found.filter("component_id <> doc_id").select(F.col("doc_id").alias(row), "component_id")
+    linked = cut_lineage(linked, "copies")
+    members = linked.union(linked.select("component_id", "component_id").distinct())
+    first = F.struct(F.col("doc_id").isNull(), "doc_id", row)
+    named = members.join(numbered.select(row, "doc_id"), row)
+    kept = named.groupBy("component_id").agg(F.min(first)[row].alias(row)).select(row)
+    copies = members.select(row).join(kept, row, "left_anti")
+    return numbered.join(copies, row, "left_anti").select(*docs.columns)
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the words of passages that repeat; documents without such words are unchanged and
     documents that consist of them go."""
-    cleaned = remove_repeats(docs)
+    # Columns of the input that are named like one of the result's are kept by other names meanwhile.
+    prefix = "_"
+    while any(c.startswith(prefix) for c in docs.columns):
+        prefix += "_"
+    held = {c: prefix + c for c in docs.columns if c.lower() in RESULT_ARROW.names}
+    cleaned = remove_repeats(docs.withColumnsRenamed(held))
     kept = cleaned.filter("n_removed = 0 or n_removed < n_words")
-    text = F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col("text"))
-    return kept.withColumns({"text": text, "n_chars": F.when(F.col("n_removed") > 0, F.length("kept")).otherwise(F.col("n_chars"))}).select(*docs.columns)
+    changed = {"text": F.col("kept"), "n_chars": F.length("kept")}
+    own = {c: F.col(held.get(c, c)) for c in docs.columns}
+    return kept.select(
+        *(F.when(F.col("n_removed") > 0, changed[c]).otherwise(own[c]).alias(c) if c in changed else own[c].alias(c) for c in own)
+    )
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

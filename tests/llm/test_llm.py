@@ -360,6 +360,52 @@ def test_pipeline_stages(spark, tmp_path):
     assert {p.doc_id for p in pieces} == set(cleaned)
 
 
+def test_pipeline_stages_on_repeated_rows_and_null_ids(spark, tmp_path):
+    import corpus_pipeline
+
+    def good_text(i):
+        return sentences(500 + i, 80).capitalize() + "."
+
+    rows = [(d, good_text(d)) for d in range(80)]
+    rows += [(1, good_text(1))]  # a row twice
+    rows += [(None, good_text(90))] * 3  # three times without an id
+    rows += [(None, good_text(2))]  # once with and once without
+    rows += [(3, good_text(91))]  # one id, two texts
+    near = good_text(4).split()
+    near[40] = "changed"
+    rows += [(4, " ".join(near)), (-7, good_text(5)), (None, None), (94, None)]
+    junk = [(200 + i, " ".join(f"{w}%%%" for w in sentences(700 + i, 40).split())) for i in range(60)]
+    schema = f"{DOCS}, _row string, n_removed string, kept string"
+    table = [(d, t, "en", "s", None if t is None else len(t), "r", "n", "k") for d, t in rows + junk]
+    spark.createDataFrame(table, schema).repartition(5).write.parquet(f"{tmp_path}/documents.parquet")
+    labels = [(d, int(d < 200), 0) for d in (*range(80), *(d for d, _ in junk))] + [(None, 1, 0), (1, 1, 0)]
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+
+    def pairs(df):
+        return sorted(((r.doc_id, r.text) for r in df.collect()), key=repr)
+
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    (_, good), (_, near), (_, passages), (_, packing_stage) = corpus_pipeline.STAGES
+    kept = good(spark, docs, str(tmp_path))
+    assert [p for p in pairs(kept) if p[1]] == sorted((p for p in rows if p[1]), key=repr)
+    single = near(spark, docs.filter("doc_id is null or doc_id < 200"), str(tmp_path))
+    wanted = {t: d for d, t in rows if t and t != rows[86][1]}
+    wanted.update({good_text(d): d for d in range(80) if d != 5})
+    got = pairs(single)
+    by_id = [(d, t) for d, t in got if t is not None and d != 4]
+    assert by_id == sorted(((d, t) for t, d in wanted.items() if d != 4), key=repr)
+    assert [d for d, _ in got].count(4) == 1 and [p for p in got if p[1] is None] == [(94, None), (None, None)]
+    cleaned = passages(spark, single, str(tmp_path))
+    assert cleaned.columns == docs.columns and pairs(cleaned) == got
+    assert {(r._row, r.n_removed, r.kept) for r in cleaned.collect()} == {("r", "n", "k")}
+    pieces = packing_stage(spark, cleaned, str(tmp_path)).groupBy("doc_id").agg({"length": "sum", "doc_tokens": "max"})
+    assert {r.doc_id for r in pieces.collect()} == {d for d, _ in got}
+    packed = {r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
+    assert packed >= {None, 1, 2, 3, -7, *range(6, 80)} and 5 not in packed
+    for _, stage in corpus_pipeline.STAGES[1:]:
+        assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0
+
+
 @pytest.mark.parametrize("name", ["op4_count_min_prefilter", "op7_min_max_hashing", "op8_byte_prefix_shards"])
 def test_sql_twins(docs, spark, tmp_path, name):
     import duckdb
