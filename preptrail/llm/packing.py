@@ -53,22 +53,24 @@ def cuts(places: np.ndarray, costs: np.ndarray, length: int = LENGTH) -> list[in
 
 def cut_places(ends: np.ndarray, sentence_ends: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
     """Places and costs for ``cuts``: document ends are free, sentence ends cheap, and gaps of more
-    than ``length`` tokens are divided at dear places."""
+    than ``length`` tokens are divided at dear places, with the same least cost as if any token of
+    a gap could be cut."""
     total = int(ends[-1])
     marks = np.union1d(np.concatenate(([0], ends)), sentence_ends[sentence_ends < total])
     costs = np.where(np.isin(marks, ends), 0, SENTENCE_CUT)
     wide = np.flatnonzero(np.diff(marks) > length)
     if len(wide):
-        # A cut may fall on any token of a gap's first window, then on every half window.
-        inner = [
-            np.concatenate(
-                (
-                    np.arange(marks[g] + 1, min(marks[g] + length, marks[g + 1])),
-                    np.arange(marks[g] + length, marks[g + 1], length // 2),
-                )
-            )
-            for g in wide.tolist()
-        ]
+        # Cuts inside a gap cost the same anywhere, so each may be moved back to where its sequence is full:
+        # whole windows after the place, at most one window before the gap, at which a sequence begins.
+        inner, late = [], np.zeros(0, dtype=marks.dtype)
+        for g in wide.tolist():
+            start, end = marks[g], marks[g + 1]
+            late = late[late > start - length]
+            begins = np.union1d(marks[np.searchsorted(marks, start - length, side="right") : g + 1], late)
+            windows = length * np.arange(1, (end - start) // length + 2)
+            grid = (begins[None, :] + windows[:, None]).ravel()  # ascending, as begins lie within one window
+            inner.append(grid[grid < end])
+            late = np.concatenate((late, inner[-1]))
         extra = np.concatenate(inner)
         places = np.concatenate((marks, extra))
         order = np.argsort(places, kind="stable")

@@ -169,6 +169,29 @@ def test_cuts_are_the_cheapest():
         assert before == len(places) - 1 and got == best[-1]
 
 
+@pytest.mark.parametrize("length, longest", [(16, 120), (16, 400), (7, 60), (3, 20)])
+def test_long_stretches_are_cut_as_if_anywhere(length, longest):
+    for seed in range(60):
+        draw = np.random.default_rng(seed)
+        ends = np.cumsum(draw.integers(1, longest, 8))
+        total = int(ends[-1])
+        marks = draw.integers(1, total + 1, draw.integers(0, 12))
+        places, costs = packing.cut_places(ends, marks, length)
+        assert places[0] == 0 and places[-1] == total and (np.diff(places) > 0).all() and (np.diff(places) <= length).all()
+        bounds = packing.cuts(places, costs, length)
+        got = sum(length + int(costs[i]) for i in bounds) - total
+        known = {**{int(m): packing.SENTENCE_CUT for m in (*marks, 0)}, **{int(e): 0 for e in ends}}
+        stops = sorted(known)
+        cost = dict(known)
+        for a, b in zip(stops, stops[1:], strict=False):
+            if b - a > length:
+                cost.update({t: packing.INNER_CUT for t in range(a + 1, b)})
+        best = {0: 0}
+        for t in sorted(cost)[1:]:
+            best[t] = min(best[j] + length - (t - j) + cost[t] for j in range(max(0, t - length), t) if j in best)
+        assert got == best[total]
+
+
 def test_both_libraries_split_alike():
     ranks = tokens.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
     quick = tiktoken.Encoding("t", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
