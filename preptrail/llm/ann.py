@@ -138,12 +138,25 @@ def build_graph(vectors: np.ndarray, degree: int = DEGREE, beam: int = BUILD_BEA
     return edges, entries
 
 
-def usable(vectors: DataFrame, dims: int) -> DataFrame:
-    """``vec_id, vector`` (doubles) of the vectors that take part: not null or zero, of ``dims`` finite
-    components. Of several vectors of an id the smallest counts, in the order of arrays."""
-    sound = F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+def sound(vectors: DataFrame) -> DataFrame:
+    """``vec_id, vector`` (doubles) of the rows with an id and a vector of finite components that is not
+    null or zero."""
+    finite = F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     typed = vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("vector"))
-    kept = typed.filter(F.col("vec_id").isNotNull() & (F.size("vector") == dims) & sound & F.exists("vector", lambda x: x != 0))
+    return typed.filter(F.col("vec_id").isNotNull() & finite & F.exists("vector", lambda x: x != 0))
+
+
+def usual_size(vectors: DataFrame) -> int:
+    """The commonest size of the sound vectors, of equally common ones the largest; 0 if there is none."""
+    sizes = sound(vectors).groupBy(F.size("vector").alias("size")).count()
+    top = sizes.orderBy(F.desc("count"), F.desc("size")).head()
+    return top["size"] if top else 0
+
+
+def usable(vectors: DataFrame, dims: int) -> DataFrame:
+    """The sound vectors of ``dims`` components. Of several vectors of an id the smallest counts, in the
+    order of arrays."""
+    kept = sound(vectors).filter(F.size("vector") == dims)
     return kept.groupBy("vec_id").agg(F.min("vector").alias("vector"))
 
 
@@ -227,12 +240,12 @@ def nearest_neighbours(vectors: DataFrame, every: int, k: int = 10, dims: int |
     """``query_id, rank, vec_id, score`` of the ``k`` nearest found for the ids divisible by ``every``.
 
     ``score`` is the Euclidean distance of the original vectors in double precision; ties go to the
-    smaller id. ``vectors`` has ``vec_id, embedding``; ``dims`` is by default the largest size of a vector.
+    smaller id. ``vectors`` has ``vec_id, embedding``; ``dims`` is by default the commonest size.
     Vectors that are null, zero, of another size or hold a null or non-finite component, and rows with a
     null id, take no part. With fewer than ``k`` candidates all are given; an empty table gives no rows.
     """
     if dims is None:
-        dims = vectors.agg(F.max(F.size("embedding"))).head()[0] or 0
+        dims = usual_size(vectors)
     points = cut_lineage(usable(vectors, dims), "vectors")
     if points.isEmpty():
         return points.selectExpr("vec_id AS query_id", "1 AS rank", "vec_id", "0.0D AS score")

@@ -357,6 +357,15 @@ def test_nearest_neighbours(spark, monkeypatch):
     assert ann.nearest_neighbours(table.filter("vec_id < 3"), 2).count() == 4
 
 
+def test_odd_sizes_do_not_set_the_dimension(spark):
+    rows = [(i, [float(i), 1.0]) for i in range(6)]
+    odd = [(10, [1.0, 2.0, 3.0]), *[(11 + i, [None] * 5) for i in range(9)], *[(None, [1.0] * 4)] * 9, *[(30 + i, [0.0] * 3) for i in range(9)]]
+    table = spark.createDataFrame(rows + odd, "vec_id long, embedding array<float>")
+    got = [(r.query_id, r.rank, r.vec_id, r.score) for r in ann.nearest_neighbours(table, 5, k=2).collect()]
+    assert sorted(got) == [(0, 1, 1, 1.0), (0, 2, 2, 2.0), (5, 1, 4, 1.0), (5, 2, 3, 2.0)]
+    assert ann.nearest_neighbours(table.filter("vec_id between 11 and 19"), 5).count() == 0
+
+
 def test_pipeline_stages(spark, tmp_path):
     import corpus_pipeline
 
