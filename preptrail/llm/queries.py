@@ -9,6 +9,7 @@ from preptrail.llm.ann import nearest_neighbours
 from preptrail.llm.base import query, table
 from preptrail.llm.bpe import encode_and_decode
 from preptrail.llm.digest import fingerprints
+from preptrail.llm.divergence import audit_sources
 from preptrail.llm.extract import extract
 from preptrail.llm.fixity import audit, warc_record, with_offsets
 from preptrail.llm.nearcopies import near_copies
@@ -126,3 +127,8 @@ def op9_pruned_graph_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op10_order_preserving_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"))
+
+
+@query(twins.DIVERGENCE)
+def op11_count_level_bitmaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit_sources(table(spark, sf_dir, "documents"))
