@@ -12,6 +12,7 @@ from preptrail.llm.digest import fingerprints
 from preptrail.llm.divergence import audit_sources
 from preptrail.llm.extract import extract
 from preptrail.llm.fixity import audit, warc_record, with_offsets
+from preptrail.llm.gridjoin import link_vectors
 from preptrail.llm.nearcopies import near_copies
 from preptrail.llm.packing import pack
 from preptrail.llm.quality import score_quality
@@ -132,3 +133,9 @@ def op10_order_preserving_packing(spark: SparkSession, sf_dir: str) -> DataFrame
 @query(twins.DIVERGENCE)
 def op11_count_level_bitmaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit_sources(table(spark, sf_dir, "documents"))
+
+
+@query(twins.LINKED)
+def op13_grid_order_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = link_vectors(table(spark, sf_dir, "embeddings"))
+    return found.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))

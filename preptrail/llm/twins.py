@@ -127,3 +127,27 @@ WITH texts AS (
 )
 SELECT * FROM ranked WHERE part = 'pair' OR rank <= 10
 """
+
+LINKED = """
+WITH RECURSIVE sound AS (
+  SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings
+  WHERE label IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), pairs AS (
+  SELECT a.vec_id AS one, b.vec_id AS two
+  FROM sound a JOIN sound b ON a.label = b.label AND a.vec_id < b.vec_id AND len(a.v) = len(b.v)
+  WHERE list_cosine_similarity(a.v, b.v) >= 0.93
+), edges AS (
+  SELECT one, two FROM pairs UNION ALL SELECT two, one FROM pairs
+), reached AS (
+  SELECT vec_id, vec_id AS other FROM embeddings
+  UNION
+  SELECT vec_id, two FROM reached JOIN edges ON other = one
+), roots AS (
+  SELECT vec_id, min(other) AS component_id FROM reached GROUP BY vec_id
+), counts AS (
+  SELECT one AS vec_id, count(*) AS n_links FROM edges GROUP BY one
+)
+SELECT vec_id, coalesce(n_links, 0) AS n_links, component_id, vec_id = component_id AS kept
+FROM embeddings JOIN roots USING (vec_id) LEFT JOIN counts USING (vec_id)
+"""
