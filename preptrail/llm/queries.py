@@ -13,6 +13,7 @@ from preptrail.llm.divergence import audit_sources
 from preptrail.llm.extract import extract
 from preptrail.llm.fixity import audit, warc_record, with_offsets
 from preptrail.llm.gridjoin import link_vectors
+from preptrail.llm.lexical import rank_documents
 from preptrail.llm.nearcopies import near_copies
 from preptrail.llm.packing import pack
 from preptrail.llm.quality import score_quality
@@ -135,6 +136,11 @@ def op11_count_level_bitmaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit_sources(table(spark, sf_dir, "documents"))
 
 
+@query(twins.RANKED)
+def op12_geometric_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rank_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 @query(twins.LINKED)
 def op13_grid_order_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = link_vectors(table(spark, sf_dir, "embeddings"))

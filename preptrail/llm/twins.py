@@ -151,3 +151,35 @@ WITH RECURSIVE sound AS (
 SELECT vec_id, coalesce(n_links, 0) AS n_links, component_id, vec_id = component_id AS kept
 FROM embeddings JOIN roots USING (vec_id) LEFT JOIN counts USING (vec_id)
 """
+
+RANKED = r"""
+WITH found AS (
+  SELECT doc_id, unnest(regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+  FROM documents
+), asked AS (
+  SELECT DISTINCT item_id, unnest(regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+  FROM benchmark
+), sizes AS (
+  SELECT doc_id, count(*) AS n FROM found GROUP BY doc_id
+), totals AS (
+  SELECT count(*) AS N, sum(n) AS L FROM sizes
+), postings AS (
+  SELECT doc_id, term, count(*) AS tf FROM found WHERE term IN (SELECT term FROM asked) GROUP BY ALL
+), weights AS (
+  SELECT term, floor(1000 * ln((2.0::DOUBLE * totals.N + 2) / (2 * count(*) + 1)))::BIGINT AS w
+  FROM postings, totals GROUP BY term, totals.N
+), impacts AS (
+  SELECT doc_id, term, (1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * sizes.n * totals.N) // totals.L)) AS part
+  FROM postings JOIN sizes USING (doc_id), totals
+), scores AS (
+  SELECT item_id, doc_id, sum(w * part)::BIGINT AS score
+  FROM asked JOIN weights USING (term) JOIN impacts USING (term) GROUP BY ALL HAVING score > 0
+), ranked AS (
+  SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank, doc_id, score FROM scores
+)
+SELECT * FROM ranked WHERE rank <= 50
+"""
