@@ -29,6 +29,8 @@ BLOCK_NODES = 512
 BLOCK_BYTES = 16 << 20
 #: Ids that are sent to every task; more of them are joined by a shuffle.
 BROADCAST_IDS = 1 << 20
+#: Parts into which the copies of one text are dealt to meet their class.
+SALTS = 32
 SIGNED = pa.schema(
     [("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("digest", pa.binary()), ("signature", pa.binary())]
 )
@@ -249,9 +251,10 @@ def near_copies(documents: DataFrame, width: int = SHINGLE, percent: int = PERCE
     texts = documents.select("doc_id", "text")
     signed = cut_lineage(signatures(texts, width), "signatures")
     known = signed.filter("doc_id is not null and digest is not null")
-    classes = known.groupBy("digest").agg(F.min("doc_id").alias("node"))
-    heads = known.join(classes, (known["doc_id"] == classes["node"]) & (known["digest"] == classes["digest"]), "left_semi")
-    heads = cut_lineage(heads.select(F.col("doc_id").alias("node"), "n_shingles", "signature").distinct(), "heads")
+    first = F.min_by(F.struct("n_shingles", "signature"), "doc_id").alias("_first")
+    classes = known.groupBy("digest").agg(F.min("doc_id").alias("node"), F.count("*").alias("copies"), first)
+    classes = cut_lineage(classes.select("digest", "node", "copies", "_first.*"), "classes")
+    heads = classes.select("node", "n_shingles", "signature")
     shared = cut_lineage(shared_buckets(bands(heads)), "buckets")
     pairs = cut_lineage(shared.select(F.col("node").alias("a"), "b").distinct(), "pairs")
     nodes = cut_lineage(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "nodes")
@@ -260,7 +263,9 @@ def near_copies(documents: DataFrame, width: int = SHINGLE, percent: int = PERCE
     rest = cut_lineage(rest_links(heads, sets, shared, components(links), percent), "rest")
     links = links.union(rest)
     # A doc_id with several texts links their classes.
-    members = known.join(classes, "digest").select(F.col("doc_id").alias("a"), F.col("node").alias("b")).filter("a <> b")
+    copied = classes.filter("copies > 1").select("digest", "node", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    salted = known.select("digest", "doc_id", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int").alias("salt"))
+    members = salted.join(copied, ["digest", "salt"]).select(F.col("doc_id").alias("a"), F.col("node").alias("b")).filter("a <> b")
     found = components(links.union(members))
     out = signed.select("doc_id", "n_shingles").join(found, signed["doc_id"] == found["node"], "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))

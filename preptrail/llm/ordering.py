@@ -1,5 +1,6 @@
 """Positions in a global order from per-partition totals, in DataFrame operations only."""
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -33,3 +34,24 @@ def with_positions(df: DataFrame, order: list[Column], size: Column, row: str =
     joined = numbered.join(F.broadcast(starts), "_range")  # one row per range
     joined = joined.withColumns({row: F.col(row) + F.col("_rows"), before: F.col(before) + F.col("_sizes")})
     return joined.drop("_range", "_place", "_rows", "_sizes")
+
+
+def with_row_numbers(df: DataFrame, row: str = "_row") -> DataFrame:
+    """Add a number to each row that stays the same when ``df`` is read again.
+
+    Rows of files are known by their file and their place in it, and nothing is stored; the files' names,
+    which the driver lists for any scan, are numbered there. What has no such places, or has some of them
+    more than once, is stored with its numbers.
+    """
+    try:
+        placed = df.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_index"))
+    except AnalysisException:
+        return cut_lineage(df.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    names = sorted(r[0] for r in placed.select("_file").distinct().collect())  # one row per input file
+    if not names or len(set(df.columns) & {"_file", "_index"}):
+        return cut_lineage(df.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    files = df.sparkSession.createDataFrame(list(enumerate(names)), "_number long, _file string")
+    numbered = placed.join(F.broadcast(files), "_file").withColumn(row, F.shiftleft("_number", 40) + F.col("_index"))
+    if not numbered.groupBy(row).count().filter("count > 1").isEmpty():
+        return cut_lineage(df.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    return numbered.select(*df.columns, row)

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from preptrail.llm.columns import chunks, records, text_buffers
+from preptrail.llm.ordering import with_row_numbers
 from preptrail.llm.words import LANES, Windows, slide, spans
 from preptrail.session import cut_lineage
 
@@ -193,29 +194,38 @@ def remove_repeats(
        of step 2 cover the words that go.
 
     A null text has no words, a text shorter than a window loses none, rows repeated with the same id and
-    text repeat each other's windows; a null id is an id. An empty table gives an empty result.
+    text repeat each other's windows. Rows are told apart by numbers of their own (``with_row_numbers``), so
+    ids may be null or repeat. An empty table gives an empty result.
     """
     if gram > window:
         raise ValueError("gram must not exceed window")
     spark = documents.sparkSession
     sketch_bits, bits = build_sketch(documents.select("text"), window, gram)
     sketch = spark.sparkContext.broadcast(sketch_bits)
-    keyed = F.xxhash64(F.coalesce("doc_id", F.lit(-1)), F.coalesce("text", F.lit("")))
-    found = repeated_windows(documents.select("text", keyed.alias("row")), window, gram, sketch, bits)
+    key = "_row"
+    while key in map(str.lower, documents.columns):
+        key += "_"
+    numbered = with_row_numbers(documents, key)
+    found = repeated_windows(numbered.select("text", F.col(key).alias("row")), window, gram, sketch, bits)
     groups = found.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min("row").alias("row"), F.min("place").alias("place"))
     alone = groups.filter("n = 1").groupBy("row").agg(F.collect_list("place").alias("_alone"))
 
     schema = pa.schema([f for f in RESULT_ARROW if with_text or f.name != "kept"])
     rest = [c for c in (documents.columns if carry is None else carry) if c not in RESULT_ARROW.names]
-    wrapped = documents.select(F.struct(*rest).alias("_input"), F.col("text").alias("_text"), keyed.alias("row"))
-    joined = wrapped.join(alone, "row", "left").select("_input", "_text", "_alone")
-    kind = joined.schema["_input"].dataType.simpleString()
-    fields = "".join(f", {f.name} {'long' if f.type == pa.int64() else 'string'}" for f in schema)
+    # Whatever the columns are called, inside the task they have names of their own; the text is among them once.
+    inner = {c: f"c{i}" for i, c in enumerate(dict.fromkeys([*rest, "text"]))}
+    wrapped = numbered.select(*(F.col(c).alias(name) for c, name in inner.items()), F.col(key).alias("row"))
+    alone = alone.withColumnRenamed("_alone", "alone")
+    joined = wrapped.join(alone, "row", "left").select(*inner.values(), "alone")
+    fields = ", ".join(
+        [f"{inner[c]} {documents.schema[c].dataType.simpleString()}" for c in rest]
+        + [f"{f.name} {'long' if f.type == pa.int64() else 'string'}" for f in schema]
+    )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            text, bounds = text_buffers(batch.column("_text"))
-            alone_at = batch.column("_alone")
+            text, bounds = text_buffers(batch.column(inner["text"]))
+            alone_at = batch.column("alone")
             out: dict[str, list] = {name: [] for name in RESULT_ARROW.names}
             for a, b in chunks(bounds):
                 part, edges = text[bounds[a] : bounds[b]], bounds[a : b + 1] - bounds[a]
@@ -243,6 +253,8 @@ def remove_repeats(
                     out["kept"].append(kept.decode() if with_text else None)
                     out["kept_sha256"].append(hashlib.sha256(kept).hexdigest())
             made = [pa.array(out[f.name], type=f.type) for f in schema]
-            yield pa.RecordBatch.from_arrays([batch.column("_input"), *made], names=["_input", *schema.names])
+            names = [inner[c] for c in rest]
+            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), *made], names=[*names, *schema.names])
 
-    return joined.mapInArrow(run, f"_input {kind}{fields}").select("_input.*", *schema.names)
+    named = (F.col(inner[c]).alias(c) for c in rest)
+    return joined.mapInArrow(run, fields).select(*named, *schema.names)
