@@ -5,31 +5,39 @@ from pyspark.sql import functions as F
 
 from preptrail.llm.base import table
 from preptrail.llm.nearcopies import near_copies
+from preptrail.llm.ordering import with_row_numbers
 from preptrail.llm.quality import keep_good
 from preptrail.llm.queries import pack_documents
 from preptrail.llm.repeats import RESULT_ARROW, remove_repeats
-from preptrail.session import cut_lineage
+from preptrail.session import cut_lineage, release_scratch, scratch_mark
 
 #: Models and groups are no SQL; tests compare each stage with a plain version.
 ORACLE_SQL = None
 
 
 def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a quality score of at least one half; labels of held-out rows are not read."""
+    """Documents with a quality score of at least one half; labels of held-out rows are not read.
+
+    Null and empty texts have the score of empty texts. Equal texts have equal scores and stay or go
+    together, rows of equal or null ids one by one. An empty table gives no rows; all columns are kept.
+    """
     return keep_good(docs, table(spark, sf_dir, "labels"))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row, that of the smallest id, of each group of near copies (five words, 0.8).
 
-    Rows are compared by numbers of their own, which are stored, so that rows with equal ids or without
-    one are copies like any others; of a group a row without an id stays only if none has one. Texts
-    without words are no copies.
+    Rows are compared by numbers of their own, so that rows with equal ids or without one are copies like
+    any others; of a group a row without an id stays only if none has one. Null and empty texts and texts
+    without words are no copies and stay. An empty table gives no rows; all columns are kept as they are.
+
+    Only the numbers of the rows that go are kept; whole texts cross one shuffle, to meet them, at every size.
     """
     row = "_row"
     while row in map(str.lower, docs.columns):
         row += "_"
-    numbered = cut_lineage(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    numbered = with_row_numbers(docs, row)
+    mark = scratch_mark()
     found = near_copies(numbered.select(F.col(row).alias("doc_id"), "text"))
     linked = found.filter("component_id <> doc_id").select(F.col("doc_id").alias(row), "component_id")
     linked = cut_lineage(linked, "copies")
@@ -37,13 +45,18 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     first = F.struct(F.col("doc_id").isNull(), "doc_id", row)
     named = members.join(numbered.select(row, "doc_id"), row)
     kept = named.groupBy("component_id").agg(F.min(first)[row].alias(row)).select(row)
-    copies = members.select(row).join(kept, row, "left_anti")
-    return numbered.join(copies, row, "left_anti").select(*docs.columns)
+    copies = cut_lineage(members.select(row).join(kept, row, "left_anti"), "dropped")
+    release_scratch(spark, mark, keep=copies)
+    return numbered.join(copies.hint("merge"), row, "left_anti").select(*docs.columns)
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the words of passages that repeat; documents without such words are unchanged and
-    documents that consist of them go."""
+    documents that consist of them go.
+
+    Null and empty texts stay as they are. Rows that are equal, or have equal or null ids, are rows of
+    their own: their windows repeat each other's. An empty table gives no rows; other columns are kept.
+    """
     # Columns of the input that are named like one of the result's are kept by other names meanwhile.
     prefix = "_"
     while any(c.startswith(prefix) for c in docs.columns):
@@ -59,6 +72,11 @@ def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sequences of at most 1024 tokens of all documents, a row per piece.
+
+    A null or empty text is one piece with the end token alone. Repeated rows and rows of equal or null
+    ids are packed one by one. An empty table gives no rows; other columns are ignored.
+    """
     return pack_documents(docs)
 
 

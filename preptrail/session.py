@@ -52,13 +52,21 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return path
 
 
-def release_scratch(spark: SparkSession) -> int:
-    """Delete the intermediate tables written so far; their number.
+def scratch_mark() -> int:
+    """A point in the list of intermediate tables, for ``release_scratch``."""
+    return len(_written)
+
+
+def release_scratch(spark: SparkSession, since: int = 0, keep: DataFrame | None = None) -> int:
+    """Delete the intermediate tables written so far, or after ``since``, a mark; their number.
 
     Call it once the results that were made from them are written. Results that are still to be
-    computed read these tables and fail afterwards.
+    computed read these tables and fail afterwards; those that ``keep`` reads stay. A mark holds until an
+    earlier one is released.
     """
-    paths, _written[:] = list(_written), []
+    read = keep.inputFiles() if keep is not None else []
+    held = [p for p in _written[since:] if any(p.rpartition("/")[2] in file for file in read)]
+    paths, _written[since:] = [p for p in _written[since:] if p not in held], held
     for path in paths:
         target = spark._jvm.org.apache.hadoop.fs.Path(path)
         target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
