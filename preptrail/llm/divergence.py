@@ -11,13 +11,13 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from preptrail.llm.ordering import with_positions
-from preptrail.llm.terms import LETTERS, splitter
+from preptrail.llm.terms import LETTERS, splitter, texts
 from preptrail.session import cut_lineage
 
 MIN_DOCUMENTS = 10
 TOP_TERMS = 10
 #: Partial counts that a task holds before it hands them on.
-HELD_TERMS = 500_000
+HELD_TERMS = 1_000_000
 #: Terms of a bitset word, words of a segment, and sources of a block that one task compares.
 WORD = 64
 SEGMENT = 16
@@ -27,33 +27,36 @@ COUNTS = pa.schema(
 )
 
 
-def partial_counts(documents: DataFrame, pattern: str) -> DataFrame:
+def partial_counts(documents: DataFrame, letters: str) -> DataFrame:
     """``lang, source, term, n`` (occurrences), ``docs`` (documents with the term), summed within batches of a task."""
 
-    def rows(groups: dict) -> Iterator[pa.RecordBatch]:
+    def flush(groups: dict) -> Iterator[pa.RecordBatch]:
         for (lang, source), (n, docs) in groups.items():
-            size = len(n)
-            columns = [[lang] * size, [source] * size, list(n), list(n.values()), [docs[t] for t in n]]
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, COUNTS, strict=True)], schema=COUNTS)
+            group = [pa.repeat(pa.scalar(name, pa.string()), len(n)) for name in (lang, source)]
+            counts = [pa.array(list(c), pa.int64()) for c in (n.values(), map(docs.__getitem__, n))]
+            yield pa.RecordBatch.from_arrays([*group, pa.array(list(n), pa.binary()).cast(pa.string()), *counts], schema=COUNTS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        terms = splitter(pattern)
+        terms = splitter(letters)
         groups: dict[tuple[str, str], tuple[Counter, Counter]] = {}
         held = 0
         for batch in batches:
-            for lang, source, text in zip(*(batch.column(i) for i in range(3)), strict=True):
-                found = terms(text.as_py())
+            names = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)
+            for name, text in zip(names, texts(batch.column(2)), strict=True):
+                found = terms(text)
                 if not found:
                     continue
-                n, docs = groups.setdefault((lang.as_py(), source.as_py()), (Counter(), Counter()))
+                if name not in groups:
+                    groups[name] = (Counter(), Counter())
+                n, docs = groups[name]
                 held -= len(n)
                 n.update(found)
                 docs.update(set(found))
                 held += len(n)
                 if held > HELD_TERMS:
-                    yield from rows(groups)
+                    yield from flush(groups)
                     groups, held = {}, 0
-        yield from rows(groups)
+        yield from flush(groups)
 
     return documents.select("lang", "source", "text").mapInArrow(run, "lang string, source string, term string, n long, docs long")
 
@@ -132,10 +135,10 @@ def pair_values(levels: DataFrame, groups: DataFrame, live: DataFrame) -> DataFr
     return parts.groupBy("lang", "a", "b").agg(F.sum("value").alias("value"))
 
 
-def audit_sources(documents: DataFrame, pattern: str = LETTERS, min_documents: int = MIN_DOCUMENTS, top: int = TOP_TERMS) -> DataFrame:
+def audit_sources(documents: DataFrame, letters: str = LETTERS, min_documents: int = MIN_DOCUMENTS, top: int = TOP_TERMS) -> DataFrame:
     """``lang, source, part, item, value, rank`` for every (lang, source) group of ``documents``.
 
-    Terms are the matches of ``pattern`` in the whole text, A-Z as a-z; a language keeps those found in
+    Terms are the runs of ``letters`` and characters outside ASCII in the whole text, A-Z as a-z; a language keeps those found in
     at least ``min_documents`` of its rows. A group's share of a term is ``1 + floor(10**9 * (count + 2) /
     (N + 2 * V))``. Part ``pair`` has a row for each other source of the language: the sum over all
     kept terms of ``floor((p - q)**2 / (p + q))`` of both shares. Part ``term`` has the ``top`` terms that
@@ -150,8 +153,8 @@ def audit_sources(documents: DataFrame, pattern: str = LETTERS, min_documents: i
     pairs. Repeated rows count as often as they occur. Ties are ranked by the item's bytes. An empty
     table gives no rows; other columns are ignored.
     """
-    texts = documents.select(*(F.coalesce(c, F.lit("")).alias(c) for c in ("lang", "source", "text")))
-    counted = partial_counts(texts, pattern).repartition("lang", "term")
+    rows = documents.select(*(F.coalesce(c, F.lit("")).alias(c) for c in ("lang", "source", "text")))
+    counted = partial_counts(rows, letters).repartition("lang", "term")
     by_group = counted.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
     of_term = W.partitionBy("lang", "term")
     cells = by_group.withColumns({"all_n": F.sum("n").over(of_term), "docs": F.sum("docs").over(of_term)})
@@ -160,7 +163,7 @@ def audit_sources(documents: DataFrame, pattern: str = LETTERS, min_documents: i
     terms = cells.groupBy("lang", "term").agg(F.max("all_n").alias("all_n"))
     langs = terms.groupBy("lang").agg(F.count("*").alias("kept"), F.sum("all_n").alias("lang_total"))
     sizes = cells.groupBy("lang", "source").agg(F.sum("n").alias("total"))
-    groups = texts.select("lang", "source").distinct().join(sizes, ["lang", "source"], "left").join(langs, "lang", "left")
+    groups = rows.select("lang", "source").distinct().join(sizes, ["lang", "source"], "left").join(langs, "lang", "left")
     groups = groups.fillna(0, ["total", "kept", "lang_total"])
     zero = F.when(F.col("kept") > 0, share(F.lit(0).cast("long"), F.col("total"), F.col("kept")))
     groups = cut_lineage(groups.withColumn("p0", zero), "groups")

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from preptrail.llm.terms import LETTERS_AND_DIGITS, splitter
+from preptrail.llm.terms import LETTERS_AND_DIGITS, splitter, texts
 from preptrail.session import cut_lineage
 
 BEST = 50
@@ -28,16 +28,16 @@ HELD = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("terms", pa.list_(
 FOUND = pa.schema([("item", pa.int64()), ("doc_id", pa.int64()), ("score", pa.int64())])
 
 
-def held_terms(documents: DataFrame, asked: dict[str, int], pattern: str) -> DataFrame:
+def held_terms(documents: DataFrame, asked: dict[bytes, int], letters: str) -> DataFrame:
     """``doc_id, n`` (terms with repeats), ``terms`` (numbers of the asked ones), ``counts`` of each row."""
     numbers = documents.sparkSession.sparkContext.broadcast(asked)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        terms, known = splitter(pattern), numbers.value
+        terms, known = splitter(letters), numbers.value
         for batch in batches:
             sizes, found, counts = [], [], []
-            for text in batch.column(1):
-                words = terms(text.as_py())
+            for text in texts(batch.column(1)):
+                words = terms(text)
                 tf = Counter(words)
                 own = tf.keys() & known.keys()
                 sizes.append(len(words))
@@ -224,10 +224,10 @@ def best_of_tasks(held: DataFrame, items: dict[int, list[int]], weights: dict[in
     return held.mapInArrow(run, "item long, doc_id long, score long")
 
 
-def rank_documents(documents: DataFrame, items: DataFrame, k: int = BEST, pattern: str = LETTERS_AND_DIGITS) -> DataFrame:
+def rank_documents(documents: DataFrame, items: DataFrame, k: int = BEST, letters: str = LETTERS_AND_DIGITS) -> DataFrame:
     """``item_id, rank, doc_id, score`` of the ``k`` highest-scoring rows of ``documents`` for each item.
 
-    Terms are the matches of ``pattern``, A-Z as a-z. Over the ``N`` documents with a term, ``L`` terms in
+    Terms are the runs of ``letters`` and characters outside ASCII, A-Z as a-z. Over the ``N`` documents with a term, ``L`` terms in
     all, a term held by ``df`` documents weighs ``floor(1000 ln((2 N + 2) / (2 df + 1)))``, and a document of
     ``n`` terms scores ``weight * (10**9 tf div (1000 tf + 20 m))``, ``m = 50 + (50 n N) div L``, for each
     distinct term of the item, in 64-bit integers. Only scores above 0 are listed; equal ones by ``doc_id``.
@@ -248,18 +248,18 @@ def rank_documents(documents: DataFrame, items: DataFrame, k: int = BEST, patter
     found = None
     for lot in range(lots):
         part = stated.filter(F.pmod(F.xxhash64("item_id"), F.lit(lots)) == lot) if lots > 1 else stated
-        one = _rank_lot(documents, part, k, pattern)
+        one = _rank_lot(documents, part, k, letters)
         found = one if found is None else found.union(one)
     return found
 
 
-def _rank_lot(documents: DataFrame, items: DataFrame, k: int, pattern: str) -> DataFrame:
-    terms = splitter(pattern)
-    numbers: dict[str, int] = {}
+def _rank_lot(documents: DataFrame, items: DataFrame, k: int, letters: str) -> DataFrame:
+    terms = splitter(letters)
+    numbers: dict[bytes, int] = {}
     asked: dict[object, set[int]] = {}
     for item, text in items.collect():  # bounded by QUERY_BYTES
-        asked.setdefault(item, set()).update(numbers.setdefault(t, len(numbers)) for t in terms(text))
-    held = cut_lineage(held_terms(documents, numbers, pattern), "postings")
+        asked.setdefault(item, set()).update(numbers.setdefault(t, len(numbers)) for t in terms(text.encode()))
+    held = cut_lineage(held_terms(documents, numbers, letters), "postings")
     totals = held.filter("n > 0").agg(F.count("*").alias("documents"), F.sum("n").alias("length")).first()
     holding = held.select(F.explode("terms").alias("term")).groupBy("term").count().collect()  # the asked terms at most
     weights = {t: math.floor(1000 * math.log((2 * totals["documents"] + 2) / (2 * df + 1))) for t, df in holding}

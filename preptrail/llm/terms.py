@@ -1,19 +1,31 @@
-"""Terms of whole texts: maximal runs of characters outside a set of ASCII characters."""
+"""Terms of whole texts: maximal runs of characters that are not among some ASCII characters."""
 
-import re
+import string
 from collections.abc import Callable
 
-#: Letters and all characters outside ASCII; the same with digits.
-LETTERS = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
-LETTERS_AND_DIGITS = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-_LOWER = {c: c + 32 for c in range(ord("A"), ord("Z") + 1)}
+import pyarrow as pa
 
+LETTERS = string.ascii_letters
+LETTERS_AND_DIGITS = string.ascii_letters + string.digits
 
-def splitter(pattern: str) -> Callable[[str | None], list[str]]:
-    """A function from a text to its terms, repeats included; only A-Z are lower-cased, null has none."""
-    find = re.compile(pattern).findall
 
-    def terms(text: str | None) -> list[str]:
-        return find(text.translate(_LOWER)) if text else []
+def splitter(kept: str) -> Callable[[bytes | None], list[bytes]]:
+    """A function from a text in UTF-8 to its terms, repeats included; null has none.
+
+    Terms consist of the ASCII characters ``kept`` and of all characters outside ASCII, whose bytes are none
+    of ASCII. A-Z are lower-cased, nothing else.
+    """
+    table = bytearray(range(256))
+    for byte in range(128):
+        table[byte] = ord(chr(byte).lower()) if chr(byte) in kept else ord(" ")
+    table = bytes(table)
+
+    def terms(text: bytes | None) -> list[bytes]:
+        return text.translate(table).split() if text else []  # of white space only blanks are left
 
     return terms
+
+
+def texts(column: pa.Array) -> list[bytes | None]:
+    """The texts of a column as bytes in UTF-8."""
+    return column.cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()).to_pylist()
