@@ -1,15 +1,16 @@
 """Company names matched against a large registry, without comparing every name with every row.
 
-A name that is a prefix or a part of a registry entry equals one of the entry's substrings of the
-same length. Each registry row therefore lists its substrings of the lengths that are asked for,
-and matching is an equality join. Work grows with registry plus names, not with their product.
+Names that are part of a registry entry are found through an index of short character sequences, probed
+with the rarest one of each name. Work grows with registry plus names and what they have in common, not
+with their product.
 """
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from preptrail import schemas as S
 from preptrail.functions import clean
+from preptrail.operators.grams import containing
 from preptrail.operators.ranking import top_n
 from preptrail.session import cut_lineage
 
@@ -19,43 +20,12 @@ MIN_CONTAINED = 4
 EXACT, PREFIX, CONTAINED = 1, 2, 3
 # ---------------------------------------------------------------------------
 
-BROADCAST_BYTES = 8 << 20
-
-
 def normalized_registry(registry: DataFrame) -> DataFrame:
     """First row number per normalised name, in registry order; names that normalise to nothing drop out."""
     named = registry.filter(F.col("name").isNotNull()).select(clean.normalize_company(F.col("name")).alias("norm"), "row_no")
     return named.filter(F.col("norm") != "").groupBy("norm").agg(F.min("row_no").alias("row_no"))
 
 
-def asked_lengths(names: DataFrame, key: str) -> Column:
-    """Distinct lengths of the names as a scalar array; bounded by the longest name."""
-    return names.agg(F.array_sort(F.collect_set(F.length(key)))).scalar()
-
-
-def with_substrings(rows: DataFrame, text: str, lengths: Column) -> DataFrame:
-    """One row per substring of the asked lengths, as ``key`` with its ``start`` (from 1).
-
-    Two generators and a substring stay inside generated code, up to the join that drops the
-    substrings nobody asked for.
-    """
-    sized = rows.withColumn("_n", F.explode(lengths)).filter(F.col("_n") <= F.length(text))
-    placed = sized.withColumn("start", F.explode(F.sequence(F.lit(1), F.length(text) - F.col("_n") + 1)))
-    return placed.withColumn("key", F.substr(F.col(text), F.col("start"), F.col("_n"))).drop("_n")
-
-
-def _only_asked(keys: DataFrame, names: DataFrame) -> DataFrame:
-    """Keep substrings that are asked for before they are shuffled, if the names fit a broadcast.
-
-    With more names than that the substrings are combined per key first and meet the names after.
-    """
-    wanted = names.select("key").distinct()
-    size = wanted.agg(F.coalesce(F.sum(F.octet_length("key") + 16), F.lit(0))).first()[0]
-    if size <= BROADCAST_BYTES:
-        return keys.join(F.broadcast(wanted), "key", "left_semi")
-    return keys
-
-
 def match_names(names: DataFrame, registry: DataFrame) -> DataFrame:
     """Registry row for each name: exact, else first prefix match, else first containing match.
 
@@ -68,13 +38,16 @@ def match_names(names: DataFrame, registry: DataFrame) -> DataFrame:
     exact = asked.join(rows.withColumnRenamed("norm", "key"), "key")
     exact = cut_lineage(exact.select("company", "row_no", F.lit(EXACT).alias("tier")), "exact")
 
-    left = asked.join(exact, "company", "left_anti").filter(F.length("key") >= MIN_PREFIX)
-    parts = with_substrings(rows, "norm", asked_lengths(left, "key"))
-    parts = parts.filter((F.col("start") == 1) | (F.length("key") >= MIN_CONTAINED))
-    tier = F.when(F.col("start") == 1, PREFIX).otherwise(CONTAINED)
-    keyed = parts.select("key", tier.alias("tier"), "row_no")
-    first = _only_asked(keyed, left).groupBy("key").agg(F.min(F.struct("tier", "row_no")).alias("best"))
-    loose = left.join(first, "key").select("company", "best.row_no", "best.tier")
+    left = asked.join(exact, "company", "left_anti")
+    # Names too short to be contained only start an entry; the others are found inside it, at its start or later.
+    starts = F.substr("norm", F.lit(1), F.lit(MIN_PREFIX)).alias("key")
+    short = rows.select(starts, F.lit(PREFIX).alias("tier"), "row_no").filter(F.length("key") == MIN_PREFIX)
+    short = short.groupBy("key").agg(F.min(F.struct("tier", "row_no")).alias("best"))
+    tier = F.when(F.startswith("norm", "key"), PREFIX).otherwise(CONTAINED).alias("tier")
+    inside = containing(left.filter(F.length("key") >= MIN_CONTAINED), rows, "key", "norm").select("key", tier, "row_no")
+    inside = inside.groupBy("key").agg(F.min(F.struct("tier", "row_no")).alias("best"))
+    few = left.filter(F.length("key") == MIN_PREFIX).join(short, "key")
+    loose = few.unionByName(left.join(inside, "key")).select("company", "best.row_no", "best.tier")
 
     details = registry.drop("company")
     matched = exact.unionByName(loose).join(details, "row_no")
@@ -108,8 +81,7 @@ def lookup_names(queries: DataFrame, registry: DataFrame, first_n: int | None =
         F.lower(clean.strip_space(F.col("name"))).alias("whole"),
         F.lower("name").alias("lowered"),
     )
-    keyed = with_substrings(rows, "lowered", asked_lengths(asked, "key")).select("key", "row_no", "size", "whole")
-    keyed = _only_asked(keyed, asked)
+    keyed = containing(asked, rows, "key", "lowered").select("key", "row_no", "size", "whole")
     if first_n is not None:
         keyed = top_n(keyed.distinct(), ["key"], [F.col("row_no")], first_n)
     inexact = F.when(F.col("whole") == F.col("key"), 0).otherwise(1)

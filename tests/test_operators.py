@@ -1,11 +1,13 @@
 import itertools
+import random
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from preptrail import schemas as S
-from preptrail.operators import catalogue, clustering, curation, curves, distributions, encode, features, peers, ranking, registry, retrieval, roadmap, search, tracks
+from preptrail.functions import clean
+from preptrail.operators import catalogue, clustering, curation, curves, distributions, encode, features, grams, peers, ranking, registry, retrieval, roadmap, search, tracks
 from preptrail.operators.ranking import first_per_key, numbered, ranked, top_n
 
 
@@ -276,12 +278,41 @@ def test_registry_match(spark):
     assert registry.company_meta(registry.match_names(names, reg)).count() == 5
 
 
-def test_registry_match_when_names_do_not_fit_a_broadcast(spark, monkeypatch):
-    reg = _registry(spark, ["Zeta Foo Inc.", "Foobar LLC", "my Acme Works"])
-    names = spark.createDataFrame([("foob",), ("acme w",), ("ta foo",)], "company string")
-    few = rows(registry.match_names(names, reg), "company")
-    monkeypatch.setattr(registry, "BROADCAST_BYTES", 0)
-    assert rows(registry.match_names(names, reg), "company") == few
+def test_registry_match_equals_comparing_every_pair(spark):
+    draw = random.Random(5)
+    names = ["".join(draw.choice("ab é") for _ in range(draw.randint(0, 14))) for _ in range(400)]
+    asked = ["".join(draw.choice("ab é") for _ in range(draw.randint(0, 7))) for _ in range(150)]
+    reg = _registry(spark, names)
+    norm = dict(spark.createDataFrame([(n,) for n in {*names, *asked}], "n string").select("n", clean.normalize_company(F.col("n"))).collect())
+
+    def best(key):
+        def first(ok):
+            return next((i for i, n in enumerate(names) if norm[n] and ok(norm[n])), None)
+
+        tiers = [(1, lambda n: n == key, 1), (2, lambda n: n.startswith(key), 3), (3, lambda n: key in n, 4)]
+        found = [(first(ok), tier) for tier, ok, least in tiers if len(key) >= least]
+        return next((f for f in found if f[0] is not None), (None, None))
+
+    got = {r.company: (r.row_no, r.tier) for r in registry.match_names(spark.createDataFrame([(a,) for a in asked], "company string"), reg).collect()}
+    assert got == {a: best(norm[a]) for a in asked}
+
+
+@pytest.mark.parametrize("gram", [1, 3, 4])
+def test_containing_texts(spark, gram):
+    draw = random.Random(8)
+    texts = ["".join(draw.choice("abcé東") for _ in range(draw.randint(0, 30))) for _ in range(300)] + [None, "", "a" * 2000]
+    keys = ["".join(draw.choice("abcé東") for _ in range(draw.randint(0, 6))) for _ in range(80)] + [None, "a" * 300, "zz"]
+    rows_ = spark.createDataFrame(list(enumerate(texts)), "row_no long, name string")
+    asked = spark.createDataFrame([(k,) for k in keys], "company string")
+    got = {(r.key, r.row_no) for r in grams.containing(asked, rows_, "company", "name", gram).collect()}
+    assert got == {(k, i) for k in keys if k for i, t in enumerate(texts) if t and k in t}
+
+
+def test_gram_index_grows_with_the_length_of_a_name(spark):
+    rows_ = spark.createDataFrame([(0, "x" * 50), (1, "x" * 500), (2, "x" * 5000)], "row_no long, name string")
+    asked = spark.createDataFrame([("y" * n,) for n in range(4, 60)], "company string")
+    index = grams.with_grams(rows_, "name", grams.gram_lengths(asked, "company"))
+    assert rows(index.groupBy("row_no").count(), "row_no") == [(0, 47), (1, 497), (2, 4997)]
 
 
 def test_registry_lookup(spark):
