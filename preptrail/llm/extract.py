@@ -3,8 +3,8 @@ presentation and content hardly vary between them are removed."""
 
 import hashlib
 import html
-import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -35,6 +35,12 @@ NOISE_WORDS = set(
     "modal overlay newsletter subscribe signup share sharing social related recommended comment comments reply "
     "replies respond discussion disqus form search login skip".split()
 )
+#: Words that say where or what an element is, not what it is about: a name made of these and of noise words is noise.
+PLACE_WORDS = set(
+    "area bar block bottom box btn button buttons column container content custom fixed global icons inner item items left "
+    "link links list main page panel post posts primary right secondary section site slot small sticky top widget wrap "
+    "wrapper".split()
+)
 NOISE_ROLES = set("navigation banner contentinfo complementary search form alert dialog".split())
 NEVER_BY_WORD = set("html body article main h1 h2 h3 h4 h5 h6".split())
 CLOSES_P = set(
@@ -44,52 +50,108 @@ CLOSES_P = set(
 PLAIN = set("p h1 h2 h3 h4 h5 h6 li dt dd blockquote pre figcaption caption tr td th tbody thead tfoot".split())
 SAME_KIND = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 
-TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)"
-    r"|<(?P<raw>script|style|title|textarea|noscript|iframe)(?=[\s/>])[^>]*>(?:.*?</(?P=raw)\s*>|.*\Z)"
-    r"|<(?P<close>/?)(?P<name>[a-z][^\s/>]*)(?P<attributes>[^>\"']*(?:\"[^\"]*\"[^>\"']*|'[^']*'[^>\"']*)*)>"
-    r"|<[!?][^>]*>",
-    re.S | re.I,
-)
+#: Content that is no text ends with the element; other tags end at a ``>`` outside quoted values.
+RAW = set("script style title textarea noscript iframe".split())
+NAME = re.compile(r"</?([a-z][^\s/>]*)", re.I)
+VALUE_OR_END = re.compile(r"=\s*([\"'])|>")
+AFTER_VALUE = set(" \t\n\r\f/>")
 ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 
 
-@dataclass
+@dataclass(eq=False)
 class Node:
-    """A block element: its key among its siblings, and the keys of its children and texts in order."""
+    """A block element: its place in the tree, and the keys of its children and texts in order."""
 
     tag: str
-    path: str
+    path: int
     prior: float | None  # 0: noise by name, 1: main text by name, None: the site decides
     parent: "Node | None" = None
     children: list[str] = field(default_factory=list)
+    #: Element names of interest among its own and those around it, and whether a paragraph is still open.
+    within: frozenset[str] = frozenset()
+    in_paragraph: bool = False
+
+
+#: Elements that a node knows to be around it, and those that keep a paragraph around them open.
+AROUND = MAIN | UNSEEN
+PARAGRAPH_STOPS = set("td th li div article section main blockquote".split())
 
 
-def _prior(tag: str, words: set[str], roles: set[str], parent: "Node | None") -> float | None:
+def noisy(name: str) -> bool:
+    """Whether a word of a class or id names noise: a noise word, alone or among words for places.
+
+    ``comment-list`` and ``page-header`` do, ``social-science``, ``notice-period`` and ``no-sidebar`` do not.
+    """
+    parts = set(re.split(r"[^a-z]+", name)) - {""}
+    return bool(parts & NOISE_WORDS) and parts <= NOISE_WORDS | PLACE_WORDS
+
+
+def _prior(tag: str, names: set[str], roles: set[str], parent: Node) -> float | None:
     if tag in UNSEEN:
         return 0.0
-    in_main = parent is not None and _inside(parent, MAIN)
+    in_main = bool(parent.within & MAIN)
     if tag in NOISE and not (tag == "header" and in_main):
         return 0.0
-    if tag not in NEVER_BY_WORD and not (tag == "header" and in_main) and (words & NOISE_WORDS or roles & NOISE_ROLES):
+    if tag not in NEVER_BY_WORD and not (tag == "header" and in_main) and (any(map(noisy, names)) or roles & NOISE_ROLES):
         return 0.0
-    if tag == "article" and _inside(parent, {"article"}):
+    if tag == "article" and "article" in parent.within:
         return 0.0  # an article inside an article is a comment
     return 1.0 if tag in MAIN else None
 
 
-def _inside(node: "Node | None", tags: set[str]) -> bool:
-    while node is not None:
-        if node.tag in tags:
-            return True
-        node = node.parent
-    return False
+def _inside(node: Node | None, tags: set[str]) -> bool:
+    return node is not None and bool(node.within & tags)
+
+
+def _tag_end(page: str, at: int) -> int:
+    """Where the tag that is read up to ``at`` ends, after its ``>``; -1 if it never does.
+
+    A quoted value ends at its quote if white space, a slash or the tag's end follows it; else the quote was
+    never closed and counts as a character.
+    """
+    while found := VALUE_OR_END.search(page, at):
+        at = found.end()
+        if found[1] is None:
+            return at
+        closed = page.find(found[1], at)
+        if closed >= 0 and page[closed + 1 : closed + 2] in AFTER_VALUE:
+            at = closed + 1
+    return -1
+
+
+def tags(page: str) -> Iterator[tuple[int, int, str | None, bool, str]]:
+    """``start, end, name, close, attributes`` of each stretch of a page that is no text; the name is None for
+    comments, declarations and elements whose content is no text. Each character is passed a bounded
+    number of times; markup that never ends reaches to the end of the page."""
+    at, last = 0, page.rfind(">")
+    while (start := page.find("<", at)) >= 0:
+        at = start + 1
+        name = NAME.match(page, start)
+        if page.startswith("<!--", start):
+            end = page.find("-->", start + 4)
+            at = len(page) if end < 0 else end + 3
+            yield start, at, None, False, ""
+        elif page.startswith(("<!", "<?"), start):
+            end = page.find(">", start)
+            at = len(page) if end < 0 else end + 1
+            yield start, at, None, False, ""
+        elif name:
+            close, tag = page[start + 1] == "/", name[1].lower()
+            end = _tag_end(page, name.end()) if name.end() <= last else -1
+            at = len(page) if end < 0 else end
+            if tag in RAW and not close and end >= 0:
+                closing = re.compile(f"</{tag}\\s*>", re.I).search(page, at)
+                at = closing.end() if closing else len(page)
+                yield start, at, None, False, ""
+            else:
+                yield start, at, tag if end >= 0 else None, close, page[name.end() : at - 1]
 
 
 def parse(page: str) -> tuple[list[tuple[Node, str]], list[Node]]:
     """The blocks of text of a page in order, each with the element that holds it, and all elements."""
-    root = Node("html", "", None)
+    root = Node("html", 0, None)
     nodes, blocks, stack, run = [root], [], [root], []
+    open_ = Counter()
 
     def flush() -> None:
         text = " ".join(html.unescape("".join(run)).split())
@@ -98,51 +160,55 @@ def parse(page: str) -> tuple[list[tuple[Node, str]], list[Node]]:
             stack[-1].children.append("#")
             blocks.append((stack[-1], text))
 
-    def pop(tags: set[str], stop: set[str]) -> None:
+    def pop(ending: set[str], stop: set[str]) -> None:
+        if not any(open_[tag] for tag in ending):
+            return
         for depth in range(len(stack) - 1, 0, -1):
-            if stack[depth].tag in tags:
+            if stack[depth].tag in ending:
                 flush()
+                open_.subtract(node.tag for node in stack[depth:])
                 del stack[depth:]
                 return
             if stack[depth].tag in stop:
                 return
 
     at = 0
-    for found in TOKEN.finditer(page):
-        run.append(page[at : found.start()])
-        at = found.end()
-        tag = found["name"]
+    for start, end, tag, close, attributes in tags(page):
+        run.append(page[at:start])
+        at = end
         if tag is None:
-            continue  # comments, declarations, and elements whose content is no text
-        tag = tag.lower()
+            continue
         if tag in INLINE:
             continue
         if tag == "br" or tag in VOID:
             run.append("\n")
             continue
-        if found["close"]:
+        if close:
             if tag not in ("html", "body"):
                 pop({tag}, set())
             continue
         flush()
         if tag in ("html", "body", "head"):
             continue
-        if tag in CLOSES_P:
-            pop({"p"}, {"td", "th", "li", "div", "article", "section", "main", "blockquote"})
+        if tag in CLOSES_P and stack[-1].in_paragraph:
+            pop({"p"}, PARAGRAPH_STOPS)
         if tag in SAME_KIND:
             pop(SAME_KIND[tag], {"ul", "ol", "dl", "table", "select", "menu"})
-        words, roles = set(), set()
-        for name, one, two, three in ATTRIBUTE.findall(found["attributes"] or ""):
-            value = (one or two or three).lower()
-            (roles if name.lower() == "role" else words).update(re.split(r"[^a-z]+", value))
-        words.discard("")
+        names, roles = set(), set()
+        for name, one, two, three in ATTRIBUTE.findall(attributes):
+            (roles if name.lower() == "role" else names).update((one or two or three).lower().split())
         parent = stack[-1]
-        key = f"{tag}.{'.'.join(sorted(words))}" if words else tag
-        node = Node(tag, f"{parent.path}>{key}", _prior(tag, words, roles, parent), parent)
+        # Numbers in names tell elements of a kind apart, not kinds.
+        kinds = sorted({re.sub(r"[^a-z]+", "-", n).strip("-") for n in names} - {""})
+        key = f"{tag}.{'.'.join(kinds)}" if kinds else tag
+        within = parent.within | {tag} if tag in AROUND else parent.within
+        in_paragraph = tag == "p" or (parent.in_paragraph and tag not in PARAGRAPH_STOPS)
+        node = Node(tag, _key(str(parent.path), key), _prior(tag, names, roles, parent), parent, [], within, in_paragraph)
         parent.children.append(key)
         nodes.append(node)
-        if not found["attributes"].rstrip().endswith("/") or tag in ("p", "div"):
+        if not attributes.rstrip().endswith("/") or tag in ("p", "div"):
             stack.append(node)
+            open_[tag] += 1
     run.append(page[at:])
     flush()
     return blocks, nodes
@@ -158,48 +224,66 @@ def _key(*parts: str) -> int:
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """What each page adds to its host's tree: for each element its style (the children's keys), and for
-    each open element the distinct blocks of text in it. Paragraphs of a main text are no branches."""
+    """What each page adds to its host's tree: for each element its style (the children's keys), for each
+    open element the distinct blocks of text up to ``REACH`` levels inside it, and each block by itself.
+    Paragraphs of a main text are no branches, only their texts are nodes."""
     schema = pa.schema([("site", pa.string()), ("node", pa.int64()), ("kind", pa.int32()), ("feature", pa.int64())])
     for batch in batches:
         out: dict[str, list] = {name: [] for name in schema.names}
         for url, page in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             blocks, nodes = parse(page or "")
-            site, seen = host(url), set()
-            branches = {id(n): _key(site, n.path) for n in nodes if _is_branch(n)}
+            site = host(url)
+            seen = {(site, _key(site), STYLE, 0)}
+            branches = {id(n): _key(site, str(n.path)) for n in nodes if _is_branch(n)}
             for node in nodes:
                 if id(node) in branches:
-                    seen.add((site, branches[id(node)], 0, _key(*_squeezed(node.children))))
+                    seen.add((site, branches[id(node)], STYLE, _key(*_squeezed(node.children))))
             for node, text in blocks:
-                feature = _key(text)
-                while node is not None:
+                seen.add((site, _block_key(site, node, text), BLOCK, 0))
+                feature, levels = _key(text), 0
+                while node is not None and levels < REACH:
                     if id(node) in branches:
-                        seen.add((site, branches[id(node)], 1, feature))
-                    node = node.parent
+                        seen.add((site, branches[id(node)], CONTENT, feature))
+                    node, levels = node.parent, levels + 1
             for row in seen:
                 for name, value in zip(schema.names, row, strict=True):
                     out[name].append(value)
         yield records(out, schema)
 
 
+def _block_key(site: str, node: Node, text: str) -> int:
+    return _key(site, str(node.path), text)
+
+
 def _is_branch(node: Node) -> bool:
     """Whether the site decides on an element: any, but for the paragraphs of a main text."""
     return node.parent is not None and not (node.tag in PLAIN and _inside(node, MAIN))
 
 
+#: Kinds of features, and the levels below a branch whose texts are its content.
+STYLE, CONTENT, BLOCK = 0, 1, 2
+REACH = 32
+
+
 def _squeezed(keys: list[str]) -> list[str]:
     return [k for i, k in enumerate(keys) if i == 0 or keys[i - 1] != k]
 
 
-def importance(pages: DataFrame) -> DataFrame:
+def site_trees(pages: DataFrame) -> DataFrame:
+    """``site, node, kind, feature, n``: the merged trees of all hosts, with the number of pages of each feature.
+    A host's root has the feature 0 for each page."""
+    features = pages.select("url", "html").mapInArrow(_features, "site string, node long, kind int, feature long")
+    return features.groupBy("site", "node", "kind", "feature").agg(F.count("*").alias("n"))
+
+
+def importance(counted: DataFrame) -> DataFrame:
     """``site, node, importance``: of each branch of each host's merged tree.
 
     Presentation: the entropy of the branch's styles over the pages that have it. Content: one less the
     mean entropy of its blocks of text over these pages. The more styles, the more presentation counts.
     """
-    features = pages.select("url", "html").mapInArrow(_features, "site string, node long, kind int, feature long")
-    counted = features.groupBy("site", "node", "kind", "feature").agg(F.count("*").alias("n"))
-    style, content = F.col("kind") == 0, F.col("kind") == 1
+    counted = counted.filter((F.col("kind") != BLOCK) & (F.col("feature") != 0))
+    style, content = F.col("kind") == STYLE, F.col("kind") == CONTENT
     by_node = counted.groupBy("site", "node").agg(
         F.sum(F.when(style, F.col("n"))).alias("pages"),
         F.sum(F.when(style, F.col("n") * F.log("n"))).alias("style_logs"),
@@ -217,36 +301,36 @@ def importance(pages: DataFrame) -> DataFrame:
 
 
 def main_text(url: str | None, page: str | None, low: set[int]) -> str:
-    """Text of the page's blocks without noise and without the branches in ``low``.
+    """Text of the page's blocks without noise and without the branches and blocks in ``low``.
 
     Elements that are noise by name go, but for the main texts in them, see ``_spared``; an article or
-    main element, where the page has one, holds the text, and it is never a low branch. Where all of a
-    page is low, as on a host of copies, no low branch is removed. Where a main element holds no other
-    text, the articles in it are main texts, too.
+    main element, where the page has one, holds the text, and it is never a low branch. A block of text
+    that is low goes wherever it is. Where all of a page is low, as on a host of copies, nothing low is
+    removed. Where a main element holds no other text, the articles in it are main texts, too.
     """
     blocks, nodes = parse(page or "")
     site = host(url)
     mains = [n for n in nodes if n.prior == 1.0 and not _inside(n, UNSEEN)]
     has_main = bool(mains)
     outermost = _spared([n for n in mains if not _inside(n.parent, MAIN)])
+    leading: set[int] = set()
+    for node in (n for n in nodes if n.prior == 1.0):
+        while node is not None and id(node) not in leading:
+            leading.add(id(node))
+            node = node.parent
 
     def kept(low: set[int], spared: set[int]) -> str:
-        verdict: dict[int, tuple[bool, bool]] = {}  # keep, inside main
-
-        def judge(node: Node) -> tuple[bool, bool]:
-            if id(node) not in verdict:
-                keep, inside = judge(node.parent) if node.parent is not None else (True, not has_main)
-                inside = inside or node.prior == 1.0
-                if id(node) in spared:
-                    keep = True
-                elif node.prior == 0.0:
-                    keep = False
-                elif keep and low and node.prior is None and _is_branch(node) and _key(site, node.path) in low:
-                    keep = has_main and _leads_to_main(node, nodes)
-                verdict[id(node)] = keep, inside
-            return verdict[id(node)]
-
-        return " ".join(text for node, text in blocks if all(judge(node)))
+        verdict: dict[int, tuple[bool, bool]] = {id(None): (True, not has_main)}  # keep, inside main
+        for node in nodes:  # each after its parent
+            keep, inside = verdict[id(node.parent)]
+            if id(node) in spared:
+                keep = True
+            elif node.prior == 0.0:
+                keep = False
+            elif keep and low and node.prior is None and _is_branch(node) and _key(site, str(node.path)) in low:
+                keep = id(node) in leading
+            verdict[id(node)] = keep, inside or node.prior == 1.0
+        return " ".join(t for node, t in blocks if all(verdict[id(node)]) and not (low and _block_key(site, node, t) in low))
 
     text = kept(low, outermost) or kept(set(), outermost)
     return text or kept(set(), _spared([n for n in mains if n.tag == "article" and _inside(n, {"main"})]))
@@ -257,43 +341,51 @@ def _spared(mains: list[Node]) -> set[int]:
     articles with the fewest elements around them that are noise by name. An article with more of them
     is a comment or a teaser beside the text."""
 
-    counts = {}
-    for node in mains:
-        counts[id(node)], above = 0, node.parent
-        while above is not None and node.tag != "main":
-            counts[id(node)] += above.prior == 0.0
-            above = above.parent
+    around: dict[int, int] = {id(None): 0}  # noise names around an element and its own
+
+    def noise(node: Node | None) -> int:
+        way = []
+        while id(node) not in around:
+            way.append(node)
+            node = node.parent
+        for inner in reversed(way):
+            around[id(inner)] = around[id(inner.parent)] + (inner.prior == 0.0)
+        return around[id(way[0] if way else node)]
+
+    counts = {id(n): 0 if n.tag == "main" else noise(n.parent) for n in mains}
     least = min(counts.values(), default=0)
     return {i for i, n in counts.items() if n == least}
 
 
-def _leads_to_main(node: Node, nodes: list[Node]) -> bool:
-    for other in nodes:
-        if other.prior == 1.0:
-            while other is not None:
-                if other is node:
-                    return True
-                other = other.parent
-    return False
+def template_blocks(counted: DataFrame) -> DataFrame:
+    """``site, node`` of the blocks of text that a host repeats: the same words at the same place of the tree on
+    more than half of its pages and ``PRIOR_PAGES`` others. Their entropy over the pages is near the largest
+    there is, so they say next to nothing about a page, also inside a main text."""
+    of_site = counted.filter((F.col("kind") == STYLE) & (F.col("feature") == 0)).select("site", F.col("n").alias("pages"))
+    common = counted.filter((F.col("kind") == BLOCK) & (2 * F.col("n") > PRIOR_PAGES))
+    return common.join(of_site, "site").filter(2 * F.col("n") > F.col("pages") + PRIOR_PAGES).select("site", "node")
 
 
 def extract(pages: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """``page_id, url, text, n_chars`` of every page of ``page_id, url, html``.
 
     Blocks of text have character references decoded and white space turned into single spaces, and are
-    joined by one space in page order. Branches of the host's merged tree below ``threshold`` go, see
-    ``importance`` and ``main_text``; menus, headers, footers, forms and the like also go by name, so
+    joined by one space in page order. Branches of the host's merged tree below ``threshold`` and the blocks
+    that it repeats on most pages go, see ``importance``, ``template_blocks`` and ``main_text``; menus, headers, footers, forms and the like also go by name, so
     that a page alone on its host is cleaned, too.
 
     A null or empty page has the empty text; a null url belongs to the nameless host. Repeated rows each
     count as a page, null ids are kept, an empty table gives no rows, other columns are ignored.
 
-    Only the low branches are gathered by host; a host's template has few. Its pages are never gathered.
+    Broken markup has a defined end, see ``tags``, and elements may be nested to any depth.
+
+    Only the low nodes are gathered by host; a host's template has few. Its pages are never gathered.
     """
     named = pages.select("page_id", "url", "html")
 
-    nodes = importance(named).filter(F.col("importance") < threshold)
-    low = cut_lineage(nodes.groupBy("site").agg(F.collect_list("node").alias("low")), "low")
+    trees = cut_lineage(site_trees(named), "trees")
+    nodes = importance(trees).filter(F.col("importance") < threshold).select("site", "node")
+    low = cut_lineage(nodes.union(template_blocks(trees)).groupBy("site").agg(F.collect_list("node").alias("low")), "low")
     site_of = F.coalesce(F.lower(F.regexp_extract("url", r"(?i)^\s*(?:[a-z][a-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/:?#]*)", 1)), F.lit(""))
     joined = named.withColumn("site", site_of).join(low, "site", "left").select("page_id", "url", "html", "low")
 
