@@ -12,16 +12,17 @@ from pyspark.sql import functions as F
 from preptrail.llm.columns import records
 from preptrail.session import cut_lineage
 
-SHARD_ROWS = 4096
+#: The larger a shard, the smaller the share of it that a search meets.
+SHARD_ROWS = 16_384
 DEGREE = 32
-ENTRIES = 128
+ENTRIES = 32
 BUILD_BEAM = 64
-SEARCH_BEAM = 128
+SEARCH_BEAM = 160
 #: A candidate edge is dropped if a kept neighbour is this many times nearer to it than the node is.
 RELAX = 1.2
 BATCH = 256
 QUERY_BLOCK = 4096
-FOUND = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
+FOUND = pa.schema([("query_row", pa.int64()), ("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
 
 
 def _distances(vectors: np.ndarray, at: np.ndarray, points: np.ndarray) -> np.ndarray:
@@ -154,50 +155,49 @@ def usual_size(vectors: DataFrame) -> int:
 
 
 def usable(vectors: DataFrame, dims: int) -> DataFrame:
-    """The sound vectors of ``dims`` components. Of several vectors of an id the smallest counts, in the
-    order of arrays."""
-    kept = sound(vectors).filter(F.size("vector") == dims)
-    return kept.groupBy("vec_id").agg(F.min("vector").alias("vector"))
+    """The sound vectors of ``dims`` components, each with a number of its own: rows that repeat an id are
+    vectors of their own. Store the result before it is used twice."""
+    return sound(vectors).filter(F.size("vector") == dims).withColumn("row", F.monotonically_increasing_id())
 
 
 def build_index(vectors: DataFrame, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """A row for each shard: ``shard``, ``ids``, ``vectors`` and ``edges`` as bytes, and its ``entries``.
 
-    ``vectors`` (``vec_id, vector``) are dealt to shards of about ``shard_rows`` by hashes of their ids,
-    which are distinct. Equal vectors of a shard are one node, so that no heap of copies closes in a walk.
+    ``vectors`` (``row, vec_id, vector``) are dealt to shards of about ``shard_rows`` by hashes of their
+    numbers. Equal vectors of a shard are one node, so that no heap of copies closes in a walk.
     """
     shards = max(1, -(-vectors.count() // shard_rows))
-    dealt = vectors.withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int"))
+    dealt = vectors.withColumn("shard", F.pmod(F.xxhash64("row"), F.lit(shards)).cast("int"))
 
     def run(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("vec_id")
-        ids = group["vec_id"].to_numpy()
+        group = group.sort_values(["vec_id", "row"])
+        ids, rows = group["vec_id"].to_numpy(), group["row"].to_numpy()
         whole = np.array(group["vector"].tolist(), dtype=np.float64)
         nodes, node_of = np.unique(whole, axis=0, return_inverse=True)
         edges, entries = build_graph(nodes.astype(np.float32))
         by = np.argsort(node_of.ravel(), kind="stable")
-        row = (key[0], ids[by].tobytes(), np.bincount(node_of.ravel()).astype("<i8").tobytes(), nodes.tobytes(), edges.tobytes(), entries.tobytes())
-        return pd.DataFrame([row], columns=["shard", "ids", "copies", "vectors", "edges", "entries"])
+        row = (key[0], ids[by].tobytes(), rows[by].tobytes(), np.bincount(node_of.ravel()).astype("<i8").tobytes(), nodes.tobytes(), edges.tobytes(), entries.tobytes())
+        return pd.DataFrame([row], columns=["shard", "ids", "rows", "copies", "vectors", "edges", "entries"])
 
-    schema = "shard int, ids binary, copies binary, vectors binary, edges binary, entries binary"
+    schema = "shard int, ids binary, rows binary, copies binary, vectors binary, edges binary, entries binary"
     return dealt.groupBy("shard").applyInPandas(run, schema)
 
 
 def search(index: DataFrame, queries: DataFrame, dims: int, k: int, beam: int = SEARCH_BEAM) -> DataFrame:
-    """The ``k`` nearest found of each query (``vec_id, vector``), without the query's own id.
+    """The ``k`` nearest found of each query (``row, vec_id, vector``), without the query's own row.
 
     Queries are put in blocks, every block visits every shard, and a beam search walks the shard's graph
     for the whole block; the best of all shards are merged.
     """
     blocks = max(1, -(-queries.count() // QUERY_BLOCK))
-    dealt = queries.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int"))
+    dealt = queries.withColumn("block", F.pmod(F.xxhash64("row"), F.lit(blocks)).cast("int"))
 
     def gather(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         points = np.array(group["vector"].tolist(), dtype=np.float64)
-        row = (key[0], group["vec_id"].to_numpy().tobytes(), points.tobytes())
-        return pd.DataFrame([row], columns=["block", "query_ids", "points"])
+        row = (key[0], group["row"].to_numpy().tobytes(), group["vec_id"].to_numpy().tobytes(), points.tobytes())
+        return pd.DataFrame([row], columns=["block", "query_rows", "query_ids", "points"])
 
-    gathered = dealt.groupBy("block").applyInPandas(gather, "block int, query_ids binary, points binary")
+    gathered = dealt.groupBy("block").applyInPandas(gather, "block int, query_rows binary, query_ids binary, points binary")
     # A row per shard and block, joined by the shard's number.
     numbers = index.select(F.collect_set("shard").alias("shards"))
     visits = gathered.join(F.broadcast(numbers)).withColumn("shard", F.explode("shards")).drop("shards")
@@ -205,34 +205,37 @@ def search(index: DataFrame, queries: DataFrame, dims: int, k: int, beam: int =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                ids, copies = np.frombuffer(row["ids"], "<i8"), np.frombuffer(row["copies"], "<i8")
+                ids, rows, copies = (np.frombuffer(row[c], "<i8") for c in ("ids", "rows", "copies"))
                 vectors = np.frombuffer(row["vectors"], "<f8").reshape(-1, dims)
                 edges = np.frombuffer(row["edges"], "<i4").reshape(len(vectors), -1)
-                query_ids, points = np.frombuffer(row["query_ids"], "<i8"), np.frombuffer(row["points"], "<f8").reshape(-1, dims)
+                query_rows, query_ids = (np.frombuffer(row[c], "<i8").tolist() for c in ("query_rows", "query_ids"))
+                points = np.frombuffer(row["points"], "<f8").reshape(-1, dims)
                 entries, ends = np.frombuffer(row["entries"], "<i4"), np.cumsum(copies)
                 small = vectors.astype(np.float32)
                 out: dict[str, list] = {name: [] for name in FOUND.names}
                 for lot in range(0, len(points), BATCH):
                     places, _ = beam_search(small, edges, entries, points[lot : lot + BATCH].astype(np.float32), beam)
-                    for query, point, met in zip(query_ids[lot : lot + BATCH].tolist(), points[lot : lot + BATCH], places, strict=True):
+                    some = slice(lot, lot + BATCH)
+                    for own, query, point, met in zip(query_rows[some], query_ids[some], points[some], places, strict=True):
                         met = met[met >= 0]
                         score = np.sqrt(((vectors[met] - point) ** 2).sum(axis=1))
                         # Ids ascend within a node: more than k + 1 of its copies cannot be among the k.
                         best = sorted(
                             (s, i)
                             for s, m in zip(score.tolist(), met.tolist(), strict=True)
-                            for i in ids[ends[m] - copies[m] : ends[m]][: k + 1].tolist()
-                            if i != query
+                            for i, r in zip(*(x[ends[m] - copies[m] : ends[m]][: k + 1].tolist() for x in (ids, rows)), strict=True)
+                            if r != own
                         )[:k]
+                        out["query_row"] += [own] * len(best)
                         out["query_id"] += [query] * len(best)
                         out["vec_id"] += [i for _, i in best]
                         out["score"] += [s for s, _ in best]
                 yield records(out, FOUND)
 
     found = visits.join(index, "shard").drop("shard", "block")
-    found = found.select("ids", "copies", "vectors", "edges", "entries", "query_ids", "points")
-    hits = found.mapInArrow(run, "query_id long, vec_id long, score double")
-    ranked = hits.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy("score", "vec_id")))
+    found = found.select("ids", "rows", "copies", "vectors", "edges", "entries", "query_rows", "query_ids", "points")
+    hits = found.mapInArrow(run, "query_row long, query_id long, vec_id long, score double")
+    ranked = hits.withColumn("rank", F.row_number().over(W.partitionBy("query_row").orderBy("score", "vec_id")))
     return ranked.filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
@@ -242,7 +245,8 @@ def nearest_neighbours(vectors: DataFrame, every: int, k: int = 10, dims: int |
     ``score`` is the Euclidean distance of the original vectors in double precision; ties go to the
     smaller id. ``vectors`` has ``vec_id, embedding``; ``dims`` is by default the commonest size.
     Vectors that are null, zero, of another size or hold a null or non-finite component, and rows with a
-    null id, take no part. With fewer than ``k`` candidates all are given; an empty table gives no rows.
+    null id, take no part. Rows that repeat an id are vectors of their own: each is found, each is a query
+    if its id is one, and only its own row is no candidate of a query. With fewer than ``k`` candidates all are given; an empty table gives no rows.
     """
     if dims is None:
         dims = usual_size(vectors)

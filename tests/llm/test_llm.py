@@ -129,7 +129,6 @@ def test_shards(docs, empty, spark):
 
 def pieces_hold(pieces, rows, length):
     exact = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    exact.encode_special_tokens = True
     ids = {d: np.array([*exact.encode(t or "", add_special_tokens=False).ids, 0], "<u4") for d, t in rows}
     for d, own in ids.items():
         at = 0
@@ -153,6 +152,14 @@ def test_pack(docs, empty):
     assert queries.pack_documents(empty).count() == 0
 
 
+def test_texts_with_the_name_of_an_added_token(spark):
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "<|endoftext| >", "東京<|endoftext|>é.", "x<|endoftext|><|endoftext|>"]
+    rows = list(enumerate(texts))
+    pieces = queries.pack_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    pieces_hold(pieces, rows, 1024)
+    assert {p.doc_id: p.doc_tokens for p in pieces}[0] == 5
+
+
 def test_cuts_are_the_cheapest():
     for seed in range(30):
         draw = np.random.default_rng(seed)
@@ -338,7 +345,7 @@ def test_nearest_neighbours(spark, monkeypatch):
     vectors = draw.normal(size=(1500, 16)).astype(np.float32)
     vectors[100:400] = vectors[100]  # a heap of copies
     rows = [(i, v.tolist()) for i, v in enumerate(vectors)]
-    odd = [(1600, None), (1601, [0.0] * 16), (1602, [float("nan")] * 16), (1603, [1.0] * 3), (None, rows[1][1]), (1604, [None] * 16), rows[0]]
+    odd = [(1600, None), (1601, [0.0] * 16), (1602, [float("nan")] * 16), (1603, [1.0] * 3), (None, rows[1][1]), (1604, [None] * 16)]
     table = spark.createDataFrame(rows + odd, "vec_id long, embedding array<float>")
     got = {}
     for r in ann.nearest_neighbours(table, 50, dims=16).collect():
@@ -357,6 +364,38 @@ def test_nearest_neighbours(spark, monkeypatch):
     assert ann.nearest_neighbours(table.filter("vec_id < 3"), 2).count() == 4
 
 
+def test_rows_that_repeat_an_id_are_vectors_of_their_own(spark):
+    rows = [(0, 0.0), (1, 1.0), (2, 2.0), (3, 3.0), (3, 3.25), (3, 3.25), (4, 4.0), (5, 5.0), (5, 9.0)]
+    table = spark.createDataFrame([(i, [v, 1.0], "r") for i, v in rows], "vec_id long, embedding array<float>, row string")
+    got = sorted(tuple(r) for r in ann.nearest_neighbours(table, 5, k=4).select("query_id", "rank", "vec_id", "score").collect())
+    assert got == sorted(
+        [(0, 1, 1, 1.0), (0, 2, 2, 2.0), (0, 3, 3, 3.0), (0, 4, 3, 3.25)]
+        + [(5, 1, 4, 1.0), (5, 2, 3, 1.75), (5, 3, 3, 1.75), (5, 4, 3, 2.0)]
+        + [(5, 1, 5, 4.0), (5, 2, 4, 5.0), (5, 3, 3, 5.75), (5, 4, 3, 5.75)]
+    )
+
+
+def test_a_search_meets_a_part_of_its_shard(monkeypatch):
+    """Vectors around many centres: few distances, nearly all neighbours."""
+    draw = np.random.default_rng(3)
+    vectors = (np.repeat(draw.normal(size=(150, 12)), 40, axis=0) + 0.4 * draw.normal(size=(6000, 12))).astype(np.float32)
+    edges, entries = ann.build_graph(vectors, 16, 32)
+    met, plain = [0], ann._distances
+
+    def counted(vectors, at, points):
+        met[0] += int((at >= 0).sum())
+        return plain(vectors, at, points)
+
+    monkeypatch.setattr(ann, "_distances", counted)
+    points = vectors[::60]
+    places, _ = ann.beam_search(vectors, edges, entries, points, 32)
+    hits = 0
+    for point, row in zip(points, places, strict=True):
+        nearest = np.argsort(((vectors - point) ** 2).sum(axis=1), kind="stable")[:10]
+        hits += len(set(nearest.tolist()) & set(row.tolist()))
+    assert hits >= 0.95 * 10 * len(points) and met[0] < 0.1 * len(points) * len(vectors)
+
+
 def test_odd_sizes_do_not_set_the_dimension(spark):
     rows = [(i, [float(i), 1.0]) for i in range(6)]
     odd = [(10, [1.0, 2.0, 3.0]), *[(11 + i, [None] * 5) for i in range(9)], *[(None, [1.0] * 4)] * 9, *[(30 + i, [0.0] * 3) for i in range(9)]]
