@@ -7,6 +7,7 @@ from checks.base import query, r6, rounded, sql_r6, with_ctes
 from preptrail import schemas as S
 from preptrail.functions import clean
 from preptrail.operators import clustering, curves, distributions, features, peers, registry
+from preptrail.operators.ranking import numbered
 from preptrail.plans import predictor, reports
 from preptrail.session import cut_lineage
 
@@ -268,6 +269,80 @@ def silhouette_by_label(spark, sf):
     return rounded(clustering.silhouette_samples(points, "vec_id", ["label"]).drop("labelling"), "silhouette")
 
 
+@query(
+    """WITH e AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings),
+    sums AS (SELECT a.vec_id, a.label AS own, b.label AS other, sum(list_distance(a.v, b.v) ** 2) AS total FROM e a, e b GROUP BY 1, 2, 3),
+    sizes AS (SELECT label AS other, count(*) AS n FROM e GROUP BY 1),
+    ab AS (SELECT vec_id, own, max(CASE WHEN own = other THEN n END) AS size, max(CASE WHEN own = other THEN total / greatest(n - 1, 1) END) AS a,
+      min(CASE WHEN own <> other THEN total / n END) AS b FROM sums JOIN sizes USING (other) GROUP BY 1, 2)
+    SELECT vec_id, own AS cluster, """
+    + sql_r6("coalesce(CASE WHEN size > 1 AND greatest(a, b) > 0 THEN (b - a) / greatest(a, b) END, 0)")
+    + " AS silhouette FROM ab"
+)
+def squared_silhouette_by_label(spark, sf):
+    points = D.table(spark, sf, "embeddings").withColumnRenamed("embedding", "vector")
+    return rounded(clustering.squared_silhouette_samples(points, "vec_id", ["label"]).drop("labelling"), "silhouette")
+
+
+KMEANS_ROUNDS = 12
+
+#: k-means from given centres: for each k, vectors evenly spaced in the order of ids. A row of ``fits`` is a
+#: coordinate of a centre after a round; the last round's centres give labels, inertia and silhouettes.
+KMEANS_SQL = f"""WITH RECURSIVE ordered AS (
+  SELECT vec_id, embedding::DOUBLE[] AS v, row_number() OVER (ORDER BY vec_id) - 1 AS place, count(*) OVER () AS n FROM embeddings),
+cells AS (SELECT vec_id, unnest(range(len(v))) AS i, unnest(v) AS x FROM ordered),
+ks AS (SELECT unnest(range({S.K_MIN}, {S.K_MAX + 1})) AS k),
+fits AS (
+  SELECT 0 AS step, k, j AS c, i, x FROM ks, range({S.K_MAX}) r(j) JOIN ordered ON place = (j * n) // k JOIN cells USING (vec_id) WHERE j < k
+  UNION ALL
+  SELECT step + 1, k, c, i, avg(cells.x) FROM (
+    SELECT step, k, vec_id, min({{'d': d, 'c': c}}).c AS c FROM (
+      SELECT step, k, c, vec_id, sum((cells.x - fits.x) ** 2) AS d FROM fits JOIN cells USING (i) WHERE step < {KMEANS_ROUNDS} GROUP BY 1, 2, 3, 4)
+    GROUP BY 1, 2, 3) JOIN cells USING (vec_id) GROUP BY 1, 2, 3, 4),
+apart AS (
+  SELECT k, c, vec_id, sum((cells.x - fits.x) ** 2) AS d FROM fits JOIN cells USING (i) WHERE step = {KMEANS_ROUNDS} GROUP BY 1, 2, 3),
+labels AS (SELECT k, vec_id, min({{'d': d, 'c': c}}).c::INTEGER AS cluster, min(d) AS d FROM apart GROUP BY 1, 2),
+far AS (SELECT a.vec_id AS one, b.vec_id AS two, list_distance(a.v, b.v) AS far FROM ordered a, ordered b),
+sums AS (
+  SELECT a.k, one, a.cluster AS own, b.cluster AS other, sum(far) AS total, count(*) AS n
+  FROM far JOIN labels a ON a.vec_id = one JOIN labels b ON b.vec_id = two AND b.k = a.k GROUP BY 1, 2, 3, 4),
+ab AS (
+  SELECT k, one, max(CASE WHEN own = other THEN n END) AS size, max(CASE WHEN own = other THEN total / greatest(n - 1, 1) END) AS a,
+    min(CASE WHEN own <> other THEN total / n END) AS b FROM sums GROUP BY 1, 2),
+scores AS (SELECT k, avg(CASE WHEN size > 1 AND greatest(a, b) > 0 THEN (b - a) / greatest(a, b) ELSE 0 END) AS silhouette FROM ab GROUP BY 1),
+costs AS (SELECT k, sum(d) AS inertia FROM labels GROUP BY 1),
+chosen AS (SELECT min(k) AS k FROM scores WHERE silhouette = (SELECT max(silhouette) FROM scores))
+"""
+
+
+def _kmeans_from_given_centers(spark, sf) -> clustering.KSelection:
+    vectors = cut_lineage(D.table(spark, sf, "embeddings").select("vec_id", F.col("embedding").alias("vector")), "vectors")
+    ks, n = range(S.K_MIN, S.K_MAX + 1), vectors.count()
+    asked = {k: [j * n // k for j in range(k)] for k in ks}
+    placed = numbered(vectors, [F.col("vec_id")], "place", start=0)
+    found = placed.filter(F.col("place").isin(sorted({p for places in asked.values() for p in places})))
+    at = {r.place: r.vector for r in found.collect()}
+    starts = {k: [at[p] for p in places] for k, places in asked.items()}
+    return clustering.select_k(vectors, "vec_id", starts=starts, iterations=KMEANS_ROUNDS, tolerance=0.0)
+
+
+@query(
+    KMEANS_SQL
+    + f"SELECT k::INTEGER AS k, {sql_r6('silhouette')} AS silhouette, {sql_r6('inertia')} AS inertia, k = (SELECT k FROM chosen) AS chosen "
+    "FROM scores JOIN costs USING (k)"
+)
+def kmeans_from_given_centers(spark, sf):
+    """Inertia and silhouette of every k after a fixed number of rounds, and the k that is chosen."""
+    chosen = _kmeans_from_given_centers(spark, sf)
+    rows = [(k, s, i, k == chosen.best_k) for k, s, i in chosen.scores]
+    return rounded(spark.createDataFrame(rows, "k int, silhouette double, inertia double, chosen boolean"), "silhouette", "inertia")
+
+
+@query(KMEANS_SQL + "SELECT vec_id, cluster FROM labels WHERE k = (SELECT k FROM chosen)")
+def kmeans_labels_from_given_centers(spark, sf):
+    return _kmeans_from_given_centers(spark, sf).labels
+
+
 def _supplier_fit(spark, sf):
     return predictor.fit(dist(spark, sf), D.supplier_meta(spark, sf))
 

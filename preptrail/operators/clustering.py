@@ -1,11 +1,10 @@
 """k-means with restarts, choice of k, silhouette, projection and cluster summaries."""
 
-from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.clustering import KMeans, KMeansModel
+import pyarrow as pa
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
@@ -14,31 +13,16 @@ from pyspark.sql import functions as F
 from preptrail import schemas as S
 from preptrail.functions import pchip
 from preptrail.functions.clean import clamp
+from preptrail.operators import kmeans
 from preptrail.operators.ranking import top_n
 from preptrail.session import cut_lineage
 
-FITS_IN_FLIGHT = 16
-MAX_ITERATIONS = 300
-TOLERANCE = 1e-4
-SILHOUETTE_BLOCK_ROWS = 2048
+SILHOUETTE_BLOCK_ROWS = 8192
+#: Distances that a task holds at a time while it compares two blocks.
+SILHOUETTE_STEP = 4_000_000
 POINTS_PER_TASK = 100_000
 
 
-def _best_fits(points: DataFrame, ks: range, restarts: int) -> dict[int, KMeansModel]:
-    """Lowest-cost model per k; all fits are independent jobs that share the cluster."""
-
-    def fit(setting: tuple[int, int]) -> KMeansModel:
-        k, seed = setting
-        kmeans = KMeans(k=k, seed=seed, maxIter=MAX_ITERATIONS, tol=TOLERANCE, featuresCol="features")
-        return kmeans.fit(points)
-
-    settings = [(k, S.KMEANS_SEED + i) for k in ks for i in range(restarts)]
-    with ThreadPoolExecutor(FITS_IN_FLIGHT) as pool:
-        models = list(pool.map(fit, settings))
-    by_k = {k: [m for (fitted_k, _), m in zip(settings, models) if fitted_k == k] for k in ks}
-    return {k: min(fits, key=lambda m: m.summary.trainingCost) for k, fits in by_k.items()}
-
-
 @dataclass
 class KSelection:
     best_k: int
@@ -47,46 +31,56 @@ class KSelection:
     scores: list[tuple[int, float, float]]
 
 
-def select_k(vectors: DataFrame, id_col: str, restarts: int = S.KMEANS_RESTARTS) -> KSelection:
+def select_k(
+    vectors: DataFrame,
+    id_col: str,
+    restarts: int = S.KMEANS_RESTARTS,
+    starts: dict[int, list[list[float]]] | None = None,
+    iterations: int = kmeans.MAX_ITERATIONS,
+    tolerance: float = kmeans.TOLERANCE,
+    squared: bool = False,
+) -> KSelection:
     """Fit every k, score all of them in one silhouette pass, keep the best (lowest k on a tie).
 
-    ``vectors`` has an id and a ``vector`` array. Fits are independent jobs on the same stored
-    table, so several run at once.
+    ``vectors`` has an id and a ``vector`` array of one size. All models of all k advance together. ``starts``
+    gives the first centres of each k instead of drawn ones, one model each. ``squared`` scores by squared
+    distances, from sums per cluster (``squared_silhouette_samples``), where points are too many to compare
+    all pairs.
     """
-    points = cut_lineage(vectors.select(id_col, "vector"), "points")
+    points = vectors.select(id_col, F.col("vector").cast("array<double>").alias("vector"), F.xxhash64(id_col).alias("hash"))
+    points = cut_lineage(points, "points")
     n = points.count()
     points = points.coalesce(-(-n // POINTS_PER_TASK) or 1)
-    points = points.withColumn("features", array_to_vector(F.col("vector").cast("array<double>"))).persist()
     ks = range(S.K_MIN, S.K_MAX + 1) if n >= S.K_MAX else range(S.K_MIN, max(3, n))
-    try:
-        models = _best_fits(points, ks, restarts)
-        labelled = points
-        for k, model in models.items():
-            labelled = model.setPredictionCol(f"k{k}").transform(labelled)
-        labelled = cut_lineage(labelled.drop("features"), "labels")
-    finally:
-        points.unpersist()
-    means = mean_silhouette(labelled, id_col, [f"k{k}" for k in ks])
-    scores = [(k, float(means[f"k{k}"]), float(models[k].summary.trainingCost)) for k in ks]
+    if starts is None:
+        first = kmeans.seeds(points, ks, restarts, S.KMEANS_SEED)
+    else:
+        first = {k: [np.array(centers, dtype=float)] for k, centers in starts.items()}
+    settings = [(k, centers) for k, lots in first.items() for centers in lots]
+    fits = kmeans.lloyd(points, [centers for _, centers in settings], iterations, tolerance)
+    best = {k: min((f for (own, _), f in zip(settings, fits, strict=True) if own == k), key=lambda f: f.inertia) for k in first}
+    labelled = kmeans.assign(points, {f"k{k}": fit.centers for k, fit in best.items()}, [id_col, "vector"])
+    labelled = cut_lineage(labelled, "labels")
+    score = mean_squared_silhouette if squared else mean_silhouette
+    means = score(labelled, id_col, [f"k{k}" for k in best])
+    scores = [(k, float(means[f"k{k}"]), fit.inertia) for k, fit in best.items()]
     best_k = max(scores, key=lambda s: (s[1], -s[0]))[0]
     return KSelection(
-        best_k,
-        labelled.select(id_col, F.col(f"k{best_k}").alias("cluster")),
-        [c.tolist() for c in models[best_k].clusterCenters()],
-        scores,
+        best_k, labelled.select(id_col, F.col(f"k{best_k}").alias("cluster")), best[best_k].centers.tolist(), scores
     )
 
 
 def _distance_sums(left: pd.DataFrame, right: pd.DataFrame, labels: list[str]) -> pd.DataFrame:
     a, b = np.vstack(left["vector"]).astype(float), np.vstack(right["vector"]).astype(float)
-    squared = np.zeros((len(a), len(b)))
-    for axis in range(a.shape[1]):
-        squared += (a[:, axis, None] - b[None, :, axis]) ** 2
-    distance = np.sqrt(squared)
+    groups = {label: np.unique(right[label].to_numpy(), return_inverse=True) for label in labels}
+    sums: dict[str, list[np.ndarray]] = {label: [] for label in labels}
+    step = max(1, SILHOUETTE_STEP // max(1, len(b)))
+    for first in range(0, len(a), step):
+        distance = np.sqrt(kmeans.squared_distances(a[first : first + step], b))
+        for label, (codes, members) in groups.items():
+            sums[label].append(distance @ np.eye(len(codes))[members])
     parts = []
-    for label in labels:
-        codes, members = np.unique(right[label].to_numpy(), return_inverse=True)
-        sums = distance @ np.eye(len(codes))[members]
+    for label, (codes, _) in groups.items():
         parts.append(
             pd.DataFrame(
                 {
@@ -94,7 +88,7 @@ def _distance_sums(left: pd.DataFrame, right: pd.DataFrame, labels: list[str]) -
                     "labelling": label,
                     "own": np.repeat(left[label].to_numpy(), len(codes)),
                     "other": np.tile(codes, len(a)),
-                    "total": sums.ravel(),
+                    "total": np.concatenate(sums[label]).ravel(),
                 }
             )
         )
@@ -158,6 +152,52 @@ def mean_silhouette(points: DataFrame, id_col: str, label_cols: list[str]) -> di
     return {r["labelling"]: r["mean"] for r in samples.groupBy("labelling").agg(F.avg("silhouette").alias("mean")).collect()}
 
 
+def squared_silhouette_samples(points: DataFrame, id_col: str, label_cols: list[str]) -> DataFrame:
+    """Silhouette of every point by squared distances, in two passes over the points.
+
+    The mean squared distance from a point x to a cluster follows from the cluster's count, vector sum and
+    sum of squares, so no pair of points meets. These sums are as many as the clusters.
+    """
+    dim = points.select(F.max(F.size("vector"))).first()[0]
+    base = points.select(F.col(id_col), F.col("vector").cast("array<double>").alias("vector"), *[F.col(c).cast("int").alias(c) for c in label_cols])
+    sums: dict[str, tuple[np.ndarray, ...]] = {}
+    axes = [F.sum(F.col("vector")[a]) for a in range(dim)]
+    square = F.sum(F.aggregate("vector", F.lit(0.0), lambda s, x: s + x * x))
+    for label in label_cols:
+        rows = sorted(base.groupBy(label).agg(F.count("*"), square, *axes).collect())
+        table = np.array([r[1:] for r in rows], dtype=float).reshape(-1, dim + 2)
+        sums[label] = np.array([r[0] for r in rows]), table[:, 0], table[:, 1], table[:, 2:]
+
+    def run(batches):
+        for batch in batches:
+            x = kmeans.matrix(batch.column(1), dim)
+            length = (x * x).sum(axis=1)
+            for i, label in enumerate(label_cols):
+                codes, n, squares, total = sums[label]
+                own = np.searchsorted(codes, batch.column(2 + i).to_numpy(zero_copy_only=False))
+                apart = np.maximum(length[:, None] * n - 2 * (x @ total.T) + squares, 0.0)
+                rows = np.arange(len(x))
+                a = apart[rows, own] / np.maximum(n[own] - 1, 1)
+                others = apart / n
+                others[rows, own] = np.inf
+                b = others.min(axis=1)
+                spread = np.maximum(a, b)
+                ok = (n[own] > 1) & (spread > 0) & np.isfinite(b)
+                score = np.where(ok, (b - a) / np.where(ok, spread, 1.0), 0.0)
+                names = pa.array([label] * len(x), pa.string())
+                yield pa.RecordBatch.from_arrays(
+                    [names, batch.column(0), pa.array(codes[own], pa.int32()), pa.array(score)], names=["labelling", id_col, "cluster", "silhouette"]
+                )
+
+    kind = base.schema[id_col].dataType.simpleString()
+    return base.mapInArrow(run, f"labelling string, {id_col} {kind}, cluster int, silhouette double")
+
+
+def mean_squared_silhouette(points: DataFrame, id_col: str, label_cols: list[str]) -> dict[str, float]:
+    samples = squared_silhouette_samples(points, id_col, label_cols)
+    return {r["labelling"]: r["mean"] for r in samples.groupBy("labelling").agg(F.avg("silhouette").alias("mean")).collect()}
+
+
 def pca_projection(vectors: DataFrame, id_col: str, centers: list[list[float]] | None = None) -> DataFrame:
     """Two principal components of the centred vectors (and of the centroids), with explained ratios.
 

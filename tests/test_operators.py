@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from preptrail import schemas as S
 from preptrail.functions import clean
-from preptrail.operators import catalogue, clustering, curation, curves, distributions, encode, features, grams, peers, ranking, registry, retrieval, roadmap, search, tracks
+from preptrail.operators import catalogue, clustering, curation, curves, distributions, encode, features, grams, kmeans, peers, ranking, registry, retrieval, roadmap, search, tracks
 from preptrail.operators.ranking import first_per_key, numbered, ranked, top_n
 
 
@@ -117,6 +117,58 @@ def test_select_k_finds_three_groups(spark):
     assert [s[0] for s in tiny.scores] == [2, 3, 4]
 
 
+def plain_lloyd(points, centers, rounds):
+    for _ in range(rounds):
+        own = ((points[:, None] - centers) ** 2).sum(axis=2).argmin(axis=1)
+        centers = np.array([points[own == c].mean(axis=0) if (own == c).any() else centers[c] for c in range(len(centers))])
+    return centers, ((points[:, None] - centers) ** 2).sum(axis=2).min(axis=1).sum()
+
+
+def test_all_models_advance_together(spark):
+    rng = np.random.default_rng(9)
+    points = rng.normal(size=(400, 3))
+    df = spark.createDataFrame([(i, p.tolist()) for i, p in enumerate(points)], "i int, vector array<double>").repartition(5)
+    starts = [points[:2], points[5:9], np.vstack((points[:3], [[50.0, 50.0, 50.0]])), np.zeros((2, 3))]
+    for start, fit in zip(starts, kmeans.lloyd(df, starts, iterations=9, tolerance=0.0), strict=True):
+        centers, inertia = plain_lloyd(points, start, 9)
+        assert np.allclose(fit.centers, centers) and fit.inertia == pytest.approx(inertia)  # a far centre without points stays
+    assert len(kmeans.lloyd(df, starts[:1], iterations=0)) == 1
+
+
+def test_drawn_starts_do_not_depend_on_the_partitions(spark):
+    rng = np.random.default_rng(10)
+    points = np.repeat(rng.normal(size=(6, 2)) * 20, 50, axis=0) + rng.normal(size=(300, 2)) * 0.1
+    df = spark.createDataFrame([(i, p.tolist()) for i, p in enumerate(points)], "i int, vector array<double>").withColumn("hash", F.xxhash64("i"))
+    one, two = (kmeans.seeds(df.repartition(n), range(2, 7), 3, 42) for n in (1, 7))
+    assert all(np.array_equal(a, b) for k in one for a, b in zip(one[k], two[k], strict=True))
+    assert [len(s) for s in one[6]] == [6, 6, 6]
+    fits = kmeans.lloyd(df, one[6])
+    assert min(f.inertia for f in fits) < 300 * 2 * 0.1**2 * 1.5  # all six groups are found
+    same = spark.createDataFrame([(i, [1.0, 2.0], i) for i in range(9)], "i int, vector array<double>, hash long")
+    assert all(f.inertia == 0 for f in kmeans.lloyd(same, kmeans.seeds(same, range(2, 4), 2, 42)[3]))
+
+
+def test_squared_silhouettes(spark, monkeypatch):
+    monkeypatch.setattr(clustering, "SILHOUETTE_STEP", 100)
+    rng = np.random.default_rng(11)
+    points, labels = rng.normal(size=(60, 4)), np.array([0] * 20 + [1] * 39 + [7])
+    df = spark.createDataFrame([(i, p.tolist(), int(c), 3) for i, (p, c) in enumerate(zip(points, labels, strict=True))], "i int, vector array<double>, c int, one int")
+
+    def plain(far):
+        out = []
+        for i, own in enumerate(labels):
+            means = {c: far[i, labels == c].sum() / ((labels == c).sum() - (c == own) or 1) for c in (0, 1, 7)}
+            a, b = means.pop(own), min(means.values())
+            out.append((b - a) / max(a, b) if (labels == own).sum() > 1 else 0.0)
+        return out
+
+    squared = ((points[:, None] - points) ** 2).sum(axis=2)
+    for samples, far in ((clustering.squared_silhouette_samples, squared), (clustering.silhouette_samples, np.sqrt(squared))):
+        got = {r.i: r.silhouette for r in samples(df, "i", ["c", "one"]).filter("labelling = 'c'").collect()}
+        assert [got[i] for i in range(60)] == pytest.approx(plain(far))
+    assert clustering.mean_squared_silhouette(df, "i", ["one"]) == {"one": 0.0}
+
+
 def test_pca_keeps_the_main_axis(spark):
     data = [(i, [float(i), 0.1 * (-1) ** i, 0.0]) for i in range(10)]
     out = clustering.pca_projection(spark.createDataFrame(data, "id int, vector array<double>"), "id", [[4.5, 0.0, 0.0]]).collect()
