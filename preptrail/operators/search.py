@@ -1,10 +1,11 @@
-"""Exact nearest-vector search: broadcast blocks for few queries, a shuffled grid for many.
+"""Exact nearest-vector search: few queries go to the vectors in place, many meet the cells of an index.
 
 Either way a task scores whole blocks with one matrix product and keeps only the best rows per
-query, so the scored pairs are never materialised.
+query, so the scored pairs are never materialised. Cells that cannot hold any of a query's best rows are
+not visited (``cells``).
 """
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -14,7 +15,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from preptrail.operators import cells
 from preptrail.operators.ranking import first_per_key, top_n
+from preptrail.session import cut_lineage
 
 MAX_BROADCAST_QUERIES = 20_000
 MAX_BROADCAST_VALUES = 4_000_000
@@ -44,7 +47,6 @@ class SearchSpec:
     distinct: str | None = None
     metric: str = "dot"
     precision: int = 9
-    keep_missing: bool = False
     carry: tuple[str, ...] = ()
 
     def columns(self) -> list[str]:
@@ -111,9 +113,7 @@ def _block_best(q_pos, queries, cands, c_pos, limits, spec: SearchSpec) -> list[
     for start in range(0, len(q_pos), step):
         rows = q_pos[start : start + step]
         score = _scores(queries["matrix"][rows], vectors, spec)
-        missing = np.isnan(score)
-        dropped = np.zeros_like(missing) if spec.keep_missing else missing.copy()
-        score[missing] = -np.inf
+        dropped = np.isnan(score)
         if spec.differ:
             dropped |= queries["differ"][rows][:, None] == cands["differ"][c_pos][None, :]
         score[dropped] = -np.inf
@@ -142,9 +142,7 @@ def _pairs_found(c_pos, groups, queries, cands, spec: SearchSpec) -> list[pd.Dat
         q_pos = queries["order"][np.repeat(queries["start"][groups[part]], n) + within]
         pos = np.repeat(c_pos[part], n)
         score = _pair_scores(queries["matrix"][q_pos], cands["matrix"][pos], spec)
-        missing = np.isnan(score)
-        score[missing] = -np.inf
-        kept = np.ones(len(pos), dtype=bool) if spec.keep_missing else ~missing
+        kept = ~np.isnan(score)
         if spec.differ:
             kept &= queries["differ"][q_pos] != cands["differ"][pos]
         out.append(_found(q_pos[kept], pos[kept], score[kept], cands, spec))
@@ -170,11 +168,11 @@ def _search_block(queries: dict, cands: dict, limits: np.ndarray, spec: SearchSp
     return out
 
 
-def _query_side(frame: pd.DataFrame, spec: SearchSpec, dim: int) -> dict:
+def _query_side(frame: pd.DataFrame, spec: SearchSpec, matrix: np.ndarray) -> dict:
     """Queries as arrays, with their positions listed group by group."""
     side = {
         "query_id": frame["query_id"].to_numpy(),
-        "matrix": _matrix(frame[spec.vector].tolist(), dim),
+        "matrix": matrix,
         "differ": frame[spec.differ].to_numpy() if spec.differ else None,
     }
     if spec.on:
@@ -223,7 +221,7 @@ def _with_asked_keys(index: DataFrame, rows: pd.DataFrame, spec: SearchSpec) ->
 
 def _broadcast_search(index: DataFrame, rows: pd.DataFrame, dim: int, spec: SearchSpec, schema) -> DataFrame:
     """Scan the vectors once, in place; every task holds the few queries and its running best."""
-    shared = index.sparkSession.sparkContext.broadcast((_query_side(rows, spec, dim), rows["k"].to_numpy()))
+    shared = index.sparkSession.sparkContext.broadcast((_query_side(rows, spec, _matrix(rows[spec.vector].tolist(), dim)), rows["k"].to_numpy()))
     arrow_schema = to_arrow_schema(schema)
 
     def scan(batches):
@@ -260,49 +258,89 @@ def _broadcast_search(index: DataFrame, rows: pd.DataFrame, dim: int, spec: Sear
 
 
 def _grid_search(index: DataFrame, queries: DataFrame, dim: int, spec: SearchSpec, schema) -> DataFrame:
-    """Shuffle both sides into cells of bounded size that hold all matching pairs.
+    """Shuffle both sides into parts of bounded size that hold all matching pairs.
 
-    Small key groups share a cell, picked by a hash of their keys. A group with more rows or
-    queries than a cell should hold is split: its rows into blocks, its queries into chunks, with
-    one cell for every block and chunk.
+    Small key groups share a part, picked by a hash of their keys. A group with more rows or
+    queries than a part should hold is split: its rows into blocks, its queries into chunks, with
+    one part for every block and chunk.
     """
     index, queries = index.withColumn("_all", F.lit(0)), queries.withColumn("_all", F.lit(0))
     keys = list(spec.on) or ["_all"]
-    n_cells = max(1, -(-index.count() // BLOCK_ROWS))
+    n_parts = max(1, -(-index.count() // BLOCK_ROWS), -(-queries.count() // QUERY_CHUNK))
 
     def pieces(df: DataFrame, rows: int, name: str) -> DataFrame:
         sized = df.groupBy(*keys).agg(F.ceil(F.count("*") / rows).cast("int").alias(name))
         return sized.filter(F.col(name) > 1)
 
     hot = pieces(index, BLOCK_ROWS, "_blocks").join(pieces(queries, QUERY_CHUNK, "_chunks"), keys, "full_outer").fillna(1)
-    own_cell = F.pmod(F.xxhash64(*keys), F.lit(n_cells)).cast("int")
+    own_part = F.pmod(F.xxhash64(*keys), F.lit(n_parts)).cast("int")
 
     def dealt(df: DataFrame, id_col: str, own: str, own_count: str, other: str, other_count: str):
         placed = df.join(hot, keys, "left").fillna(1, ["_blocks", "_chunks"])
         placed = placed.withColumn(own, F.pmod(F.xxhash64(id_col), F.col(own_count)).cast("int"))
         placed = placed.withColumn(other, F.explode(F.sequence(F.lit(0), F.col(other_count) - 1)))
-        return placed.withColumn("_cell", own_cell).groupBy("_cell", "_b", "_c")
+        return placed.withColumn("_part", own_part).groupBy("_part", "_b", "_c")
 
     left = dealt(index, spec.id_col, "_b", "_blocks", "_c", "_chunks")
     right = dealt(queries, "query_id", "_c", "_chunks", "_b", "_blocks")
+    arrow_schema = to_arrow_schema(schema)
+    nothing = arrow_schema.empty_table()
 
-    def cell(block: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+    def part(block: pa.Table, asked: pa.Table) -> pa.Table:
         if not len(block) or not len(asked):
-            return pd.DataFrame(columns=schema.names)
-        side, limits = _query_side(asked, spec, dim), asked["k"].to_numpy()
+            return nothing
+        block, asked = block.combine_chunks(), asked.combine_chunks()
+        points = _arrow_matrix(asked.column(spec.vector).combine_chunks(), dim)
+        frame = asked.drop_columns([spec.vector]).to_pandas()
+        side, limits = _query_side(frame, spec, points), frame["k"].to_numpy()
+
+        def values(name: str) -> np.ndarray:
+            return block.column(name).to_pandas().to_numpy()
+
         cands = {
-            "id": block[spec.id_col].to_numpy(),
-            "matrix": _matrix(block[spec.vector].tolist(), dim),
-            "on": [block[c].to_numpy() for c in spec.on],
-            "differ": block[spec.differ].to_numpy() if spec.differ else None,
-            "returned": {name: block[name].to_numpy() for name in spec.returned()},
+            "id": values(spec.id_col),
+            "matrix": _arrow_matrix(block.column(spec.vector).combine_chunks(), dim),
+            "on": [values(c) for c in spec.on],
+            "differ": values(spec.differ) if spec.differ else None,
+            "returned": {name: values(name) for name in spec.returned()},
         }
         found = [f for f in _search_block(side, cands, limits, spec) if len(f)]
         if not found:
-            return pd.DataFrame(columns=schema.names)
-        return _result(_best(pd.concat(found, ignore_index=True), limits, spec), side, spec)
+            return nothing
+        best = _result(_best(pd.concat(found, ignore_index=True), limits, spec), side, spec)
+        return pa.Table.from_pandas(best, schema=arrow_schema, preserve_index=False)
+
+    return left.cogroup(right).applyInArrow(part, schema)
+
+
+def _ranked(partial: DataFrame, k_max: int, spec: SearchSpec) -> DataFrame:
+    """The best rows of each query among those that tasks found."""
+    if spec.distinct:
+        partial = first_per_key(partial, ["query_id", spec.distinct], [-F.col("score"), F.col(spec.id_col)])
+    return top_n(partial, ["query_id"], [F.col("score").desc(), F.col(spec.id_col)], k_max)
+
 
-    return left.cogroup(right).applyInPandas(cell, schema)
+def _cell_search(index: DataFrame, queries: DataFrame, dim: int, k_max: int, spec: SearchSpec, schema) -> DataFrame:
+    """Deal the index to cells around pivots; each query meets the cells next to it and then those whose bound
+    reaches its ``k``-th best score so far. A query with fewer rows found meets all cells of its group.
+    """
+    on = list(spec.on)
+    matched = index.dropna(subset=on) if on else index
+    asked = cut_lineage(queries, "asked")
+    pivots = cells.choose_pivots(matched, spec.id_col, spec.vector, on)
+    placed = cut_lineage(cells.with_cells(matched, spec.vector, on, pivots, dim), "cells")
+    known = cells.measured(placed, on, pivots, spec.metric)
+    in_cells = replace(spec, on=(*on, "_cell"))
+    first = cells.visits(asked, spec.vector, on, known, dim)
+    near = cut_lineage(_grid_search(placed, first, dim, in_cells, schema), "near")
+    if not pivots:
+        return near
+    limits = asked.groupBy("query_id").agg(F.max("k").alias("k"))
+    ranked = _ranked(near, k_max, spec).select("query_id", "score", "rank").join(limits, "query_id").filter("rank = k")
+    least = asked.join(ranked.select("query_id", F.col("score").alias("_reached")), "query_id", "left")
+    rest = cells.visits(least, spec.vector, on, known, dim, F.col("_reached")).drop("_reached")
+    rest = cut_lineage(rest, "visits")
+    return near.unionByName(_grid_search(placed, rest, dim, in_cells, schema))
 
 
 def search(
@@ -311,33 +349,34 @@ def search(
     """Best ``k`` rows of ``index`` for each query: query_id, id, score, carried columns, rank.
 
     ``queries`` has ``query_id``, the vector and the columns of ``spec.on`` and ``spec.differ``;
-    several rows may share a ``query_id`` (one per peer, say). ``k`` may differ per query. Queries are read
-    by several jobs that run at once when this is called; store them first where they are costly to make.
+    several rows may share a ``query_id`` (one per peer, say). ``k`` may differ per query. Rows and queries
+    without a vector take no part. Queries are read by several jobs that run at once when this is called;
+    store them first where they are costly to make.
+
+    Up to ``max_broadcast`` queries are sent to the vectors, which stay where they are; with more the
+    vectors are dealt to cells. The result is the same.
     """
-    present = F.lit(True) if spec.keep_missing else F.col(spec.vector).isNotNull()
+    present = F.col(spec.vector).isNotNull()
     wanted = list(dict.fromkeys(c for c in (spec.vector, *spec.on, spec.differ) if c))
     asked = queries.filter(present).select("query_id", F.lit(k).alias("k") if isinstance(k, int) else k.alias("k"), *wanted)
     asked = asked.filter(F.col("k") > 0)
     vectors = index.filter(present).select(*spec.columns())
     schema = _result_schema(index, queries, spec)
 
-    first = asked.filter(F.col(spec.vector).isNotNull()).select(F.size(spec.vector)).first()
-    if first is None and asked.isEmpty():
+    first = asked.select(F.size(spec.vector)).first()
+    if first is None:
         return index.sparkSession.createDataFrame([], schema).withColumn("rank", F.lit(0))
-    dim = first[0] if first else index.select(F.max(F.size(spec.vector))).first()[0]
+    dim = first[0]
     fitting = min(max_broadcast, MAX_BROADCAST_VALUES // dim)
     rows = asked.limit(fitting + 1).toPandas()
     if len(rows) <= fitting:
         partial = _broadcast_search(vectors, rows, dim, spec, schema)
         k_max = int(rows["k"].max())
     else:
-        partial = _grid_search(vectors, asked, dim, spec, schema)
         k_max = asked.agg(F.max("k")).first()[0]
+        partial = _cell_search(vectors, asked, dim, k_max, spec, schema)
 
-    order = [F.col("score").desc(), F.col(spec.id_col)]
-    if spec.distinct:
-        partial = first_per_key(partial, ["query_id", spec.distinct], [-F.col("score"), F.col(spec.id_col)])
-    ranked = top_n(partial, ["query_id"], order, k_max)
+    ranked = _ranked(partial, k_max, spec)
     if isinstance(k, int):
         return ranked
     limits = asked.groupBy("query_id").agg(F.max("k").alias("k"))

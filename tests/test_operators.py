@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from preptrail import schemas as S
 from preptrail.functions import clean
-from preptrail.operators import catalogue, clustering, curation, curves, distributions, encode, features, grams, kmeans, peers, ranking, registry, retrieval, roadmap, search, tracks
+from preptrail.operators import catalogue, cells, clustering, curation, curves, distributions, encode, features, grams, kmeans, peers, ranking, registry, retrieval, roadmap, search, tracks
 from preptrail.operators.ranking import first_per_key, numbered, ranked, top_n
 
 
@@ -288,6 +288,65 @@ def test_search_equals_brute_force(spark, small_search, spec, max_broadcast):
     assert [g[2] for g in got] == pytest.approx([w[2] for w in want], abs=1e-8)
 
 
+@pytest.mark.parametrize("cell_rows", [4, 30])
+@pytest.mark.parametrize(
+    "spec",
+    [
+        search.SearchSpec(),
+        search.SearchSpec(metric="l2"),
+        search.SearchSpec(on=("level",), metric="l2", differ="company"),
+        search.SearchSpec(on=("level",), differ="company", distinct="link"),
+    ],
+)
+def test_search_by_cells_equals_brute_force(spark, small_search, monkeypatch, spec, cell_rows):
+    monkeypatch.setattr(cells, "CELL_ROWS", cell_rows)
+    rng = np.random.default_rng(cell_rows)
+    centres = rng.normal(size=(8, 3)) * 6
+
+    def make(i):
+        return {
+            "id": i, "vector": np.round(centres[i % 8] + rng.normal(size=3), 2).tolist(), "company": int(rng.integers(0, 4)),
+            "level": [None, "hot", "hot", "hot", "small"][rng.integers(0, 5)], "link": f"u{rng.integers(0, 60)}",
+        }
+
+    index = [make(i) for i in range(500)]
+    queries = [{**make(i), "query_id": f"q{i:02}", "k": 1 + i % 7} for i in range(25)]
+    queries[3]["vector"] = [0.0, 0.0, 0.0]
+    schema = "id int, vector array<double>, company int, level string, link string"
+    asked = spark.createDataFrame(queries, schema + ", query_id string, k int").drop("id", "link")
+    found = search.search(spark.createDataFrame(index, schema).repartition(5), asked, F.col("k"), spec, max_broadcast=0)
+    got = sorted((r["query_id"], r["id"], r["rank"]) for r in found.collect())
+    stated = [q for q in queries if "level" not in spec.on or q["level"]]
+    assert got == sorted((w[0], w[1], w[3]) for q in stated for w in _brute(index, [q], spec, q["k"]))
+
+
+def test_queries_skip_distant_cells(spark, monkeypatch):
+    """Members of a clustered group compare fewer than a fifth of all pairs."""
+    rng = np.random.default_rng(12)
+    centres = rng.normal(size=(40, 4)) * 10
+    members = spark.createDataFrame(
+        [(f"c{i:04}", i % 2, (centres[i % 40] + rng.normal(size=4)).tolist()) for i in range(4000)], "company string, cluster int, vector array<double>"
+    ).withColumns({"query_id": F.col("company"), "k": F.lit(10)})
+    monkeypatch.setattr(cells, "CELL_ROWS", 64)
+    on = ["cluster"]
+    pivots = cells.choose_pivots(members, "company", "vector", on)
+    placed = cells.with_cells(members, "vector", on, pivots, 4).cache()
+    known = cells.measured(placed, on, pivots, "l2")
+    spec = search.SearchSpec(id_col="company", on=("cluster",), differ="company", metric="l2")
+    exact = search.search(members, members.sample(0.05, 3), 10, spec)
+    least = exact.filter("rank = 10").select("query_id", "score")
+    asked = members.join(least, "query_id")
+    first = cells.visits(asked, "vector", on, known, 4)
+    rest = cells.visits(asked, "vector", on, known, 4, F.col("score"))
+    sizes = placed.groupBy("cluster", "_cell").count()
+    visits_ = first.select("query_id", "cluster", "_cell").union(rest.select("query_id", "cluster", "_cell"))
+    met = visits_.join(sizes, ["cluster", "_cell"]).agg(F.sum("count")).first()[0]
+    every = asked.count() * 2000
+    skipped = asked.count() * sum(len(p) for p in pivots.values()) / 2 - visits_.count()
+    assert met < every / 5 and skipped > 0
+    placed.unpersist()
+
+
 def test_search_skips_missing_vectors_and_formats_hits(spark):
     index = spark.createDataFrame([(0, [0.1]), (1, [0.5]), (2, None)], "id int, vector array<float>")
     asked = spark.createDataFrame([("q", [1.0])], "query_id string, vector array<float>")
