@@ -8,7 +8,7 @@ from preptrail.functions import clean
 from preptrail.operators import catalogue
 from preptrail.plans.prepare import append_company_meta
 from preptrail.session import scratch_path
-from preptrail.sources import readers, writers
+from preptrail.sources import readers, versions, writers
 
 # --- A raw text feed with untidy values, one row per problem ----------------
 FEED = """feed AS (
@@ -105,19 +105,49 @@ def company_meta_appended(spark, sf):
 
 
 @query(
-    """SELECT vec_id AS id, CASE WHEN vec_id % 3 = 0 THEN 'new' ELSE 'old' END AS title, CASE WHEN vec_id % 3 = 0 THEN 2 ELSE 1 END * embedding[1]::DOUBLE AS first
-    FROM embeddings UNION ALL SELECT -1 - vec_id, 'new', 2 * embedding[1]::DOUBLE FROM embeddings WHERE vec_id % 3 <> 0"""
+    """SELECT vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN 'third' WHEN vec_id % 3 = 0 THEN 'new' ELSE 'old' END AS title,
+      CASE WHEN vec_id % 7 = 0 THEN 3 WHEN vec_id % 3 = 0 THEN 2 ELSE 1 END * embedding[1]::DOUBLE AS first FROM embeddings
+    UNION ALL SELECT -1 - vec_id, 'new', 2 * embedding[1]::DOUBLE FROM embeddings WHERE vec_id % 3 <> 0"""
 )
 def vectors_upserted(spark, sf):
-    """New rows for a third of the stored ids and under ids that were not there, each new row twice."""
+    """New rows for a third of the stored ids and under ids that were not there, each new row twice; some buckets
+    are compacted; then a seventh of the stored ids twice more."""
     path = scratch_path(spark, "vectors")
     stored = D.table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.lit("old").alias("title"), F.col("embedding").alias("vector"))
     writers.rebuild_vectors(stored, path)
     target = F.when(F.col("id") % 3 == 0, F.col("id")).otherwise(-1 - F.col("id"))
-    doubled = F.transform("vector", lambda x: (x * 2).cast("float"))
-    new = stored.select(target.alias("id"), F.lit("new").alias("title"), doubled.alias("vector"))
+
+    def times(factor):
+        return F.transform("vector", lambda x: (x * factor).cast("float"))
+
+    new = stored.select(target.alias("id"), F.lit("new").alias("title"), times(2).alias("vector"))
     writers.upsert_vectors(new.unionByName(new.withColumn("title", F.lit("newer"))), path, F.col("title"))
-    return readers.read_table(spark, path).select("id", "title", F.col("vector")[0].cast("double").alias("first"))
+    writers.vector_table(spark, path).compact(list(range(0, 16, 2)))
+    for title, factor in (("second", 5), ("third", 3)):
+        part = stored.filter("id % 7 = 0").select("id", F.lit(title).alias("title"), times(factor).alias("vector"))
+        writers.upsert_vectors(part, path)
+    writers.vector_table(spark, path).compact([0, 1, 2])
+    return readers.read_vectors(spark, path).select("id", "title", F.col("vector")[0].cast("double").alias("first"))
+
+
+@query(
+    """SELECT 'companies' AS part, s_suppkey::BIGINT AS id, s_name AS name FROM supplier
+    UNION ALL SELECT 'problems', n_nationkey::BIGINT, n_name FROM nation"""
+)
+def catalogue_survives_a_failed_load(spark, sf):
+    """Two tables that are stored together; a forced load whose second table fails leaves both."""
+    path = scratch_path(spark, "catalogue")
+    companies = D.table(spark, sf, "supplier").select(F.col("s_suppkey").cast("long").alias("id"), F.col("s_name").alias("name"))
+    problems = D.table(spark, sf, "nation").select(F.col("n_nationkey").cast("long").alias("id"), F.col("n_name").alias("name"))
+    versions.write_set({"companies": companies, "problems": problems}, path)
+    broken = problems.withColumn("name", F.raise_error(F.lit("broken on purpose")).cast("string"))
+    try:
+        versions.write_set({"companies": companies.limit(1), "problems": broken}, path, force=True)
+    except Exception as failed:
+        if "broken on purpose" not in str(failed):
+            raise
+    parts = [versions.read_set(spark, path, name).withColumn("part", F.lit(name)) for name in ("companies", "problems")]
+    return parts[0].union(parts[1]).select("part", "id", "name")
 
 
 @query(
@@ -142,7 +172,7 @@ def registry_parquet_roundtrip(spark, sf):
     source, target = scratch_path(spark, "registry-csv"), scratch_path(spark, "registry")
     writers.write_csv(raw, source)
     writers.write_registry(readers.read_registry_csv(spark, source), target)
-    stored = readers.registry_rows(readers.read_table(spark, target), F.lit(0)).drop("row_no")
+    stored = readers.read_registry(spark, target).drop("row_no")
     return stored.groupBy(*stored.columns).agg(F.count("*").alias("n"))
 
 

@@ -170,7 +170,7 @@ def _stored(index):
     """Vector table as it is served: written once, then searched."""
     path = scratch_path(index.sparkSession, "vectors")
     writers.rebuild_vectors(index, path)
-    return readers.read_table(index.sparkSession, path)
+    return readers.read_vectors(index.sparkSession, path)
 
 
 def _solution_index(spark, sf):

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from checks import domain as D
 from checks.base import query, rounded, sql_r6, with_ctes
 from preptrail.operators import tracks
-from preptrail.session import scratch_path
+from preptrail.session import cut_lineage, scratch_path
 from preptrail.streaming.toggles import latest_progress, progress_stream
 
 
@@ -120,10 +120,13 @@ def progress_from_toggles(spark, sf):
 
 @query(with_ctes(D.TOGGLES) + PROGRESS)
 def progress_stream_from_toggles(spark, sf):
-    """The event log replayed as a stream of files, folded batch by batch."""
-    log, target = scratch_path(spark, "toggle-log"), scratch_path(spark, "progress")
-    D.toggles(spark, sf).repartition(4).write.parquet(log)
-    schema = spark.read.parquet(log).schema
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 2).parquet(log)
-    progress_stream(stream, target, scratch_path(spark, "progress-state")).awaitTermination()
-    return latest_progress(spark.read.parquet(target))
+    """The event log replayed as a stream of files, folded batch by batch. Every third toggle is delivered twice,
+    half of the log before a restart and all of it, the first half again, after it."""
+    log, target, states = (scratch_path(spark, name) for name in ("toggle-log", "progress", "progress-state"))
+    toggles = cut_lineage(D.toggles(spark, sf).withColumn("toggle_id", F.monotonically_increasing_id()), "toggles")
+    twice = toggles.union(toggles.filter("toggle_id % 3 = 0"))
+    for part in (twice.filter("toggle_id % 2 = 0"), twice):
+        part.repartition(4).write.mode("append").parquet(log)
+        stream = spark.readStream.schema(toggles.schema).option("maxFilesPerTrigger", 2).parquet(log)
+        progress_stream(stream, target, states).awaitTermination()
+    return latest_progress(spark, target)

@@ -6,15 +6,24 @@ from pyspark.sql import functions as F
 from preptrail import schemas as S
 from preptrail.operators import catalogue, distributions, encode, registry
 from preptrail.operators.encode import TextEncoder
+from preptrail.session import cut_lineage
 from preptrail.sources import readers, writers
+from preptrail.sources.versions import read_set, write_set
 
 
 def load_catalogue(feed: DataFrame, order: Column, path: str, force: bool = False) -> bool:
-    """Store the companies and problems of a feed once; ``force`` replaces them."""
-    typed = catalogue.typed_problems(feed)
-    companies = catalogue.company_keys(feed, order)
-    loaded = writers.load_table(catalogue.with_company_key(typed, companies), f"{path}/problems", force)
-    return writers.load_table(companies, f"{path}/companies", force) and loaded
+    """Store the companies and problems of a feed once; ``force`` replaces them, both at the same time.
+
+    A load that fails on the way leaves both as they were.
+    """
+    companies = cut_lineage(catalogue.company_keys(feed, order), "companies")
+    problems = catalogue.with_company_key(catalogue.typed_problems(feed), companies)
+    return write_set({"companies": companies, "problems": problems}, path, force)
+
+
+def read_catalogue(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """The stored companies and problems."""
+    return read_set(spark, path, "companies"), read_set(spark, path, "problems")
 
 
 def store_distributions(feed: DataFrame, path: str) -> None:

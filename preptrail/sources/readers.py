@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from preptrail import schemas as S
+from preptrail.sources.versions import KeyedTable
 
 log = logging.getLogger(__name__)
 
@@ -60,6 +61,19 @@ def read_registry_csv(spark: SparkSession, path: str) -> DataFrame:
     return trim_registry(spark.read.option("header", True).option("escape", '"').csv(path))
 
 
+def read_registry(spark: SparkSession, path: str) -> DataFrame:
+    """Stored registry in the names used by the matchers, in the order of its rows.
+
+    ``row_no`` grows with the file, by name, and the row's place in it, so it stays the same whenever the
+    table is read, however it is split into tasks.
+    """
+    stored = spark.read.parquet(path).select("*", "_metadata.file_name", "_metadata.row_index")
+    names = sorted(r[0] for r in stored.select("file_name").distinct().collect())  # one row per file
+    files = spark.createDataFrame(list(enumerate(names)), "_number long, file_name string")
+    placed = stored.join(F.broadcast(files), "file_name")
+    return registry_rows(placed, F.shiftleft("_number", 40) + F.col("row_index"))
+
+
 def registry_rows(stored: DataFrame, row_no: Column) -> DataFrame:
     """Registry in the names used by the matchers; ``row_no`` is its order."""
 
@@ -98,6 +112,12 @@ def read_preference_pairs(spark: SparkSession, path: str, array: bool = False) -
     return spark.read.schema(S.PREFERENCE_PAIRS).option("multiLine", array).json(path)
 
 
+def read_vectors(spark: SparkSession, path: str, where: Column | None = None) -> DataFrame:
+    """Newest rows of a vector table."""
+    df = KeyedTable(spark, path, ["id"]).read()
+    return df if where is None else df.filter(where)
+
+
 def read_table(spark: SparkSession, path: str, where: Column | None = None) -> DataFrame:
     """Stored table; a filter on it reaches the scan."""
     df = spark.read.parquet(path)

@@ -1,11 +1,11 @@
 """Writers for distributions, metadata, feeds, tables and vector tables."""
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 
-from preptrail.operators.ranking import first_per_key
 from preptrail.schemas import PREFERENCE_PAIRS
 from preptrail.session import cut_lineage
 from preptrail.sources.readers import path_exists
+from preptrail.sources.versions import KeyedTable
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
@@ -44,21 +44,22 @@ def load_table(df: DataFrame, path: str, force: bool = False) -> bool:
     return True
 
 
+def vector_table(spark: SparkSession, path: str) -> KeyedTable:
+    return KeyedTable(spark, path, ["id"])
+
+
 def rebuild_vectors(vectors: DataFrame, path: str) -> None:
-    """Replace a whole vector table; rows that may come from it are staged before it goes."""
-    staged = cut_lineage(vectors, "vectors") if path_exists(vectors.sparkSession, path) else vectors
-    staged.write.mode("overwrite").parquet(path)
+    """Replace a whole vector table at once; the rows may come from it."""
+    vector_table(vectors.sparkSession, path).rebuild(vectors)
 
 
 def upsert_vectors(vectors: DataFrame, path: str, order: Column | None = None) -> None:
     """Add rows to a vector table; an id already stored takes its new row.
 
-    ``order`` picks the row kept when the new rows repeat an id.
+    ``order`` picks the row kept when the new rows repeat an id. Stored rows are not written again; once
+    reads merge too many upserts, the table is compacted.
     """
-    spark = vectors.sparkSession
-    if order is not None:
-        vectors = first_per_key(vectors, ["id"], [order])
-    if path_exists(spark, path):
-        kept = spark.read.parquet(path).join(vectors.select("id"), "id", "left_anti")
-        vectors = kept.unionByName(vectors, allowMissingColumns=True)
-    rebuild_vectors(vectors, path)
+    table = vector_table(vectors.sparkSession, path)
+    table.upsert(vectors, order)
+    if table.crowded():
+        table.compact()

@@ -1,24 +1,39 @@
 """Progress kept up to date from a stream of toggles."""
 
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from preptrail.operators.tracks import progress_from_toggles
+from preptrail.sources.versions import KeyedTable
+
+#: Key of a stored state, and the column that tells one toggle from another.
+KEYS = ["user_id", "item_id"]
+TOGGLE_ID = "toggle_id"
+
+
+def progress_table(spark: SparkSession, path: str) -> KeyedTable:
+    return KeyedTable(spark, path, KEYS)
 
 
 def progress_stream(toggles: DataFrame, target: str, checkpoint: str) -> StreamingQuery:
-    """Write the changed (user, item) states of every micro-batch to a table of state versions.
+    """Keep the state of every (user, item) in a keyed table, micro-batch by micro-batch.
 
-    Update mode sends only keys touched by the batch. A retried batch overwrites its own folder,
-    so the table stays exact after a failure; :func:`latest_progress` reads the newest version.
+    Toggles with a ``toggle_id`` count once, however often and in whatever batch they are delivered: the
+    stream's state remembers their ids. Update mode sends only keys touched by the batch, which the table
+    takes as a delta; a batch that is retried after it was stored is not stored again. When reads would
+    merge too many deltas the table is compacted, so what :func:`latest_progress` reads is bounded by the
+    number of keys, not of batches.
     """
+    once = toggles.dropDuplicates([TOGGLE_ID]) if TOGGLE_ID in toggles.columns else toggles
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{target}/batch_id={batch_id}")
+        table = progress_table(batch.sparkSession, target)
+        table.upsert(batch, batch=batch_id)
+        if table.crowded():
+            table.compact()
 
     return (
-        progress_from_toggles(toggles)
+        progress_from_toggles(once)
         .writeStream.outputMode("update")
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
@@ -27,7 +42,6 @@ def progress_stream(toggles: DataFrame, target: str, checkpoint: str) -> Streami
     )
 
 
-def latest_progress(versions: DataFrame) -> DataFrame:
+def latest_progress(spark: SparkSession, path: str) -> DataFrame:
     """Newest state of every (user, item)."""
-    state = F.max_by(F.struct("n_toggles", "is_completed"), "batch_id").alias("s")
-    return versions.groupBy("user_id", "item_id").agg(state).select("user_id", "item_id", "s.*")
+    return progress_table(spark, path).read().select(*KEYS, "n_toggles", "is_completed")

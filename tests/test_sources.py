@@ -8,7 +8,7 @@ from preptrail.plans import prepare
 from preptrail.operators.encode import HashingEncoder, TextEncoder
 from preptrail import session
 from preptrail.session import cut_lineage, scratch_dir
-from preptrail.sources import readers, writers
+from preptrail.sources import readers, versions, writers
 from preptrail.streaming.toggles import latest_progress, progress_stream
 
 
@@ -66,10 +66,74 @@ def test_vector_upsert(spark, tmp_path):
     first = spark.createDataFrame([(1, "a", [1.0]), (2, "b", [2.0])], "id int, document string, vector array<float>")
     writers.upsert_vectors(first, path)
     writers.upsert_vectors(spark.createDataFrame([(2, "z", [3.0]), (2, "y", [4.0]), (3, "c", [5.0])], first.schema), path, F.col("document"))
-    got = [(r.id, r.document) for r in readers.read_table(spark, path).orderBy("id").collect()]
+    got = [(r.id, r.document) for r in readers.read_vectors(spark, path).orderBy("id").collect()]
     assert got == [(1, "a"), (2, "y"), (3, "c")]
 
 
+def test_upserts_leave_other_buckets_alone(spark, tmp_path):
+    path = str(tmp_path / "v")
+    wanted = {i: ("v0", None) for i in range(400)}
+    writers.rebuild_vectors(spark.createDataFrame([(i, "v0") for i in wanted], "id int, document string"), path)
+    for turn, ids in enumerate((range(50, 60), range(55, 500, 9), range(0, 3)), 1):
+        new = spark.createDataFrame([(i, f"v{turn}", turn) for i in ids], "id int, document string, turn int")
+        writers.upsert_vectors(new, path)  # with a column the first rows do not have
+        wanted.update({i: (f"v{turn}", turn) for i in ids})
+    table = writers.vector_table(spark, path)
+
+    def stored():
+        return {r.id: (r.document, r.turn) for r in table.read().collect()}
+
+    def files(folder=tmp_path / "v" / "data"):
+        return {str(f) for f in folder.rglob("*.parquet")}
+
+    before = files()
+    assert stored() == wanted and len(versions.state(spark, path)["deltas"]) == 3
+    table.compact([3])
+    kept = versions.state(spark, path)
+    assert stored() == wanted and files() > before and all(f in kept["base"].values() for f in [kept["base"]["3"], kept["base"]["4"]])
+    assert kept["base"]["3"] != kept["base"]["4"] and all("_bucket=3" in f for f in files() - before)
+    table.compact()
+    assert stored() == wanted and not versions.state(spark, path)["deltas"]
+    assert versions.remove_unused(spark, path) > 0 and stored() == wanted
+    for turn in range(12):  # crowded tables are compacted on the way
+        writers.upsert_vectors(spark.createDataFrame([(turn, "late")], "id int, document string"), path)
+    assert len(versions.state(spark, path)["deltas"]) <= versions.DELTAS and stored()[11] == ("late", None)
+    table.rebuild(table.read().filter("id < 2"))
+    assert sorted(stored()) == [0, 1]
+
+
+def test_writers_do_not_overwrite_each_other(spark, tmp_path):
+    path = str(tmp_path / "v")
+    table = versions.KeyedTable(spark, path, ["id"])
+    table.rebuild(spark.range(3))
+    old = versions.state(spark, path)
+    table.upsert(spark.range(2, 5))
+    with pytest.raises(RuntimeError):
+        versions.commit(spark, path, old, old["number"])
+    assert sorted(r.id for r in table.read().collect()) == [0, 1, 2, 3, 4]
+    assert table.upsert(spark.range(9, 10), batch=4) and not table.upsert(spark.range(20, 30), batch=4)
+    assert table.read().count() == 6
+
+
+def test_a_failed_load_leaves_both_tables(spark, tmp_path):
+    path = str(tmp_path / "set")
+    one, two = spark.range(3), spark.range(4)
+    assert versions.write_set({"a": one, "b": two}, path) and not versions.write_set({"a": two, "b": one}, path)
+    broken = spark.range(5).withColumn("id", F.raise_error(F.lit("boom")).cast("long"))
+    with pytest.raises(Exception, match="boom"):
+        versions.write_set({"a": two, "b": broken}, path, force=True)
+    assert [versions.read_set(spark, path, n).count() for n in "ab"] == [3, 4]
+    assert versions.write_set({"a": two, "b": one}, path, force=True)
+    assert [versions.read_set(spark, path, n).count() for n in "ab"] == [4, 3]
+
+
+def test_registry_order_does_not_depend_on_splits(spark, tmp_path):
+    names = [(f"n{i:03}",) for i in range(300)]
+    spark.createDataFrame(names, "name string").repartitionByRange(3, "name").sortWithinPartitions("name").write.parquet(str(tmp_path / "r"))
+    first = [r.name for r in readers.read_registry(spark, str(tmp_path / "r")).orderBy("row_no").collect()]
+    assert first == [n for n, in names]
+
+
 def test_pairs_as_lines_and_as_array(spark, tmp_path):
     pairs = spark.createDataFrame([("p", "é\n", None)], S.PREFERENCE_PAIRS)
     writers.write_preference_pairs(pairs, str(tmp_path / "pairs"))
@@ -86,17 +150,18 @@ def test_offline_build(spark, tmp_path):
     base = str(tmp_path / "catalogue")
     assert prepare.load_catalogue(feed, F.col("title"), base)
     assert not prepare.load_catalogue(feed, F.col("title"), base)
-    problems = readers.read_table(spark, f"{base}/problems")
+    companies, problems = prepare.read_catalogue(spark, base)
+    assert companies.count() == 2
     assert {(r.company, r.company_id) for r in problems.collect()} == {("A", 1), ("B", 2)}
     prepare.store_distributions(feed, str(tmp_path / "dist"))
     assert readers.read_distributions(spark, str(tmp_path / "dist")).count() == 2
     encoder = TextEncoder(HashingEncoder(8))
     prepare.store_problem_vectors(problems.withColumn("id", F.xxhash64("title")), encoder, str(tmp_path / "vectors"))
-    assert readers.read_table(spark, str(tmp_path / "vectors")).count() == 2
+    assert readers.read_vectors(spark, str(tmp_path / "vectors")).count() == 2
     (tmp_path / "train.jsonl").write_text('{"prompt": "p", "completion": "c"}\n')
     solutions = readers.read_solutions(spark, str(tmp_path / "train.jsonl")).withColumn("row_no", F.monotonically_increasing_id())
     prepare.store_solution_vectors(solutions, encoder, str(tmp_path / "sol"))
-    assert readers.read_table(spark, str(tmp_path / "sol")).first().id == "sol_0"
+    assert readers.read_vectors(spark, str(tmp_path / "sol")).first().id == "sol_0"
 
 
 def test_lineage_is_cut_in_the_named_folder(spark):
@@ -114,13 +179,31 @@ def test_progress_stream_equals_batch(spark, tmp_path):
     progress_stream(stream, target, state).awaitTermination()
     spark.createDataFrame([(0, 0), (9, 9)], "user_id long, item_id int").write.mode("append").parquet(path)
     progress_stream(stream, target, state).awaitTermination()
-    got = {(r.user_id, r.item_id): (r.n_toggles, r.is_completed) for r in latest_progress(spark.read.parquet(target)).collect()}
+    got = {(r.user_id, r.item_id): (r.n_toggles, r.is_completed) for r in latest_progress(spark, target).collect()}
     want = {}
     for key in [*log, (0, 0), (9, 9)]:
         want[key] = want.get(key, 0) + 1
     assert got == {k: (n, n % 2 == 1) for k, n in want.items()}
 
 
+def test_toggles_delivered_twice_count_once(spark, tmp_path):
+    schema = "toggle_id long, user_id long, item_id int"
+    path, target, state = (str(tmp_path / name) for name in ("log", "out", "state"))
+
+    def deliver(toggles):
+        for part in toggles:
+            spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(path)
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
+        progress_stream(stream, target, state).awaitTermination()
+        return {(r.user_id, r.item_id): r.n_toggles for r in latest_progress(spark, target).collect()}
+
+    assert deliver([[(1, 1, 1), (1, 1, 1), (2, 1, 1), (3, 2, 1)]]) == {(1, 1): 2, (2, 1): 1}
+    assert deliver([[(1, 1, 1), (4, 1, 1)], [(3, 2, 1), (4, 1, 1), (5, 3, 9)]]) == {(1, 1): 3, (2, 1): 1, (3, 9): 1}
+    many = [[(100 + i, 7, i % 2)] for i in range(12)]
+    assert deliver(many) == {(1, 1): 3, (2, 1): 1, (3, 9): 1, (7, 0): 6, (7, 1): 6}
+    assert len(versions.state(spark, target)["deltas"]) <= versions.DELTAS
+
+
 def test_release_scratch(spark):
     session._written.clear()  # other tests still read theirs
     stored = cut_lineage(spark.range(3), "kept")
