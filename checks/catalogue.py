@@ -106,7 +106,7 @@ def company_meta_appended(spark, sf):
 
 @query(
     """SELECT vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN 'third' WHEN vec_id % 3 = 0 THEN 'new' ELSE 'old' END AS title,
-      CASE WHEN vec_id % 7 = 0 THEN 3 WHEN vec_id % 3 = 0 THEN 2 ELSE 1 END * embedding[1]::DOUBLE AS first FROM embeddings
+      CASE WHEN vec_id % 7 = 0 THEN 4 WHEN vec_id % 3 = 0 THEN 2 ELSE 1 END * embedding[1]::DOUBLE AS first FROM embeddings
     UNION ALL SELECT -1 - vec_id, 'new', 2 * embedding[1]::DOUBLE FROM embeddings WHERE vec_id % 3 <> 0"""
 )
 def vectors_upserted(spark, sf):
@@ -123,7 +123,7 @@ def vectors_upserted(spark, sf):
     new = stored.select(target.alias("id"), F.lit("new").alias("title"), times(2).alias("vector"))
     writers.upsert_vectors(new.unionByName(new.withColumn("title", F.lit("newer"))), path, F.col("title"))
     writers.vector_table(spark, path).compact(list(range(0, 16, 2)))
-    for title, factor in (("second", 5), ("third", 3)):
+    for title, factor in (("second", 8), ("third", 4)):
         part = stored.filter("id % 7 = 0").select("id", F.lit(title).alias("title"), times(factor).alias("vector"))
         writers.upsert_vectors(part, path)
     writers.vector_table(spark, path).compact([0, 1, 2])
