@@ -9,7 +9,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from preptrail.llm.columns import records
@@ -270,34 +270,57 @@ def _squeezed(keys: list[str]) -> list[str]:
 
 
 def site_trees(pages: DataFrame) -> DataFrame:
-    """``site, node, kind, feature, n``: the merged trees of all hosts, with the number of pages of each feature.
-    A host's root has the feature 0 for each page."""
-    features = pages.select("url", "html").mapInArrow(_features, "site string, node long, kind int, feature long")
-    return features.groupBy("site", "node", "kind", "feature").agg(F.count("*").alias("n"))
-
-
-def importance(counted: DataFrame) -> DataFrame:
-    """``site, node, importance``: of each branch of each host's merged tree.
+    """The merged trees of all hosts, a row per node: ``pages`` with it, entropies' parts of its styles and of the
+    texts in it, and for a block of text the number of pages that have it at this place.
 
-    Presentation: the entropy of the branch's styles over the pages that have it. Content: one less the
-    mean entropy of its blocks of text over these pages. The more styles, the more presentation counts.
+    A host's root has ``root_pages``, all its pages. Blocks on few pages are no part of any template and are
+    left out before nodes are summed up.
     """
-    counted = counted.filter((F.col("kind") != BLOCK) & (F.col("feature") != 0))
+    features = pages.select("url", "html").mapInArrow(_features, "site string, node long, kind int, feature long")
+    counted = features.groupBy("site", "node", "kind", "feature").agg(F.count("*").alias("n"))
+    counted = counted.filter((F.col("kind") != BLOCK) | (2 * F.col("n") > PRIOR_PAGES))
     style, content = F.col("kind") == STYLE, F.col("kind") == CONTENT
-    by_node = counted.groupBy("site", "node").agg(
+    return counted.groupBy("site", "node").agg(
+        F.max(F.when(style & (F.col("feature") == 0), F.col("n"))).alias("root_pages"),
+        F.max(F.when(F.col("kind") == BLOCK, F.col("n"))).alias("block_pages"),
         F.sum(F.when(style, F.col("n"))).alias("pages"),
         F.sum(F.when(style, F.col("n") * F.log("n"))).alias("style_logs"),
         F.count(F.when(style, 1)).alias("styles"),
         F.count(F.when(content, 1)).alias("blocks"),
         F.coalesce(F.sum(F.when(content, F.log("n"))), F.lit(0.0)).alias("block_logs"),
     )
+
+
+def importance() -> Column:
+    """Of a branch of a host's merged tree, from the columns of ``site_trees``.
+
+    Presentation: the entropy of the branch's styles over the pages that have it. Content: one less the
+    mean entropy of its blocks of text over these pages. The more styles, the more presentation counts.
+    """
     scale = F.log("pages")
     node = (scale - F.col("style_logs") / F.col("pages")) / scale
     own = F.when(F.col("blocks") > 0, 1 - F.col("block_logs") / F.col("blocks") / scale).otherwise(0.0)
     share = F.pow(F.lit(GAMMA), F.col("styles"))
     seen = F.when(F.col("pages") > 1, (1 - share) * node + share * own).otherwise(1.0)
-    blended = (F.col("pages") * seen + PRIOR_PAGES) / (F.col("pages") + PRIOR_PAGES)
-    return by_node.select("site", "node", blended.alias("importance"))
+    return (F.col("pages") * seen + PRIOR_PAGES) / (F.col("pages") + PRIOR_PAGES)
+
+
+def low_nodes(pages: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """``site, node``: branches whose importance is below ``threshold``, and the blocks of text that a host
+    repeats.
+
+    These are the same words at the same place of the tree on more than half of the host's pages and
+    ``PRIOR_PAGES`` others. Their entropy over the pages is near the largest there is, so they say next to
+    nothing about a page, also inside a main text.
+    """
+    is_root, is_block = F.col("root_pages").isNotNull(), F.col("block_pages").isNotNull()
+    trees = site_trees(pages).withColumn("importance", F.when(~is_root & ~is_block, importance()))
+    few = trees.filter(is_root | is_block | (F.col("importance") < threshold))
+    few = cut_lineage(few.select("site", "node", "root_pages", "block_pages"), "nodes")
+    branches = few.filter(~is_root & ~is_block).select("site", "node")
+    sites = few.filter(is_root).select("site", F.col("root_pages").alias("all"))
+    blocks = few.filter(is_block).select("site", "node", "block_pages").join(sites, "site")
+    return branches.union(blocks.filter(2 * F.col("block_pages") > F.col("all") + PRIOR_PAGES).select("site", "node"))
 
 
 def main_text(url: str | None, page: str | None, low: set[int]) -> str:
@@ -357,21 +380,12 @@ def _spared(mains: list[Node]) -> set[int]:
     return {i for i, n in counts.items() if n == least}
 
 
-def template_blocks(counted: DataFrame) -> DataFrame:
-    """``site, node`` of the blocks of text that a host repeats: the same words at the same place of the tree on
-    more than half of its pages and ``PRIOR_PAGES`` others. Their entropy over the pages is near the largest
-    there is, so they say next to nothing about a page, also inside a main text."""
-    of_site = counted.filter((F.col("kind") == STYLE) & (F.col("feature") == 0)).select("site", F.col("n").alias("pages"))
-    common = counted.filter((F.col("kind") == BLOCK) & (2 * F.col("n") > PRIOR_PAGES))
-    return common.join(of_site, "site").filter(2 * F.col("n") > F.col("pages") + PRIOR_PAGES).select("site", "node")
-
-
 def extract(pages: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """``page_id, url, text, n_chars`` of every page of ``page_id, url, html``.
 
     Blocks of text have character references decoded and white space turned into single spaces, and are
     joined by one space in page order. Branches of the host's merged tree below ``threshold`` and the blocks
-    that it repeats on most pages go, see ``importance``, ``template_blocks`` and ``main_text``; menus, headers, footers, forms and the like also go by name, so
+    that it repeats on most pages go, see ``low_nodes`` and ``main_text``; menus, headers, footers, forms and the like also go by name, so
     that a page alone on its host is cleaned, too.
 
     A null or empty page has the empty text; a null url belongs to the nameless host. Repeated rows each
@@ -383,9 +397,7 @@ def extract(pages: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """
     named = pages.select("page_id", "url", "html")
 
-    trees = cut_lineage(site_trees(named), "trees")
-    nodes = importance(trees).filter(F.col("importance") < threshold).select("site", "node")
-    low = cut_lineage(nodes.union(template_blocks(trees)).groupBy("site").agg(F.collect_list("node").alias("low")), "low")
+    low = cut_lineage(low_nodes(named, threshold).groupBy("site").agg(F.collect_list("node").alias("low")), "low")
     site_of = F.coalesce(F.lower(F.regexp_extract("url", r"(?i)^\s*(?:[a-z][a-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/:?#]*)", 1)), F.lit(""))
     joined = named.withColumn("site", site_of).join(low, "site", "left").select("page_id", "url", "html", "low")
 
