@@ -1,6 +1,7 @@
 """Column functions that clean text, names, links and numbers."""
 
 import html
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -59,6 +60,11 @@ def _unescape(text: pd.Series) -> pd.Series:
     return text.map(html.unescape, na_action="ignore")
 
 
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often the body names it."""
+    return F.transform(F.array(value), body)[0]
+
+
 #: Rest of a tag after its name; a quoted attribute value may hold ``>``.
 TAG_REST = r"""[^>=]*+(?:=\s*+(?:"[^"]*+"|'[^']*+'|)[^>=]*+)*+>"""
 ANY_TAG = "<[a-zA-Z/]" + TAG_REST
@@ -85,12 +91,11 @@ def _outermost(markup: Column, tag: str) -> Column:
 def _mark_elements(markup: Column, tag: str, mark: str) -> Column:
     """Turn every ``<tag>text</tag>`` into a text node of its own that starts with ``mark``.
 
-    An element inside another one of its kind is part of the outer one's text.
+    An element inside another one of its kind is part of the outer one's text. Texts without such a tag, most of
+    them, are only searched for its name.
     """
     # Two opening tags without a closing one between them; other texts need no fold.
     nested = rf"(?i)<{tag}\b{TAG_REST}(?:[^<]++|<(?!/?{tag}\b))*+<{tag}\b"
-    markup = F.when(markup.rlike(nested), _outermost(markup, tag)).otherwise(markup)
-    pieces = F.split(markup, rf"(?i)<{tag}\b" + TAG_REST)
     closing = rf"(?i)</{tag}\s*>"
 
     def rewrite(piece: Column) -> Column:
@@ -99,17 +104,22 @@ def _mark_elements(markup: Column, tag: str, mark: str) -> Column:
         rest = F.coalesce(F.get(halves, 1), F.lit(""))
         return F.concat(F.lit("<x>" + mark), inner, F.lit("<x>"), rest)
 
-    marked = F.concat(
-        pieces[0], F.array_join(F.transform(F.slice(pieces, 2, F.size(pieces)), rewrite), "")
-    )
-    return F.when(F.size(pieces) > 1, marked).otherwise(markup)
+    def marked(pieces: Column) -> Column:
+        rewritten = F.transform(F.slice(pieces, 2, F.greatest(F.size(pieces) - 1, F.lit(0))), rewrite)
+        return F.concat(pieces[0], F.array_join(rewritten, ""))
+
+    def split(text: Column) -> Column:
+        flat = F.when(text.rlike(nested), _outermost(text, tag)).otherwise(text)
+        return bound(F.split(flat, rf"(?i)<{tag}\b" + TAG_REST), marked)
+
+    return bound(markup, lambda text: F.when(F.contains(F.lower(text), F.lit(f"<{tag}")), split(text)).otherwise(text))
 
 
 def html_to_text(markup: Column) -> Column:
     """Plain text of an HTML body: text nodes joined by newlines, ``<sup>``/``<sub>`` as ^ and _.
 
-    Markup is removed with built-in expressions. Only texts that still hold an ampersand are sent
-    to Python, because entity names come from the standard library's table.
+    Markup is removed with built-in expressions. The text is then sent to Python once, because entity names come
+    from the standard library's table.
     """
     c = F.regexp_replace(markup, r"(?s)<!\[CDATA\[(.*?)\]\]>", "<x>$1<x>")
     unseen = r"(?is)<!--.*?-->|<(script|style|template|rt|rp)\b[^>]*>.*?</\1\s*>|<[!?][^>]*>"
@@ -117,8 +127,7 @@ def html_to_text(markup: Column) -> Column:
     c = _mark_elements(c, "sup", "^")
     c = _mark_elements(c, "sub", "_")
     c = F.regexp_replace(F.regexp_replace(c, ANY_TAG, TAG_MARK), TAG_MARK + "+", "\n")
-    with_entity = F.when(F.contains(c, F.lit("&")), c)
-    c = F.coalesce(_unescape(with_entity), c)
+    c = _unescape(c)
     c = F.regexp_replace(c, r"\n+([\^_])", "$1")
     c = F.regexp_replace(c, r"([\^_])\n+", "$1")
     return strip_space(F.regexp_replace(c, r"\n{3,}", "\n\n"))

@@ -46,21 +46,32 @@ def _parse_error(code: str) -> str | None:
     return None
 
 
-_CHECK = T.StructType([T.StructField("compiled", T.BooleanType()), T.StructField("error", T.StringType())])
+_CHECK = T.StructType(
+    [T.StructField("compiled", T.BooleanType()), T.StructField("error", T.StringType()), T.StructField("size", T.IntegerType())]
+)
 
 
 @F.pandas_udf(_CHECK)
 def _check_syntax(code: pd.Series) -> pd.DataFrame:
     errors = [_parse_error(c) for c in code]
-    return pd.DataFrame({"compiled": [e is None for e in errors], "error": errors})
+    return pd.DataFrame({"compiled": [e is None for e in errors], "error": errors, "size": code.str.len()})
 
 
-def compile_reward(answer: Column) -> Column:
-    """Struct (reward, compiled, error): +1 for code that parses, -1 otherwise."""
+def checked_code(answer: Column) -> Column:
+    """Struct (reward, compiled, error, size): +1 for code that parses, -1 otherwise, and the code's length.
+
+    The code is pulled out of the answer once, on its way to the check.
+    """
     blank = strip_space(F.coalesce(answer, F.lit(""))) == ""
     check = _check_syntax(F.when(blank, F.lit("")).otherwise(extract_code(answer)))
     return F.struct(
         F.when(check["compiled"], 1).otherwise(-1).alias("reward"),
         check["compiled"].alias("compiled"),
         F.when(blank, F.lit(EMPTY_ANSWER)).otherwise(check["error"]).alias("error"),
+        check["size"].alias("size"),
     )
+
+
+def compile_reward(answer: Column) -> Column:
+    """Struct (reward, compiled, error) of ``checked_code``."""
+    return F.struct(*(checked_code(answer)[name].alias(name) for name in ("reward", "compiled", "error")))

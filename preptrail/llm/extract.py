@@ -385,8 +385,8 @@ def extract(pages: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
     Blocks of text have character references decoded and white space turned into single spaces, and are
     joined by one space in page order. Branches of the host's merged tree below ``threshold`` and the blocks
-    that it repeats on most pages go, see ``low_nodes`` and ``main_text``; menus, headers, footers, forms and the like also go by name, so
-    that a page alone on its host is cleaned, too.
+    that it repeats on most pages go, see ``low_nodes`` and ``main_text``; menus, headers, footers, forms and
+    the like also go by name, so that a page alone on its host is cleaned, too.
 
     A null or empty page has the empty text; a null url belongs to the nameless host. Repeated rows each
     count as a page, null ids are kept, an empty table gives no rows, other columns are ignored.

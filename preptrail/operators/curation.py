@@ -23,7 +23,8 @@ FAILURE_FORMAT = "Score: %s\nReason: %s\nAssistant Response: %s\n"
 
 def scored(answers: DataFrame, column: str = "answer") -> DataFrame:
     """Answers with reward, compiled and error."""
-    return answers.withColumn("_check", code.compile_reward(F.col(column))).select(*answers.columns, "_check.*")
+    checked = answers.withColumn("_check", code.checked_code(F.col(column)))
+    return checked.select(*answers.columns, "_check.reward", "_check.compiled", "_check.error")
 
 
 def gated_score(compiled: Column, judge_score: Column) -> Column:
@@ -86,7 +87,7 @@ def preference_pairs(answers: DataFrame) -> DataFrame:
     with fixed-size states per prompt, however many candidates it has.
     """
     asked = answers.filter(F.col("prompt") != "")
-    checked = scored(asked).withColumn("size", F.length(code.extract_code(F.col("answer"))))
+    checked = asked.withColumn("_check", code.checked_code(F.col("answer"))).select("*", "_check.compiled", "_check.size")
     row = F.struct("size", "answer")
     best = checked.groupBy("prompt_id").agg(
         F.max("prompt").alias("prompt"),

@@ -42,31 +42,56 @@ VOLUME_COLUMNS = [f"d{h}" for h in HORIZONS]
 # ---------------------------------------------------------------------------
 
 
-def _struct(text: str = "", **types: T.DataType) -> T.StructType:
-    """Schema of the text columns named in ``text``, then the typed ones."""
-    fields = [T.StructField(name, T.StringType()) for name in text.split()]
-    return T.StructType(fields + [T.StructField(name, kind) for name, kind in types.items()])
+TEXT, LONG, INT = T.StringType(), T.LongType(), T.IntegerType()
 
-
-LONG, INT, DOUBLE = T.LongType(), T.IntegerType(), T.DoubleType()
-_MESSAGE = _struct("role content")
-
-RAW_FEED = _struct(
-    "company title difficulty link topics acceptance_rate frequency preparation_days body"
+RAW_FEED = T.StructType(
+    [
+        T.StructField("company", TEXT),
+        T.StructField("title", TEXT),
+        T.StructField("difficulty", TEXT),
+        T.StructField("link", TEXT),
+        T.StructField("topics", TEXT),
+        T.StructField("acceptance_rate", TEXT),
+        T.StructField("frequency", TEXT),
+        T.StructField("preparation_days", TEXT),
+        T.StructField("body", TEXT),
+    ]
+)
+DISTRIBUTIONS = T.StructType(
+    [
+        T.StructField("company", TEXT),
+        T.StructField("days_until", INT),
+        T.StructField("easycount", LONG),
+        T.StructField("hardcount", LONG),
+        T.StructField("mediumcount", LONG),
+    ]
+)
+COMPANY_META = T.StructType(
+    [
+        T.StructField("company", TEXT),
+        T.StructField("industry", TEXT),
+        T.StructField("size_range", TEXT),
+        T.StructField("employee_count", TEXT),
+        T.StructField("year_founded", TEXT),
+        T.StructField("locality", TEXT),
+    ]
+)
+INTERVIEWS = T.StructType(
+    [
+        T.StructField("id", LONG),
+        T.StructField("days_until", INT),
+        T.StructField("interview_date", T.DateType()),
+        T.StructField("user_id", LONG),
+        T.StructField("company_id", LONG),
+    ]
 )
-COMPANIES = _struct(id=LONG, name=T.StringType())
-PROBLEMS = _struct(
-    "title difficulty url description topics",
-    id=LONG,
-    acceptance_rate=DOUBLE,
-    frequency=DOUBLE,
-    preparation_days=INT,
-    company_id=LONG,
+ROADMAPS = T.StructType(
+    [
+        T.StructField("id", LONG),
+        T.StructField("interview_id", LONG),
+        T.StructField("problem_id", LONG),
+        T.StructField("is_completed", T.BooleanType()),
+    ]
 )
-DISTRIBUTIONS = _struct("company", days_until=INT, easycount=LONG, hardcount=LONG, mediumcount=LONG)
-COMPANY_META = _struct("company industry size_range employee_count year_founded locality")
-INTERVIEWS = _struct(id=LONG, days_until=INT, interview_date=T.DateType(), user_id=LONG, company_id=LONG)
-ROADMAPS = _struct(id=LONG, interview_id=LONG, problem_id=LONG, is_completed=T.BooleanType())
-PREFERENCE_PAIRS = _struct("prompt chosen rejected")
-CHAT_TURNS = _struct(problem_id=LONG, messages=T.ArrayType(_MESSAGE))
-SOLUTION_FEED = _struct("prompt completion")
+PREFERENCE_PAIRS = T.StructType([T.StructField("prompt", TEXT), T.StructField("chosen", TEXT), T.StructField("rejected", TEXT)])
+SOLUTION_FEED = T.StructType([T.StructField("prompt", TEXT), T.StructField("completion", TEXT)])
