@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from preptrail import schemas as S
 from preptrail.functions import clean, pchip, vectors
 from preptrail.functions.clean import clamp
-from preptrail.operators.features import medians
+from preptrail.operators.selection import medians
 
 SERIES = {"prop": "proportion", "easy": "easy_pct", "medium": "medium_pct", "hard": "hard_pct"}
 GRID_POINTS = 300

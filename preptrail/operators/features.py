@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from preptrail import schemas as S
 from preptrail.functions import clean
-from preptrail.operators import ranking
 from preptrail.operators.distributions import known_horizons
 from preptrail.operators.ranking import first_per_key, numbered
+from preptrail.operators.selection import medians
 
 
 def label_encode(df: DataFrame, column: str, out: str) -> DataFrame:
@@ -32,23 +32,6 @@ def company_features(meta: DataFrame) -> DataFrame:
     )
 
 
-def _median_by_range(df: DataFrame, column: str) -> float | None:
-    """Mean of the one or two middle rows of a stored range sort; row ids let it split a frequent value."""
-    known = df.filter(F.col(column).isNotNull())
-    values = known.select(F.lit(0).alias("_all"), F.col(column).cast("double").alias("_v"))
-    values = values.withColumn("_id", F.monotonically_increasing_id())
-    n = values.count()
-    in_order = ranking.ranked(values, ["_all"], [F.col("_v"), F.col("_id")], "_rank", n)
-    return in_order.filter(F.col("_rank").isin((n + 1) // 2, n // 2 + 1)).agg(F.avg("_v")).first()[0]
-
-
-def medians(df: DataFrame, columns: list[str]) -> dict[str, float | None]:
-    """Exact column medians: one aggregate for as many rows as a task may hold, else a range sort."""
-    if df.count() > ranking.TASK_ROWS:
-        return {c: _median_by_range(df, c) for c in columns}
-    return df.agg(*[F.percentile(c, F.lit(0.5)).alias(c) for c in columns]).first().asDict()
-
-
 def impute_median(df: DataFrame, columns: list[str]) -> DataFrame:
     filler = medians(df, columns)
     return df.withColumns({c: F.coalesce(F.col(c), F.lit(filler[c])) for c in columns})

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from preptrail import schemas as S
 from preptrail.functions import clean
-from preptrail.operators import catalogue, cells, clustering, curation, curves, distributions, encode, features, grams, kmeans, peers, ranking, registry, retrieval, roadmap, search, tracks
+from preptrail.operators import catalogue, cells, clustering, curation, curves, distributions, encode, features, grams, kmeans, peers, ranking, registry, retrieval, roadmap, search, selection, tracks
 from preptrail.operators.ranking import first_per_key, numbered, ranked, top_n
 
 
@@ -65,13 +65,28 @@ def test_company_features(spark):
     assert codes["B"] == pytest.approx(2 * 1 / np.std([0, 1, 2]))
 
 
-@pytest.mark.parametrize("data", [[1.0], [3.0, 1.0], [5.0, 1.0, None, 2.0], list(range(40)), [2.0] * 31 + [9.0] * 30])
-def test_exact_medians_without_a_single_task(spark, monkeypatch, data):
-    df = spark.createDataFrame([(None if v is None else float(v), 1.0) for v in data], "a double, b double")
-    want = float(np.median([v for v in data if v is not None]))
-    assert features.medians(df, ["a", "b"]) == {"a": want, "b": 1.0}
-    monkeypatch.setattr(ranking, "TASK_ROWS", 0)
-    assert features.medians(df, ["a", "b"]) == {"a": want, "b": 1.0}
+@pytest.mark.parametrize("parts", [2, 4096])
+def test_exact_medians_by_counting(spark, monkeypatch, parts):
+    monkeypatch.setattr(selection, "PARTS", parts)
+    draw, inf, nan = random.Random(4), float("inf"), float("nan")
+    columns = {
+        "one": [1.0], "two": [3.0, 1.0], "gap": [5.0, 1.0, None, 2.0], "even": list(range(40)), "tied": [2.0] * 31 + [9.0] * 30, "none": [None, nan],
+        "wide": [10.0 ** draw.randint(-300, 300) * draw.choice([-1, 1]) for _ in range(61)], "far": [1e308, -1e308, 1.0, 2.0], "tiny": [5e-324, 1e-323, 0.0, 1.5e-323],
+        "ends": [inf, -inf, inf, 1.0, 2.0, 3.0], "odd": [inf, -inf, -inf], "random": [draw.gauss(0, 1) for _ in range(80)],
+    }
+    longest = max(map(len, columns.values()))
+    table = [tuple(float(v[i]) if i < len(v) and v[i] is not None else None for v in columns.values()) for i in range(longest)]
+    df = spark.createDataFrame(table, ", ".join(f"{c} double" for c in columns)).repartition(3)
+
+    def median(values):
+        known = sorted(float(v) for v in values if v is not None and v == v)
+        low, high = known[(len(known) - 1) // 2], known[len(known) // 2]
+        return low if low == high else low / 2 + high / 2
+
+    wanted = {c: median(v) if any(x is not None and x == x for x in v) else None for c, v in columns.items()}
+    got = selection.medians(df, list(columns))
+    assert got == wanted
+    assert selection.medians(df.limit(0), ["one"]) == {"one": None}
 
 
 def _silhouette(points, labels):
