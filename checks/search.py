@@ -111,6 +111,16 @@ def vector_topk(spark, sf):
     return search(_items(spark, sf), _label_queries(spark, sf), 5, SearchSpec())
 
 
+NEIGHBOURS = "(SELECT a.id AS query_id, a.v AS q, b.id, b.v FROM item a JOIN item b ON a.difficulty = b.difficulty AND a.company <> b.company)"
+
+
+@query(with_ctes(QUERY_VECTORS) + _topk_sql(NEIGHBOURS, 5))
+def vector_topk_by_cells(spark, sf):
+    """The nearest vectors of the same difficulty and another company for every vector, from cells around pivots."""
+    asked = _items(spark, sf).withColumn("query_id", F.col("id"))
+    return search(_items(spark, sf), asked, 5, SearchSpec(on=("difficulty",), differ="company"), max_broadcast=0)
+
+
 PAIR_QUERIES = """pairq AS (
   SELECT company || '|' || difficulty AS query_id, company, difficulty, list(round(x, 6) ORDER BY i) AS q
   FROM (SELECT company, difficulty, i, avg(x) AS x FROM (SELECT company, difficulty, unnest(range(len(v))) AS i, unnest(v) AS x FROM item) GROUP BY 1, 2, 3) GROUP BY 1, 2, 3)"""

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Rows of a cell on average, and the most cells in all, whose pivots and bounds are sent to the tasks.
-CELL_ROWS = 256
+CELL_ROWS = 64
 MAX_CELLS = 4096
 #: Rows of the nearest cells that a query meets first, as a multiple of the rows it asks for.
 FIRST_ROWS = 2
