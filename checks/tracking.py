@@ -126,7 +126,7 @@ def progress_stream_from_toggles(spark, sf):
     toggles = cut_lineage(D.toggles(spark, sf).withColumn("toggle_id", F.monotonically_increasing_id()), "toggles")
     twice = toggles.union(toggles.filter("toggle_id % 3 = 0"))
     for part in (twice.filter("toggle_id % 2 = 0"), twice):
-        part.repartition(4).write.mode("append").parquet(log)
+        part.repartition(2).write.mode("append").parquet(log)
         stream = spark.readStream.schema(toggles.schema).option("maxFilesPerTrigger", 2).parquet(log)
         progress_stream(stream, target, states).awaitTermination()
     return latest_progress(spark, target)

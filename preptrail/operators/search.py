@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from preptrail.operators import cells
-from preptrail.operators.ranking import first_per_key, top_n
+from preptrail.operators.ranking import SALTS, first_per_key, top_n
 from preptrail.session import cut_lineage
 
 MAX_BROADCAST_QUERIES = 20_000
@@ -313,11 +313,11 @@ def _grid_search(index: DataFrame, queries: DataFrame, dim: int, spec: SearchSpe
     return left.cogroup(right).applyInArrow(part, schema)
 
 
-def _ranked(partial: DataFrame, k_max: int, spec: SearchSpec) -> DataFrame:
-    """The best rows of each query among those that tasks found."""
+def _ranked(partial: DataFrame, k_max: int, spec: SearchSpec, salts: int = SALTS) -> DataFrame:
+    """The best rows of each query among those that tasks found; few cells a query need no ``salts``."""
     if spec.distinct:
         partial = first_per_key(partial, ["query_id", spec.distinct], [-F.col("score"), F.col(spec.id_col)])
-    return top_n(partial, ["query_id"], [F.col("score").desc(), F.col(spec.id_col)], k_max)
+    return top_n(partial, ["query_id"], [F.col("score").desc(), F.col(spec.id_col)], k_max, salts=salts)
 
 
 def _cell_search(index: DataFrame, queries: DataFrame, dim: int, k_max: int, spec: SearchSpec, schema) -> DataFrame:
@@ -331,12 +331,12 @@ def _cell_search(index: DataFrame, queries: DataFrame, dim: int, k_max: int, spe
     placed = cut_lineage(cells.with_cells(matched, spec.vector, on, pivots, dim), "cells")
     known = cells.measured(placed, on, pivots, spec.metric)
     in_cells = replace(spec, on=(*on, "_cell"))
-    first = cells.visits(asked, spec.vector, on, known, dim)
+    first = cut_lineage(cells.visits(asked, spec.vector, on, known, dim), "visits")
     near = cut_lineage(_grid_search(placed, first, dim, in_cells, schema), "near")
     if not pivots:
         return near
     limits = asked.groupBy("query_id").agg(F.max("k").alias("k"))
-    ranked = _ranked(near, k_max, spec).select("query_id", "score", "rank").join(limits, "query_id").filter("rank = k")
+    ranked = _ranked(near, k_max, spec, 1).select("query_id", "score", "rank").join(limits, "query_id").filter("rank = k")
     least = asked.join(ranked.select("query_id", F.col("score").alias("_reached")), "query_id", "left")
     rest = cells.visits(least, spec.vector, on, known, dim, F.col("_reached")).drop("_reached")
     rest = cut_lineage(rest, "visits")
@@ -370,13 +370,12 @@ def search(
     fitting = min(max_broadcast, MAX_BROADCAST_VALUES // dim)
     rows = asked.limit(fitting + 1).toPandas()
     if len(rows) <= fitting:
-        partial = _broadcast_search(vectors, rows, dim, spec, schema)
         k_max = int(rows["k"].max())
+        ranked = _ranked(_broadcast_search(vectors, rows, dim, spec, schema), k_max, spec)
     else:
         k_max = asked.agg(F.max("k")).first()[0]
-        partial = _cell_search(vectors, asked, dim, k_max, spec, schema)
+        ranked = _ranked(_cell_search(vectors, asked, dim, k_max, spec, schema), k_max, spec, 1)
 
-    ranked = _ranked(partial, k_max, spec)
     if isinstance(k, int):
         return ranked
     limits = asked.groupBy("query_id").agg(F.max("k").alias("k"))
