@@ -143,10 +143,10 @@ def search_shard(shard: Shard, items: list[tuple[np.ndarray, np.ndarray]], best:
             bound = summary[:, at[place:]] @ weights[place:]
             near = np.flatnonzero(bound >= best[q].least())
             visits["blocks"] += len(starts)
-            visits["blocks_open"] += len(near)
             for b in near[np.argsort(-bound[near], kind="stable")].tolist():
                 if bound[b] < best[q].least():
                     break
+                visits["blocks_open"] += 1
                 own = held[starts[b] : ends[b]][:, at].astype(np.int64)
                 first = ~own[:, :place].any(axis=1)
                 scores = own[first] @ weights
