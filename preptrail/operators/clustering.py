@@ -3,12 +3,13 @@
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from preptrail import schemas as S
 from preptrail.functions import pchip
@@ -17,10 +18,16 @@ from preptrail.operators import kmeans
 from preptrail.operators.ranking import top_n
 from preptrail.session import cut_lineage
 
-SILHOUETTE_BLOCK_ROWS = 8192
-#: Distances that a task holds at a time while it compares two blocks.
-SILHOUETTE_STEP = 4_000_000
-POINTS_PER_TASK = 100_000
+#: Rows of a block at most, and at least where more blocks would only give more tasks.
+SILHOUETTE_BLOCK_ROWS = 32_768
+LEAST_BLOCK_ROWS = 512
+#: Distances that a task holds at a time while it compares two blocks; these stay in a core's cache.
+SILHOUETTE_STEP = 600_000
+#: With more axes distances come from a matrix product; squares below this part of the points' own are taken from differences.
+FEW_AXES = 8
+NEAR = 4e-6
+NEAR_STEP = 50_000
+POINTS_PER_TASK = 25_000
 
 
 @dataclass
@@ -70,29 +77,49 @@ def select_k(
     )
 
 
-def _distance_sums(left: pd.DataFrame, right: pd.DataFrame, labels: list[str]) -> pd.DataFrame:
-    a, b = np.vstack(left["vector"]).astype(float), np.vstack(right["vector"]).astype(float)
-    groups = {label: np.unique(right[label].to_numpy(), return_inverse=True) for label in labels}
-    sums: dict[str, list[np.ndarray]] = {label: [] for label in labels}
-    step = max(1, SILHOUETTE_STEP // max(1, len(b)))
-    for first in range(0, len(a), step):
-        distance = np.sqrt(kmeans.squared_distances(a[first : first + step], b))
-        for label, (codes, members) in groups.items():
-            sums[label].append(distance @ np.eye(len(codes))[members])
-    parts = []
-    for label, (codes, _) in groups.items():
-        parts.append(
-            pd.DataFrame(
-                {
-                    "point": np.repeat(left["point"].to_numpy(), len(codes)),
-                    "labelling": label,
-                    "own": np.repeat(left[label].to_numpy(), len(codes)),
-                    "other": np.tile(codes, len(a)),
-                    "total": np.concatenate(sums[label]).ravel(),
-                }
-            )
-        )
-    return pd.concat(parts)
+def _lifted(points: np.ndarray, left: bool) -> np.ndarray:
+    """Rows whose products, one from the left and one from the right, are squared distances."""
+    length = (points * points).sum(axis=1)[:, None]
+    return np.hstack([-2 * points, length, np.ones_like(length)] if left else [points, np.ones_like(length), length])
+
+
+def _distances(a: np.ndarray, b: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """All distances between two sets of points, from the products of their ``_lifted`` rows; for pairs so near
+    that a product is not exact, and where points have few axes, from differences."""
+    if a.shape[1] <= FEW_AXES:
+        return np.sqrt(kmeans.squared_distances(a, b))
+    apart = left @ right.T
+    row, column = np.nonzero(apart < NEAR * left[:, -2:-1])
+    for first in range(0, len(row), NEAR_STEP):
+        i, j = row[first : first + NEAR_STEP], column[first : first + NEAR_STEP]
+        apart[i, j] = ((a[i] - b[j]) ** 2).sum(axis=1)
+    return np.sqrt(np.maximum(apart, 0.0, out=apart), out=apart)
+
+
+def _members(owns: np.ndarray, codes: np.ndarray) -> np.ndarray:
+    """A row per point and a column per code, 1 where the point has it; none for a point without a code."""
+    return (owns[:, None] == codes[None, :]).astype(float)
+
+
+def _distance_sums(
+    left: tuple[np.ndarray, list[np.ndarray]], right: tuple[np.ndarray, list[np.ndarray]], same: bool
+) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """For each labelling the summed distances of the points of one block to each cluster of another, and the
+    other way round (not for a block and itself). A block is its points and, per labelling, its ``_members``."""
+    (a, of_a), (b, of_b) = left, right
+    shift = b.mean(axis=0)
+    a, b = a - shift, b - shift
+    rows, columns = [np.zeros((len(a), m.shape[1])) for m in of_a], [np.zeros((len(b), m.shape[1])) for m in of_b]
+    lifted, others, tile = _lifted(a, True), _lifted(b, False), max(1, int(SILHOUETTE_STEP**0.5))
+    for first in range(0, len(a), tile):
+        for second in range(0, len(b), tile):
+            i, j = slice(first, first + tile), slice(second, second + tile)
+            distance = _distances(a[i], b[j], lifted[i], others[j])
+            for own, other, row, column in zip(of_a, of_b, rows, columns, strict=True):
+                row[i] += distance @ other[j]
+                if not same:
+                    column[j] += (own[i].T @ distance).T
+    return rows, columns
 
 
 def silhouette_samples(
@@ -100,42 +127,59 @@ def silhouette_samples(
 ) -> DataFrame:
     """Exact Euclidean silhouette of every point, for several labellings in one pass.
 
-    Points are dealt evenly into blocks of bounded size; each pair of blocks is one task that
-    returns summed distances per (point, cluster), never the pairs. A cluster of any size is
+    Points are dealt evenly into blocks of bounded size; two blocks meet once, in one task that returns the
+    summed distances per point and cluster for both of them, never the pairs. A cluster of any size is
     therefore spread over all blocks.
     """
     labels = [F.col(c).cast("int").alias(c) for c in label_cols]
-    base = points.select(F.col(id_col).alias("point"), F.col("vector").cast("array<double>"), *labels)
-    n_blocks = max(1, -(-base.count() // block_rows))
-    block = F.pmod(F.xxhash64("point"), F.lit(n_blocks)).cast("int")
-    others = F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)))
-    rows = base.withColumn("_a", block).withColumn("_b", others)
-    columns = base.withColumn("_b", block).withColumn("_a", others)
-    point_type = base.schema["point"].dataType.simpleString()
-    sums = (
-        rows.groupBy("_a", "_b")
-        .cogroup(columns.groupBy("_a", "_b"))
-        .applyInPandas(
-            lambda left, right: _distance_sums(left, right, label_cols) if len(left) and len(right) else
-            pd.DataFrame(columns=["point", "labelling", "own", "other", "total"]),
-            f"point {point_type}, labelling string, own int, other int, total double",
-        )
-        .groupBy("labelling", "point", "own", "other")
-        .agg(F.sum("total").alias("total"))
-    )
+    base = points.select(F.col(id_col).alias("point"), "vector", *labels)
     long_labels = F.explode(
         F.array(*[F.struct(F.lit(c).alias("labelling"), F.col(c).alias("other")) for c in label_cols])
     )
     sizes = base.select(long_labels.alias("l")).groupBy("l.labelling", "l.other").agg(F.count("*").alias("size"))
-    is_own = F.col("own") == F.col("other")
-    per_point = (
-        sums.join(sizes, ["labelling", "other"])
-        .groupBy("labelling", "point", "own")
-        .agg(
-            F.max(F.when(is_own, F.col("size"))).alias("own_size"),
-            F.max(F.when(is_own, F.col("total") / F.greatest(F.col("size") - 1, F.lit(1)))).alias("a"),
-            F.min(F.when(~is_own, F.col("total") / F.col("size"))).alias("b"),
-        )
+    counted = sorted((r["labelling"], r["other"], r["size"]) for r in sizes.filter("other is not null").collect())  # as many as clusters
+    codes = {c: np.array([other for name, other, _ in counted if name == c], dtype=np.int64) for c in label_cols}
+    held = {c: [n for name, _, n in counted if name == c] for c in label_cols}
+    n, cores = base.count(), base.sparkSession.sparkContext.defaultParallelism
+    # Enough pairs of blocks for all cores, where points are few.
+    n_blocks = max(1, -(-n // block_rows), min(-(-n // LEAST_BLOCK_ROWS), round((16 * cores) ** 0.5)))
+    place = F.pmod(F.xxhash64("point"), F.lit(n_blocks)).cast("int")
+    dealt = base.withColumn("_block", place).withColumn("_other", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
+    dealt = dealt.withColumns({"_a": F.least("_block", "_other"), "_b": F.greatest("_block", "_other")}).drop("_other")
+    dealt = dealt.repartition(n_blocks * (n_blocks + 1) // 2, "_a", "_b")
+    point_type = base.schema["point"].dataType.simpleString()
+    fields = f"labelling string, point {point_type}, own int, totals array<double>"
+    out_schema = to_arrow_schema(T.StructType.fromDDL(fields))
+
+    def run(key: tuple, rows: pa.Table) -> pa.Table:
+        block, dim = rows["_block"].to_numpy(), len(rows["vector"][0].as_py())
+        vectors = kmeans.matrix(rows["vector"].combine_chunks(), dim)
+        owns = [rows[c].to_pandas().to_numpy(dtype=float) for c in label_cols]  # nan: no label
+        sides = [np.flatnonzero(block == k.as_py()) for k in key]
+        if not all(map(len, sides)):
+            return out_schema.empty_table()
+        same = key[0].as_py() == key[1].as_py()
+        met = [(vectors[at], [_members(own[at], codes[c]) for own, c in zip(owns, label_cols, strict=True)]) for at in sides]
+        sums = _distance_sums(*met, same)
+        out = []
+        for at, totals in zip(sides[:1] if same else sides, sums, strict=False):
+            for c, own, total in zip(label_cols, owns, totals, strict=True):
+                lists = pa.ListArray.from_arrays(np.arange(len(at) + 1, dtype=np.int32) * total.shape[1], total.ravel())
+                own = pa.array(own[at], pa.float64(), from_pandas=True).cast(pa.int32())
+                columns = [pa.array([c] * len(at), pa.string()), rows["point"].take(pa.array(at)).combine_chunks(), own, lists]
+                out.append(pa.Table.from_arrays(columns, names=out_schema.names).cast(out_schema))
+        return pa.concat_tables(out)
+
+    most = max(map(len, codes.values()))
+    sums = dealt.groupBy("_a", "_b").applyInArrow(run, fields).groupBy("labelling", "point", "own")
+    sums = sums.agg(F.array(*[F.sum(F.get("totals", F.lit(i))) for i in range(most)]).alias("totals"))
+    known = [(c, codes[c].tolist(), held[c]) for c in label_cols if len(codes[c])]
+    known = base.sparkSession.createDataFrame(known, "labelling string, codes array<int>, sizes array<long>")
+    at = (F.array_position("codes", F.col("own")) - 1).cast("int")  # null for a point without a label
+    means = F.transform("codes", lambda code, i: F.when(code != F.col("own"), F.get("totals", i) / F.get("sizes", i)))
+    per_point = sums.join(F.broadcast(known), "labelling").withColumn("own_size", F.get("sizes", at))
+    per_point = per_point.withColumns(
+        {"a": F.get("totals", at) / F.greatest(F.col("own_size") - 1, F.lit(1)), "b": F.array_min(means)}
     )
     spread = F.greatest("a", "b")
     score = F.when((F.col("own_size") > 1) & (spread > 0), (F.col("b") - F.col("a")) / spread)

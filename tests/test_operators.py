@@ -613,3 +613,34 @@ def test_toggle_fold_matches_parity(spark):
     log = [(u, i) for u, i in itertools.product(range(3), range(4)) for _ in range(u + i)]
     out = tracks.progress_from_toggles(spark.createDataFrame(log, "user_id int, item_id int"))
     assert {(r.user_id, r.item_id): r.is_completed for r in out.collect()} == {(u, i): (u + i) % 2 == 1 for u, i in set(log)}
+
+
+def test_silhouette_of_many_axes_far_from_the_origin_with_copies_and_missing_labels(spark):
+    rng = np.random.default_rng(8)
+    points = 1000 + rng.normal(size=(70, 24))
+    points[40:] = points[39]
+    labels = [None if i % 23 == 5 else i % 3 for i in range(70)]
+    df = spark.createDataFrame([(i, p.tolist(), c, 4 if i >= 40 else None) for i, (p, c) in enumerate(zip(points, labels))], "i int, vector array<double>, c int, one int")
+    out = clustering.silhouette_samples(df, "i", ["c", "one"], block_rows=16).collect()
+    far = np.sqrt(((points[:, None] - points) ** 2).sum(axis=2))
+    have = np.array([-1 if c is None else c for c in labels])
+    got = {r.i: (r.cluster, r.silhouette) for r in out if r.labelling == "c"}
+    for i, own in enumerate(labels):
+        expected = 0.0
+        if own is not None:
+            a = far[i, have == own].sum() / ((have == own).sum() - 1)
+            b = min(far[i, have == c].mean() for c in range(3) if c != own)
+            expected = (b - a) / max(a, b)
+        assert got[i][0] == own and got[i][1] == pytest.approx(expected, abs=1e-9)
+    assert {(r.cluster, r.silhouette) for r in out if r.labelling == "one"} == {(None, 0.0), (4, 0.0)}
+
+
+def test_two_blocks_of_points_meet_once(spark):
+    sums = clustering._distance_sums
+    points = np.random.default_rng(3).normal(size=(50, 12))
+    halves = [(points[:20], [np.eye(2)[np.arange(20) % 2]]), (points[20:], [np.eye(2)[np.arange(30) % 2]])]
+    rows, columns = sums(*halves, False)
+    far = np.sqrt(((points[:20, None] - points[20:]) ** 2).sum(axis=2))
+    assert rows[0] == pytest.approx(far @ halves[1][1][0]) and columns[0] == pytest.approx(far.T @ halves[0][1][0])
+    itself = sums(halves[0], halves[0], True)[1][0]
+    assert not itself.any()
