@@ -18,6 +18,10 @@ from pyspark.sql import types as T
 #: Rows of a cell on average, and the most cells in all, whose pivots and bounds are sent to the tasks.
 CELL_ROWS = 64
 MAX_CELLS = 4096
+#: Rows of a block of cells that lie next to each other, which a query visits once for all of them.
+BLOCK_ROWS = 50_000
+#: Bounds that a task holds at a time.
+STEP = 1_000_000
 #: Rows of the nearest cells that a query meets first, as a multiple of the rows it asks for.
 FIRST_ROWS = 2
 #: Bounds and scores are compared with this much room for rounding.
@@ -33,6 +37,12 @@ class Cells:
     rows: dict[tuple, np.ndarray]
     reach: dict[tuple, np.ndarray]
     near: dict[tuple, np.ndarray]
+    block_rows: int
+
+    def blocks(self, key: tuple) -> np.ndarray:
+        """The block of each cell, ascending."""
+        held = self.rows[key]
+        return ((np.cumsum(held) - held) // self.block_rows).astype(np.int32)
 
     def bounds(self, key: tuple, queries: np.ndarray) -> np.ndarray:
         """For each query and cell of a group the best score that a row of the cell can have."""
@@ -125,7 +135,7 @@ def with_cells(index: DataFrame, vector: str, on: list[str], pivots: dict[tuple,
     return index.mapInArrow(run, schema)
 
 
-def measured(placed: DataFrame, on: list[str], pivots: dict[tuple, np.ndarray], metric: str) -> Cells:
+def measured(placed: DataFrame, on: list[str], pivots: dict[tuple, np.ndarray], metric: str, block_rows: int = BLOCK_ROWS) -> Cells:
     """The cells of the groups with pivots, with their rows' number and distances."""
     rows = {key: np.zeros(len(p), np.int64) for key, p in pivots.items()}
     reach, near = ({key: np.zeros(len(p)) for key, p in pivots.items()} for _ in range(2))
@@ -137,36 +147,66 @@ def measured(placed: DataFrame, on: list[str], pivots: dict[tuple, np.ndarray],
             key, cell = tuple(row[: len(on)]), row["_cell"]
             if key in pivots:
                 rows[key][cell], reach[key][cell], near[key][cell] = row[len(on) + 1 :]
-    return Cells(metric, pivots, rows, reach, near)
+    return Cells(metric, pivots, rows, reach, near, block_rows)
 
 
-def visits(asked: DataFrame, vector: str, on: list[str], cells: Cells, dim: int, least: Column | None = None) -> DataFrame:
-    """A row of ``asked`` for each cell that it is to meet, with the ``_cell``.
+def in_blocks(placed: DataFrame, on: list[str], cells: Cells) -> DataFrame:
+    """Add ``_block`` to rows with cells, 0 in groups without pivots."""
+    names = [*on, "_cell", "_block"]
+    rows = [(*key, cell, int(block)) for key in cells.pivots for cell, block in enumerate(cells.blocks(key))]
+    schema = T.StructType([*(placed.schema[c] for c in names[:-1]), T.StructField("_block", T.IntegerType())])
+    known = F.broadcast(placed.sparkSession.createDataFrame(rows, schema))  # as many as there are cells
+    return placed.join(known, names[:-1], "left").withColumn("_block", F.coalesce("_block", F.lit(0)))
+
+
+def block_visits(asked: DataFrame, vector: str, on: list[str], cells: Cells, dim: int, least: Column | None = None) -> DataFrame:
+    """A row of ``asked`` for each block that it is to visit, with the ``_block`` and the ``_cells`` it meets there.
 
     Without ``least`` these are the cells next to the query. With it, the least score that still counts, they
-    are the others whose bound reaches it.
+    are the others whose bound reaches it; it is returned as ``_least``.
     """
-    schema = T.StructType([*asked.schema.fields, T.StructField("_cell", T.IntegerType())])
     sent, bounded = asked.sparkSession.sparkContext.broadcast(cells), least is not None
     rows = asked if least is None else asked.withColumn("_least", F.coalesce(least, F.lit(float("-inf"))))
+    added = [T.StructField("_block", T.IntegerType()), T.StructField("_cells", T.ArrayType(T.IntegerType()))]
+    schema = T.StructType([*rows.schema.fields, *added])
+
+    def met(batch: pa.RecordBatch, places: np.ndarray, blocks: np.ndarray, chosen: np.ndarray) -> Iterator[pa.RecordBatch]:
+        edges = np.flatnonzero(np.diff(blocks, prepend=-1, append=-1))
+        for first, last in zip(edges[:-1], edges[1:], strict=True):
+            part = chosen[:, first:last]
+            row, cell = np.nonzero(part)
+            wanted, counts = np.unique(row, return_counts=True)
+            if len(wanted):
+                lists = pa.ListArray.from_arrays(
+                    pa.array(np.concatenate(([0], np.cumsum(counts))), pa.int32()), pa.array(cell + first, pa.int32())
+                )
+                block = pa.array(np.full(len(wanted), blocks[first]), pa.int32())
+                columns = batch.take(pa.array(places[wanted])).columns
+                yield pa.RecordBatch.from_arrays([*columns, block, lists], names=schema.names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = sent.value
         for batch in batches:
             points = matrix(batch.column(batch.schema.get_field_index(vector)), dim)
             k = batch.column(batch.schema.get_field_index("k")).to_numpy(zero_copy_only=False)
-            for key, places in group_rows(batch, on):
-                if key in known.pivots:
+            for key, every in group_rows(batch, on):
+                if key not in known.pivots:
+                    if not bounded:
+                        yield from met(batch, every, np.zeros(1, np.int32), np.ones((len(every), 1), dtype=bool))
+                    continue
+                blocks, step = known.blocks(key), max(1, STEP // len(known.pivots[key]))
+                for first in range(0, len(every), step):
+                    places = every[first : first + step]
                     near = known.first(key, points[places], k[places])
                     if bounded:
                         wanted = batch.column(batch.num_columns - 1).to_numpy(zero_copy_only=False)[places]
                         near = ~near & (known.rows[key] > 0) & (known.bounds(key, points[places]) >= wanted[:, None] - SLACK)
-                    row, cell = np.nonzero(near)
-                elif not bounded:
-                    row, cell = np.arange(len(places)), np.zeros(len(places), np.int64)
-                else:
-                    continue
-                met = batch.take(pa.array(places[row]))
-                yield pa.RecordBatch.from_arrays([*met.columns[: len(schema) - 1], pa.array(cell, pa.int32())], names=schema.names)
+                    yield from met(batch, places, blocks, near)
 
     return rows.mapInArrow(run, schema)
+
+
+def visits(asked: DataFrame, vector: str, on: list[str], cells: Cells, dim: int, least: Column | None = None) -> DataFrame:
+    """A row of ``asked`` for each cell that it is to meet, with the ``_cell``, as ``block_visits`` chooses them."""
+    met = block_visits(asked, vector, on, cells, dim, least)
+    return met.select(*asked.columns, F.explode("_cells").alias("_cell"))

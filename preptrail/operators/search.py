@@ -6,6 +6,7 @@ not visited (``cells``).
 """
 
 from dataclasses import dataclass, replace
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -21,8 +22,11 @@ from preptrail.session import cut_lineage
 
 MAX_BROADCAST_QUERIES = 20_000
 MAX_BROADCAST_VALUES = 4_000_000
-BLOCK_ROWS = 50_000
-QUERY_CHUNK = 5_000
+BLOCK_ROWS = cells.BLOCK_ROWS
+QUERY_CHUNK = 4_000
+#: Results that a task holds for its queries, and how often an index is scanned for lots of queries with so many.
+MAX_RESULTS = 250_000
+MAX_SCANS = 16
 SCORES_PER_STEP = 2_000_000
 MATRIX_SCORES = 20_000
 PAIR_STEP = 20_000
@@ -116,8 +120,14 @@ def _block_best(q_pos, queries, cands, c_pos, limits, spec: SearchSpec) -> list[
         dropped = np.isnan(score)
         if spec.differ:
             dropped |= queries["differ"][rows][:, None] == cands["differ"][c_pos][None, :]
-        score[dropped] = -np.inf
         wanted = int(limits[rows].max())
+        if queries.get("least") is not None:
+            dropped |= score < queries["least"][rows][:, None]
+            qi, ci = np.nonzero(~dropped)
+            if len(qi) <= wanted * len(rows):
+                out.append(_found(rows[qi], c_pos[ci], score[qi, ci], cands, spec))
+                continue
+        score[dropped] = -np.inf
         take = wanted if not spec.distinct else 2 * wanted
         while True:
             take = min(take, len(c_pos))
@@ -145,6 +155,8 @@ def _pairs_found(c_pos, groups, queries, cands, spec: SearchSpec) -> list[pd.Dat
         kept = ~np.isnan(score)
         if spec.differ:
             kept &= queries["differ"][q_pos] != cands["differ"][pos]
+        if queries.get("least") is not None:
+            kept &= score >= queries["least"][q_pos]
         out.append(_found(q_pos[kept], pos[kept], score[kept], cands, spec))
     return out
 
@@ -165,21 +177,28 @@ def _search_block(queries: dict, cands: dict, limits: np.ndarray, spec: SearchSp
         start = queries["start"][group]
         q_pos = queries["order"][start : start + queries["count"][group]]
         out += _block_best(q_pos, queries, cands, c_pos[groups == group], limits, spec)
+        if sum(map(len, out[1:])) > max(PENDING_ROWS, len(out[0])):
+            out = [_best(pd.concat(out, ignore_index=True), limits, spec)]
     return out
 
 
-def _query_side(frame: pd.DataFrame, spec: SearchSpec, matrix: np.ndarray) -> dict:
-    """Queries as arrays, with their positions listed group by group."""
+def _query_side(frame: pd.DataFrame, spec: SearchSpec, matrix: np.ndarray, cells: pa.ListArray | None = None) -> dict:
+    """Queries as arrays, with their positions listed group by group; ``cells`` lists the cells each of them meets."""
     side = {
         "query_id": frame["query_id"].to_numpy(),
         "matrix": matrix,
         "differ": frame[spec.differ].to_numpy() if spec.differ else None,
+        "least": frame["_least"].to_numpy() if "_least" in frame else None,
     }
     if spec.on:
-        keys = pd.DataFrame({str(i): frame[c].to_numpy() for i, c in enumerate(spec.on)})
+        place, keys = np.arange(len(frame)), {c: frame[c].to_numpy() for c in spec.on if c in frame}
+        if cells is not None:
+            place = np.repeat(place, cells.value_lengths().to_numpy())
+            keys = {**{c: values[place] for c, values in keys.items()}, "_cell": cells.flatten().to_numpy()}
+        keys = pd.DataFrame({str(i): keys[c] for i, c in enumerate(spec.on)})
         group = keys.groupby(list(keys.columns), sort=False).ngroup().to_numpy()
         valid = np.flatnonzero(group >= 0)
-        side["order"] = valid[np.argsort(group[valid], kind="stable")]
+        side["order"] = place[valid[np.argsort(group[valid], kind="stable")]]
         side["count"] = np.bincount(group[valid])
         side["start"] = np.cumsum(side["count"]) - side["count"]
         side["keys"] = keys.assign(group=group).iloc[valid].drop_duplicates("group")
@@ -257,29 +276,32 @@ def _broadcast_search(index: DataFrame, rows: pd.DataFrame, dim: int, spec: Sear
     return (_with_asked_keys(index, rows, spec) if spec.on else index).mapInArrow(scan, schema)
 
 
-def _grid_search(index: DataFrame, queries: DataFrame, dim: int, spec: SearchSpec, schema) -> DataFrame:
+def _grid_search(index: DataFrame, queries: DataFrame, dim: int, k_max: int, spec: SearchSpec, schema) -> DataFrame:
     """Shuffle both sides into parts of bounded size that hold all matching pairs.
 
-    Small key groups share a part, picked by a hash of their keys. A group with more rows or
-    queries than a part should hold is split: its rows into blocks, its queries into chunks, with
-    one part for every block and chunk.
+    Rows have a ``_block`` and a ``_cell``, queries a ``_block`` and the ``_cells`` they meet there. Small blocks
+    share a part, picked by a hash of their keys. A block with more rows or queries than a part should hold is
+    split: its rows into pieces, its queries into chunks, with one part for every piece and chunk.
     """
-    index, queries = index.withColumn("_all", F.lit(0)), queries.withColumn("_all", F.lit(0))
-    keys = list(spec.on) or ["_all"]
-    n_parts = max(1, -(-index.count() // BLOCK_ROWS), -(-queries.count() // QUERY_CHUNK))
+    keys = [*spec.on, "_block"]
+    spec, chunk = replace(spec, on=(*spec.on, "_cell")), max(1, min(QUERY_CHUNK, MAX_RESULTS // k_max))
+    n_parts = max(1, -(-index.count() // BLOCK_ROWS), -(-queries.count() // chunk))
 
     def pieces(df: DataFrame, rows: int, name: str) -> DataFrame:
         sized = df.groupBy(*keys).agg(F.ceil(F.count("*") / rows).cast("int").alias(name))
         return sized.filter(F.col(name) > 1)
 
-    hot = pieces(index, BLOCK_ROWS, "_blocks").join(pieces(queries, QUERY_CHUNK, "_chunks"), keys, "full_outer").fillna(1)
+    hot = pieces(index, 2 * BLOCK_ROWS, "_blocks").join(pieces(queries, chunk, "_chunks"), keys, "full_outer").fillna(1)
+    # Parts are few bytes and much work: as many tasks as keep all cores busy.
+    n_tasks = 2 * max(n_parts, index.sparkSession.sparkContext.defaultParallelism)
     own_part = F.pmod(F.xxhash64(*keys), F.lit(n_parts)).cast("int")
 
     def dealt(df: DataFrame, id_col: str, own: str, own_count: str, other: str, other_count: str):
         placed = df.join(hot, keys, "left").fillna(1, ["_blocks", "_chunks"])
         placed = placed.withColumn(own, F.pmod(F.xxhash64(id_col), F.col(own_count)).cast("int"))
         placed = placed.withColumn(other, F.explode(F.sequence(F.lit(0), F.col(other_count) - 1)))
-        return placed.withColumn("_part", own_part).groupBy("_part", "_b", "_c")
+        placed = placed.withColumn("_part", own_part).repartition(n_tasks, "_part", "_b", "_c")
+        return placed.groupBy("_part", "_b", "_c")
 
     left = dealt(index, spec.id_col, "_b", "_blocks", "_c", "_chunks")
     right = dealt(queries, "query_id", "_c", "_chunks", "_b", "_blocks")
@@ -291,8 +313,8 @@ def _grid_search(index: DataFrame, queries: DataFrame, dim: int, spec: SearchSpe
             return nothing
         block, asked = block.combine_chunks(), asked.combine_chunks()
         points = _arrow_matrix(asked.column(spec.vector).combine_chunks(), dim)
-        frame = asked.drop_columns([spec.vector]).to_pandas()
-        side, limits = _query_side(frame, spec, points), frame["k"].to_numpy()
+        frame = asked.drop_columns([spec.vector, "_cells"]).to_pandas()
+        side, limits = _query_side(frame, spec, points, asked.column("_cells").combine_chunks()), frame["k"].to_numpy()
 
         def values(name: str) -> np.ndarray:
             return block.column(name).to_pandas().to_numpy()
@@ -329,18 +351,27 @@ def _cell_search(index: DataFrame, queries: DataFrame, dim: int, k_max: int, spe
     asked = cut_lineage(queries, "asked")
     pivots = cells.choose_pivots(matched, spec.id_col, spec.vector, on)
     placed = cut_lineage(cells.with_cells(matched, spec.vector, on, pivots, dim), "cells")
-    known = cells.measured(placed, on, pivots, spec.metric)
-    in_cells = replace(spec, on=(*on, "_cell"))
-    first = cut_lineage(cells.visits(asked, spec.vector, on, known, dim), "visits")
-    near = cut_lineage(_grid_search(placed, first, dim, in_cells, schema), "near")
+    known = cells.measured(placed, on, pivots, spec.metric, BLOCK_ROWS)
+    placed = cells.in_blocks(placed, on, known)
+    first = cut_lineage(cells.block_visits(asked, spec.vector, on, known, dim), "visits")
+    near = cut_lineage(_grid_search(placed, first, dim, k_max, spec, schema), "near")
     if not pivots:
         return near
     limits = asked.groupBy("query_id").agg(F.max("k").alias("k"))
-    ranked = _ranked(near, k_max, spec, 1).select("query_id", "score", "rank").join(limits, "query_id").filter("rank = k")
+    counted = _ranked(near, k_max, spec, 1) if spec.distinct else top_n(near.select("query_id", "score"), ["query_id"], [F.col("score").desc()], k_max, salts=1)
+    ranked = counted.select("query_id", "score", "rank").join(limits, "query_id").filter("rank = k")
     least = asked.join(ranked.select("query_id", F.col("score").alias("_reached")), "query_id", "left")
-    rest = cells.visits(least, spec.vector, on, known, dim, F.col("_reached")).drop("_reached")
+    rest = cells.block_visits(least, spec.vector, on, known, dim, F.col("_reached")).drop("_reached")
     rest = cut_lineage(rest, "visits")
-    return near.unionByName(_grid_search(placed, rest, dim, in_cells, schema))
+    return near.unionByName(_grid_search(placed, rest, dim, k_max, spec, schema))
+
+
+def _lots(rows: pd.DataFrame, spec: SearchSpec) -> list[pd.DataFrame]:
+    """Queries in lots that ask for at most ``MAX_RESULTS`` rows each (or are one query), those of a group together."""
+    rows = rows.sort_values(list(spec.on), kind="stable", ignore_index=True) if spec.on else rows
+    asked = rows["k"].to_numpy(dtype=np.int64)
+    lot = (np.cumsum(asked) - asked) // MAX_RESULTS
+    return [part.reset_index(drop=True) for _, part in rows.groupby(lot, sort=True)]
 
 
 def search(
@@ -369,9 +400,10 @@ def search(
     dim = first[0]
     fitting = min(max_broadcast, MAX_BROADCAST_VALUES // dim)
     rows = asked.limit(fitting + 1).toPandas()
-    if len(rows) <= fitting:
+    if len(rows) <= fitting and rows["k"].sum() <= MAX_SCANS * MAX_RESULTS:
         k_max = int(rows["k"].max())
-        ranked = _ranked(_broadcast_search(vectors, rows, dim, spec, schema), k_max, spec)
+        found = [_broadcast_search(vectors, lot, dim, spec, schema) for lot in _lots(rows, spec)]
+        ranked = _ranked(reduce(DataFrame.union, found), k_max, spec)
     else:
         k_max = asked.agg(F.max("k")).first()[0]
         ranked = _ranked(_cell_search(vectors, asked, dim, k_max, spec, schema), k_max, spec, 1)

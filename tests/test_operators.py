@@ -644,3 +644,39 @@ def test_two_blocks_of_points_meet_once(spark):
     assert rows[0] == pytest.approx(far @ halves[1][1][0]) and columns[0] == pytest.approx(far.T @ halves[0][1][0])
     itself = sums(halves[0], halves[0], True)[1][0]
     assert not itself.any()
+
+
+def test_all_peers_are_listed_without_a_search(spark, monkeypatch):
+    rng = np.random.default_rng(21)
+    points = rng.integers(0, 4, size=(90, 3)).astype(float)  # many ties
+    members = spark.createDataFrame([(f"c{i:02}", i % 3, p.tolist()) for i, p in enumerate(points)], "company string, cluster int, vector array<double>")
+    targets = members.filter(F.col("company") < "c40")
+    monkeypatch.setattr(peers, "LIST_ROWS", 0)
+    searched = sorted(map(tuple, peers.nearest_peers(members, targets).collect()))
+    monkeypatch.setattr(peers, "LIST_ROWS", 30)
+    monkeypatch.setattr(peers, "search", None)
+    listed = sorted(map(tuple, peers.nearest_peers(members, targets).collect()))
+    assert len(listed) == 40 * 29 and listed == searched
+
+
+def test_a_broadcast_search_deals_queries_to_lots(spark, monkeypatch):
+    rng = np.random.default_rng(22)
+    rows = spark.createDataFrame([(i, i % 4, rng.normal(size=3).tolist()) for i in range(80)], "id int, g int, vector array<double>")
+    asked = rows.filter("id < 20").withColumn("query_id", F.col("id"))
+    spec = search.SearchSpec(on=("g",))
+    whole = sorted(map(tuple, search.search(rows, asked, 5, spec).collect()))
+    monkeypatch.setattr(search, "MAX_RESULTS", 30)
+    frame = asked.select("query_id", F.lit(5).alias("k"), "vector", "g").toPandas()
+    assert [len(lot) for lot in search._lots(frame, spec)] == [6, 6, 6, 2]
+    assert sorted(map(tuple, search.search(rows, asked, 5, spec).collect())) == whole
+
+
+def test_a_query_visits_a_block_of_cells_once(spark, monkeypatch):
+    rng = np.random.default_rng(23)
+    monkeypatch.setattr(cells, "CELL_ROWS", 8)
+    rows = spark.createDataFrame([(i, rng.normal(size=12).tolist()) for i in range(600)], "id int, vector array<double>").withColumn("k", F.lit(3))
+    pivots = cells.choose_pivots(rows, "id", "vector", [])
+    known = cells.measured(cells.with_cells(rows, "vector", [], pivots, 12), [], pivots, "dot", 200)
+    met = cells.block_visits(rows, "vector", [], known, 12, F.lit(-100.0))
+    assert met.count() == met.select("id", "_block").distinct().count() <= 4 * 600
+    assert met.agg(F.sum(F.size("_cells"))).first()[0] > 20 * met.count() / 2
