@@ -17,9 +17,9 @@ def query_text(company: Column, difficulty: Column) -> Column:
     return F.concat_ws(" | ", company, difficulty)
 
 
-def own_top(index: DataFrame, requests: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+def own_top(index: DataFrame, requests: DataFrame, carry: tuple[str, ...] = (), distinct: str | None = None) -> DataFrame:
     """Best rows of the requested company and difficulty, filtered before ranking."""
-    return search(index, requests, F.col("n"), SearchSpec(on=("company", "difficulty"), carry=carry))
+    return search(index, requests, F.col("n"), SearchSpec(on=("company", "difficulty"), distinct=distinct, carry=carry))
 
 
 def peer_top(
@@ -71,37 +71,6 @@ def global_top(
     return search(index, requests, k, SearchSpec(on=("difficulty",), distinct=distinct, carry=carry))
 
 
-def own_and_peer_top(index: DataFrame, requests: DataFrame, labels: DataFrame, carry: tuple[str, ...]) -> DataFrame:
-    """Best rows of the requested company and of its peers, by ``tier``, from one scan of the index.
-
-    A row stands for its company and for its cluster, a request asks both groups; in the cluster's, rows of the
-    own company do not count. Own rows are kept as they are, peers' rows once per link.
-    """
-    in_cluster = labels.select("company", "cluster")
-
-    def sides(df: DataFrame, own: dict[str, Column], peer: dict[str, Column]) -> DataFrame:
-        company, cluster = F.concat(F.lit("o:"), "company"), F.concat(F.lit("c:"), F.col("cluster").cast("string"))
-        asked = F.struct(F.lit(OWN).alias("tier"), company.alias("group"), *(c.alias(n) for n, c in own.items()))
-        others = F.struct(F.lit(PEER).alias("tier"), cluster.alias("group"), *(c.alias(n) for n, c in peer.items()))
-        both = F.when(F.col("cluster").isNotNull(), F.array(asked, others)).otherwise(F.array(asked))
-        rest = [c for c in df.columns if c not in own]
-        return df.join(in_cluster, "company", "left").select(*rest, F.explode(both).alias("_side")).select(*rest, "_side.*")
-
-    rows = sides(index, {"once": F.concat(F.lit("i:"), F.col("id").cast("string"))}, {"once": F.col("dedup")})
-    key = {tier: F.concat_ws("|", F.lit(tier), F.col("query_id").cast("string")) for tier in (OWN, PEER)}
-    nobody = F.lit(None).cast("string")
-    tiered = sides(
-        requests.withColumn("asked_id", F.col("query_id")),
-        {"query_id": key[OWN], "company": nobody},
-        {"query_id": key[PEER], "company": F.col("company")},
-    )
-    tiered = cut_lineage(tiered, "tiers")
-    spec = SearchSpec(on=("group", "difficulty"), differ="company", distinct="once", carry=carry)
-    found = search(rows, tiered, F.col("n"), spec).drop("once")
-    names = tiered.select("query_id", "asked_id", "tier")
-    return found.join(names, "query_id").drop("query_id").withColumnRenamed("asked_id", "query_id")
-
-
 def _short(requests: DataFrame, found: DataFrame) -> DataFrame:
     have = found.groupBy("query_id").agg(F.count("*").alias("have"))
     short = requests.join(have, "query_id", "left").withColumn("have", F.coalesce("have", F.lit(0)))
@@ -144,14 +113,13 @@ def retrieve(
     n_max = asked.agg(F.coalesce(F.max("n"), F.lit(0))).first()[0]
 
     if labels is not None and peers is None:
-        near = cut_lineage(own_and_peer_top(base, asked, labels, DETAILS), "near")
-        found, candidates = near.filter(F.col("tier") == OWN), near.filter(F.col("tier") == PEER).drop("tier")
-        found = cut_lineage(found.unionByName(_fill(_short(asked, found), found, candidates, PEER, n_max)), "peer")
+        own = own_top(base.withColumn("once", F.col("id").cast("string")), asked, DETAILS, "once").drop("once")
     else:
-        found = cut_lineage(own_top(base, asked, DETAILS).withColumn("tier", F.lit(OWN)), "own")
-    if peers is not None:
-        short = _short(asked, found)
-        candidates = peer_top(base, short, F.col("n"), None, peers, "dedup", DETAILS)
+        own = own_top(base, asked, DETAILS)
+    found = cut_lineage(own.withColumn("tier", F.lit(OWN)), "own")
+    if labels is not None or peers is not None:
+        short = cut_lineage(_short(asked, found), "short")
+        candidates = peer_top(base, short, F.col("n"), labels, peers, "dedup", DETAILS)
         found = cut_lineage(found.unionByName(_fill(short, found, candidates, PEER, n_max)), "peer")
     short = _short(asked, found)
     expanded = cut_lineage(expanded_requests(short, found, index, encode), "expanded")
