@@ -74,8 +74,8 @@ def csv_feed_roundtrip(spark, sf):
 def enriched_feed_preferred(spark, sf):
     """Both feeds are there; the enriched one is read."""
     enriched, plain = scratch_path(spark, "feed-enriched"), scratch_path(spark, "feed-plain")
-    writers.write_jsonl(feed(spark, sf).drop("id"), enriched)
-    writers.write_csv(feed(spark, sf).drop("id").withColumn("title", F.lit("plain")), plain)
+    writers.write_jsonl(feed(spark, sf).drop("id"), enriched, "gzip")
+    writers.write_csv(feed(spark, sf).drop("id").withColumn("title", F.lit("plain")), plain, compression="gzip")
     typed = catalogue.typed_problems(readers.read_problem_feed(spark, enriched, plain))
     return typed.groupBy(*NO_ID.split(", ")).agg(F.count("*").alias("n"))
 

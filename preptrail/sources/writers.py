@@ -8,8 +8,8 @@ from preptrail.sources.readers import path_exists
 from preptrail.sources.versions import KeyedTable
 
 
-def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
-    df.write.mode(mode).option("header", True).option("escape", '"').csv(path)
+def write_csv(df: DataFrame, path: str, mode: str = "overwrite", compression: str | None = None) -> None:
+    df.write.mode(mode).option("header", True).option("escape", '"').csv(path, compression=compression)
 
 
 def append_csv(df: DataFrame, path: str) -> None:
@@ -17,9 +17,10 @@ def append_csv(df: DataFrame, path: str) -> None:
     write_csv(df, path, "append")
 
 
-def write_jsonl(df: DataFrame, path: str) -> None:
-    """JSON lines with non-ASCII text kept as it is and null fields kept as null."""
-    df.write.mode("overwrite").option("ignoreNullFields", False).json(path)
+def write_jsonl(df: DataFrame, path: str, compression: str | None = None) -> None:
+    """JSON lines with non-ASCII text kept as it is and null fields kept as null; such as ``gzip`` packs them,
+    at the price of one task a file for their reader."""
+    df.write.mode("overwrite").option("ignoreNullFields", False).json(path, compression=compression)
 
 
 def write_registry(df: DataFrame, path: str) -> None:
