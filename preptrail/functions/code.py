@@ -3,7 +3,8 @@
 import ast
 import warnings
 
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -51,10 +52,13 @@ _CHECK = T.StructType(
 )
 
 
-@F.pandas_udf(_CHECK)
-def _check_syntax(code: pd.Series) -> pd.DataFrame:
-    errors = [_parse_error(c) for c in code]
-    return pd.DataFrame({"compiled": [e is None for e in errors], "error": errors, "size": code.str.len()})
+def _check(code: pa.Array) -> pa.Array:
+    errors = [_parse_error(c.as_py()) for c in code]  # one text at a time becomes a Python string
+    columns = [pa.array([e is None for e in errors], pa.bool_()), pa.array(errors, pa.string()), pc.utf8_length(code).cast(pa.int32())]
+    return pa.StructArray.from_arrays(columns, names=_CHECK.names)
+
+
+_check_syntax = F.arrow_udf(_check, _CHECK)
 
 
 def checked_code(answer: Column) -> Column:

@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
@@ -63,15 +64,18 @@ class TextEncoder:
     def _column(self, finish: Callable[[np.ndarray], np.ndarray], element: T.DataType):
         model, batch = self.encoder, self.batch
 
-        def encode(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-            for texts in parts:
-                rows: list[np.ndarray] = []
-                for start in range(0, len(texts), batch):
-                    rows.extend(finish(model(texts.iloc[start : start + batch].tolist())))
-                yield pd.Series(rows, index=texts.index, dtype=object)
+        kind = pa.float32() if isinstance(element, T.FloatType) else pa.float64()
 
-        encode.__annotations__ = {"parts": Iterator[pd.Series], "return": Iterator[pd.Series]}
-        return F.pandas_udf(encode, T.ArrayType(element)).asNondeterministic()
+        def encode(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+            for texts in parts:
+                # Only ``batch`` texts at a time become Python strings, however many Spark sends.
+                rows = [finish(model(texts.slice(start, batch).to_pylist())) for start in range(0, len(texts), batch)]
+                values = pa.array(np.concatenate([np.asarray(r).ravel() for r in rows] or [np.zeros(0)]), kind)
+                width = len(values) // max(1, len(texts))
+                yield pa.ListArray.from_arrays(np.arange(len(texts) + 1, dtype=np.int32) * width, values)
+
+        encode.__annotations__ = {"parts": Iterator[pa.Array], "return": Iterator[pa.Array]}
+        return F.arrow_udf(encode, T.ArrayType(element)).asNondeterministic()
 
     def __call__(self, text: Column) -> Column:
         return self._column(normalize_rows, T.FloatType())(text)

@@ -680,3 +680,13 @@ def test_a_query_visits_a_block_of_cells_once(spark, monkeypatch):
     met = cells.block_visits(rows, "vector", [], known, 12, F.lit(-100.0))
     assert met.count() == met.select("id", "_block").distinct().count() <= 4 * 600
     assert met.agg(F.sum(F.size("_cells"))).first()[0] > 20 * met.count() / 2
+
+
+def test_an_encoder_gets_few_texts_at_a_time_and_none_for_a_missing_one(spark):
+    def lengths(texts):
+        return np.array([[len(t or ""), len(texts), t is None] for t in texts], dtype=float)
+
+    df = spark.range(10, numPartitions=1).select("id", F.when(F.col("id") != 3, F.repeat(F.lit("a"), F.col("id").cast("int"))).alias("t"))
+    rows = df.select("id", encode.TextEncoder(lengths, batch=4).sums(F.col("t")).alias("v")).collect()
+    assert {r.id: r.v for r in rows} == {i: [0.0 if i == 3 else i, 2.0 if i > 7 else 4.0, float(i == 3)] for i in range(10)}
+    assert df.filter("id < 0").select(encode.TextEncoder(lengths)(F.col("t"))).collect() == []
