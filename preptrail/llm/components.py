@@ -20,15 +20,16 @@ def components(links: DataFrame) -> DataFrame:
         both = pairs.union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
         # Large star: neighbours larger than the node link to the smallest of its neighbourhood.
-        large = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        large = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         large = cut_lineage(large, "links")
         # Small star: the node and its smaller neighbours link to the smallest of them.
         lower = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(lower, "a").select(F.explode(F.array("a", "b")).alias("a"), F.col("m").alias("b"))
         small = cut_lineage(small.filter("a <> b").distinct(), "links")
         # Stars: no centre is linked to anything smaller and no node to two centres.
-        ended = small.groupBy("a").agg(F.count("*").alias("n")).filter("n > 1").isEmpty()
-        if ended and small.join(small.select(F.col("a").alias("b")), "b", "left_semi").isEmpty():
+        ends = small.select(F.col("a").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down"))
+        ends = ends.union(small.select("b", F.lit(0), F.lit(1))).groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+        if not ends.filter("up > 1 or (up = 1 and down = 1)").count():
             break
         pairs = small
     centres = small.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
