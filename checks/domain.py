@@ -7,7 +7,7 @@ filter.
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from preptrail.session import spread
+from preptrail.session import few, spread
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -33,9 +33,14 @@ PROBLEMS = f"""problems AS (
   FROM lineitem JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey)"""
 
 
+#: Rows of part and supplier that are sent to the line items, which else are shuffled to meet them.
+MAX_ROWS_SENT = 2_000_000
+
+
 def problems(spark: SparkSession, sf: str, read=table) -> DataFrame:
-    items = read(spark, sf, "lineitem").join(table(spark, sf, "part"), F.col("l_partkey") == F.col("p_partkey"))
-    items = items.join(table(spark, sf, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
+    part, supplier = (few(table(spark, sf, name), MAX_ROWS_SENT) for name in ("part", "supplier"))
+    items = read(spark, sf, "lineitem").join(part, F.col("l_partkey") == F.col("p_partkey"))
+    items = items.join(supplier, F.col("l_suppkey") == F.col("s_suppkey"))
     return items.select(
         F.expr(PROBLEM_ID).alias("id"),
         F.col("s_name").alias("company"),

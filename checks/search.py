@@ -10,7 +10,7 @@ from preptrail.operators import encode, retrieval, roadmap
 from preptrail.operators.ranking import top_n
 from preptrail.operators.search import SearchSpec, search
 from preptrail.plans import reports
-from preptrail.session import cut_lineage, scratch_path
+from preptrail.session import cut_lineage, release_scratch, scratch_mark, scratch_path
 from preptrail.sources import readers, writers
 
 DIM = 64
@@ -310,13 +310,16 @@ ROADMAP = (
 )
 
 
-def _roadmap(spark, sf):
+def _roadmap(spark, sf, plan=roadmap.recommend, **options):
     base, fits, labels = C.fitted(spark, sf)
-    counts = C.predict(D.interviews(spark, sf), base, fits, labels)
+    counts = cut_lineage(C.predict(D.interviews(spark, sf), base, fits, labels), "predicted")
     problems = D.problems(spark, sf)
     described = D.problems(spark, sf, D.spread_table).withColumn("description", F.lit(None).cast("string"))
-    index = _stored(encode.problem_index(described, ENCODE))
-    return counts, problems, roadmap.recommend(counts, index, problems, labels, ENCODE)
+    mark = scratch_mark()
+    index = _stored(encode.problem_index(described, ENCODE, packed=True))
+    roads = plan(counts, index, problems, labels, ENCODE, **options)
+    release_scratch(spark, mark, keep=roads)  # all searches are done
+    return counts, problems, roads
 
 
 @query(with_ctes(*ROADMAP) + " SELECT * FROM roadmap")

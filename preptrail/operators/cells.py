@@ -77,7 +77,16 @@ def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.sqrt(out)
 
 
+def unpacked(column: pa.BinaryArray, dim: int) -> np.ndarray:
+    """Vectors that are stored as the bytes of their single-precision values; none is missing."""
+    edges = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+    held = np.frombuffer(column.buffers()[2], np.uint8)[edges[0] : edges[-1]] if len(column) else np.zeros(0, np.uint8)
+    return held.view(np.float32).reshape(len(column), dim)
+
+
 def matrix(column: pa.Array, dim: int) -> np.ndarray:
+    if pa.types.is_binary(column.type):
+        return unpacked(column, dim).astype(float)
     return np.asarray(column.flatten().to_numpy(zero_copy_only=False), dtype=float).reshape(len(column), dim)
 
 
@@ -111,7 +120,8 @@ def choose_pivots(index: DataFrame, id_col: str, vector: str, on: list[str]) ->
     luck = F.pmod(F.xxhash64(id_col, F.lit(17)), F.lit(per_cell)) == 0
     pivots: dict[tuple, list] = {}
     for row in some.filter(luck).select(*on, vector).collect():
-        pivots.setdefault(tuple(row[:-1]), []).append(row[-1])
+        point = np.frombuffer(row[-1], np.float32) if isinstance(row[-1], (bytes, bytearray)) else row[-1]
+        pivots.setdefault(tuple(row[:-1]), []).append(point)
     distinct = {key: np.unique(np.array(rows, dtype=float), axis=0) for key, rows in pivots.items()}
     return {key: rows for key, rows in distinct.items() if len(rows) > 1}
 

@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
@@ -16,6 +17,10 @@ from pyspark.sql import types as T
 from preptrail.functions import clean, vectors
 
 ENCODE_BATCH = 64
+#: Texts and bytes of texts that an encoder of Arrow texts gets at a time, and buckets of tokens that it keeps.
+ARROW_BATCH = 4096
+ARROW_BYTES = 4 << 20
+KNOWN_TOKENS = 100_000
 Encoder = Callable[[list[str]], np.ndarray]
 
 
@@ -29,9 +34,39 @@ class HashingEncoder:
     def __init__(self, dim: int = 64):
         self.dim = dim
         self._token = re.compile(r"[^\W_]+")
+        self._known: dict[str, int] = {}
+        # Lower case of ASCII letters and digits, zero for what stands between tokens.
+        self._folded = np.array([ord(chr(i).lower()) if i < 128 and chr(i).isalnum() else 0 for i in range(256)], np.uint8)
 
     def _bucket(self, token: str) -> int:
-        return int(hashlib.md5(token.encode()).hexdigest()[:8], 16) % self.dim
+        bucket = self._known.get(token)
+        if bucket is None:
+            bucket = int(hashlib.md5(token.encode()).hexdigest()[:8], 16) % self.dim
+            if len(self._known) < KNOWN_TOKENS:
+                self._known[token] = bucket
+        return bucket
+
+    def arrow(self, texts: pa.Array) -> np.ndarray | None:
+        """The same rows from the bytes of ASCII texts, without a Python string each; None for other texts."""
+        texts = pc.fill_null(texts, "").cast(pa.large_string())
+        edges = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+        held = texts.buffers()[2]
+        data = np.frombuffer(held, np.uint8)[edges[0] : edges[-1]] if held is not None else np.zeros(0, np.uint8)
+        if len(data) and data.max() > 127:
+            return None
+        edges, folded = edges - edges[0], self._folded[data]
+        within = folded != 0
+        first = within.copy()
+        first[1:] &= ~within[:-1]
+        starts = edges[:-1][edges[:-1] < len(data)]
+        first[starts] = within[starts]
+        row = np.searchsorted(edges, np.flatnonzero(first), side="right") - 1
+        places = np.append(np.flatnonzero(first[within]), np.count_nonzero(within))
+        buffers = [None, pa.py_buffer(places.astype(np.int64)), pa.py_buffer(folded[within])]
+        tokens = pa.Array.from_buffers(pa.large_string(), len(row), buffers).dictionary_encode()
+        buckets = np.array([self._bucket(t) for t in tokens.dictionary.to_pylist()], dtype=int)
+        cells = row * self.dim + (buckets[tokens.indices.to_numpy()] if len(row) else np.zeros(0, dtype=int))
+        return np.bincount(cells, minlength=len(texts) * self.dim).reshape(len(texts), self.dim).astype(float)
 
     def __call__(self, texts: list[str]) -> np.ndarray:
         tokens = [self._token.findall((t or "").lower()) for t in texts]
@@ -61,25 +96,48 @@ class TextEncoder:
         self.encoder = encoder or HashingEncoder()
         self.batch = batch
 
-    def _column(self, finish: Callable[[np.ndarray], np.ndarray], element: T.DataType):
+    def _column(self, finish: Callable[[np.ndarray], np.ndarray], element: T.DataType, packed: bool = False):
         model, batch = self.encoder, self.batch
 
         kind = pa.float32() if isinstance(element, T.FloatType) else pa.float64()
 
+        def encoded(texts: pa.Array) -> Iterator[np.ndarray]:
+            whole = getattr(model, "arrow", None)
+            if whole is not None and len(texts):
+                step = max(1, min(ARROW_BATCH, ARROW_BYTES * len(texts) // max(1, texts.nbytes)))
+                for start in range(0, len(texts), step):
+                    some = texts.slice(start, step)
+                    part = whole(some) if some.nbytes <= 4 * ARROW_BYTES else None
+                    yield from [part] if part is not None else strings(some)
+            else:
+                yield from strings(texts)
+
+        def strings(texts: pa.Array) -> Iterator[np.ndarray]:
+            # Only ``batch`` texts at a time become Python strings, however many Spark sends.
+            for start in range(0, len(texts), batch):
+                yield model(texts.slice(start, batch).to_pylist())
+
         def encode(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
             for texts in parts:
-                # Only ``batch`` texts at a time become Python strings, however many Spark sends.
-                rows = [finish(model(texts.slice(start, batch).to_pylist())) for start in range(0, len(texts), batch)]
+                rows = [finish(part) for part in encoded(texts)]
                 values = pa.array(np.concatenate([np.asarray(r).ravel() for r in rows] or [np.zeros(0)]), kind)
-                width = len(values) // max(1, len(texts))
-                yield pa.ListArray.from_arrays(np.arange(len(texts) + 1, dtype=np.int32) * width, values)
+                edges = np.arange(len(texts) + 1, dtype=np.int32) * (len(values) // max(1, len(texts)))
+                if packed:
+                    yield pa.Array.from_buffers(pa.binary(), len(texts), [None, pa.py_buffer(edges * 4), values.buffers()[1]])
+                else:
+                    yield pa.ListArray.from_arrays(edges, values)
 
         encode.__annotations__ = {"parts": Iterator[pa.Array], "return": Iterator[pa.Array]}
-        return F.arrow_udf(encode, T.ArrayType(element)).asNondeterministic()
+        return F.arrow_udf(encode, T.BinaryType() if packed else T.ArrayType(element)).asNondeterministic()
 
     def __call__(self, text: Column) -> Column:
         return self._column(normalize_rows, T.FloatType())(text)
 
+    def packed(self, text: Column) -> Column:
+        """Unit vectors as the bytes of their single-precision values: one value to write and to read instead of one for
+        each dimension. Searches read them as they are."""
+        return self._column(normalize_rows, T.FloatType(), packed=True)(text)
+
     def sums(self, text: Column) -> Column:
         return self._column(lambda rows: np.asarray(rows, dtype=float), T.DoubleType())(text)
 
@@ -111,9 +169,9 @@ def mean_pool_rows(df: DataFrame, keys: list[str], vector: str, mask: Column) ->
     return pooled.select(*keys, mean.alias(vector))
 
 
-def problem_index(problems: DataFrame, encode: TextEncoder) -> DataFrame:
-    """Vector table of problems: id, vector, search metadata and the description, whole (``document``)
-    and as the snippet that is shown.
+def problem_index(problems: DataFrame, encode: TextEncoder, packed: bool = False) -> DataFrame:
+    """Vector table of problems: id, vector (``packed`` or an array), search metadata and the description, whole
+    (``document``) and as the snippet that is shown.
 
     ``problems`` has id, company, title, topics, difficulty, url, frequency and description.
     """
@@ -127,7 +185,7 @@ def problem_index(problems: DataFrame, encode: TextEncoder) -> DataFrame:
         "url",
         F.coalesce("description", F.lit("")).alias("document"),
         clean.snippet(F.col("description")).alias("snippet"),
-        encode(text).alias("vector"),
+        (encode.packed(text) if packed else encode(text)).alias("vector"),
     )
 
 

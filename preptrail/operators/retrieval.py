@@ -1,5 +1,8 @@
 """Waterfall retrieval: own problems, then those of peers, then any of the same difficulty."""
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -7,10 +10,13 @@ from preptrail.functions import clean, vectors
 from preptrail.operators.encode import TextEncoder, add_vectors
 from preptrail.operators.ranking import ranked, top_n
 from preptrail.operators.search import SearchSpec, search
-from preptrail.session import cut_lineage
+from preptrail.session import cut_lineage, few
 
 OWN, PEER, GLOBAL = 1, 2, 3
 DETAILS = ("dedup", "found_company", "url", "frequency")
+#: Rows looked for at first beyond those that a request lacks, and requests whose ids are sent to what was found.
+FIRST_ROOM = 4
+MAX_SHORT_SENT = 200_000
 
 
 def query_text(company: Column, difficulty: Column) -> Column:
@@ -77,17 +83,30 @@ def _short(requests: DataFrame, found: DataFrame) -> DataFrame:
     return short.filter(F.col("have") < F.col("n"))
 
 
-def _fill(short: DataFrame, found: DataFrame, candidates: DataFrame, tier: int, n_max: int) -> DataFrame:
-    """Candidates whose link is new for the query, up to the number still missing."""
-    fresh = candidates.join(found.select("query_id", "dedup"), ["query_id", "dedup"], "left_anti")
-    order = [F.col("score").desc(), F.col("id")]
-    ranked = top_n(fresh.drop("rank"), ["query_id"], order, n_max, salts=1)
-    return (
-        ranked.join(short.select("query_id", (F.col("n") - F.col("have")).alias("open")), "query_id")
-        .filter(F.col("rank") <= F.col("open"))
-        .drop("open")
-        .withColumn("tier", F.lit(tier))
-    )
+def _filled(short: DataFrame, found: DataFrame, look: Callable[[DataFrame, Column], DataFrame], tier: int, n_max: int) -> DataFrame:
+    """Rows whose link is new for the query, up to the number still missing.
+
+    ``look`` gives the best rows of distinct links for requests. Few more than are missing are asked for first; a request
+    left short although there may be more rows asks for more, at last for ``n``: links found before hide at most as
+    many as rows were found.
+    """
+    order, parts, room = [F.col("score").desc(), F.col("id")], [], FIRST_ROOM
+    asked = short.withColumn("open", F.col("n") - F.col("have"))
+    while True:
+        k = F.least(F.col("n"), F.col("open") + F.lit(room))
+        candidates = cut_lineage(look(asked, k).drop("rank"), "candidates")
+        fresh = candidates.join(found.select("query_id", "dedup"), ["query_id", "dedup"], "left_anti")
+        ranked = top_n(fresh, ["query_id"], order, n_max, salts=1)
+        rows = ranked.join(asked.select("query_id", "open"), "query_id").filter(F.col("rank") <= F.col("open")).drop("open")
+        seen = candidates.groupBy("query_id").agg(F.count("*").alias("_seen"))
+        new = fresh.groupBy("query_id").agg(F.count("*").alias("_new"))
+        late = asked.select("query_id", "open", "n", k.alias("_k")).join(seen, "query_id").join(new, "query_id", "left")
+        late = late.filter((F.col("_seen") >= F.col("_k")) & (F.col("_k") < F.col("n")) & (F.coalesce("_new", F.lit(0)) < F.col("open")))
+        late = cut_lineage(late.select("query_id").distinct(), "late")
+        if late.isEmpty():
+            return reduce(DataFrame.unionByName, [*parts, rows]).withColumn("tier", F.lit(tier))
+        parts.append(rows.join(late, "query_id", "left_anti"))
+        asked, room = cut_lineage(asked.join(late, "query_id", "left_semi"), "asked"), 16 * room
 
 
 def retrieve(
@@ -102,8 +121,7 @@ def retrieve(
     A tier only runs for requests the earlier ones left short. Rows of a later tier count once per
     id and link, and never repeat a link found before. The result is ordered by frequency.
 
-    A search keeps ``n`` distinct links per request; links already found can take at most as many
-    of them as rows were found, so enough are left to fill the request exactly.
+    Rows of a tier are stored once; only those of requests that are still short are read by the next one.
     """
     text = query_text(F.col("company"), F.col("difficulty"))
     asked = cut_lineage(requests.withColumn("text", text).withColumn("vector", encode(text)), "requests")
@@ -112,23 +130,31 @@ def retrieve(
     )
     n_max = asked.agg(F.coalesce(F.max("n"), F.lit(0))).first()[0]
 
-    if labels is not None and peers is None:
-        own = own_top(base.withColumn("once", F.col("id").cast("string")), asked, DETAILS, "once").drop("once")
-    else:
-        own = own_top(base, asked, DETAILS)
-    found = cut_lineage(own.withColumn("tier", F.lit(OWN)), "own")
+    # The link's key is made from the link again: rows are shuffled and stored without it.
+    details = [c for c in DETAILS if c != "dedup"]
+    own = own_top(base, asked, details, "id" if labels is not None and peers is None else None)
+    own = cut_lineage(own.withColumn("tier", F.lit(OWN)), "own").withColumn("dedup", clean.dedup_key(F.col("url"), F.col("id")))
+    parts, short = [own], cut_lineage(_short(asked, own), "short")
+
+    def held(short: DataFrame, found: DataFrame) -> DataFrame:
+        """What was found for requests that are still short."""
+        ids = few(short.select("query_id").distinct(), MAX_SHORT_SENT)
+        return cut_lineage(found.join(ids, "query_id", "left_semi"), "held")
+
+    found = held(short, own)
     if labels is not None or peers is not None:
-        short = cut_lineage(_short(asked, found), "short")
-        candidates = peer_top(base, short, F.col("n"), labels, peers, "dedup", DETAILS)
-        found = cut_lineage(found.unionByName(_fill(short, found, candidates, PEER, n_max)), "peer")
-    short = _short(asked, found)
+        more = _filled(short, found, lambda some, k: peer_top(base, some, k, labels, peers, "dedup", DETAILS), PEER, n_max)
+        parts.append(cut_lineage(more, "peer"))
+        found = found.unionByName(parts[-1])
+        short = cut_lineage(_short(short.drop("have"), found), "short")
+        found = held(short, found)
     expanded = cut_lineage(expanded_requests(short, found, index, encode), "expanded")
-    candidates = global_top(base, expanded, F.col("n"), "dedup", DETAILS)
-    found = found.unionByName(_fill(short, found, candidates, GLOBAL, n_max))
+    more = _filled(expanded, found, lambda some, k: global_top(base, some, k, "dedup", DETAILS), GLOBAL, n_max)
+    parts.append(cut_lineage(more, "global"))
 
     order = [F.coalesce("frequency", F.lit(0.0)).desc(), F.col("tier"), F.col("rank")]
     return (
-        ranked(found, ["query_id"], order, "position", n_max)
+        ranked(reduce(DataFrame.unionByName, parts), ["query_id"], order, "position", n_max)
         .join(requests.select("query_id", "company", "difficulty"), "query_id")
         .select("query_id", "company", "difficulty", "position", "id", "found_company", "url", "frequency", "tier", "rank", "score")
     )

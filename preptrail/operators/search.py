@@ -2,7 +2,7 @@
 
 Either way a task scores whole blocks with one matrix product and keeps only the best rows per
 query, so the scored pairs are never materialised. Cells that cannot hold any of a query's best rows are
-not visited (``cells``).
+not visited (``cells``). Where keys leave a row few queries, each pair is scored in place and ranked by the JVM.
 """
 
 from dataclasses import dataclass, replace
@@ -12,12 +12,13 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from preptrail.operators import cells
-from preptrail.operators.ranking import SALTS, first_per_key, top_n
+from preptrail.operators.ranking import SALTS, TASK_ROWS, first_per_key, top_n
 from preptrail.session import cut_lineage
 
 MAX_BROADCAST_QUERIES = 20_000
@@ -31,6 +32,9 @@ SCORES_PER_STEP = 2_000_000
 MATRIX_SCORES = 20_000
 PAIR_STEP = 20_000
 PENDING_ROWS = 200_000
+#: Queries that a row meets on average where pairs are scored one by one, and values of their vectors in a scan.
+PAIRS_PER_ROW = 4
+MAX_PAIR_VALUES = 16_000_000
 
 
 @dataclass(frozen=True)
@@ -59,7 +63,11 @@ class SearchSpec:
 
     def returned(self) -> list[str]:
         """Candidate columns of the result besides id and score."""
-        return list(dict.fromkeys(n for n in (self.distinct, *self.carry) if n))
+        return [n for n in dict.fromkeys((self.distinct, *self.carry)) if n and n != self.id_col]
+
+    def distinct_found(self) -> str:
+        """The name of ``distinct`` among found rows."""
+        return "id" if self.distinct == self.id_col else f"c:{self.distinct}"
 
 
 def _matrix(vectors, dim: int) -> np.ndarray:
@@ -70,7 +78,9 @@ def _matrix(vectors, dim: int) -> np.ndarray:
     return out
 
 
-def _arrow_matrix(column: pa.ListArray, dim: int) -> np.ndarray:
+def _arrow_matrix(column: pa.ListArray | pa.BinaryArray, dim: int) -> np.ndarray:
+    if pa.types.is_binary(column.type):
+        return cells.unpacked(column, dim).astype(float)
     values = np.asarray(column.flatten().to_numpy(zero_copy_only=False), dtype=float)
     if column.null_count == 0:
         return values.reshape(len(column), dim)
@@ -100,7 +110,7 @@ def _pair_scores(q: np.ndarray, c: np.ndarray, spec: SearchSpec) -> np.ndarray:
 def _best(found: pd.DataFrame, limits: np.ndarray, spec: SearchSpec) -> pd.DataFrame:
     found = found.sort_values(["q", "score", "id"], ascending=[True, False, True], kind="stable")
     if spec.distinct:
-        found = found.drop_duplicates(["q", f"c:{spec.distinct}"])
+        found = found.drop_duplicates(["q", spec.distinct_found()])
     return found[found.groupby("q").cumcount().to_numpy() < limits[found["q"].to_numpy()]]
 
 
@@ -114,15 +124,31 @@ def _block_best(q_pos, queries, cands, c_pos, limits, spec: SearchSpec) -> list[
     """Best candidates of one large matching group for each of its queries, by matrix products."""
     out, vectors = [], cands["matrix"][c_pos]
     step = max(1, SCORES_PER_STEP // max(1, len(c_pos)))
+    least, single = queries.get("least"), None
+    if least is not None and spec.metric == "dot":
+        single = vectors.astype(np.float32)
+        longest = np.sqrt(np.square(vectors).sum(axis=1).max(initial=0.0))
     for start in range(0, len(q_pos), step):
         rows = q_pos[start : start + step]
+        if single is not None and np.isfinite(longest) and np.isfinite(least[rows]).all():
+            # Single precision, with room for its rounding, tells which pairs are worth a score.
+            points = queries["matrix"][rows]
+            room = np.sqrt(np.square(points).sum(axis=1)) * longest * (points.shape[1] * 2.0**-22) + 10.0**-spec.precision
+            qi, ci = np.nonzero(points.astype(np.float32) @ single.T >= (least[rows] - room).astype(np.float32)[:, None])
+            if len(qi) <= max(PAIR_STEP, 2 * int(limits[rows].sum())):
+                score = _pair_scores(points[qi], vectors[ci], spec)
+                kept = score >= least[rows][qi]
+                if spec.differ:
+                    kept &= queries["differ"][rows[qi]] != cands["differ"][c_pos[ci]]
+                out.append(_found(rows[qi[kept]], c_pos[ci[kept]], score[kept], cands, spec))
+                continue
         score = _scores(queries["matrix"][rows], vectors, spec)
         dropped = np.isnan(score)
         if spec.differ:
             dropped |= queries["differ"][rows][:, None] == cands["differ"][c_pos][None, :]
         wanted = int(limits[rows].max())
-        if queries.get("least") is not None:
-            dropped |= score < queries["least"][rows][:, None]
+        if least is not None:
+            dropped |= score < least[rows][:, None]
             qi, ci = np.nonzero(~dropped)
             if len(qi) <= wanted * len(rows):
                 out.append(_found(rows[qi], c_pos[ci], score[qi, ci], cands, spec))
@@ -239,16 +265,32 @@ def _with_asked_keys(index: DataFrame, rows: pd.DataFrame, spec: SearchSpec) ->
 
 
 def _broadcast_search(index: DataFrame, rows: pd.DataFrame, dim: int, spec: SearchSpec, schema) -> DataFrame:
-    """Scan the vectors once, in place; every task holds the few queries and its running best."""
-    shared = index.sparkSession.sparkContext.broadcast((_query_side(rows, spec, _matrix(rows[spec.vector].tolist(), dim)), rows["k"].to_numpy()))
+    """Scan the vectors once, in place; every task holds the few queries and its running best.
+
+    A task returns its best rows of every query, so there are no more tasks than keep all cores busy. What it has
+    found tells the least score that later rows must reach.
+    """
+    own, side = None, _query_side(rows, spec, _matrix(rows[spec.vector].tolist(), dim))
+    if spec.differ:
+        codes, own = pd.factorize(side["differ"], use_na_sentinel=False)
+        side["differ"], own = codes, pd.Index(own)
+    shared = index.sparkSession.sparkContext.broadcast((side, rows["k"].to_numpy(), own))
     arrow_schema = to_arrow_schema(schema)
 
     def scan(batches):
-        queries, limits = shared.value
+        queries, limits, own = shared.value
         best, pending, n_pending = [], [], 0
 
         def compact() -> list[pd.DataFrame]:
-            return [_best(pd.concat([*best, *pending], ignore_index=True), limits, spec)]
+            kept = _best(pd.concat([*best, *pending], ignore_index=True), limits, spec)
+            # Rows of a query come in descending order, so its last one is the least that counts once it is full.
+            q, score = kept["q"].to_numpy(), kept["score"].to_numpy()
+            last = np.flatnonzero(np.diff(q, append=-1))
+            full = last[np.bincount(q, minlength=len(limits))[q[last]] >= limits[q[last]]]
+            least = np.full(len(limits), -np.inf) if queries["least"] is None else queries["least"].copy()
+            least[q[full]] = np.maximum(least[q[full]], score[full])
+            queries["least"] = least  # it also holds for the next task of this worker
+            return [kept]
 
         for batch in batches:
             if not batch.num_rows:
@@ -260,12 +302,12 @@ def _broadcast_search(index: DataFrame, rows: pd.DataFrame, dim: int, spec: Sear
                 "on": [column[c].to_pandas().to_numpy() for c in spec.on],
             }
             if spec.differ:
-                cands["differ"] = column[spec.differ].to_pandas().to_numpy()
+                cands["differ"] = own.get_indexer(column[spec.differ].to_pandas().to_numpy())
             cands["returned"] = {name: column[name].to_pandas().to_numpy() for name in spec.returned()}
             found = _search_block(queries, cands, limits, spec)
             pending += found
             n_pending += sum(map(len, found))
-            if n_pending > max(PENDING_ROWS, 2 * sum(map(len, best))):
+            if n_pending > max(PENDING_ROWS if queries["least"] is not None else len(limits), 2 * sum(map(len, best))):
                 best, pending, n_pending = compact(), [], 0
         if n_pending:
             best = compact()
@@ -273,7 +315,76 @@ def _broadcast_search(index: DataFrame, rows: pd.DataFrame, dim: int, spec: Sear
             frame = _result(best[0], queries, spec)
             yield pa.RecordBatch.from_pandas(frame, schema=arrow_schema, preserve_index=False)
 
-    return (_with_asked_keys(index, rows, spec) if spec.on else index).mapInArrow(scan, schema)
+    asked = _with_asked_keys(index, rows, spec) if spec.on else index
+    return asked.coalesce(2 * index.sparkSession.sparkContext.defaultParallelism).mapInArrow(scan, schema)
+
+
+def _few_pairs(index: DataFrame, asked: DataFrame, spec: SearchSpec) -> bool:
+    """Whether a row meets few queries by its keys, and a query no more rows than a task may rank."""
+    on = list(spec.on)
+    held = index.groupBy(*on).agg(F.count("*").alias("_rows"))
+    wanted = asked.groupBy(*on).agg(F.count("*").alias("_asked"))
+    if not asked.groupBy("query_id").count().filter("count > 1 or query_id is null").isEmpty():
+        return False
+    pairs = F.sum(F.col("_rows") * F.coalesce("_asked", F.lit(0)))
+    most = F.max(F.when(F.col("_asked").isNotNull(), F.col("_rows")))
+    rows, pairs, most = held.join(wanted, on, "left").agg(F.sum("_rows"), pairs, most).first()
+    return (pairs or 0) <= PAIRS_PER_ROW * (rows or 0) and (most or 0) <= TASK_ROWS
+
+
+def _pair_search(index: DataFrame, asked: DataFrame, dim: int, spec: SearchSpec) -> DataFrame:
+    """Ranked rows of queries whose keys leave each row few of them: every pair is scored where the row lies.
+
+    Rows get the numbers of their queries by a join on the keys; only number, id, score and the carried columns
+    are shuffled, once. The vectors of ``MAX_PAIR_VALUES`` values of queries are sent to the tasks at a time.
+    """
+    spark, on = index.sparkSession, list(spec.on)
+    names = list(dict.fromkeys([*on, *([spec.differ] if spec.differ else [])]))
+    queries = asked.dropna(subset=on).select("query_id", F.col("k").cast("int").alias("_k"), spec.vector, *names).toArrow().combine_chunks()
+    id_type = index.schema[spec.id_col].dataType
+    fields = [T.StructField("_q", T.IntegerType()), T.StructField(spec.id_col, id_type), T.StructField("score", T.DoubleType())]
+    schema = T.StructType([*fields, *(index.schema[name] for name in spec.returned())])
+    arrow_schema = to_arrow_schema(schema)
+
+    def numbered(table: pa.Table, start: int, columns: list[str]) -> DataFrame:
+        numbers = pa.array(np.arange(start, start + len(table), dtype=np.int32))
+        return spark.createDataFrame(table.select(columns).append_column("_q", numbers))
+
+    def scored(start: int, table: pa.Table) -> DataFrame:
+        kind = np.float32 if pa.types.is_float32(table[spec.vector].type.value_type) else float
+        points = _arrow_matrix(table[spec.vector].combine_chunks(), dim).astype(kind)
+        shared = spark.sparkContext.broadcast(points)
+        known = numbered(table, start, names)
+        if spec.differ:
+            known = known.withColumnRenamed(spec.differ, "_differs")
+        met = index.join(F.broadcast(known), on)
+        if spec.differ:
+            met = met.filter(~F.col(spec.differ).eqNullSafe(F.col("_differs")))
+
+        def score(batches):
+            points = shared.value
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                column = {n: batch.column(i) for i, n in enumerate(batch.schema.names)}
+                rows = _arrow_matrix(column[spec.vector], dim)
+                found = _pair_scores(points[column["_q"].to_numpy() - start].astype(float), rows, spec)
+                column["score"] = pa.array(found)
+                out = pa.RecordBatch.from_arrays([column[n].cast(t) for n, t in zip(arrow_schema.names, arrow_schema.types)], schema=arrow_schema)
+                yield out.filter(pa.array(~np.isnan(found)))
+
+        return met.select("_q", spec.vector, spec.id_col, *spec.returned()).mapInArrow(score, schema)
+
+    step = max(1, MAX_PAIR_VALUES // dim)
+    parts = [scored(start, queries.slice(start, step)) for start in range(0, max(1, len(queries)), step)]
+    best = [F.col("score").desc(), F.col(spec.id_col)]
+    dealt = reduce(DataFrame.union, parts).repartition("_q")
+    if spec.distinct:
+        dealt = dealt.withColumn("_nth", F.row_number().over(W.partitionBy("_q", spec.distinct).orderBy(*best))).filter("_nth = 1").drop("_nth")
+    ranked = dealt.withColumn("rank", F.row_number().over(W.partitionBy("_q").orderBy(*best)))
+    asking = numbered(queries, 0, ["query_id", "_k"])
+    found = ranked.join(F.broadcast(asking), "_q").filter(F.col("rank") <= F.col("_k"))
+    return found.select("query_id", spec.id_col, "score", *spec.returned(), "rank")
 
 
 def _grid_search(index: DataFrame, queries: DataFrame, dim: int, k_max: int, spec: SearchSpec, schema) -> DataFrame:
@@ -381,11 +492,11 @@ def search(
 
     ``queries`` has ``query_id``, the vector and the columns of ``spec.on`` and ``spec.differ``;
     several rows may share a ``query_id`` (one per peer, say). ``k`` may differ per query. Rows and queries
-    without a vector take no part. Queries are read by several jobs that run at once when this is called;
+    without a vector take no part. The vectors of ``index`` may be packed (``TextEncoder.packed``). Queries are read by several jobs that run at once when this is called;
     store them first where they are costly to make.
 
     Up to ``max_broadcast`` queries are sent to the vectors, which stay where they are; with more the
-    vectors are dealt to cells. The result is the same.
+    vectors are dealt to cells, unless the keys leave a row few queries. The result is the same.
     """
     present = F.col(spec.vector).isNotNull()
     wanted = list(dict.fromkeys(c for c in (spec.vector, *spec.on, spec.differ) if c))
@@ -400,7 +511,10 @@ def search(
     dim = first[0]
     fitting = min(max_broadcast, MAX_BROADCAST_VALUES // dim)
     rows = asked.limit(fitting + 1).toPandas()
-    if len(rows) <= fitting and rows["k"].sum() <= MAX_SCANS * MAX_RESULTS:
+    results = rows["k"].sum()
+    if spec.on and max_broadcast and (len(rows) > fitting or results > MAX_RESULTS) and _few_pairs(vectors, asked, spec):
+        return _pair_search(vectors, asked, dim, spec)
+    if len(rows) <= fitting and results <= MAX_SCANS * MAX_RESULTS:
         k_max = int(rows["k"].max())
         found = [_broadcast_search(vectors, lot, dim, spec, schema) for lot in _lots(rows, spec)]
         ranked = _ranked(reduce(DataFrame.union, found), k_max, spec)

@@ -2,8 +2,11 @@
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 ADAPTIVE = {
     "spark.sql.adaptive.enabled": "true",
@@ -83,6 +86,24 @@ def spread(scan: DataFrame) -> DataFrame:
     return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores)
 
 
+def few(df: DataFrame, at_most: int) -> DataFrame:
+    """``df``, marked for broadcast if it has ``at_most`` rows: a count of rows where the optimizer only guesses bytes."""
+    return F.broadcast(df) if df.limit(at_most + 1).count() <= at_most else df
+
+
+@contextmanager
+def settings(spark: SparkSession, conf: dict[str, str]) -> Iterator[None]:
+    """Settings of the session that hold for a while."""
+    before = {key: spark.conf.get(key, None) for key in conf}
+    for key, value in conf.items():
+        spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
+
+
 def cut_lineage(df: DataFrame, label: str = "stage") -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back.
 
@@ -90,5 +111,7 @@ def cut_lineage(df: DataFrame, label: str = "stage") -> DataFrame:
     lost, and the optimizer sees the measured size of the result.
     """
     path = scratch_path(df.sparkSession, label)
-    df.write.parquet(path)
+    # What was shuffled to make the table is of no use once it is written.
+    with settings(df.sparkSession, {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}):
+        df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

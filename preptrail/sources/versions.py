@@ -14,9 +14,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from preptrail.operators.ranking import first_per_key
+from preptrail.session import settings
 
 #: Parts of a keyed table that are compacted one by one.
 BUCKETS = 16
+#: Files that a task writes at once.
+MAX_WRITERS = 64
 #: Deltas that a read merges at most before the table is compacted.
 DELTAS = 8
 
@@ -119,7 +122,10 @@ class KeyedTable:
     def _write(self, df: DataFrame, buckets: int) -> str:
         folder = uuid.uuid4().hex
         bucket = F.pmod(F.xxhash64(*self.keys), F.lit(buckets)).cast("int")
-        df.withColumn("_bucket", bucket).write.partitionBy("_bucket").parquet(f"{self.path}/data/{folder}")
+        # A task writes to all buckets at once, so wide rows are not sorted by bucket.
+        writers = {"spark.sql.maxConcurrentOutputFileWriters": str(buckets if buckets <= MAX_WRITERS else 0)}
+        with settings(self.spark, writers):
+            df.withColumn("_bucket", bucket).write.partitionBy("_bucket").parquet(f"{self.path}/data/{folder}")
         return folder
 
     def _held(self, folder: str) -> list[int]:

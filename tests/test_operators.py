@@ -2,6 +2,7 @@ import itertools
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -690,3 +691,61 @@ def test_an_encoder_gets_few_texts_at_a_time_and_none_for_a_missing_one(spark):
     rows = df.select("id", encode.TextEncoder(lengths, batch=4).sums(F.col("t")).alias("v")).collect()
     assert {r.id: r.v for r in rows} == {i: [0.0 if i == 3 else i, 2.0 if i > 7 else 4.0, float(i == 3)] for i in range(10)}
     assert df.filter("id < 0").select(encode.TextEncoder(lengths)(F.col("t"))).collect() == []
+
+
+def _interviews(spark):
+    rng = np.random.default_rng(31)
+    problems = [(i, f"c{rng.integers(0, 6)}", S.DIFFICULTIES[i % 3], f"u{rng.integers(0, 70)}" if i % 9 else "", float(rng.integers(0, 5)), "") for i in range(150)]
+    counts = [(i, f"c{i % 7}", *map(int, n), int(n.sum()) + i % 4) for i, n in enumerate(rng.integers(0, 12, size=(30, 3)))]
+    labels = spark.createDataFrame([(f"c{i}", i % 2) for i in range(5)], "company string, cluster int")
+    return _index(spark, problems), spark.createDataFrame(counts, "interview_id int, company string, easy long, medium long, hard long, total long"), labels
+
+
+def test_interviews_meet_their_lists_where_these_lie(spark, monkeypatch):
+    index, counts, labels = _interviews(spark)
+    made = {}
+
+    def kept(name, plain):
+        return lambda *args, **options: made.setdefault(name, plain(*args, **options))
+
+    for name in ("retrieve", "_fill_lists"):
+        monkeypatch.setattr(roadmap, name, kept(name, getattr(roadmap, name)))
+    monkeypatch.setattr(roadmap, "LOT_ROWS", 40)
+    monkeypatch.setattr(roadmap, "SLICE_INTERVIEWS", 2)
+    out = sorted(map(tuple, roadmap.recommend(counts, index, index, labels, ONES).collect()))
+    found, lists = made["retrieve"], made["_fill_lists"]
+    found = found.withColumn("dedup", clean.dedup_key(F.col("url"), F.col("id")))
+    assert out == sorted(map(tuple, roadmap._merged(counts, found, lists, labels, ()).collect()))
+    assert len(out) > 400 and any(r[3] for r in out)
+
+
+def test_fill_lists_look_below_the_highest_frequencies_where_links_repeat(spark, monkeypatch):
+    rows = [(i, "A", "EASY", f"u{i % 4 if i < 60 else i}", float(100 - i), "") for i in range(80)] + [(99, "B", "EASY", "u9", None, "")]
+    monkeypatch.setattr(roadmap, "LIST_ROOM", 1)
+    labels = spark.createDataFrame([("A", 0)], "company string, cluster int")
+    lists = roadmap._fill_lists(_index(spark, rows), labels, 6).orderBy("group", "fill_rank").collect()
+    assert [(r.group, r.id) for r in lists] == [*(("c:0", i) for i in (0, 1, 2, 3, 60, 61)), ("o:B", 99)]
+
+
+def test_keys_that_leave_rows_few_queries_are_scored_in_place(spark, monkeypatch):
+    rng = np.random.default_rng(32)
+    rows = [(i, i % 9, "x" if i % 2 else "y", [float(v) for v in rng.integers(0, 3, size=4)]) for i in range(120)]
+    rows = spark.createDataFrame([*rows, *rows[:30]], "id int, g int, w string, vector array<float>")
+    asked = rows.dropDuplicates(["id"]).filter("id < 20").select(F.concat(F.lit("q"), F.col("id")).alias("query_id"), "g", "w", "vector", (F.col("id") % 5 + 1).alias("n"))
+    spec = search.SearchSpec(on=("g",), differ="w", distinct="id", carry=("w",))
+    whole = sorted(map(tuple, search.search(rows, asked, F.col("n"), spec).select("query_id", "id", "score", "w", "rank").collect()))
+    monkeypatch.setattr(search, "MAX_RESULTS", 1)
+    monkeypatch.setattr(search, "_broadcast_search", None)
+    monkeypatch.setattr(search, "MAX_PAIR_VALUES", 28)
+    packed = F.udf(lambda v: np.asarray(v, np.float32).tobytes(), "binary")
+    for index in (rows, rows.withColumn("vector", packed("vector"))):
+        got = search.search(index, asked, F.col("n"), spec).select("query_id", "id", "score", "w", "rank")
+        assert sorted(map(tuple, got.collect())) == whole
+    assert whole
+
+
+def test_ascii_texts_are_encoded_from_their_bytes():
+    texts = ["Aa_b", None, "", "-- x9 ", "b\x00c", "Z"]
+    plain = encode.HashingEncoder(8)
+    assert (plain.arrow(pa.array(["cut", *texts])[1:]) == plain(texts)).all()
+    assert plain.arrow(pa.array(["é"])) is None
