@@ -333,7 +333,7 @@ def roadmap_recommend(spark, sf):
       count(nullif(url, '')) = count(DISTINCT lower(nullif(url, ''))) AS passed FROM roadmap JOIN problems ON problem_id = id GROUP BY 1"""
 )
 def report_duplicate_links(spark, sf):
-    _, problems, roads = _roadmap(spark, sf)
+    _, problems, roads = _roadmap(spark, sf, roadmap.routes, carry=("url",))
     return reports.duplicate_links(roads, problems)
 
 

@@ -1,12 +1,13 @@
 """Evaluation reports, each a DataFrame of metric rows."""
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from preptrail import schemas as S
 from preptrail.functions import code
 from preptrail.operators import curation
+from preptrail.session import cut_lineage
 
 # --- Fixed values -----------------------------------------------------------
 HIT_RATE_BAR = 50.0
@@ -90,8 +91,41 @@ def frequency_order(retrieved: DataFrame) -> DataFrame:
     )
 
 
+def _links() -> Column:
+    return F.filter(F.transform("values", lambda v: F.lower(v)), lambda v: v != "")
+
+
+def _with_copies(routes: DataFrame, problems: DataFrame, column: str) -> DataFrame:
+    """Routes that carry ``column`` of these problems, as ``values``: that of every row of ``problems`` with a stop's id.
+
+    Ids that repeat are few or none; only their rows meet the stops. Hashes find them.
+    """
+    stops = F.transform("route", lambda s: s[column])
+    hashed = problems.select(F.xxhash64("id").alias("_hash"))
+    again = cut_lineage(hashed.groupBy("_hash").count().filter("count > 1").select("_hash"), "again")
+    if again.isEmpty():
+        return routes.select("interview_id", stops.alias("values"))
+    rows = problems.withColumn("_hash", F.xxhash64("id")).join(again, "_hash", "left_semi").filter("id is not null")
+    copies = rows.groupBy(F.col("id").alias("problem_id")).agg(F.collect_list(F.struct(column)).alias("_copies"))
+    met = routes.select("interview_id", F.posexplode("route").alias("_pos", "_stop")).join(
+        copies, F.col("_stop.problem_id") == F.col("problem_id"), "left"
+    )
+    value = F.coalesce("_copies", F.array(F.struct(F.col(f"_stop.{column}").alias(column))))
+    values = met.groupBy("interview_id").agg(F.flatten(F.collect_list(value)).alias("_values"))
+    return values.select("interview_id", F.transform("_values", lambda v: v[column]).alias("values"))
+
+
 def duplicate_links(roadmaps: DataFrame, problems: DataFrame) -> DataFrame:
-    """Per interview: problems, links, distinct links regardless of case."""
+    """Per interview: problems, links, distinct links regardless of case.
+
+    Roadmaps are rows, or routes that carry the ``url`` of these problems, whose stops meet no other table.
+    """
+    if "route" in roadmaps.columns:
+        known = _with_copies(roadmaps, problems, "url").select("interview_id", F.size("values").cast("bigint").alias("n_problems"), _links().alias("links"))
+        counted = known.select(
+            "interview_id", "n_problems", F.size("links").cast("bigint").alias("n_links"), F.size(F.array_distinct("links")).cast("bigint").alias("n_distinct")
+        )
+        return counted.withColumn("passed", F.col("n_links") == F.col("n_distinct"))
     links = problems.select(F.col("id").alias("problem_id"), F.nullif("url", F.lit("")).alias("url"))
     counted = roadmaps.join(links, "problem_id").groupBy("interview_id").agg(
         F.count("*").alias("n_problems"), F.count("url").alias("n_links"), F.count_distinct(F.lower("url")).alias("n_distinct")
@@ -99,13 +133,28 @@ def duplicate_links(roadmaps: DataFrame, problems: DataFrame) -> DataFrame:
     return counted.withColumn("passed", F.col("n_links") == F.col("n_distinct"))
 
 
-def roadmap_counts(counts: DataFrame, roadmaps: DataFrame, problems: DataFrame) -> DataFrame:
-    """Per interview: predicted and delivered number of problems, in total and per difficulty."""
+def _delivered(roadmaps: DataFrame, problems: DataFrame) -> DataFrame:
+    if "route" in roadmaps.columns:
+        known = _with_copies(roadmaps, problems, "difficulty").withColumn("values", F.transform("values", lambda v: F.upper(v)))
+
+        def number(level: str) -> Column:
+            return F.size(F.filter("values", lambda v: v == level)).cast("bigint").alias(f"got_{level.lower()}")
+
+        sizes = [number(d) for d in S.DIFFICULTIES]
+        return known.select("interview_id", F.size("values").cast("bigint").alias("got_total"), *sizes)
     levels = problems.select(F.col("id").alias("problem_id"), F.upper("difficulty").alias("level"))
-    got = roadmaps.join(levels, "problem_id").groupBy("interview_id").agg(
+    return roadmaps.join(levels, "problem_id").groupBy("interview_id").agg(
         F.count("*").alias("got_total"),
         *[F.count_if(F.col("level") == d).alias(f"got_{d.lower()}") for d in S.DIFFICULTIES],
     )
+
+
+def roadmap_counts(counts: DataFrame, roadmaps: DataFrame, problems: DataFrame) -> DataFrame:
+    """Per interview: predicted and delivered number of problems, in total and per difficulty.
+
+    Roadmaps are rows, or routes that carry the ``difficulty`` of these problems.
+    """
+    got = _delivered(roadmaps, problems)
     names = ["got_total", *[f"got_{d.lower()}" for d in S.DIFFICULTIES]]
     wanted = counts.select("interview_id", "total", "easy", "medium", "hard")
     joined = wanted.join(got, "interview_id", "left").fillna(0, names)

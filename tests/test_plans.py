@@ -102,3 +102,30 @@ def test_report_arithmetic(spark):
     predicted = spark.createDataFrame([("A", 30, 2, 0, 2, 3), ("A", 90, 1, 1, 0, 2)], "company string, days_until int, easy long, medium long, hard long, total long")
     assert [r.passed for r in reports.valid_predictions(predicted).orderBy("days_until").collect()] == [False, True]
     assert reports.monotone_totals(predicted).first().asDict() == {"company": "A", "totals": "3,2", "passed": False}
+
+
+def _routes(spark):
+    problems = spark.createDataFrame([(1, "a", "u1", "EASY"), (2, "a", "U1", "HARD"), (2, "a", "u2", "hard"), (3, "b", "", "EASY"), (4, "b", None, "MEDIUM")], "id int, company string, url string, difficulty string")
+    roads = spark.createDataFrame([(7, 1, 1, False), (7, 2, 2, False), (7, 3, 3, True), (8, 1, 4, False), (8, 2, 1, True)], "interview_id int, position int, problem_id int, filled boolean")
+    return problems, roads
+
+
+def _carrying(roads, problems, column):
+    known = roads.join(problems.dropDuplicates(["id"]).select(F.col("id").alias("problem_id"), column), "problem_id")
+    return known.groupBy("interview_id").agg(F.collect_list(F.struct("problem_id", "filled", column)).alias("route"))
+
+
+def test_links_of_routes_are_counted_without_a_join(spark):
+    problems, roads = _routes(spark)
+    for some in (problems, problems.filter("url is null or url <> 'u2'")):
+        rows = sorted(map(tuple, reports.duplicate_links(roads, some).collect()))
+        assert sorted(map(tuple, reports.duplicate_links(_carrying(roads, some, "url"), some).collect())) == rows
+    assert rows == [(7, 3, 2, 1, False), (8, 2, 1, 1, True)]
+
+
+def test_levels_of_routes_are_counted_without_a_join(spark):
+    problems, roads = _routes(spark)
+    counts = spark.createDataFrame([(7, 4, 1, 1, 1), (8, 2, 1, 1, 0), (9, 1, 1, 0, 0)], "interview_id int, total long, easy long, medium long, hard long")
+    rows = sorted(map(tuple, reports.roadmap_counts(counts, roads, problems).collect()))
+    assert sorted(map(tuple, reports.roadmap_counts(counts, _carrying(roads, problems, "difficulty"), problems).collect())) == rows
+    assert rows[0] == (7, 4, 1, 1, 1, 4, 2, 0, 2, True)
