@@ -345,7 +345,7 @@ def report_duplicate_links(spark, sf):
       coalesce(got_hard, 0) AS got_hard, total = coalesce(got_total, 0) AS passed FROM counts LEFT JOIN got USING (interview_id)"""
 )
 def report_roadmap_counts(spark, sf):
-    counts, problems, roads = _roadmap(spark, sf)
+    counts, problems, roads = _roadmap(spark, sf, roadmap.routes, carry=("difficulty",))
     return reports.roadmap_counts(counts, roads, problems)
 
 
