@@ -17,6 +17,8 @@ DETAILS = ("dedup", "found_company", "url", "frequency")
 #: Rows looked for at first beyond those that a request lacks, and requests whose ids are sent to what was found.
 FIRST_ROOM = 4
 MAX_SHORT_SENT = 200_000
+#: Companies, with their labels, that are sent to all tasks.
+MAX_LABELS_SENT = 500_000
 
 
 def query_text(company: Column, difficulty: Column) -> Column:
@@ -47,8 +49,9 @@ def peer_top(
         named = named.drop("company").withColumnRenamed("peer", "company")
         return search(index, named, k, SearchSpec(on=("company", "difficulty"), distinct=distinct, carry=carry))
     in_cluster = labels.select("company", "cluster")
+    # Companies are few beside the rows of the index, whose vectors then need no shuffle to meet their clusters.
     return search(
-        index.join(in_cluster, "company"),
+        index.join(few(in_cluster, MAX_LABELS_SENT), "company"),
         requests.join(in_cluster, "company"),
         k,
         SearchSpec(on=("cluster", "difficulty"), differ="company", distinct=distinct, carry=carry),

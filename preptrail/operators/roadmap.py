@@ -12,7 +12,7 @@ from preptrail import schemas as S
 from preptrail.functions import clean
 from preptrail.operators.encode import TextEncoder
 from preptrail.operators.ranking import first_per_key, ranked, top_n
-from preptrail.operators.retrieval import retrieve
+from preptrail.operators.retrieval import MAX_LABELS_SENT, retrieve
 from preptrail.session import cut_lineage, few
 
 #: Rows of found lists that a task holds at a time, and interviews that one copy of a company's lists serves.
@@ -20,8 +20,6 @@ LOT_ROWS = 60_000
 SLICE_INTERVIEWS = 2_000
 #: Rows of the highest frequencies among which a fill list is sought first, as a multiple of its size.
 LIST_ROOM = 4
-#: Companies, with their labels, that are sent to all tasks.
-MAX_LABELS_SENT = 500_000
 
 def difficulty_requests(counts: DataFrame) -> DataFrame:
     """One row per interview and difficulty with the number of problems asked for."""

@@ -123,8 +123,8 @@ class KeyedTable:
         folder = uuid.uuid4().hex
         bucket = F.pmod(F.xxhash64(*self.keys), F.lit(buckets)).cast("int")
         # A task writes to all buckets at once, so wide rows are not sorted by bucket.
-        writers = {"spark.sql.maxConcurrentOutputFileWriters": str(buckets if buckets <= MAX_WRITERS else 0)}
-        with settings(self.spark, writers):
+        writers = {"spark.sql.maxConcurrentOutputFileWriters": str(buckets), "spark.sql.optimizer.plannedWrite.enabled": "false"}
+        with settings(self.spark, writers if buckets <= MAX_WRITERS else {}):
             df.withColumn("_bucket", bucket).write.partitionBy("_bucket").parquet(f"{self.path}/data/{folder}")
         return folder
 
